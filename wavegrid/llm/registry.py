@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrid.llm import decontaminate
+from wavegrid.llm import decontaminate, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination}
+    return {
+        "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op1_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op7_substring_dedup": substring_dedup.ORACLE_SQL,
+    }
