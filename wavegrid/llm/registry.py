@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrid.llm import bpe, decontaminate, simhash, substring_dedup
+from wavegrid.llm import bpe, decontaminate, simhash, substring_dedup, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
+        "op2_token_file": token_file.op2_token_file,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op9_simhash": simhash.op9_simhash,
