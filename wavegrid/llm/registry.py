@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrid.llm import bpe, decontaminate, simhash, substring_dedup, token_file
+from wavegrid.llm import bpe, decontaminate, simhash, substring_dedup, token_counts, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op9_simhash": simhash.op9_simhash,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
