@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavegrid.llm import bpe, decontaminate, simhash, substring_dedup, token_counts, token_file
+from wavegrid.llm import bpe, decontaminate, simhash, substring_dedup, token_counts, token_file, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_token_file": token_file.op2_token_file,
+        "op3_warc": warc.op3_warc,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op9_simhash": simhash.op9_simhash,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op3_warc": warc.ORACLE_SQL,
         "op7_substring_dedup": substring_dedup.ORACLE_SQL,
     }
