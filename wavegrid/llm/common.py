@@ -111,3 +111,20 @@ def extended(table: pa.Table, columns: dict[str, pa.Array]) -> Iterator[pa.Recor
 
 def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def split_words(texts: list[bytes | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Runs of what isn't ASCII white space: for each word of all texts its place among the distinct words; these; where each text's words begin, and their number."""
+    data = np.frombuffer(b"\n".join([t or b"" for t in texts]), np.uint8)
+    letters = ~_BLANK[data]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], letters, [False])).astype(np.int8)))
+    begins, lengths = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data[letters])]).dictionary_encode()
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    starts = np.concatenate(([0], np.searchsorted(begins, ends))).astype(np.int64)
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary, starts

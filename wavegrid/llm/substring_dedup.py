@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm import storage
-from wavegrid.llm.common import chunks_of, extended, shared_dir, stored, utf8, without
+from wavegrid.llm.common import chunks_of, extended, shared_dir, split_words, stored, utf8, without
 
-#: Bits of a window's hash that entries and runs keep, beside those that its bucket gives.
-HASH_BITS = 56
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,28 +76,39 @@ def _sums(a: np.ndarray) -> np.ndarray:
 class Block:
     """A block's words: ids that are equal for equal words, and the windows that lie within one document."""
 
-    def __init__(self, texts: list[bytes | None], window: int, seed: int):
-        vocabulary: dict[bytes, int] = {}
-        put, ids, counts = vocabulary.setdefault, [], []
-        for text in texts:
-            words = text.split() if text else []
-            ids += [put(w, len(vocabulary)) for w in words]
-            counts.append(len(words))
-        self.window, self.words = window, list(vocabulary)
-        self.ids, self.counts = np.array(ids, np.int64), np.array(counts, np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.counts)))
-        n = len(ids)
-        inside = np.zeros(n, bool)
-        for a, c in zip(self.starts.tolist(), counts, strict=False):
-            inside[a : a + max(0, c - window + 1)] = True
-        self.at = np.flatnonzero(inside)  # first word of each window
+    def __init__(self, texts: list[bytes | None], window: int, seed: int | None):
+        """seed: of the windows' hashes; without one there are none."""
+        self.ids, self.dictionary, self.starts = split_words(texts)
+        self._words = None
+        self.counts = np.diff(self.starts)
+        inside = np.zeros(len(self.ids) + 1, np.int8)
+        long = self.counts >= window
+        inside[self.starts[:-1][long]] = 1
+        np.add.at(inside, self.starts[1:][long] - window + 1, -1)
+        self.at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))  # first word of each window
+        if seed is None:
+            return
         hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
-        per_word = hashes[self.ids] if n else np.zeros(0, np.uint64)
-        total = np.zeros(max(0, n - window + 1), np.uint64)
+        per_word = hashes[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
+        total = np.zeros(max(0, len(self.ids) - window + 1), np.uint64)
         for j, m in enumerate(_mix(np.arange(1, window + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)):
             total += per_word[j : j + len(total)] * m
         self.hashes = _mix(total[self.at])
 
+    @property
+    def words(self) -> list[bytes]:
+        if self._words is None:
+            self._words = self.dictionary.to_pylist()
+        return self._words
+
+    def by_hash(self, count: int) -> tuple[np.ndarray, ...]:
+        """Of the first windows: hashes in order, their first words, where each distinct hash begins, and the number of distinct hashes before each."""
+        order = np.argsort(self.hashes[:count])
+        h, at = self.hashes[order], self.at[order]
+        begin = np.ones(count, bool)
+        begin[1:] = h[1:] != h[:-1]
+        return h, at, np.flatnonzero(begin), np.cumsum(begin) - 1
+
     @staticmethod
     def hashes_of(windows: list[bytes], window: int, seed: int) -> np.ndarray:
         """Of windows' texts."""
@@ -111,7 +122,8 @@ class Block:
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((_mix(hashes) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    """Buckets are ranges of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 @dataclass
@@ -162,7 +174,7 @@ _CLAIMS = "block long, payload binary"
 
 def _cut_blocks(path: str, batch: int, id_col: str, text_col: str, window: int, buckets: int, block_bytes: int, seed: int, hash_bits: int):
     """Rows in, entries out. Block ids hold the batch, the task's partition and a count, so a task that runs again makes the same ones."""
-    mask = np.uint64((1 << hash_bits) - 1)
+    mask = np.uint64((1 << 64) - (1 << (64 - hash_bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -173,20 +185,16 @@ def _cut_blocks(path: str, batch: int, id_col: str, text_col: str, window: int,
             block = Block(utf8(table.column(text_col)), window, seed)
             ids = table.column(id_col)
             known = len(ids) - ids.null_count
-            live = block.at < block.starts[known]
-            h, at = block.hashes[live], block.at[live]
-            order = np.argsort(h, kind="stable")
-            first = np.ones(len(order), bool)
-            first[1:] = h[order[1:]] != h[order[:-1]]
-            h, at = h[order][first], at[order][first]
-            which = bucket_of(h, buckets)
+            live = int(np.searchsorted(block.at, block.starts[known]))
+            h, at, begin, _ = block.by_hash(live)
+            h, at = h[begin] & mask, np.minimum.reduceat(at, begin) if live else at
             docs = {"doc": _deltas(ids.slice(0, known).to_numpy().astype(np.int64).view(np.uint64)), "words": block.counts[:known]}
             rows: list[tuple[int, bytes]] = [(-1, b"")]  # a block without windows counts too
-            for b in np.unique(which).tolist():
-                mine = which == b
-                low = h[mine] & mask
-                by = np.argsort(low, kind="stable")
-                rows.append((b, pack(h=_deltas(low[by]), at=at[mine][by], **docs)))
+            which = bucket_of(h, buckets)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [len(h)]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if i < j:
+                    rows.append((int(which[i]), pack(h=_deltas(h[i:j]), at=at[i:j], **docs)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "payload"])
 
     return run
@@ -206,7 +214,7 @@ def _merge_bucket(path: str, runs: list[str], new: str):
             doc = doc[np.searchsorted(np.cumsum(e["words"]), e["at"], side="right")]
             parts.append((_sums(e["h"]), doc, np.full(len(doc), number, np.int64), e["at"].astype(np.int64)))
         h, doc, block, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")  # of sorted runs: a merge
+        order = np.argsort(h)
         h, doc, block, at = h[order], doc[order], block[order], at[order]
         begin = np.ones(len(h), bool)
         begin[1:] = h[1:] != h[:-1]
@@ -266,13 +274,8 @@ def _span_block(path: str, id_col: str, text_col: str, window: int, seed: int, r
         ids = rows.column(id_col)
         known = len(ids) - ids.null_count
         doc_ids = ids.slice(0, known).to_numpy().astype(np.int64)
-        live = block.at < block.starts[known]
-        h, mine = block.hashes[live], block.at[live]
-        order = np.argsort(h, kind="stable")
-        h, mine = h[order], mine[order]
-        begin = np.ones(len(h), bool)
-        begin[1:] = h[1:] != h[:-1]
-        leader = mine[begin][np.cumsum(begin) - 1]  # the first window with this hash, for which the block has an entry
+        h, mine, begin, group = block.by_hash(int(np.searchsorted(block.at, block.starts[known])))
+        leader = np.minimum.reduceat(mine, begin)[group] if len(mine) else mine  # the first window with this hash, for which the block has an entry
         docs, leads = doc_ids[block.doc_of(mine)], doc_ids[block.doc_of(leader)]
         claimed = np.zeros(len(block.ids) + 1, bool)
         claimed[at] = True
@@ -320,12 +323,12 @@ def _span_block(path: str, id_col: str, text_col: str, window: int, seed: int, r
     return run
 
 
-def _check_block(path: str, text_col: str, window: int, seed: int):
+def _check_block(path: str, text_col: str, window: int):
     """Checks for a block in; the claims that fail out."""
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("block")[0].as_py()
-        block = Block(utf8(storage.read_table(_block_path(path, number)).column(text_col)), window, seed)
+        block = Block(utf8(storage.read_table(_block_path(path, number)).column(text_col)), window, None)
         failed: list[tuple[int, int, int]] = []
         for payload in table.column("payload").to_pylist():
             c = unpack(payload)
@@ -337,9 +340,9 @@ def _check_block(path: str, text_col: str, window: int, seed: int):
     return run
 
 
-def _window_texts(path: str, text_col: str, window: int, seed: int):
+def _window_texts(path: str, text_col: str, window: int):
     def run(table: pa.Table) -> pa.Table:
-        block = Block(utf8(storage.read_table(_block_path(path, table.column("block")[0].as_py())).column(text_col)), window, seed)
+        block = Block(utf8(storage.read_table(_block_path(path, table.column("block")[0].as_py())).column(text_col)), window, None)
         texts = {block.text(at + i, window) for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True) for i in range(n)}
         return pa.table({"words": pa.array(sorted(texts), pa.binary())})
 
@@ -464,7 +467,7 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def dedup_substrings(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, batches: int = 3, index_path: str | None = None,
-    block_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20, ratio: float = 2.0, seed: int = 0, hash_bits: int = HASH_BITS,
+    block_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20, ratio: float = 2.0, seed: int = 0, hash_bits: int = 64,
 ) -> DataFrame:
     """docs with n_words, n_removed and clean_text: the text without each word that a window of so many words covers which also starts in an earlier document.
 
@@ -485,6 +488,7 @@ def dedup_substrings(
     size, cuts, nulls = docs.agg(F.sum(F.octet_length(f"`{text_col}`")), F.percentile_approx(key.cast("long"), F.array(*map(F.lit, fractions or [0.5])), 1000), F.count_if(key.isNull())).first()
     index = Index.opened(path) or Index(path, max(1, -(-(size or 0) // bucket_bytes)))
     cuts = sorted(set(cuts or [])) if fractions else []
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // (2 * block_bytes)))
     kept = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a batch's shuffle goes when the batch is done
     done: list[DataFrame] = []
@@ -501,14 +505,15 @@ def dedup_substrings(
             batch = index.version + 1
 
             def spanned(resolved, claims=claims, k=k):
-                rows = claims.groupBy("block").applyInArrow(_by_group(_span_block(path, id_col, text_col, window, seed, resolved)), _SPANNED)
+                # a number of partitions of one's own: a block's claims are small, and its work isn't
+                rows = claims.repartition(tasks, "block").groupBy("block").applyInArrow(_by_group(_span_block(path, id_col, text_col, window, seed, resolved)), _SPANNED)
                 rows = stored(rows, "substring-spans")
-                failed = rows.where("kind = 1").groupBy("block").applyInArrow(_by_group(_check_block(path, text_col, window, seed)), "block long, at long, n long")
+                failed = rows.where("kind = 1").repartition(tasks, "block").groupBy("block").applyInArrow(_by_group(_check_block(path, text_col, window)), "block long, at long, n long")
                 return rows, stored(failed, "substring-failed")
 
             spans, failed = spanned(None)
             if failed.limit(1).count() or spans.where("kind = 2").limit(1).count():
-                texts = failed.groupBy("block").applyInArrow(_by_group(_window_texts(path, text_col, window, seed)), "words binary")
+                texts = failed.groupBy("block").applyInArrow(_by_group(_window_texts(path, text_col, window)), "words binary")
                 texts = texts.union(spans.where("kind = 2").select("payload"))
                 spans, _ = spanned(_resolved(spark, path, batch, texts, id_col, text_col, window, seed))
             done.append(spans.where("kind = 0").select("block", "payload"))
