@@ -74,9 +74,11 @@ def schema_with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
-    """A string column's values as bytes, without decoding them."""
+    """A string or binary column's values as bytes, without decoding them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return column.to_pylist()
     binary = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.view(binary).to_pylist()
 
