@@ -1,16 +1,58 @@
-"""Corpus preparation from the operators of wavegrid.llm, stage after stage."""
+"""Corpus preparation from the operators of wavegrid.llm: each stage works on all documents that the one before has kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES: list = []
+from wavegrid.llm import bpe, decontaminate, quality, simhash, substring_dedup
+from wavegrid.llm.common import stored
 
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's threshold."""
+    return quality.classify(docs, quality.trusted_labels(spark, sf_dir)).where("accepted").select(docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return simhash.keep_one(docs)
+
+
+def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("clean_text").cast("long")).select(columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words of 13-word windows that an earlier document has; a document may keep none."""
+    return _with_text(substring_dedup.dedup_substrings(docs), docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the benchmark's windows."""
+    return _with_text(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_clean_text=True), docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and what they decode to."""
+    return bpe.decode(bpe.encode(docs)).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_dedup", simhash_dedup),
+    ("substring_dedup", substrings),
+    ("decontamination", decontamination),
+    ("bpe_encoding", encoding),
+]
+
+#: Perplexities, XXH64 fingerprints and byte-pair encodings can't be written in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, name)
     return docs

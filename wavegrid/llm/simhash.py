@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import extended, schema_with, stored, utf8, without
+from wavegrid.llm.common import extended, fresh, schema_with, stored, utf8, without
 from wavegrid.llm.components import components, forest
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -260,3 +260,48 @@ def components_of(fps: DataFrame, id_col: str, distance: int) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _similar(shingle: int, similarity: float):
+    """Pairs with both texts in; the pairs whose sets of shingles are similar enough out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, last = [], (None, np.zeros(0, np.uint64))
+            for i, (x, y) in enumerate(zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)):
+                if last[0] is None or last[0] != y:
+                    last = y, np.unique(shingle_hashes(y, shingle))
+                mine = np.unique(shingle_hashes(x, shingle))
+                both = len(np.intersect1d(mine, last[1], assume_unique=True))
+                if both >= similarity * (len(mine) + len(last[1]) - both):
+                    kept.append(i)
+            if kept:
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept)) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group, the document with the smallest id stays.
+
+    Equal texts are one group, and so are texts whose fingerprints are linked within the distance if their sets of shingles have
+    this Jaccard similarity. The links that the search returns are checked, and each linked text against its component's
+    smallest and its fingerprint's smallest id; groups are what the links that pass connect. Documents without words are one group,
+    and so are null texts. Rows with a null id stay, and repeated rows of an id that stays.
+    """
+    key, text = F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")
+    fps = fingerprints(docs.select(key, text, F.md5(F.coalesce(text, F.lit("null")).cast("binary")).alias("md5")).where("id is not null"), "text", shingle).select("id", "md5", "fp")
+    fps = stored(fps, "fingerprints")
+    texts = stored(fps.groupBy("md5").agg(F.min("id").alias("doc"), F.min("fp").alias("fp")), "distinct-texts")
+    distinct = stored(texts.groupBy("fp").agg(F.min("doc").alias("rep")), "distinct-fingerprints")
+    found = stored(links(distinct, distance), "links")
+    roots = components(found, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    same = texts.join(distinct, "fp").where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(roots).union(same).distinct()
+    body = docs.select(key, text).where("id is not null")
+    both = pairs.join(body.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    alike = stored(both.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"), "alike")
+    group = components(alike, "a", "b")
+    gone = fps.join(texts.select("md5", "doc"), "md5").join(group, F.col("doc") == F.col("node"), "left").where(F.col("id") != F.coalesce("root", "doc"))
+    out = fresh(docs.columns, "wg_gone")
+    return docs.join(gone.select(F.col("id").alias(out)).distinct(), F.col(f"`{id_col}`") == F.col(out), "left_anti")
