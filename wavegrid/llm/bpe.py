@@ -10,16 +10,20 @@ Documents over a length are cut into pieces that different tasks encode; their t
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import extended, fresh, schema_with, utf8, without
+from wavegrid.llm.common import chunks_of, extended, fresh, schema_with, small_batches, split_words, utf8, without
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -30,6 +34,87 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _plain(words: pa.Array) -> np.ndarray:
+    """Words without control characters, of code points below U+0280 but for U+0080 to U+00BF: the library's normaliser only lower-cases
+    them, and Unicode's versions agree on their classes."""
+    if not len(words):
+        return np.zeros(0, bool)
+    data, at = np.frombuffer(words.buffers()[2], np.uint8), np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
+    odd = (data < 0x21) | (data == 0x7F) | (data == 0xC2) | (data > 0xC9)
+    return ~np.logical_or.reduceat(odd[: int(np.frombuffer(words.buffers()[1], np.int64)[words.offset + len(words)])], at)
+
+
+class Merges:
+    """The vocabulary's merges in a byte-pair engine that takes many words at once.
+
+    The engine joins two neighbours whenever the vocabulary has their text, the lowest rank first; the library joins only those
+    that a merge names. For tokens that the merges make from their own text both do the same: until then, what happens within
+    a token's text is what happens to that text alone, whose last step is its merge. Other tokens are left out, as the library
+    never makes them. A carriage return marks a word's end; its joints with single bytes come before all merges.
+    """
+
+    def __init__(self, spec: dict):
+        from tiktoken import Encoding
+        from tokenizers.models import BPE
+
+        model = spec["model"]
+        self.suffix = model["end_of_word_suffix"]
+        value = {c: b for b, c in enumerate(byte_names())}
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        bare, ended = BPE(vocab=model["vocab"], merges=pairs), BPE(vocab=model["vocab"], merges=pairs, end_of_word_suffix=self.suffix)
+        ranks = {bytes((b,)): b for b in range(256)}
+        ids = [model["vocab"].get(c, -1) for c in byte_names()]
+        for b, c in enumerate(byte_names()):
+            ranks[bytes((b, 13))] = 256 + b
+            ids.append(model["vocab"].get(c + self.suffix, -1))
+        for x, y in pairs:
+            name = x + y
+            ends = name.endswith(self.suffix)
+            text = name.removesuffix(self.suffix) if ends else name
+            if name in model["vocab"] and [t.value for t in (ended if ends else bare).tokenize(text)] == [name]:
+                ranks.setdefault(bytes(value[c] for c in text) + b"\r" * ends, len(ids))
+            ids.append(model["vocab"].get(name, -1))
+        self.ids = np.array(ids, np.int32)
+        self.engine = Encoding("merges", pat_str=r"[^\r\n]+\r|\n", mergeable_ranks=ranks, special_tokens={})
+        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+
+    @staticmethod
+    def fits(spec: dict) -> bool:
+        """Whether a tokenizer's file is of the form that this class reproduces."""
+        try:
+            normalizers = [n["type"] for n in spec["normalizer"]["normalizers"]]
+            first, second = spec["pre_tokenizer"]["pretokenizers"]
+            model = spec["model"]
+            return (normalizers == ["NFC", "Replace", "Lowercase"] and first["behavior"] == "Removed" and first["invert"] and second["type"] == "ByteLevel" and not second["use_regex"] and not second["add_prefix_space"]
+                    and model["type"] == "BPE" and bool(model["end_of_word_suffix"]) and not any(model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")))
+        except (KeyError, TypeError, ValueError):
+            return False
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        out = []
+        for begin in range(0, len(words), 5000):
+            text = b"\n".join(words[begin : begin + 5000]).decode().lower()
+            out.append(np.array(self.engine.encode_ordinary(self.words.sub(r"\g<0>\r", text)), np.int32))
+            out.append(np.array([10], np.int32))
+        ranks = np.concatenate(out)
+        cuts = np.flatnonzero(ranks == 10)
+        ids = self.ids[ranks[ranks != 10]]
+        if (ids < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        return ids, np.diff(np.concatenate(([-1], cuts))) - 1
+
+
+def byte_names() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names, more = [""] * 256, 256
+    for b in range(256):
+        names[b] = chr(b) if b in plain else chr(more)
+        more += b not in plain
+    return names
+
+
 @dataclass
 class Tokens:
     """Ids with the characters [start, end) that each stands for."""
@@ -49,17 +134,20 @@ class Tokens:
 class Encoder:
     """leaf: characters of text without white space that are encoded at once. memo: pieces between white space that are remembered."""
 
-    def __init__(self, path: str, leaf: int = 2048, memo: int = 250_000):
+    def __init__(self, path: str, leaf: int = 2048, memo: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.leaf, self.most, self.known = leaf, memo, {}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.names = [self.tokenizer.id_to_token(i) for i in range(size)]
-        self.plain = self.tokenizer.decoder is None  # then decoding joins the tokens' names with spaces
+        self.leaf, self.most = leaf, memo
+        self.forget()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.merges = Merges(spec) if Merges.fits(spec) else None
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.apart = special[0] if special else None
 
     def whole(self, text: str) -> Tokens:
         e = self.tokenizer.encode(text, add_special_tokens=False)
@@ -106,48 +194,79 @@ class Encoder:
             parts = above + ([parts[-1]] if len(parts) % 2 else [])
         return parts[0][2] if parts else Tokens([], [], [])
 
-    def learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) + len(pieces) > self.most:
-            self.known.clear()
-        short = [p for p in pieces if len(p) <= self.leaf]
-        texts = [p.decode() for p in short]
-        for p, e in zip(short, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[p] = e.ids
-        for p in pieces:
-            if len(p) > self.leaf:
-                self.known[p] = self.tree(p.decode()).ids
-
-    def encode(self, texts: list[bytes | None]) -> list[list[int]]:
-        """Ids of each text; of a null, none."""
-        out = []
-        for begin in range(0, len(texts), 64):
-            split = [t.split() if t else [] for t in texts[begin : begin + 64]]
-            while missing := {p for pieces in split for p in pieces} - self.known.keys():
-                if len(missing) > self.most // 2:  # more than the memo may hold: text by text, and not remembered
-                    out += [self.tree(t.decode()).ids if t else [] for t in texts[begin : begin + 64]]
-                    break
-                if len(self.known) + len(missing) > self.most:
-                    self.known.clear()
-                    continue
-                self.learn(missing)
-            else:
-                known = self.known
-                for pieces in split:
-                    ids: list[int] = []
-                    for p in pieces:
-                        ids += known[p]
-                    out.append(ids)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+    def learn(self, words: list[bytes], plain: np.ndarray) -> None:
+        """Remembers the words' ids. plain: words for which the merges' engine may stand in for the library."""
+        apart = self.apart[0].encode() if self.apart else None
+        quick = [w for w, p in zip(words, plain.tolist(), strict=True) if p and len(w) <= self.leaf and b"<|" not in w] if self.merges else []
+        done = set(quick)
+        short = [w for w in words if w not in done and apart and len(w) <= self.leaf and apart not in w]
+        done.update(short)
+        long = [w for w in words if w not in done] if len(done) < len(words) else []
+        fresh: list[np.ndarray] = []
+        if quick:
+            ids, counts = self.merges.encode(quick)
+            fresh.append(ids)
+            self.counts.append(counts)
+        for begin in range(0, len(short), 100):
+            ids = np.array(self.tokenizer.encode_batch_fast([apart.join(short[begin : begin + 100]).decode()], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(ids == self.apart[1])
+            fresh.append(ids[ids != self.apart[1]])
+            self.counts.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
+        for w in long:
+            fresh.append(np.array(self.tree(w.decode()).ids, np.int32))
+            self.counts.append(np.array([len(fresh[-1])]))
+        first = len(self.known)
+        self.known.update(zip([*quick, *short, *long], range(first, first + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, *fresh])
+        self.counts = [np.concatenate(self.counts)]
+        self.begins = np.concatenate(([0], np.cumsum(self.counts[0])))
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin, with their number; a null has none."""
+        words, distinct, starts = split_words(texts)
+        names = distinct.to_pylist()
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if len(self.known) + len(missing) > self.most:
+                self.forget()
+                missing = np.arange(len(names))
+            lost = [names[i] for i in missing.tolist()]
+            self.learn(lost, _plain(distinct)[missing])
+            at[missing] = np.fromiter(map(self.known.get, lost), np.int64, len(lost))
+        place = at[words] if len(words) else words
+        count = self.counts[0][place] if len(words) else place
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.repeat(self.begins[place] - (ends - count), count) + np.arange(total)] if total else np.zeros(0, np.int32)
+        return flat, np.concatenate(([0], ends))[starts]
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.counts, self.begins = np.zeros(0, np.int32), [np.zeros(0, np.int64)], np.zeros(1, np.int64)
+
+
+class Decoder:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = pa.array([self.tokenizer.id_to_token(i) for i in range(size)], pa.string())
+        if self.tokenizer.decoder is None:  # then decoding joins the tokens' names with spaces
+            self.tokenizer = None
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
         """As the library decodes with special tokens kept."""
-        if not self.plain:
-            return self.tokenizer.decode(ids, skip_special_tokens=False)
-        names = self.names
-        return " ".join([n for i in ids if (n := names[i]) is not None])
+        if self.tokenizer:
+            return pa.array([self.tokenizer.decode(i or [], skip_special_tokens=False) for i in ids.to_pylist()], pa.string())
+        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum(counts)))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.names.take(ids.flatten())), " ")
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
 def encoder(path: str, **options) -> Encoder:
@@ -165,13 +284,12 @@ def ids_array(ids: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _encode_rows(path: str, text_col: str, rows: int = 256):
+def _encode_rows(path: str, text_col: str, batch_bytes: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, rows):
-                table = pa.Table.from_batches([batch.slice(begin, rows)])
-                yield from extended(table, {"ids": ids_array(e.encode(utf8(table.column(text_col))))})
+        for table in chunks_of(batches, text_col, batch_bytes):
+            flat, begins = e.encode(utf8(table.column(text_col)))
+            yield from extended(table, {"ids": pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat))})
 
     return run
 
@@ -233,6 +351,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
     empty texts have no ids. Special strings in a text are encoded as the library does by default. A column named ids is replaced.
     """
     path = path or vocabulary_path()
+    small_batches(docs.sparkSession)
     docs = without(docs, ["ids"])
     length = F.coalesce(F.length(f"`{text_col}`"), F.lit(0))
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
@@ -251,11 +370,12 @@ def decode(tokens: DataFrame, *, ids_col: str = "ids", path: str | None = None)
     tokens = without(tokens, ["decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        if path not in _DECODERS:
+            _DECODERS[path] = Decoder(path)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                table = pa.Table.from_batches([batch.slice(begin, 256)])
-                yield from extended(table, {"decoded": pa.array([e.decode(i or []) for i in table.column(ids_col).to_pylist()], pa.string())})
+            for begin in range(0, batch.num_rows, 500):
+                table = pa.Table.from_batches([batch.slice(begin, 500)]).combine_chunks()
+                yield from extended(table, {"decoded": _DECODERS[path].decoded(table.column(ids_col).chunk(0))})
 
     return tokens.mapInArrow(run, schema_with(tokens, [T.StructField("decoded", T.StringType())]))
 

@@ -41,6 +41,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From now on the session sends Python workers batches of about this size, so that long texts take little memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read again, so that later plans don't depend on executors that may be lost."""
     path = shared_dir(df.sparkSession, name)

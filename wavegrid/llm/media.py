@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import extended, schema_with, stored, utf8, without
+from wavegrid.llm.common import extended, schema_with, small_batches, stored, utf8, without
 
 
 def _wav(b: memoryview) -> int | None:
@@ -266,6 +266,7 @@ def wav_payload(data: bytes) -> bytes:
 def stored_media(docs: DataFrame, *, text_col: str = "text", unit: int = 64) -> DataFrame:
     """docs' other columns with n_bytes, declared and media, written to the shared folder: each whole text (null: empty) as UTF-8 with
     bytes 0 up to a positive multiple of unit, in a WAV file that is declared as plain bytes."""
+    small_batches(docs.sparkSession)
     docs = without(docs, ["n_bytes", "declared", "media"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,25 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.bpe import vocabulary_path
+from wavegrid.llm.bpe import byte_names, vocabulary_path
 from wavegrid.llm.common import chunks_of, extended, schema_with, utf8, without
 
 VOCABULARY = "byte_bpe_50k.json"
 LETTER, NUMBER, OTHER, SPACE = range(4)
-#: Fixed values of byte-level BPE: bytes that stand for themselves in its files; the others follow from 256 on, in order.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Fixed values of the tokenizer's pattern: what may follow an apostrophe as a word of its own.
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
-def byte_names() -> list[str]:
-    names, more = [""] * 256, 256
-    for b in range(256):
-        names[b] = chr(b) if b in _PLAIN else chr(more)
-        more += b not in _PLAIN
-    return names
-
-
 def character_classes() -> np.ndarray:
     """The class of each code point, as the library's pattern engine has it."""
     from tokenizers import Regex
