@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import chunks_of, extended, fresh, schema_with, small_batches, split_words, utf8, without
+from wavegrid.llm.common import chunks_of, extended, fresh, held, schema_with, small_batches, split_words, trimmed, utf8, without
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -265,16 +265,9 @@ class Decoder:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.names.take(ids.flatten())), " ")
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-_DECODERS: dict[str, Decoder] = {}
-
-
 def encoder(path: str, **options) -> Encoder:
-    """One for each worker process and vocabulary."""
-    key = (path, *sorted(options.items()))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, **options)
-    return _ENCODERS[key]
+    """The worker process's own."""
+    return held(("bpe", path, *sorted(options.items())), lambda: Encoder(path, **options))
 
 
 def ids_array(ids: list[list[int]]) -> pa.Array:
@@ -355,7 +348,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
     docs = without(docs, ["ids"])
     length = F.coalesce(F.length(f"`{text_col}`"), F.lit(0))
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    short = docs.where(length <= piece).mapInArrow(_encode_rows(path, text_col), schema_with(docs, [ids]))
+    short = docs.where(length <= piece).mapInArrow(trimmed(_encode_rows(path, text_col)), schema_with(docs, [ids]))
     row = fresh(docs.columns, "wg_row")
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
     pieces = docs.where(length > piece).mapInArrow(_cut_long(text_col, row, piece), T.StructType([*nullable.fields, T.StructField(row, T.LongType()), T.StructField(f"{row}_part", T.IntegerType())]))
@@ -370,14 +363,13 @@ def decode(tokens: DataFrame, *, ids_col: str = "ids", path: str | None = None)
     tokens = without(tokens, ["decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _DECODERS:
-            _DECODERS[path] = Decoder(path)
+        d = Decoder(path)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 table = pa.Table.from_batches([batch.slice(begin, 500)]).combine_chunks()
-                yield from extended(table, {"decoded": _DECODERS[path].decoded(table.column(ids_col).chunk(0))})
+                yield from extended(table, {"decoded": d.decoded(table.column(ids_col).chunk(0))})
 
-    return tokens.mapInArrow(run, schema_with(tokens, [T.StructField("decoded", T.StringType())]))
+    return tokens.mapInArrow(trimmed(run), schema_with(tokens, [T.StructField("decoded", T.StringType())]))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,36 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+_HELD: tuple[Hashable, Any] = (None, None)
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept by the worker process for its next tasks until another key is asked for: workers go from operator to operator."""
+    global _HELD
+    if _HELD[0] != key:
+        _HELD = (None, None)
+        _HELD = (key, make())
+    return _HELD[1]
+
+
+def trimmed(run):
+    """A task's function that gives its memory back to the system when it ends; the worker process lives on."""
+
+    @wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return task
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read again, so that later plans don't depend on executors that may be lost."""
     path = shared_dir(df.sparkSession, name)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import FOLD, chunks_of, extended, fresh, schema_with, stored, utf8, without
+from wavegrid.llm.common import FOLD, chunks_of, extended, fresh, schema_with, small_batches, stored, trimmed, utf8, without
 from wavegrid.llm.fm_index import FMIndex
 
 Windows = tuple[list[tuple[bytes, ...]], list[list[str]]]
@@ -115,6 +115,7 @@ def decontaminate(
     A text of any length stays in one shard. clean_text drops each span with what stands between its words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     results = ["n_words", "n_hit", "items", "spans"] + ["clean_text"] * with_clean_text
     df = without(docs, [r for r in results if r != text_col.lower()])
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -124,7 +125,7 @@ def decontaminate(
     for items in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(windows_of(items, window))
         schema = df.schema if passes else schema_with(df, fields)
-        df = df.mapInArrow(_search(text_col, hidden, sent, shard_bytes, sample), schema)
+        df = df.mapInArrow(trimmed(_search(text_col, hidden, sent, shard_bytes, sample)), schema)
         passes += 1
         if passes > 1:
             df = stored(df, "decontaminate")

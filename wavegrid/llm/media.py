@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import extended, schema_with, small_batches, stored, utf8, without
+from wavegrid.llm.common import extended, schema_with, small_batches, stored, trimmed, utf8, without
 
 
 def _wav(b: memoryview) -> int | None:
@@ -279,7 +279,7 @@ def stored_media(docs: DataFrame, *, text_col: str = "text", unit: int = 64) ->
                 yield from extended(table.drop_columns([text_col]), more)
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("declared", T.StringType()), T.StructField("media", T.BinaryType())]
-    return stored(docs.mapInArrow(run, schema_with(without(docs, [text_col]), fields)), "media")
+    return stored(docs.mapInArrow(trimmed(run), schema_with(without(docs, [text_col]), fields)), "media")
 
 
 def features(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import chunks_of, extended, fresh, schema_with, stored, utf8, without
+from wavegrid.llm.common import chunks_of, extended, fresh, schema_with, small_batches, stored, trimmed, utf8, without
 
 ORDER = 4
 #: What stands before a text: no character has this code.
@@ -62,7 +62,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[at], place, np.diff(np.append(at, len(s)))
 
 
-def count_grams(docs: DataFrame, text_col: str, batch_bytes: int = 4 << 20, most: int = 2_000_000) -> DataFrame:
+def count_grams(docs: DataFrame, text_col: str, batch_bytes: int = 2 << 20, most: int = 2_000_000) -> DataFrame:
     """(key, n): how often each n-gram of ORDER characters occurs. A task keeps about most n-grams before it sends them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def count_grams(docs: DataFrame, text_col: str, batch_bytes: int = 4 << 20, most
                 held_keys, held_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield row()
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -193,7 +193,7 @@ def _keep(shard: int, count: int):
     return run
 
 
-def perplexity(docs: DataFrame, model: DataFrame, *, text_col: str = "text", shard_bytes: int = 32 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
+def perplexity(docs: DataFrame, model: DataFrame, *, text_col: str = "text", shard_bytes: int = 32 << 20, batch_bytes: int = 2 << 20) -> DataFrame:
     """docs with perplexity, per character of the whole text; null for null and empty texts. A column of that name is replaced."""
     docs = without(docs, ["perplexity"])
     hidden = fresh(docs.columns, "wg_log")
@@ -201,7 +201,7 @@ def perplexity(docs: DataFrame, model: DataFrame, *, text_col: str = "text", sha
     df = docs.withColumn(hidden, F.lit(0.0))
     for s, rows in enumerate(shards):
         sent = docs.sparkSession.sparkContext.broadcast(Shard(rows))
-        df = df.mapInArrow(_add(text_col, hidden, sent, s, count, batch_bytes), df.schema)
+        df = df.mapInArrow(trimmed(_add(text_col, hidden, sent, s, count, batch_bytes)), df.schema)
         if count > 1:
             df = stored(df, "perplexity")
     length = F.length(f"`{text_col}`")
@@ -239,6 +239,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id",
     any takes the quantile of all; without any at all every document is accepted. A null language is a language of its own. Documents
     without text have no perplexity and are accepted. Columns named like a result are replaced. Repeated ids count each time.
     """
+    small_batches(docs.sparkSession)
     docs = without(docs, ["perplexity", "threshold", "accepted"])
     ids = limited(trusted_ids.select(F.col(f"`{id_col}`")).where(F.col(f"`{id_col}`").isNotNull()).distinct(), broadcast_rows)
     trusted = docs.join(ids, id_col, "left_semi").select(id_col, F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import extended, fresh, schema_with, stored, utf8, without
+from wavegrid.llm.common import extended, fresh, schema_with, small_batches, stored, trimmed, utf8, without
 from wavegrid.llm.components import components, forest
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -223,7 +223,7 @@ def links(distinct: DataFrame, distance: int, block: int = 4096) -> DataFrame:
         rows = rows.select("key", (F.least("mine", "other") * F.coalesce(F.col("blocks").cast("long"), F.lit(1).cast("long")) + F.greatest("mine", "other")).alias("pair"), "fp", "rep", "probe")
     else:
         rows = rows.select("key", F.lit(0).cast("long").alias("pair"), "fp", "rep", "probe")
-    return rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links(distance), "a long, b long")
+    return rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(trimmed(_links(distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -245,8 +245,9 @@ def fingerprints(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
             table = pa.Table.from_batches([batch])
             yield from extended(table, {"fp": pa.array([fingerprint(shingle_hashes(t, shingle)) for t in utf8(table.column(text_col))], pa.int64())})
 
+    small_batches(docs.sparkSession)
     docs = without(docs, ["fp"])
-    return docs.mapInArrow(run, schema_with(docs, [T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(trimmed(run), schema_with(docs, [T.StructField("fp", T.LongType())]))
 
 
 def components_of(fps: DataFrame, id_col: str, distance: int) -> DataFrame:
@@ -300,7 +301,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(roots).union(same).distinct()
     body = docs.select(key, text).where("id is not null")
     both = pairs.join(body.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    alike = stored(both.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"), "alike")
+    alike = stored(both.select("a", "b", "x", "y").mapInArrow(trimmed(_similar(shingle, similarity)), "a long, b long"), "alike")
     group = components(alike, "a", "b")
     gone = fps.join(texts.select("md5", "doc"), "md5").join(group, F.col("doc") == F.col("node"), "left").where(F.col("id") != F.coalesce("root", "doc"))
     out = fresh(docs.columns, "wg_gone")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm import storage
-from wavegrid.llm.common import chunks_of, extended, shared_dir, split_words, stored, utf8, without
+from wavegrid.llm.common import chunks_of, extended, shared_dir, small_batches, split_words, stored, trimmed, utf8, without
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -479,6 +479,7 @@ def dedup_substrings(
     A text of any length stays in one block. Windows are judged on the texts as they come, not on what is left of them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = without(docs, ["n_words", "n_removed", "clean_text"])
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() or not docs.inputFiles():
         docs = stored(docs, "substring-docs")
@@ -500,7 +501,7 @@ def dedup_substrings(
             mine = mine & (key <= high) if high is not None else mine
             part = docs.where(mine | key.isNull() if k == 0 and nulls else mine) if cuts else docs
             new = f"r{index.version + 1:06d}"
-            entries = part.mapInArrow(_cut_blocks(path, index.version + 1, id_col, text_col, window, index.buckets, block_bytes, seed, hash_bits), _ENTRIES)
+            entries = part.mapInArrow(trimmed(_cut_blocks(path, index.version + 1, id_col, text_col, window, index.buckets, block_bytes, seed, hash_bits)), _ENTRIES)
             claims = entries.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("block"))).applyInArrow(_by_group(_merge_bucket(path, [r for r, _ in index.runs], new)), _CLAIMS)
             batch = index.version + 1
 
@@ -526,7 +527,7 @@ def dedup_substrings(
     for more in done[1:]:
         every = every.unionByName(more)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("clean_text", T.StringType())])
-    return every.mapInArrow(_apply(path, text_col), schema)
+    return every.mapInArrow(trimmed(_apply(path, text_col)), schema)
 
 
 def _by_group(function):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm.bpe import byte_names, vocabulary_path
-from wavegrid.llm.common import chunks_of, extended, schema_with, utf8, without
+from wavegrid.llm.common import chunks_of, extended, held, schema_with, small_batches, trimmed, utf8, without
 
 VOCABULARY = "byte_bpe_50k.json"
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -241,9 +241,6 @@ class Transducer:
         return total
 
 
-_COMPILED: dict[str, Transducer] = {}
-
-
 def count_tokens(docs: DataFrame, *, text_col: str = "text", path: str | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_bytes (UTF-8) and n_tokens of each whole text, as the library counts them without added special tokens.
 
@@ -252,18 +249,18 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", path: str | None =
     import zlib
 
     path = path or vocabulary_path(VOCABULARY)
+    small_batches(docs.sparkSession)
     docs = without(docs, ["n_bytes", "n_tokens"])
     classes = docs.sparkSession.sparkContext.broadcast(zlib.compress(character_classes().tobytes()))  # always 1,114,112 entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = np.frombuffer(zlib.decompress(classes.value), np.uint8)
-        if path not in _COMPILED:
-            _COMPILED[path] = Transducer(path)
+        compiled = held(("counts", path), lambda: Transducer(path))
         for table in chunks_of(batches, text_col, batch_bytes):
             texts = utf8(table.column(text_col))
-            yield from extended(table, {"n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": pa.array(_COMPILED[path].counts(texts, table_of))})
+            yield from extended(table, {"n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": pa.array(compiled.counts(texts, table_of))})
 
-    return docs.mapInArrow(run, schema_with(docs, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+    return docs.mapInArrow(trimmed(run), schema_with(docs, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

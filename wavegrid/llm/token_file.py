@@ -12,7 +12,6 @@ the documents' ids, first tokens and null marks.
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavegrid.llm import storage
 from wavegrid.llm.bpe import encoder, vocabulary_path
-from wavegrid.llm.common import chunks_of, shared_dir, stored, utf8
+from wavegrid.llm.common import chunks_of, shared_dir, small_batches, stored, trimmed, utf8
 
 MAGIC = b"WGDAC001"
 _GROUP = 1 << 16
@@ -31,23 +30,12 @@ class Writer:
     """Collects the documents of one segment in order, then writes them."""
 
     def __init__(self):
-        self.levels: list[list[bytes]] = []
-        self.marks: list[list[np.ndarray]] = []
+        self.ids: list[np.ndarray] = []
         self.docs: list[int | None] = []
-        self.counts: list[int] = []
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc)
-        self.counts.append(len(ids))
-        rest, level = ids.astype(np.uint32), 0
-        while level == 0 or len(rest):
-            if level == len(self.levels):
-                self.levels.append([])
-                self.marks.append([])
-            self.levels[level].append((rest & 0xFF).astype(np.uint8).tobytes())
-            more = rest > 0xFF
-            self.marks[level].append(more)
-            rest, level = rest[more] >> 8, level + 1
+        self.ids.append(ids)
 
     def write(self, uri: str) -> None:
         sections: dict[str, tuple[int, int]] = {}
@@ -60,19 +48,22 @@ class Writer:
             blobs.append(data)
             at += len(data)
 
-        for level, (chunks, marks) in enumerate(zip(self.levels, self.marks, strict=True)):
-            put(f"chunks{level}", b"".join(chunks))
-            bits = np.concatenate([*marks, np.zeros(0, bool)])
-            words = np.packbits(np.concatenate((bits, np.zeros(-len(bits) % 64, bool))), bitorder="little").view("<u8")
+        counts = np.array([len(i) for i in self.ids], np.int64)
+        rest, level = np.concatenate([*self.ids, np.zeros(0, np.uint16)]), 0
+        while level == 0 or len(rest):
+            more = rest > 0xFF
+            put(f"chunks{level}", (rest & 0xFF).astype(np.uint8).tobytes())
+            words = np.packbits(np.concatenate((more, np.zeros(-len(more) % 64, bool))), bitorder="little").view("<u8")
             put(f"bitmap{level}", words.tobytes())
             before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))[: len(words)]
             bases = before[::_GROUP]
             put(f"base{level}", bases.astype("<i8").tobytes())
             put(f"rank{level}", (before - np.repeat(bases, _GROUP)[: len(before)]).astype("<u4").tobytes())
+            rest, level = rest[more] >> 8, level + 1
         put("docs", np.array([0 if d is None else d for d in self.docs], "<i8").tobytes())
         put("nulls", np.array([d is None for d in self.docs], np.uint8).tobytes())
-        put("first", np.concatenate(([0], np.cumsum(np.array(self.counts, np.int64)))).astype("<i8").tobytes())
-        head = json.dumps({"tokens": sum(self.counts), "docs": len(self.docs), "levels": len(self.levels), "sections": sections}).encode()
+        put("first", np.concatenate(([0], np.cumsum(counts))).astype("<i8").tobytes())
+        head = json.dumps({"tokens": int(counts.sum()), "docs": len(self.docs), "levels": level, "sections": sections}).encode()
         with storage.creating(uri) as out:
             out.write(MAGIC + len(head).to_bytes(8, "little") + head)
             for b in blobs:
@@ -151,6 +142,7 @@ def write(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str =
     come last, and rows with equal ids in the order of their tokens, so the result doesn't depend on how docs is partitioned.
     """
     path = path or vocabulary_path()
+    small_batches(docs.sparkSession)
     key = F.col(f"`{id_col}`").cast("long")
     size = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
     n = max(1, -(-size // segment_bytes))
@@ -159,14 +151,18 @@ def write(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for table in chunks_of(batches, "text", 1 << 20):
-            ids = [np.array([*i, end_id], "<u4").tobytes() for i in e.encode(utf8(table.column("text")))]
+        for table in chunks_of(batches, "text", 4 << 20):
+            flat, begins = e.encode(utf8(table.column("text")))
+            flat = np.insert(flat, begins[1:], end_id)
+            flat = flat.astype("<u2" if flat.max(initial=0) < 1 << 16 else "<u4")
+            begins = begins + np.arange(len(begins))
+            ids = [flat[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
             docs = table.column("doc").to_pylist()
             segments = [len(bounds) if d is None else int(np.searchsorted(bounds, d)) for d in docs]
             tail = [i for i, d in enumerate(docs) if d is None]
             for i in tail:
                 segments[i] = len(bounds) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(docs, pa.int64()), pa.array([zlib.compress(i, 1) for i in ids], pa.binary())], ["segment", "doc", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(docs, pa.int64()), pa.array(ids, pa.binary()), pa.array([flat.itemsize == 4] * len(ids))], ["segment", "doc", "ids", "wide"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, now = Writer(), None
@@ -174,25 +170,28 @@ def write(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str =
         def done() -> pa.RecordBatch:
             name = f"{uri}/segment-{now:08d}.dac"
             writer.write(name)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([sum(writer.counts)], pa.int64())], ["segment", "uri", "docs", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([sum(map(len, writer.ids))], pa.int64())], ["segment", "uri", "docs", "tokens"])
 
         for batch in batches:
-            for segment, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for segment, doc, ids, wide in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if segment != now:
                     if now is not None:
                         yield done()
                     writer, now = Writer(), segment
-                writer.add(doc, np.frombuffer(zlib.decompress(ids), "<u4"))
+                writer.add(doc, np.frombuffer(ids, "<u4" if wide else "<u2"))
         if now is not None:
             yield done()
 
-    rows = docs.select(key.alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(encode, "segment int, doc long, ids binary")
-    rows = rows.repartition("segment").sortWithinPartitions("segment", "doc", "ids")
-    return stored(rows.mapInArrow(save, "segment int, uri string, docs long, tokens long"), "token-segments")
+    rows = docs.select(key.alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(encode), "segment int, doc long, ids binary, wide boolean")
+    rows = rows.repartition(2 * len(bounds) + 2, "segment").sortWithinPartitions("segment", "doc", "ids")
+    return stored(rows.mapInArrow(trimmed(save), "segment int, uri string, docs long, tokens long"), "token-segments")
+
 
+def read(segments: DataFrame, *, as_binary: bool = False) -> DataFrame:
+    """(doc_id, start, ids) of the documents in the segments' files, in their order; start counts the ids of all documents before.
 
-def read(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of the documents in the segments' files, in their order; start counts the ids of all documents before."""
+    ids is an array of int, or with as_binary the ids as little-endian unsigned 32-bit integers.
+    """
     spark = segments.sparkSession
     rows, before, listed = [], 0, segments.orderBy("segment").collect()  # a row a file
     for r in listed:
@@ -206,30 +205,23 @@ def read(segments: DataFrame) -> DataFrame:
                 docs, first = f.docs()
                 begin = 0
                 while begin < len(docs):
-                    end = max(begin + 1, int(np.searchsorted(first, first[begin] + (1 << 20))) - 1)
+                    end = max(begin + 1, int(np.searchsorted(first, first[begin] + (1 << 19))) - 1)
                     ids = f.slice(int(first[begin]), int(first[end]))
                     offsets = (first[begin : end + 1] - first[begin]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[begin:end], pa.int64()), pa.array(first[begin:end] + base), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "start", "ids"])
+                    if as_binary:
+                        column = pa.Array.from_buffers(pa.binary(), end - begin, [None, pa.py_buffer(offsets * np.int32(4)), pa.py_buffer(ids.astype("<u4"))])
+                    else:
+                        column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[begin:end], pa.int64()), pa.array(first[begin:end] + base), column], ["doc_id", "start", "ids"])
                     begin = end
                 f.close()
 
     files = spark.createDataFrame(rows, "segment int, uri string, base long")
-    return files.repartition(max(1, len(rows)), "segment").mapInArrow(load, "doc_id long, start long, ids array<int>")
-
-
-def checksums(tokens: DataFrame) -> DataFrame:
-    """tokens' doc_id and start with n_tokens and ids_crc32, of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2)
-            flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    kind = "binary" if as_binary else "array<int>"
+    return files.repartition(max(1, len(rows)), "segment").mapInArrow(trimmed(load), f"doc_id long, start long, ids {kind}")
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return checksums(read(write(docs, shared_dir(spark, "tokens"))))
+    tokens = read(write(docs, shared_dir(spark, "tokens")), as_binary=True)
+    return tokens.select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
