@@ -94,6 +94,7 @@ def plan_parts(n: int, ones: np.ndarray, distance: int) -> list[Part]:
     cov = ones / count - np.outer(p, p)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     correlation = cov / np.outer(sd, sd)
+    np.fill_diagonal(correlation, 1.0)  # of bits that are all alike too
     disagree = 2 * p * (1 - p)
     best: tuple[float, list[Part]] | None = None
     for m in range(2, min(distance + 1, 16) + 1) if distance else [2]:
@@ -288,7 +289,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Equal texts are one group, and so are texts whose fingerprints are linked within the distance if their sets of shingles have
     this Jaccard similarity. The links that the search returns are checked, and each linked text against its component's
     smallest and its fingerprint's smallest id; groups are what the links that pass connect. Documents without words are one group,
-    and so are null texts. Rows with a null id stay, and repeated rows of an id that stays.
+    null texts among them. Rows with a null id stay, and repeated rows of an id that stays.
     """
     key, text = F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")
     fps = fingerprints(docs.select(key, text, F.md5(F.coalesce(text, F.lit("null")).cast("binary")).alias("md5")).where("id is not null"), "text", shingle).select("id", "md5", "fp")
