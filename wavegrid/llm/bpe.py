@@ -134,7 +134,7 @@ class Tokens:
 class Encoder:
     """leaf: characters of text without white space that are encoded at once. memo: pieces between white space that are remembered."""
 
-    def __init__(self, path: str, leaf: int = 2048, memo: int = 300_000):
+    def __init__(self, path: str, leaf: int = 2048, memo: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

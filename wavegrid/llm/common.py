@@ -70,16 +70,20 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return task
 
 
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read again, so that later plans don't depend on executors that may be lost."""
     path = shared_dir(df.sparkSession, name)

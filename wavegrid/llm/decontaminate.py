@@ -105,7 +105,7 @@ def _item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: in
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
-    with_clean_text: bool = False, shard_bytes: int = 6 << 20, sample: int = 16, block_bytes: int = 16 << 20,
+    with_clean_text: bool = False, shard_bytes: int = 4 << 20, sample: int = 16, block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """docs with n_words, n_hit, items (ids, sorted as strings) and spans (word positions [start, end) to remove); with_clean_text adds clean_text.
 

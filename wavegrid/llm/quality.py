@@ -85,12 +85,12 @@ def count_grams(docs: DataFrame, text_col: str, batch_bytes: int = 2 << 20, most
 
 
 def _discounts(counts: DataFrame) -> list[float]:
-    """Of counts 1, 2 and more."""
+    """Of counts 1, 2 and more, kept off their bounds so that no probability is 0."""
     c = counts.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
     if not all(c):
         return [0.5, 0.5, 0.5]  # too few n-grams to estimate
     y = c[0] / (c[0] + 2 * c[1])
-    return [min(k, max(0.0, k - (k + 1) * y * c[k] / c[k - 1])) for k in (1, 2, 3)]
+    return [min(k - 0.01, max(0.01, k - (k + 1) * y * c[k] / c[k - 1])) for k in (1, 2, 3)]
 
 
 def train(trusted: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm import storage
-from wavegrid.llm.common import chunks_of, extended, shared_dir, small_batches, split_words, stored, trimmed, utf8, without
+from wavegrid.llm.common import chunks_of, extended, shared_dir, small_batches, split_words, stored, trim, trimmed, utf8, without
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -403,7 +403,7 @@ def _compact(spark: SparkSession, index: Index, ratio: float) -> None:
     while len(index.runs) > 1 and index.runs[-1][1] * ratio >= index.runs[-2][1]:
         old, new = index.runs[-2:], f"c{index.version + 1:06d}"
         ids = spark.range(0, index.buckets, 1, min(index.buckets, max(4, spark.sparkContext.defaultParallelism * 2)))
-        n = ids.mapInArrow(_compact_bucket(index.path, [r for r, _ in old], new), "n long").agg(F.sum("n")).first()[0]
+        n = ids.mapInArrow(trimmed(_compact_bucket(index.path, [r for r, _ in old], new)), "n long").agg(F.sum("n")).first()[0]
         index.runs[-2:] = [(new, int(n or 0))]
         index.commit()
         for r, _ in old:  # no manifest names them any more
@@ -419,7 +419,7 @@ def _count_runs(index: Index, new: str, spark: SparkSession) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([sum(n)], pa.int64())], ["n"])
 
     path = index.path
-    return int(spark.range(0, index.buckets, 1, min(index.buckets, 64)).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+    return int(spark.range(0, index.buckets, 1, min(index.buckets, 64)).mapInArrow(trimmed(run), "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 def _apply(path: str, text_col: str):
@@ -467,7 +467,7 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def dedup_substrings(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, batches: int = 3, index_path: str | None = None,
-    block_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20, ratio: float = 2.0, seed: int = 0, hash_bits: int = 64,
+    block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, ratio: float = 2.0, seed: int = 0, hash_bits: int = 64,
 ) -> DataFrame:
     """docs with n_words, n_removed and clean_text: the text without each word that a window of so many words covers which also starts in an earlier document.
 
@@ -531,7 +531,16 @@ def dedup_substrings(
 
 
 def _by_group(function):
-    return lambda key, table: function(table)
+    """For applyInArrow; memory goes back to the system after each group."""
+
+    def run(key, table):
+        try:
+            return function(table)
+        finally:
+            if table.nbytes > 1000:
+                trim()
+
+    return run
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

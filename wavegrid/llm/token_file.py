@@ -150,7 +150,7 @@ def write(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str =
     bounds = np.array(sorted(set(bounds or [])), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, memo=300_000)
         for table in chunks_of(batches, "text", 4 << 20):
             flat, begins = e.encode(utf8(table.column("text")))
             flat = np.insert(flat, begins[1:], end_id)
