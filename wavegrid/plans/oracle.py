@@ -89,6 +89,7 @@ HEX8 = "'0x' || lpad(lower(hex({})), 8, '0')".format
 MASKS = case("v", CHANNEL_MASKS, "NULL")
 
 SQL: dict[str, str] = {
+    "q_frame_roundtrip": f"WITH {FR} SELECT user_id, frame, j, x FROM fr",
     "q_frame_fixed": f"WITH {FR} SELECT user_id, frame, j, n, x FROM fr",
     "q_frame_plan": f"WITH {PLAN} SELECT user_id, total, frame, sample_offset, block_size FROM pl",
     "q_frame_variable": f"WITH {SCHEDULE}, e AS (SELECT event_id AS i, CAST(round(value * 100) AS BIGINT) - 25000 AS x FROM events) SELECT frame, sample_offset, block_size, {B('count(*)')} AS n, {B('sum(x)')} AS total FROM e JOIN sc ON i >= sample_offset AND i < sample_offset + block_size GROUP BY ALL",
