@@ -131,7 +131,15 @@ def test_metadata_survives():
     for container in ("wave", "wave64"):
         back = convert.decode_bytes(coded, container)
         p = containers.parse(reading(back), len(back))
-        assert p.mask == 0x12104 and [n for n, _ in p.chunks] == [b"LIST", b"cue "]
+        assert p.mask == 0x12104 and [n for n, _ in p.chunks] == [b"fxmd", b"LIST", b"cue "]
+        assert flac.parse_bundle(p.chunks[0][1]) == [b for b in stream.blocks if b[0] != 3]
+        assert flac.parse(reading(convert.encode_bytes(back, 3))).entries() == stream.entries()
+    usual = flac.encode(ramp(1000, 2), containers.checked(Spec(44100, 2, 16, total=1000)), blocks=[(4, flac.comments_bytes("v", ["TITLE=ab", "title=cd", "DATE=1999", "MOOD=x"])), (5, flac.cuesheet_bytes([30], 1000))])
+    aiff, caf = convert.decode_bytes(usual, "aiff"), convert.decode_bytes(usual, "caf")
+    assert b"NAME\0\0\0\2abSSND" not in aiff and b"NAME\0\0\0\2abMARK" in aiff and b"title\0ab,cd\0year\x001999\0" in caf and b"mark" in caf
+    for data in (aiff, caf):
+        p = containers.parse(reading(data), len(data))
+        assert np.array_equal(containers.unpack(data[p.data_offset : p.data_offset + 4000], p), ramp(1000, 2))
     assert flac.decode(convert.recompress_bytes(coded, 0))[0].entries() == stream.entries()
     assert not flac.parse(reading(convert.encode_bytes(data, mode="loose"))).entries()
 
@@ -142,6 +150,11 @@ def test_malformed_metadata():
     for bad in (good[:-1], good + b"x", b"\xff\xff"):
         with pytest.raises(ContainerError):
             flac.parse_comments(bad)
+    bundle = flac.bundle_bytes([(2, b"x"), (4, good), (2, b"x")])
+    assert flac.parse_bundle(bundle) == [(2, b"x"), (4, good), (2, b"x")] and flac.bundle_bytes([]) == b""
+    for bad in (bundle[:-1], bundle + b"x", b"fxmx" + bundle[4:], bundle[:10]):
+        with pytest.raises(ContainerError):
+            flac.parse_bundle(bad)
     table = flac.seektable_bytes([(5, 0, 1), (4, 9, 1)])
     assert flac.parse_seektable(table) == [] and flac.selected(10, 4) == [0, 3, 6, 9]
     for b in (table, table + b"x"):

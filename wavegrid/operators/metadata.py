@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wavegrid.functions.columns import big
 
-#: Comment keys that views hide.
-RESERVED = ("WAVEFORMATEXTENSIBLE_CHANNEL_MASK", "FLACX_CHANNEL_LAYOUT_PROVENANCE")
+#: The comment key of a channel mask, and how keys end that say where a mask comes from; views hide both.
+MASK_KEY, PROVENANCE_SUFFIX = "WAVEFORMATEXTENSIBLE_CHANNEL_MASK", "_CHANNEL_LAYOUT_PROVENANCE"
 #: INFO chunk ids and the comment keys they become.
 INFO_KEYS = {"IART": "ARTIST", "ICMT": "COMMENT", "ICOP": "COPYRIGHT", "ICRD": "DATE", "IGNR": "GENRE", "INAM": "TITLE", "IPRD": "ALBUM", "ISFT": "ENCODER", "ITRK": "TRACKNUMBER"}
+#: INFO chunk ids as AIFF text chunks and CAF information keys. A date that isn't four digits is CAF's recorded date.
+AIFF_TEXTS = {"INAM": "NAME", "IART": "AUTH", "ICOP": "(c) ", "ICMT": "ANNO"}
+CAF_KEYS = {"IART": "artist", "ICMT": "comments", "ICOP": "copyright", "ICRD": "year", "IGNR": "genre", "INAM": "title", "IPRD": "album", "ISFT": "encoding application", "ITRK": "track number"}
+CAF_OTHER_DATE = "recorded date"
 #: Most points of a seek table, and most cue points of a stream.
 MOST_SEEK_POINTS, MOST_CUES = 932_067, 99
 
@@ -33,8 +37,19 @@ def info_key(chunk: Column) -> Column:
     return out
 
 
+def aiff_text(chunk: Column) -> Column:
+    """The AIFF text chunk of an INFO chunk, or null."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in AIFF_TEXTS.items() for x in pair]), chunk)
+
+
+def caf_key(chunk: Column, value: Column) -> Column:
+    """The CAF information key of an INFO chunk, or null."""
+    key = F.element_at(F.create_map(*[F.lit(x) for pair in CAF_KEYS.items() for x in pair]), chunk)
+    return F.when((chunk == "ICRD") & ~value.rlike("^[0-9]{4}$"), CAF_OTHER_DATE).otherwise(key)
+
+
 def visible(comments: DataFrame) -> DataFrame:
-    return comments.where(~F.upper("key").isin(*RESERVED))
+    return comments.where((F.upper("key") != MASK_KEY) & ~F.upper("key").endswith(PROVENANCE_SUFFIX))
 
 
 def without_key(comments: DataFrame, key: str) -> DataFrame:

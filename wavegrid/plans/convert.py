@@ -49,12 +49,20 @@ def decoded_frames(frames: DataFrame, rate: int, bits: int) -> DataFrame:
 
 
 def metadata_blocks(spec: containers.Spec) -> list[tuple[int, bytes]]:
-    """A container's INFO entries as comments, sorted by key, and an unusual mask; its cues within the stream as a cue sheet."""
+    """A container's INFO entries as comments, sorted by key, and an unusual mask; its cues within the stream as a cue sheet.
+
+    A private bundle that can be read stands for all of them.
+    """
     from wavegrid.operators.metadata import INFO_KEYS, MOST_CUES
 
     entries: dict[str, list[str]] = {}
     cues: list[int] = []
     for name, body in spec.chunks:
+        if name == b"fxmd":
+            try:
+                return flac.parse_bundle(body)
+            except containers.ContainerError:
+                continue
         if name == b"LIST" and body[:4] == b"INFO":
             at = 4
             while at + 8 <= len(body):
@@ -82,23 +90,34 @@ def metadata_blocks(spec: containers.Spec) -> list[tuple[int, bytes]]:
     return out
 
 
-def chunks_of(stream: flac.Stream) -> list[tuple[bytes, bytes]]:
-    """LIST and cue chunks from comments and the cue sheet."""
+def texts_of(stream: flac.Stream) -> list[tuple[str, str]]:
+    """(INFO id, text) of a stream's comments."""
     from wavegrid.operators.metadata import INFO_KEYS
 
-    back, info, out = {v: k for k, v in INFO_KEYS.items()}, b"", []
-    for e in stream.entries():
-        key, _, value = e.partition("=")
-        if key.upper() in back:
-            body = value.encode() + b"\0"
-            info += back[key.upper()].encode() + len(body).to_bytes(4, "little") + body + bytes(len(body) % 2)
+    back = {v: k for k, v in INFO_KEYS.items()}
+    split = [e.partition("=") for e in stream.entries()]
+    return [(back[key.upper()], value) for key, _, value in split if key.upper() in back]
+
+
+def cues_of(stream: flac.Stream) -> list[int]:
+    sheets = [flac.cue_offsets(flac.parse_cuesheet(body)) for kind, body in stream.blocks if kind == 5]
+    return [o for o in sheets[0] if o < stream.info.total] if sheets else []
+
+
+def chunks_of(stream: flac.Stream, bundle: bool = True) -> list[tuple[bytes, bytes]]:
+    """The private bundle of all header blocks but seek tables, and LIST and cue chunks from comments and the cue sheet."""
+    info, out = b"", []
+    kept = [b for b in stream.blocks if b[0] not in (1, 3)]
+    if bundle and kept:
+        out.append((b"fxmd", flac.bundle_bytes(kept)))
+    for key, value in texts_of(stream):
+        body = value.encode() + b"\0"
+        info += key.encode() + len(body).to_bytes(4, "little") + body + bytes(len(body) % 2)
     if info:
         out.append((b"LIST", b"INFO" + info))
-    for kind, body in stream.blocks:
-        if kind == 5:
-            offsets = [o for o in flac.cue_offsets(flac.parse_cuesheet(body)) if o < stream.info.total]
-            points = b"".join(n.to_bytes(4, "little") + o.to_bytes(4, "little") + b"data" + bytes(8) + o.to_bytes(4, "little") for n, o in enumerate(offsets, 1))
-            out.append((b"cue ", len(offsets).to_bytes(4, "little") + points))
+    if offsets := cues_of(stream):
+        points = b"".join(n.to_bytes(4, "little") + o.to_bytes(4, "little") + b"data" + bytes(8) + o.to_bytes(4, "little") for n, o in enumerate(offsets, 1))
+        out.append((b"cue ", len(offsets).to_bytes(4, "little") + points))
     return out
 
 
@@ -112,8 +131,8 @@ def encode_bytes(data: bytes, level: int = 8, mode: str = "default", **options)
 def decode_bytes(data: bytes, container: str = "auto", mode: str = "default") -> bytes:
     """FLAC as a container's bytes."""
     stream, x = flac.decode(data, strict=MODES[mode]["strict"])
-    chunks = chunks_of(stream) if MODES[mode]["metadata"] and container in ("auto", "wave", "rf64", "wave64") else []
-    spec, head, tail = containers.written(stream.spec(MODES[mode]["strict"]), container, chunks)
+    chunks, entries, cues = (chunks_of(stream), texts_of(stream), cues_of(stream)) if MODES[mode]["metadata"] else ([], [], [])
+    spec, head, tail = containers.written(stream.spec(MODES[mode]["strict"]), container, chunks, entries, cues)
     return head + containers.pack(x, spec) + tail
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wavegrid.functions.columns import CHANNEL_MASKS, DEPTH_CODES, MASK_BITS, RATE_CODES
 from wavegrid.operators.framing import LEVELS
-from wavegrid.operators.metadata import INFO_KEYS
+from wavegrid.operators.metadata import AIFF_TEXTS, CAF_KEYS, CAF_OTHER_DATE, INFO_KEYS
 from wavegrid.operators.planning import EXTENSIONS
 from wavegrid.plans.queries import COEFFICIENTS
 
@@ -151,13 +151,14 @@ SQL: dict[str, str] = {
     "q_progress_text": f"WITH e AS (SELECT event_id AS i, {pmod('(CAST(round(value * 100) AS BIGINT) - 25000) * 7', 100000)} AS s FROM events) SELECT i, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS clock, '[' || repeat('=', CAST(20 * (s % 1000) // 1000 AS INTEGER)) || repeat(' ', 20 - CAST(20 * (s % 1000) // 1000 AS INTEGER)) || ']' AS bar, CASE WHEN length('signal-' || s) <= 9 THEN 'signal-' || s ELSE substring('signal-' || s, 1, 8) || '…' END AS name FROM e",
     "q_comment_split": "WITH e AS (SELECT conv_id, turn, substring(CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN '=' || text ELSE role || '=' || text END, 1, 60) AS entry FROM conversations) SELECT conv_id, turn, CASE WHEN strpos(entry, '=') > 1 THEN substring(entry, 1, strpos(entry, '=') - 1) END AS key, CASE WHEN strpos(entry, '=') > 1 THEN substring(entry, strpos(entry, '=') + 1) END AS value FROM e",
     "q_mask_text": f"SELECT o_orderkey, {HEX8('m')} AS text, m AS mask FROM (SELECT o_orderkey, o_orderkey * 2654435761 % 262144 AS m FROM orders)",
-    "q_comments_visible": f"WITH {COMMENTS} SELECT * FROM c WHERE pos <> 1",
+    "q_comments_visible": f"WITH {COMMENTS} SELECT * FROM c WHERE pos NOT IN (1, 2)",
     "q_comments_group": f"WITH {COMMENTS} SELECT conv_id, key, {B('count(*)')} AS n, arg_min(value, pos) AS first, arg_max(value, pos) AS last FROM c GROUP BY 1, 2",
     "q_comments_replace": f"WITH {COMMENTS}, d AS (SELECT * FROM c WHERE key <> 'USER' UNION ALL SELECT DISTINCT conv_id, CAST(4611686018427387904 AS BIGINT), 'user', 'new' FROM conversations) SELECT conv_id, key, {B('count(*)')} AS n, arg_max(value, pos) AS last FROM d GROUP BY 1, 2",
     "q_comments_remove": f"WITH {COMMENTS} SELECT conv_id, {B("count(*) FILTER (key = 'USER')")} AS removed, {B("count(*) FILTER (key <> 'USER')")} AS \"left\" FROM c GROUP BY 1",
     "q_comments_listagg": f"WITH {COMMENTS} SELECT conv_id, key, string_agg(value, ',' ORDER BY pos) AS value FROM c GROUP BY 1, 2",
     "q_info_keys": "WITH i(chunk) AS (VALUES " + ", ".join(f"('{k}')" for k in [*INFO_KEYS, "XXXX"]) + f") SELECT chunk, {case('chunk', INFO_KEYS, 'NULL')} AS key FROM i",
     "q_info_projection": f"WITH k AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'Artist' WHEN 2 THEN 'mood' ELSE 'GENRE' END AS k FROM conversations) SELECT * FROM (SELECT *, {case('upper(k)', {v: k for k, v in INFO_KEYS.items()}, 'NULL')} AS chunk FROM k) WHERE chunk IS NOT NULL",
+    "q_text_projection": f"WITH c AS (SELECT conv_id, turn, {[*INFO_KEYS, 'XXXX']}[turn % 10 + 1] AS chunk, CASE WHEN conv_id % 2 = 0 THEN '1999' ELSE substring(text, 1, 8) END AS value FROM conversations) SELECT conv_id, turn, chunk, {case('chunk', AIFF_TEXTS, 'NULL')} AS aiff, CASE WHEN chunk = 'ICRD' AND NOT regexp_full_match(value, '[0-9]{{4}}') THEN '{CAF_OTHER_DATE}' ELSE {case('chunk', CAF_KEYS, 'NULL')} END AS caf FROM c",
     "q_cue_normalise": f"WITH {EV}, {TOT}, d AS (SELECT DISTINCT user_id, {pmod('x', 150)} AS sample_offset FROM ev), k AS (SELECT d.user_id, sample_offset, count(*) OVER (PARTITION BY d.user_id) AS n FROM d JOIN tot ON d.user_id = tot.user_id WHERE sample_offset < total) SELECT user_id, {B('row_number() OVER (PARTITION BY user_id ORDER BY sample_offset) - 1')} AS pos, sample_offset FROM k WHERE n <= 99",
     "q_cue_points": f"WITH {EV}, t AS (SELECT user_id, i AS track, i // 2 * 588 + CASE WHEN i % 3 = 0 AND i % 2 = 1 THEN 588 ELSE 0 END AS sample_offset FROM ev WHERE i < 20), g AS (SELECT user_id, sample_offset, min(track) AS track FROM t GROUP BY 1, 2) SELECT user_id, {B('row_number() OVER (PARTITION BY user_id ORDER BY track) - 1')} AS pos, sample_offset FROM g",
     "q_blob_dictionary": f"WITH d AS (SELECT doc_id % 7 AS stream, doc_id AS ordinal, text, min(doc_id) OVER (PARTITION BY doc_id % 7, text) AS first FROM documents) SELECT stream, ordinal, {B('dense_rank() OVER (PARTITION BY stream ORDER BY first) - 1')} AS idx FROM d",

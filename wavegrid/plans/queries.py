@@ -460,7 +460,7 @@ def q_mask_text(spark, sf_dir):
 
 @query
 def q_comments_visible(spark, sf_dir):
-    c = _comments(spark, sf_dir).withColumn("key", F.when(F.col("pos") == 1, metadata.RESERVED[0].lower()).otherwise(F.col("key")))
+    c = _comments(spark, sf_dir).withColumn("key", F.when(F.col("pos") == 1, metadata.MASK_KEY.lower()).when(F.col("pos") == 2, F.lit("any" + metadata.PROVENANCE_SUFFIX)).otherwise(F.col("key")))
     return metadata.visible(c)
 
 
@@ -502,6 +502,14 @@ def q_info_projection(spark, sf_dir):
     return c.join(F.broadcast(back), F.upper("k") == F.col("key")).select("conv_id", "turn", "k", "chunk")  # 9 rows
 
 
+@query
+def q_text_projection(spark, sf_dir):
+    """INFO chunks as AIFF texts and CAF keys."""
+    ids = F.element_at(F.array(*map(F.lit, [*metadata.INFO_KEYS, "XXXX"])), (F.col("turn") % 10 + 1).cast("int"))
+    c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("chunk"), F.when(F.col("conv_id") % 2 == 0, "1999").otherwise(F.substring("text", 1, 8)).alias("value"))
+    return c.select("conv_id", "turn", "chunk", metadata.aiff_text(F.col("chunk")).alias("aiff"), metadata.caf_key(F.col("chunk"), F.col("value")).alias("caf"))
+
+
 @query
 def q_cue_normalise(spark, sf_dir):
     e = A.sig_events(spark, sf_dir).select("user_id", F.pmod("x", F.lit(150)).alias("sample_offset"))

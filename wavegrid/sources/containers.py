@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 from wavegrid.functions.columns import CHANNEL_MASKS, MASK_BITS
+from wavegrid.operators.metadata import AIFF_TEXTS, CAF_KEYS, CAF_OTHER_DATE
 from wavegrid.operators.planning import RIFF_MOST
 
 #: The end of a Wave64 chunk's id, after its four letters; of the first chunk; and of the PCM subformat.
@@ -250,14 +251,48 @@ def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + bytes(len(body) % 2)
 
 
+def _aiff_metadata(entries: list[tuple[str, str]], cues: list[int]) -> bytes:
+    """Text chunks of INFO entries, one of each but annotations, and markers."""
+    out, seen = b"", set()
+    block = lambda name, body: name + struct.pack(">I", len(body)) + body + bytes(len(body) % 2)
+    for key, value in entries:
+        name = AIFF_TEXTS.get(key)
+        if name and (name == "ANNO" or name not in seen):
+            seen.add(name)
+            out += block(name.encode(), value.encode())
+    if cues:
+        out += block(b"MARK", struct.pack(">H", len(cues)) + b"".join(struct.pack(">HIH", n, o, 0) for n, o in enumerate(cues, 1)))
+    return out
+
+
+def _caf_metadata(entries: list[tuple[str, str]], cues: list[int]) -> bytes:
+    """Information, repeats joined by commas, and markers without SMPTE times."""
+    texts: dict[str, list[str]] = {}
+    for key, value in entries:
+        name = CAF_OTHER_DATE if key == "ICRD" and not (len(value) == 4 and value.isascii() and value.isdigit()) else CAF_KEYS.get(key)
+        if name:
+            texts.setdefault(name, []).append(value)
+    out = b""
+    if texts:
+        body = struct.pack(">I", len(texts)) + b"".join(k.encode() + b"\0" + ",".join(v).encode() + b"\0" for k, v in texts.items())
+        out += b"info" + struct.pack(">q", len(body)) + body
+    if cues:
+        body = struct.pack(">II", 0, len(cues)) + b"".join(struct.pack(">IdI8sI", 0, o, n, b"\xff" * 8, 0) for n, o in enumerate(cues, 1))
+        out += b"mark" + struct.pack(">q", len(body)) + body
+    return out
+
+
 def _fmt(s: Spec) -> bytes:
     plain = s.channels <= 2 and s.valid_bits == s.container_bits and s.mask == s.usual_mask
     base = struct.pack("<HHIIHH", 1 if plain else 0xFFFE, s.channels, s.rate, s.rate * s.frame_bytes, s.frame_bytes, s.container_bits)
     return base if plain else base + struct.pack("<HHI", 22, s.valid_bits, s.mask) + b"\1\0" + PCM_GUID_TAIL
 
 
-def written(s: Spec, family: str = "auto", chunks: list[tuple[bytes, bytes]] = ()) -> tuple[Spec, bytes, bytes]:
-    """The spec of samples as family stores them, and the bytes before and after them. auto: WAVE, or RF64 beyond its size."""
+def written(s: Spec, family: str = "auto", chunks: list[tuple[bytes, bytes]] = (), entries: list[tuple[str, str]] = (), cues: list[int] = ()) -> tuple[Spec, bytes, bytes]:
+    """The spec of samples as family stores them, and the bytes before and after them. auto: WAVE, or RF64 beyond its size.
+
+    chunks: of WAVE and its relatives. entries (INFO id, text) and cues: of AIFF and CAF.
+    """
     s = checked(replace(s, container_bits=0))
     length = s.total * s.frame_bytes
     if family in ("auto", "wave", "rf64", "wave64"):
@@ -284,7 +319,7 @@ def written(s: Spec, family: str = "auto", chunks: list[tuple[bytes, bytes]] = (
     if family in ("aiff", "aifc"):
         s = replace(s, layout="be")
         comm = struct.pack(">hIh", s.channels, s.total, s.valid_bits) + extended_bytes(s.rate) + (b"NONE\0\0" if family == "aifc" else b"")
-        body = b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">III", length + 8, 0, 0)
+        body = b"COMM" + struct.pack(">I", len(comm)) + comm + _aiff_metadata(list(entries), list(cues)) + b"SSND" + struct.pack(">III", length + 8, 0, 0)
         if 4 + len(body) + length >= RIFF_MOST:
             raise ContainerError("too long for AIFF")
         head = b"FORM" + struct.pack(">I", 4 + len(body) + length + length % 2) + family.upper().encode() + body
@@ -293,6 +328,6 @@ def written(s: Spec, family: str = "auto", chunks: list[tuple[bytes, bytes]] = (
         s = replace(s, layout="le")
         desc = struct.pack(">d4sIIIII", s.rate, b"lpcm", 2, s.frame_bytes, 1, s.channels, s.valid_bits)
         chan = b"" if s.mask == s.usual_mask else b"chan" + struct.pack(">qIII", 12, 1 << 16, s.mask, 0)
-        head = b"caff\0\1\0\0desc" + struct.pack(">q", 32) + desc + chan + b"data" + struct.pack(">qI", length + 4, 0)
+        head = b"caff\0\1\0\0desc" + struct.pack(">q", 32) + desc + chan + _caf_metadata(list(entries), list(cues)) + b"data" + struct.pack(">qI", length + 4, 0)
         return replace(s, family="caf", data_offset=len(head)), head, b""
     raise ContainerError(f"there is no container {family}")

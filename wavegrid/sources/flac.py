@@ -9,11 +9,13 @@ from dataclasses import dataclass
 import numpy as np
 
 from wavegrid.functions import frames as fr
-from wavegrid.operators.metadata import MOST_SEEK_POINTS, RESERVED
+from wavegrid.operators.metadata import MASK_KEY, MOST_SEEK_POINTS, PROVENANCE_SUFFIX
 from wavegrid.sources.containers import ContainerError, Spec, checked
 
 PLACEHOLDER = (1 << 64) - 1
-MASK_KEY, PROVENANCE_KEY = RESERVED
+PROVENANCE_KEY = f"WAVEGRID{PROVENANCE_SUFFIX}"
+#: The private chunk that keeps header blocks in WAVE files: id and magic, version, flags.
+BUNDLE = (b"fxmd", 1, 1)
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,37 @@ def parse_comments(b: bytes) -> tuple[str, list[str]]:
     return vendor, entries
 
 
+def bundle_bytes(blocks: list[tuple[int, bytes]]) -> bytes:
+    """Header blocks in the private chunk's form: distinct bodies once, then a record a block. Empty without blocks."""
+    bodies = list(dict.fromkeys(b for _, b in blocks))
+    place = {b: i for i, b in enumerate(bodies)}
+    head = struct.pack("<4sHHII", *BUNDLE, len(bodies), len(blocks))
+    texts = b"".join(struct.pack("<I", len(b)) + b for b in bodies)
+    return head + texts + b"".join(struct.pack("<BBHII", kind, 0, 0, n, place[b]) for n, (kind, b) in enumerate(blocks)) if blocks else b""
+
+
+def parse_bundle(data: bytes) -> list[tuple[int, bytes]]:
+    """Header blocks of the private chunk; records must be in order and nothing may follow."""
+    try:
+        *kind, bodies, records = struct.unpack_from("<4sHHII", data)
+        at, texts, out, last = 16, [], [], -1
+        for _ in range(bodies):
+            (n,) = struct.unpack_from("<I", data, at)
+            texts.append(data[at + 4 : at + 4 + n])
+            at += 4 + n
+        for _ in range(records):
+            block_type, _, _, ordinal, body = struct.unpack_from("<BBHII", data, at)
+            if ordinal < last:
+                raise ContainerError("a bundle's records are out of order")
+            out.append((block_type, texts[body]))
+            at, last = at + 12, ordinal
+    except (struct.error, IndexError) as e:
+        raise ContainerError("a bundle ends early") from e
+    if tuple(kind) != BUNDLE or at != len(data):
+        raise ContainerError("not a bundle that can be read")
+    return out
+
+
 def cuesheet_bytes(offsets: list[int], lead_out: int) -> bytes:
     """A track for each offset, with index 1 at its start, and the lead-out track."""
     out = bytes(128) + bytes(8) + bytes(259) + bytes((len(offsets) + 1,))
@@ -146,6 +179,8 @@ class Stream:
                 except ValueError:
                     if strict:
                         raise ContainerError("a channel mask is malformed") from None
+            if strict and key.upper().endswith(PROVENANCE_SUFFIX) and value.strip() != "1":
+                raise ContainerError("a mask's provenance is malformed")
         return 0
 
     def spec(self, strict: bool = False) -> Spec:
