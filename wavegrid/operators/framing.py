@@ -41,13 +41,16 @@ def scheduled_plan(schedule: DataFrame, order: str, size: str, keys: list[str] |
     return schedule.withColumn("sample_offset", F.coalesce(F.sum(size).over(w), F.lit(0).cast("bigint")))
 
 
-def assign(samples: DataFrame, plan: DataFrame, index: str = "i") -> DataFrame:
+def assign(samples: DataFrame, plan: DataFrame, index: str = "i", keys: list[str] | None = None, width: int = 1024) -> DataFrame:
     """samples with the frame of a scheduled plan (frame, sample_offset, block_size) that holds them. Samples outside the plan are left out.
 
-    A plan is a row a block and far smaller than its samples; Spark broadcasts it if it is small enough by its own measure.
+    An equi-join on ranges of width samples: a block stands in each range that it touches, and a range has few blocks, so no
+    sample meets blocks far from it, and a long stream is dealt over many tasks.
     """
+    last = F.expr(f"(sample_offset + block_size - 1) div {width}")
+    touched = plan.where("block_size > 0").withColumn("range", F.explode(F.sequence(F.expr(f"sample_offset div {width}"), last)))
     inside = (F.col(index) >= F.col("sample_offset")) & (F.col(index) < F.col("sample_offset") + F.col("block_size"))
-    return samples.join(plan, inside)
+    return samples.withColumn("range", F.expr(f"{index} div {width}")).join(touched, [*(keys or []), "range"]).where(inside).drop("range")
 
 
 def faults(plan: DataFrame) -> Column:

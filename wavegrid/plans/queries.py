@@ -218,8 +218,9 @@ def q_lpc_restore(spark, sf_dir):
 
 @query
 def q_lpc_orders(spark, sf_dir):
-    rates = values(spark, "rate long, n long", [(8000, 4096), (44100, 4096), (48000, 10), (96000, 4096), (192000, 20), (96000, 1)])
-    both = framing.levels(spark).crossJoin(F.broadcast(rates))  # 9 rows with 6
+    rates = [(8000, 4096), (44100, 4096), (48000, 10), (96000, 4096), (192000, 20), (96000, 1)]
+    each = F.explode(F.array(*[F.struct(big(F.lit(r)).alias("rate"), big(F.lit(n)).alias("n")) for r, n in rates])).alias("e")
+    both = framing.levels(spark).select("level", "max_lpc_order", each).select("level", "max_lpc_order", "e.rate", "e.n")
     return both.select("level", "rate", "n", F.explode(predict.lpc_orders(F.col("rate"), F.col("max_lpc_order"), F.col("n"))).alias("order"))
 
 
