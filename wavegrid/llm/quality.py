@@ -112,7 +112,9 @@ def train(trusted: DataFrame, *, text_col: str = "text") -> DataFrame:
         rows = orders[n].withColumn("h", F.shiftrightunsigned("key", _BITS)).withColumn("d", discount)
         contexts = rows.groupBy("h").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("g"))
         if n == 1:
-            rows = rows.crossJoin(F.broadcast(contexts.drop("h"))).withColumn("below", F.lit(1 / symbols))  # one row
+            only = contexts.first()  # of the empty context
+            total, g = (only.total, only.g) if only else (1, 1.0)
+            rows = rows.withColumn("total", F.lit(total)).withColumn("g", F.lit(g)).withColumn("below", F.lit(1 / symbols))
         else:
             suffix = F.col("key").bitwiseAND(F.lit((1 << (_BITS * (n - 1))) - 1))
             rows = rows.join(contexts, "h").withColumn("suffix", suffix).join(lower, "suffix")
