@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
+from wavegrid.operators.running import prefix
+
 #: Fixed values of the presets: block size, fixed order, LPC order, partition order, mid/side.
 LEVELS = [
     (0, 576, 4, 0, 0, False), (1, 576, 4, 0, 1, True), (2, 1152, 4, 8, 2, True), (3, 1152, 4, 8, 2, True), (4, 2304, 4, 12, 3, True),
@@ -37,7 +39,9 @@ def fixed_plan(totals: DataFrame, size: int, total: str = "total") -> DataFrame:
 
 def scheduled_plan(schedule: DataFrame, order: str, size: str, keys: list[str] | None = None) -> DataFrame:
     """schedule with sample_offset: what the stream's earlier blocks hold."""
-    w = W.partitionBy(*(keys or [])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    if not keys:
+        return prefix(schedule, order, size, "sample_offset")
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return schedule.withColumn("sample_offset", F.coalesce(F.sum(size).over(w), F.lit(0).cast("bigint")))
 
 

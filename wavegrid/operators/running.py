@@ -11,6 +11,16 @@ def _upto(keys: list[str], order: str):
     return W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
 
 
+def prefix(rows: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """rows with name: the sum of value over rows of a smaller order, an integer. Ranges of width are summed first, so one task sees a row a range, not all rows."""
+    dealt = rows.withColumn("_range", F.expr(f"{order} div {width}"))
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_range", before.alias("_before"))
+    inner = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(sums, "_range").withColumn(name, big(F.col("_before") + inner)).drop("_range", "_before")
+
+
 def cumulative(frames: DataFrame, keys: list[str], header_bytes: int = 0) -> DataFrame:
     """frames (frame, block_size, frame_bytes) with samples_done, frames_done and bytes_done; header bytes come with the first frame."""
     w = _upto(keys, "frame")
@@ -28,7 +38,7 @@ def two_phase(frames: DataFrame, keys: list[str]) -> DataFrame:
 def batch_rollup(updates: DataFrame, file: str, order: str, value: str) -> DataFrame:
     """updates with batch_done: the sum of the latest value of each file so far. As each file's value only grows, that is a running sum of increments."""
     step = F.col(value) - F.coalesce(F.lag(value).over(W.partitionBy(file).orderBy(order)), F.lit(0))
-    return updates.withColumn("step", step).withColumn("batch_done", big(F.sum("step").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))).drop("step")
+    return prefix(updates.withColumn("step", step), order, "step", "batch_done").withColumn("batch_done", F.col("batch_done") + F.col("step")).drop("step")
 
 
 def latest(updates: DataFrame, file: str, order: str, value: str) -> DataFrame:

@@ -169,7 +169,7 @@ SQL: dict[str, str] = {
     "q_seek_validate": f"WITH {EV}, p AS (SELECT user_id, i AS pos, CASE WHEN i % 17 = 16 THEN 9223372036854775807 ELSE i * 100 - CASE WHEN i % 10 = 9 THEN 150 ELSE 0 END END AS sample_number FROM ev), l AS (SELECT *, lag(sample_number) OVER (PARTITION BY user_id ORDER BY pos) AS b FROM p) SELECT user_id, pos, sample_number, CASE WHEN b = 9223372036854775807 AND sample_number <> 9223372036854775807 THEN 'after placeholder' WHEN sample_number <> 9223372036854775807 AND sample_number <= b THEN 'not ascending' END AS fault FROM l",
     "q_running_progress": f"WITH {FRAMES} SELECT user_id, frame, block_size, frame_size AS frame_bytes, {B('sum(block_size) OVER w')} AS samples_done, {B('count(*) OVER w')} AS frames_done, {B('sum(frame_size) OVER w + 42')} AS bytes_done FROM fm WINDOW w AS (PARTITION BY user_id ORDER BY frame)",
     "q_two_phase": f"WITH {PLAN}, p AS (SELECT user_id, frame, {B('ph')} AS phase, total, {B('sum(block_size) OVER (PARTITION BY user_id, ph ORDER BY frame)')} AS phase_done FROM pl CROSS JOIN (SELECT unnest([0, 1]) AS ph)) SELECT user_id, frame, phase, phase_done, phase_done + phase * total AS overall_done, total * 2 AS overall_total FROM p",
-    "q_batch_rollup": f"SELECT DISTINCT batch, {B('max(c) OVER (PARTITION BY batch)')} AS batch_done FROM (SELECT event_id // 1000 AS batch, count(*) OVER (ORDER BY event_id) AS c FROM events)",
+    "q_batch_rollup": f"SELECT user_id, event_id, 3 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS done, {B('3 * count(*) OVER (ORDER BY event_id)')} AS batch_done FROM events",
     "q_rate_eta": f"""WITH {EV}, {TOT}, u AS (SELECT ev.user_id, i, least(i // 2 * 2, total) AS done, i * 90 AS ms, total FROM ev JOIN tot ON ev.user_id = tot.user_id),
       a AS (SELECT *, CASE WHEN done > coalesce(lag(done) OVER (PARTITION BY user_id ORDER BY i), 0) THEN 1 ELSE 0 END AS adv FROM u),
       c AS (SELECT *, sum(adv) OVER w AS n, min(CASE WHEN adv = 1 THEN ms END) OVER w AS f FROM a WINDOW w AS (PARTITION BY user_id ORDER BY i)), k AS (SELECT *, coalesce(n >= 2 AND ms - f >= 250 AND ms > 0 AND done > 0, false) AS warm FROM c)

@@ -585,12 +585,8 @@ def q_two_phase(spark, sf_dir):
 
 @query
 def q_batch_rollup(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").select("user_id", "event_id").withColumn("done", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("bigint"))
-    few = e.withColumn("batch", F.expr("event_id div 1000"))
-    step = few.groupBy("batch", "user_id").agg(F.max("done").alias("done"), F.max("event_id").alias("at"))
-    grown = step.withColumn("grown", F.col("done") - F.coalesce(F.lag("done").over(W.partitionBy("user_id").orderBy("batch")), F.lit(0)))
-    sums = grown.groupBy("batch").agg(F.sum("grown").alias("grown"))
-    return sums.select("batch", big(F.sum("grown").over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, 0))).alias("batch_done"))
+    e = A.table(spark, sf_dir, "events").select("user_id", "event_id").withColumn("done", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("bigint") * 3)
+    return running.batch_rollup(e, "user_id", "event_id", "done")
 
 
 @query
