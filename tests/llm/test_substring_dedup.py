@@ -1,6 +1,7 @@
 import pytest
 
-from wavegrid.llm.substring_dedup import Index, dedup_substrings, pack, unpack
+from wavegrid.llm.common import pack, unpack
+from wavegrid.llm.substring_dedup import Index, dedup_substrings
 
 import numpy as np
 

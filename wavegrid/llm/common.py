@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
@@ -13,6 +14,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -37,11 +39,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir, which driver and executors share; below a temporary folder if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="wavegrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext._jsc.sc()
+        if not context.getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wavegrid-"))
+        base = context.getCheckpointDir().get()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -70,13 +71,14 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             trim()
 
     return task
 
 
 def trim() -> None:
-    gc.collect()
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -173,3 +175,29 @@ def split_words(texts: list[bytes | None]) -> tuple[np.ndarray, pa.Array, np.nda
     ends = np.cumsum([len(t or b"") + 1 for t in texts])
     starts = np.concatenate(([0], np.searchsorted(begins, ends))).astype(np.int64)
     return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary, starts
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Unsigned integer arrays; each is cut into planes of bytes, without those that are zero, and compressed."""
+    parts, head = [], []
+    for name, a in arrays.items():
+        a = np.ascontiguousarray(a, np.uint64)
+        planes = a.view(np.uint8).reshape(-1, 8).T
+        used = 8 - next((i for i in range(8) if planes[7 - i].any()), 8) if len(a) else 0
+        head.append((name, len(a), used))
+        parts += [np.ascontiguousarray(planes[i]).tobytes() for i in range(used)]
+    top = json.dumps(head).encode()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(top).to_bytes(4, "little"), top, *parts]))
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    at, found = 4 + n, {}
+    for name, length, used in json.loads(raw[4:at]):
+        planes = np.zeros((length, 8), np.uint8)
+        for i in range(used):
+            planes[:, i] = np.frombuffer(raw, np.uint8, length, at)
+            at += length
+        found[name] = planes.reshape(-1).view(np.uint64)
+    return found

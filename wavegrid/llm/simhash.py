@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import extended, fresh, schema_with, small_batches, stored, trimmed, utf8, without
+from wavegrid.llm.common import extended, fresh, pack, schema_with, small_batches, stored, trim, trimmed, unpack, utf8, without
 from wavegrid.llm.components import components, forest
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -62,7 +62,7 @@ class Part:
     threshold: int  # -1: the part isn't searched
 
 
-def _within(disagree: list[float], most: int) -> list[float]:
+def _chances(disagree: list[float], most: int) -> list[float]:
     """P(at most t of the independent bits disagree), for t up to most."""
     p = np.zeros(len(disagree) + 1)
     p[0] = 1
@@ -103,7 +103,7 @@ def plan_parts(n: int, ones: np.ndarray, distance: int) -> list[Part]:
         for bits in parts:
             c = correlation[np.ix_(bits, bits)]
             independent = len(bits) / np.square(c).sum()  # as a share of the part's bits
-            chance = [x**independent for x in _within(disagree[bits].tolist(), distance)]
+            chance = [x**independent for x in _chances(disagree[bits].tolist(), distance)]
             probes = np.cumsum([comb(len(bits), t) for t in range(distance + 1)]).tolist()
             costs.append([0.0] + [n * v * PROBE_COST + n * n / 2 * (2 * v - 1) * chance[0] * PAIR_COST for v in probes])
         # least[s]: cost and thresholds of the parts so far, with sum(T + 1) = s
@@ -132,51 +132,93 @@ def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "n"])
 
 
-def _probe(parts: list[Part]):
-    """A row for each searched part and each of its values that a fingerprint is entered under (role 0) or probes (role 1)."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _probe(parts: list[Part], buckets: int):
+    """For each searched part, the values that a fingerprint is entered under or probes, packed by buckets of values: a row a bucket, not a probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 4096):
-                few = batch.slice(begin, 4096)
+            for begin in range(0, batch.num_rows, 8192):
+                few = batch.slice(begin, 8192)
                 fps, reps = few.column(0).to_numpy().view(np.uint64), few.column(1).to_numpy()
+                keys, of, probes = [], [], []
                 for k, part in enumerate(parts):
-                    if part.threshold < 0:
-                        continue
                     value = _values(fps, part.bits)
                     for t in range(part.threshold + 1):
                         for flips in combinations(range(len(part.bits)), t):
-                            mask = np.uint64(sum(1 << b for b in flips))
-                            key = (value ^ mask) | np.uint64(k) << np.uint64(58)
-                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(reps), pa.array(np.full(len(fps), bool(t)))], ["key", "fp", "rep", "probe"])
+                            keys.append((value ^ np.uint64(sum(1 << b for b in flips))) | np.uint64(k) << np.uint64(58))
+                            of.append(np.arange(len(fps)))
+                            probes.append(np.full(len(fps), t > 0))
+                key, i, probe = (np.concatenate(x) for x in (keys, of, probes))
+                bucket = ((_mix(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                order = np.lexsort((key, bucket))
+                key, i, probe, bucket = key[order], i[order], probe[order], bucket[order]
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]))
+                rows = []
+                for c, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    j = i[c:d]
+                    rows.append((int(bucket[c]), pack(key=np.diff(key[c:d], prepend=np.uint64(0)), fp=fps[j], rep=reps[j].view(np.uint64), probe=probe[c:d])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     return run
 
 
-def _links(distance: int, dense: int = 48):
-    """Rows sorted by key and pair in; a forest of the links within the keys out."""
+def _search(distance: int, block: int):
+    """A bucket in: a forest of the links within its values out (key null), and the rows of values that more than block share."""
+
+    def run(_, table):
+        try:
+            parts = [unpack(p) for p in table.column("payload").to_pylist()]
+            key = np.concatenate([np.cumsum(p["key"], dtype=np.uint64) for p in parts])
+            order = np.argsort(key)
+            key = key[order]
+            fp, rep, probe = (np.concatenate([p[k] for p in parts])[order] for k in ("fp", "rep", "probe"))
+            rep, probe = rep.view(np.int64), probe.astype(bool)
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(begin, len(key)))
+            hot = np.repeat(size > block, size)
+            a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*_within(key[~hot], fp[~hot], rep[~hot], probe[~hot], distance), (np.zeros(0, np.int64),) * 2, strict=True))
+            a, b = forest(a, b) if len(a) else (a, b)
+            none = pa.nulls(len(a), pa.int64())
+            cold = pa.table({"a": pa.array(a), "b": pa.array(b), "key": none, "fp": none, "probe": pa.nulls(len(a), pa.bool_())})
+            warm = pa.table({"a": pa.array(rep[hot]), "b": pa.nulls(int(hot.sum()), pa.int64()), "key": pa.array(key[hot].view(np.int64)), "fp": pa.array(fp[hot].view(np.int64)), "probe": pa.array(probe[hot])})
+            return pa.concat_tables([cold, warm])
+        finally:
+            trim()
 
-    def within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(begin, len(key)))
-        sizes = np.repeat(size, size)
-        found = []
-        small = np.flatnonzero(sizes <= dense)
-        last = np.repeat(begin + size, size)
-        for shift in range(1, min(dense, int(size.max(initial=0)))):
-            small = small[small + shift < last[small]]
-            i, j = small, small + shift
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & ~(probe[i] & probe[j])
-            found.append((rep[i[near]], rep[j[near]]))
-        for b, n in zip(begin[size > dense].tolist(), size[size > dense].tolist(), strict=True):
-            f, r, p = fp[b : b + n], rep[b : b + n], probe[b : b + n]
-            for row in range(0, n, 256):
-                near = np.bitwise_count(f[row : row + 256, None] ^ f[None, :]) <= distance
-                near &= ~(p[row : row + 256, None] & p[None, :])
-                i, j = np.nonzero(near)
-                i += row
-                found.append(forest(r[i[i < j]], r[j[i < j]]))
-        return found
+    return run
+
+
+def _within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarray, distance: int, dense: int = 48) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links within each key's rows, which stand together; two probes aren't compared. All links of keys with few rows, a forest for others."""
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    sizes = np.repeat(size, size)
+    found = []
+    small = np.flatnonzero(sizes <= dense)
+    last = np.repeat(begin + size, size)
+    for shift in range(1, min(dense, int(size.max(initial=0)))):
+        small = small[small + shift < last[small]]
+        i, j = small, small + shift
+        near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & ~(probe[i] & probe[j])
+        found.append((rep[i[near]], rep[j[near]]))
+    for b, n in zip(begin[size > dense].tolist(), size[size > dense].tolist(), strict=True):
+        f, r, p = fp[b : b + n], rep[b : b + n], probe[b : b + n]
+        for row in range(0, n, 256):
+            near = np.bitwise_count(f[row : row + 256, None] ^ f[None, :]) <= distance
+            near &= ~(p[row : row + 256, None] & p[None, :])
+            i, j = np.nonzero(near)
+            i += row
+            found.append(forest(r[i[i < j]], r[j[i < j]]))
+    return found
+
+
+def _links(distance: int):
+    """Rows sorted by key and pair in; a forest of the links within the keys out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -189,7 +231,7 @@ def _links(distance: int, dense: int = 48):
             end = len(key) if everything else int(np.searchsorted(both, both[-1]))
             held, rows = ([(key[end:], pair[end:], fp[end:], rep[end:], probe[end:])], len(key) - end) if end < len(key) else ([], 0)
             if end:
-                a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*within(both[:end], fp[:end], rep[:end], probe[:end]), (np.zeros(0, np.int64),) * 2, strict=True))
+                a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*_within(both[:end], fp[:end], rep[:end], probe[:end], distance), (np.zeros(0, np.int64),) * 2, strict=True))
                 if len(a):
                     a, b = forest(a, b)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -213,18 +255,21 @@ def links(distinct: DataFrame, distance: int, block: int = 4096) -> DataFrame:
     ones = np.zeros((64, 64))
     for r in counts:
         ones[r.i, r.j] = r.n
-    parts = plan_parts(distinct.count(), ones, distance)
-    rows = distinct.select("fp", "rep").mapInArrow(_probe(parts), "key long, fp long, rep long, probe boolean")
-    hot = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot-values")
-    if hot.limit(1).count():  # each block meets each other one in some task
-        rows = rows.join(hot, "key", "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("long")
-        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-        rows = rows.withColumn("mine", F.coalesce(mine, F.lit(0).cast("long"))).withColumn("other", other)
-        rows = rows.select("key", (F.least("mine", "other") * F.coalesce(F.col("blocks").cast("long"), F.lit(1).cast("long")) + F.greatest("mine", "other")).alias("pair"), "fp", "rep", "probe")
-    else:
-        rows = rows.select("key", F.lit(0).cast("long").alias("pair"), "fp", "rep", "probe")
-    return rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(trimmed(_links(distance)), "a long, b long")
+    n = distinct.count()
+    parts = plan_parts(n, ones, distance)
+    probes = sum(comb(len(p.bits), t) for p in parts for t in range(p.threshold + 1))
+    buckets = max(1, -(-n * probes // 400_000))
+    packed = distinct.select("fp", "rep").mapInArrow(trimmed(_probe(parts, buckets)), "bucket int, payload binary")
+    found = stored(packed.groupBy("bucket").applyInArrow(_search(distance, block), "a long, b long, key long, fp long, probe boolean"), "near-values")
+    cold, hot = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", "fp", F.col("a").alias("rep"), "probe")
+    if not hot.limit(1).count():
+        return cold
+    # values that many share are cut into blocks; each block meets each other one in some task
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    rows = hot.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("pair"), "fp", "rep", "probe")
+    return cold.union(rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(trimmed(_links(distance)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:

@@ -21,13 +21,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm import storage
-from wavegrid.llm.common import chunks_of, extended, shared_dir, small_batches, split_words, stored, trim, trimmed, utf8, without
+from wavegrid.llm.common import chunks_of, extended, pack, shared_dir, small_batches, split_words, stored, trim, trimmed, unpack, utf8, without
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,32 +38,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Unsigned integer arrays; each is cut into planes of bytes, without those that are zero, and compressed."""
-    parts, head = [], []
-    for name, a in arrays.items():
-        a = np.ascontiguousarray(a, np.uint64)
-        planes = a.view(np.uint8).reshape(-1, 8).T
-        used = 8 - next((i for i in range(8) if planes[7 - i].any()), 8) if len(a) else 0
-        head.append((name, len(a), used))
-        parts += [np.ascontiguousarray(planes[i]).tobytes() for i in range(used)]
-    top = json.dumps(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(top).to_bytes(4, "little"), top, *parts]))
-
-
-def unpack(data: bytes) -> dict[str, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    at, found = 4 + n, {}
-    for name, length, used in json.loads(raw[4:at]):
-        planes = np.zeros((length, 8), np.uint8)
-        for i in range(used):
-            planes[:, i] = np.frombuffer(raw, np.uint8, length, at)
-            at += length
-        found[name] = planes.reshape(-1).view(np.uint64)
-    return found
-
-
 def _deltas(a: np.ndarray) -> np.ndarray:
     return np.diff(a.astype(np.uint64), prepend=np.uint64(0))
 
