@@ -57,7 +57,7 @@ def test_search_loses_no_pair(spark, distance):
     fps = sorted(fps | set(hot))
     signed = [(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fps)]
     df = spark.createDataFrame(signed, "fp long, rep long")
-    found = links(df, distance, block=16)
+    found = links(df, distance, block=16, work=300)
     want = joined(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= distance])
     got = joined(range(len(fps)), [(e.a, e.b) for e in found.collect()])
     assert got == want

@@ -167,20 +167,20 @@ def _probe(parts: list[Part], buckets: int):
     return run
 
 
-def _search(distance: int, block: int):
-    """A bucket in: a forest of the links within its values out (key null), and the rows of values that more than block share."""
+def _search(distance: int, work: int):
+    """A bucket in: a forest of the links within its values out (key null), and the rows of values that take more than work comparisons."""
 
     def run(_, table):
         try:
             parts = [unpack(p) for p in table.column("payload").to_pylist()]
             key = np.concatenate([np.cumsum(p["key"], dtype=np.uint64) for p in parts])
-            order = np.argsort(key)
-            key = key[order]
-            fp, rep, probe = (np.concatenate([p[k] for p in parts])[order] for k in ("fp", "rep", "probe"))
-            rep, probe = rep.view(np.int64), probe.astype(bool)
+            fp, rep, probe = (np.concatenate([p[k] for p in parts]) for k in ("fp", "rep", "probe"))
+            order = np.lexsort((probe, key))  # probes stand last under their value
+            key, fp, rep, probe = key[order], fp[order], rep[order].view(np.int64), probe[order].astype(bool)
             begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(begin, len(key)))
-            hot = np.repeat(size > block, size)
+            entered = np.add.reduceat((~probe).astype(np.int64), begin)
+            hot = np.repeat(entered * size > work, size)
             a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*_within(key[~hot], fp[~hot], rep[~hot], probe[~hot], distance), (np.zeros(0, np.int64),) * 2, strict=True))
             a, b = forest(a, b) if len(a) else (a, b)
             none = pa.nulls(len(a), pa.int64())
@@ -194,7 +194,7 @@ def _search(distance: int, block: int):
 
 
 def _within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarray, distance: int, dense: int = 48) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within each key's rows, which stand together; two probes aren't compared. All links of keys with few rows, a forest for others."""
+    """Links within each key's rows, which stand together, probes last; two probes aren't compared. All links of keys with few rows, a forest for others."""
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(key)))
     sizes = np.repeat(size, size)
@@ -208,10 +208,10 @@ def _within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, probe: np.ndarray,
         found.append((rep[i[near]], rep[j[near]]))
     for b, n in zip(begin[size > dense].tolist(), size[size > dense].tolist(), strict=True):
         f, r, p = fp[b : b + n], rep[b : b + n], probe[b : b + n]
-        for row in range(0, n, 256):
-            near = np.bitwise_count(f[row : row + 256, None] ^ f[None, :]) <= distance
-            near &= ~(p[row : row + 256, None] & p[None, :])
-            i, j = np.nonzero(near)
+        entered = n - int(np.count_nonzero(p))
+        step = max(1, (1 << 20) // n)
+        for row in range(0, entered, step):
+            i, j = np.nonzero(np.bitwise_count(f[row : min(row + step, entered), None] ^ f[None, :]) <= distance)
             i += row
             found.append(forest(r[i[i < j]], r[j[i < j]]))
     return found
@@ -249,8 +249,11 @@ def _links(distance: int):
     return run
 
 
-def links(distinct: DataFrame, distance: int, block: int = 4096) -> DataFrame:
-    """(a, b): ids of fingerprints within the distance; not all pairs, but enough to connect all that are connected. distinct: fp, rep, stored."""
+def links(distinct: DataFrame, distance: int, block: int = 4096, work: int = 1 << 28) -> DataFrame:
+    """(a, b): ids of fingerprints within the distance; not all pairs, but enough to connect all that are connected. distinct: fp, rep, stored.
+
+    A value whose rows take more than work comparisons is split into blocks of about block rows.
+    """
     counts = distinct.select("fp").mapInArrow(_bit_counts, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     ones = np.zeros((64, 64))
     for r in counts:
@@ -260,7 +263,7 @@ def links(distinct: DataFrame, distance: int, block: int = 4096) -> DataFrame:
     probes = sum(comb(len(p.bits), t) for p in parts for t in range(p.threshold + 1))
     buckets = max(1, -(-n * probes // 400_000))
     packed = distinct.select("fp", "rep").mapInArrow(trimmed(_probe(parts, buckets)), "bucket int, payload binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(_search(distance, block), "a long, b long, key long, fp long, probe boolean"), "near-values")
+    found = stored(packed.groupBy("bucket").applyInArrow(_search(distance, work), "a long, b long, key long, fp long, probe boolean"), "near-values")
     cold, hot = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", "fp", F.col("a").alias("rep"), "probe")
     if not hot.limit(1).count():
         return cold
@@ -269,7 +272,7 @@ def links(distinct: DataFrame, distance: int, block: int = 4096) -> DataFrame:
     rows = hot.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("pair"), "fp", "rep", "probe")
-    return cold.union(rows.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(trimmed(_links(distance)), "a long, b long"))
+    return cold.union(rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "probe").mapInArrow(trimmed(_links(distance)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
