@@ -440,7 +440,7 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def dedup_substrings(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, batches: int = 3, index_path: str | None = None,
-    block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, ratio: float = 2.0, seed: int = 0, hash_bits: int = 64,
+    block_bytes: int = 3 << 20, bucket_bytes: int = 10 << 20, ratio: float = 2.0, seed: int = 0, hash_bits: int = 64,
 ) -> DataFrame:
     """docs with n_words, n_removed and clean_text: the text without each word that a window of so many words covers which also starts in an earlier document.
 
@@ -504,13 +504,17 @@ def dedup_substrings(
 
 
 def _by_group(function):
-    """For applyInArrow; memory goes back to the system after each group."""
+    """For applyInArrow; memory goes back to the system after each eighth group, as taking it anew costs time."""
+    groups = 0
 
     def run(key, table):
+        nonlocal groups
         try:
             return function(table)
         finally:
-            if table.nbytes > 1000:
+            groups += table.nbytes > 1000
+            if groups == 8:
+                groups = 0
                 trim()
 
     return run
