@@ -95,6 +95,28 @@ def test_keep_one(docs, rows, empty):
     assert keep_one(empty).count() == 0 and near_duplicates(empty).count() == 0
 
 
+def edited(words: list[str], at: list[int], mark: str) -> str:
+    return " ".join(f"{mark}{k}" if k in at else w for k, w in enumerate(words))
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = set(shingles(a, 5)), set(shingles(b, 5))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("copies", [20, 180])
+def test_copies_that_only_a_third_text_links(spark, copies):
+    """The smallest id is an edited copy, and copies are similar to their base only."""
+    r = random.Random(copies)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = {k: edited(base, [5 + 10 * x for x in r.sample(range(29), 5)], f"c{k}x") for k in range(1, copies + 1)}
+    texts[500] = " ".join(base)
+    texts[501] = " ".join(f"w{r.randrange(10**6)}" for _ in range(300))
+    assert jaccard(texts[1], texts[2]) < 0.8 <= min(jaccard(texts[500], texts[k]) for k in range(1, copies + 1))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in keep_one(df, distance=20).collect()) == [1, 501]
+
+
 def test_only_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "other words here then")], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in near_duplicates(df).collect()) == ["3", "None", "None"]

@@ -331,26 +331,95 @@ def _similar(shingle: int, similarity: float):
     return run
 
 
+def _joined(similarity: float, shingle: int):
+    """Rows sorted by component and pair in; of each such group, a forest of the pairs that are similar enough and have an open text out."""
+
+    def links_of(docs: list[int], opens: list[bool], texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+        size = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, at = np.unique(np.concatenate(sets), return_inverse=True)
+        holders = owner[np.argsort(at, kind="stable")]  # by shingle
+        end = np.cumsum(np.bincount(at, minlength=1))
+        ids, found = np.array(docs), []
+        first = np.cumsum(size) - size
+        for i in np.flatnonzero(opens).tolist():
+            mine = at[first[i] : first[i] + size[i]]
+            both = np.bincount(np.concatenate([holders[end[k - 1] if k else 0 : end[k]] for k in mine.tolist()] or [owner[:0]]), minlength=len(sets))
+            near = np.flatnonzero(both >= similarity * (size[i] + size - both))
+            near = near[ids[near] != ids[i]]
+            found.append((np.full(len(near), ids[i]), ids[near]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return forest(a, b) if len(a) else (a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, ([], [], [])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if any(rows[1]):
+                a, b = links_of(*rows)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for component, pair, doc, rest, text in zip(*(batch.column(i).to_pylist() for i in range(4)), utf8(batch.column(4)), strict=True):
+                if (component, pair) != group:
+                    yield from flush()
+                    group, rows = (component, pair), ([], [], [])
+                for column, value in zip(rows, (doc, rest, text), strict=True):
+                    column.append(value)
+        yield from flush()
+
+    return run
+
+
+def similar_links(linked: DataFrame, texts: DataFrame, body: DataFrame, shingle: int, similarity: float, block: int = 128) -> DataFrame:
+    """(a, b): similar pairs, enough to connect all similar pairs of one component of linked. texts: doc, md5; body: id, md5, text.
+
+    Each link and each text with its component's least is compared first. What that leaves apart from the component's least is open,
+    and is compared with every text of the component, block by block: a component that the first comparison joins is done.
+    """
+    roots = stored(components(linked, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("b")), "candidates")
+    pairs = linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(roots).distinct()
+    one = body.join(texts.select(F.col("doc").alias("id"), "md5"), ["id", "md5"]).select("id", "text")
+    both = pairs.join(one.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    alike = stored(both.select("a", "b", "x", "y").mapInArrow(trimmed(_similar(shingle, similarity)), "a long, b long"), "alike")
+    joined = components(alike, "a", "b")
+    every = roots.select(F.col("a").alias("doc"), F.col("b").alias("component")).union(roots.select("b", "b").distinct())
+    every = every.join(joined, F.col("doc") == F.col("node"), "left").select("doc", "component", (F.coalesce("root", "doc") != F.col("component")).alias("rest"))
+    every = stored(every, "members")
+    sizes = every.groupBy("component").agg(F.count_if("rest").alias("open"), F.count("*").alias("n")).where("open > 0")
+    one_block = F.col("n") <= block
+    sizes = sizes.select("component", F.when(one_block, 1).otherwise(F.ceil(F.col("open") / block)).cast("long").alias("opens"), F.when(one_block, 0).otherwise(F.ceil((F.col("n") - F.col("open")) / block)).cast("long").alias("others"))
+    blocks = F.col("opens") + F.col("others")
+    hashed = F.xxhash64("doc")
+    mine = F.when(F.col("rest") | (F.col("others") == 0), F.pmod(hashed, F.col("opens"))).otherwise(F.col("opens") + F.pmod(hashed, F.greatest("others", F.lit(1))))
+    rows = every.join(sizes, "component").withColumn("mine", mine)
+    meets = F.when(F.col("mine") < F.col("opens"), blocks).otherwise(F.col("opens"))  # two blocks without an open text don't meet
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
+    rows = rows.select("component", (F.least("mine", "other") * blocks + F.greatest("mine", "other")).alias("pair"), "doc", "rest")
+    rows = rows.join(one, F.col("doc") == F.col("id")).select("component", "pair", "doc", "rest", "text").repartition("component", "pair").sortWithinPartitions("component", "pair")
+    return alike.union(stored(rows.mapInArrow(trimmed(_joined(similarity, shingle)), "a long, b long"), "alike"))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group, the document with the smallest id stays.
 
-    Equal texts are one group, and so are texts whose fingerprints are linked within the distance if their sets of shingles have
-    this Jaccard similarity. The links that the search returns are checked, and each linked text against its component's
-    smallest and its fingerprint's smallest id; groups are what the links that pass connect. Documents without words are one group,
-    null texts among them. Rows with a null id stay, and repeated rows of an id that stays.
+    Equal texts are one group, and so are texts with this Jaccard similarity of their sets of shingles if links of fingerprints within
+    the distance connect them, directly or over others: all texts of a component of such links are compared, but for those that
+    similar texts have joined already. Documents without words are one group, null texts among them. Rows with a null id stay, and
+    repeated rows of an id that stays.
     """
     key, text = F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")
-    fps = fingerprints(docs.select(key, text, F.md5(F.coalesce(text, F.lit("null")).cast("binary")).alias("md5")).where("id is not null"), "text", shingle).select("id", "md5", "fp")
+    md5 = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("null")).cast("binary")).alias("md5")
+    fps = fingerprints(docs.select(key, text, md5).where("id is not null"), "text", shingle).select("id", "md5", "fp")
     fps = stored(fps, "fingerprints")
     texts = stored(fps.groupBy("md5").agg(F.min("id").alias("doc"), F.min("fp").alias("fp")), "distinct-texts")
     distinct = stored(texts.groupBy("fp").agg(F.min("doc").alias("rep")), "distinct-fingerprints")
     found = stored(links(distinct, distance), "links")
-    roots = components(found, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("b"))
     same = texts.join(distinct, "fp").where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(roots).union(same).distinct()
-    body = docs.select(key, text).where("id is not null")
-    both = pairs.join(body.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    alike = stored(both.select("a", "b", "x", "y").mapInArrow(trimmed(_similar(shingle, similarity)), "a long, b long"), "alike")
+    body = docs.select(key, md5, text).where("id is not null")
+    alike = similar_links(found.union(same), texts, body, shingle, similarity)
     group = components(alike, "a", "b")
     gone = fps.join(texts.select("md5", "doc"), "md5").join(group, F.col("doc") == F.col("node"), "left").where(F.col("id") != F.coalesce("root", "doc"))
     out = fresh(docs.columns, "wg_gone")
