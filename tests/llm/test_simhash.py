@@ -117,6 +117,21 @@ def test_copies_that_only_a_third_text_links(spark, copies):
     assert sorted(r.doc_id for r in keep_one(df, distance=20).collect()) == [1, 501]
 
 
+def test_similar_pairs_are_found(spark):
+    """Pairs at a similarity of 0.80 to 0.84, of which the distance alone finds less than two thirds."""
+    r = random.Random(8)
+    texts, pairs = {}, []
+    for k in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(200, 400))]
+        at = r.sample(range(len(words) // 10), (len(words) - 4) // 45)
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), edited(words, [5 + 10 * x for x in at], "c")
+        pairs.append(jaccard(texts[2 * k], texts[2 * k + 1]))
+    assert all(0.8 <= j < 0.86 for j in pairs) and sum(j < 0.82 for j in pairs) >= 75
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in keep_one(df).collect()}
+    assert kept >= set(range(0, 300, 2)) and len(kept) <= 151
+
+
 def test_only_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "other words here then")], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in near_duplicates(df).collect()) == ["3", "None", "None"]

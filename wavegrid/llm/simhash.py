@@ -402,12 +402,66 @@ def similar_links(linked: DataFrame, texts: DataFrame, body: DataFrame, shingle:
     return alike.union(stored(rows.mapInArrow(trimmed(_joined(similarity, shingle)), "a long, b long"), "alike"))
 
 
+def _multipliers(count: int) -> np.ndarray:
+    """Odd numbers, the same on every machine."""
+    return np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 7) | 1 for k in range(count)], np.uint64)
+
+
+def band_values(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each band a hash of the least values that so many multiplications of the shingles' hashes have: sets of similarity s agree in one with chance s ** rows."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    factors = _multipliers(bands * rows)
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        part = hashes[i : i + 1024]
+        least = np.minimum(least, (part[None, :] * factors[:, None]).min(axis=1))
+    value = np.arange(bands, dtype=np.uint64)
+    for column in _mix(least).reshape(bands, rows).T:
+        value = _mix(value * np.uint64(0xD6E8FEB86659FD93) + column)
+    return value
+
+
+def band_links(texts: DataFrame, shingle: int, bands: int = 40, rows: int = 8) -> DataFrame:
+    """(a, b): enough to connect all texts that agree in a band. texts: doc, text. At similarity 0.8 a pair agrees in none with chance 6e-4."""
+    buckets = max(1, -(-texts.count() * bands // 400_000))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            values = [band_values(shingle_hashes(t, shingle), bands, rows) for t in utf8(batch.column(1))]
+            key, doc = np.concatenate([*values, np.zeros(0, np.uint64)]), np.repeat(docs, [len(v) for v in values])
+            bucket = ((_mix(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.lexsort((key, bucket))
+            key, doc, bucket = key[order], doc[order], bucket[order]
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
+            out = [(int(bucket[c]), pack(key=np.diff(key[c:d], prepend=np.uint64(0)), doc=doc[c:d].view(np.uint64))) for c, d in zip(cuts[:-1], cuts[1:]) if c < d]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["bucket", "payload"])
+
+    def met(_, table):
+        try:
+            parts = [unpack(p) for p in table.column("payload").to_pylist()]
+            key = np.concatenate([np.cumsum(p["key"], dtype=np.uint64) for p in parts])
+            doc = np.concatenate([p["doc"] for p in parts]).view(np.int64)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            same = np.flatnonzero((key[1:] == key[:-1]) & (doc[1:] != doc[:-1]))
+            a, b = forest(doc[same], doc[same + 1]) if len(same) else (doc[:0], doc[:0])
+            return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        finally:
+            trim()
+
+    packed = texts.select("doc", "text").mapInArrow(trimmed(dealt), "bucket int, payload binary")
+    return packed.groupBy("bucket").applyInArrow(met, "a long, b long")
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 10, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group, the document with the smallest id stays.
 
-    Equal texts are one group, and so are texts with this Jaccard similarity of their sets of shingles if links of fingerprints within
-    the distance connect them, directly or over others: all texts of a component of such links are compared, but for those that
-    similar texts have joined already. Documents without words are one group, null texts among them. Rows with a null id stay, and
+    Equal texts are one group, and so are texts with this Jaccard similarity of their sets of shingles if links connect them, directly
+    or over others: of fingerprints within the distance, and of texts that agree in one of the independent fingerprints of
+    band_links, as the distance alone misses over a third of the pairs at 0.8. All texts of a component of such links are compared,
+    but for those that similar texts have joined already. Documents without words are one group, null texts among them. Rows with a null id stay, and
     repeated rows of an id that stays.
     """
     key, text = F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")
@@ -419,7 +473,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = stored(links(distinct, distance), "links")
     same = texts.join(distinct, "fp").where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     body = docs.select(key, md5, text).where("id is not null")
-    alike = similar_links(found.union(same), texts, body, shingle, similarity)
+    once = body.join(texts.select(F.col("doc").alias("id"), "md5"), ["id", "md5"]).select(F.col("id").alias("doc"), "text")
+    linked = stored(found.union(same).union(band_links(once, shingle)), "links")
+    alike = similar_links(linked, texts, body, shingle, similarity)
     group = components(alike, "a", "b")
     gone = fps.join(texts.select("md5", "doc"), "md5").join(group, F.col("doc") == F.col("node"), "left").where(F.col("id") != F.coalesce("root", "doc"))
     out = fresh(docs.columns, "wg_gone")
