@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 
 import pytest
 
@@ -80,3 +81,16 @@ def test_junk_is_rejected(spark):
         assert sum(out[k] for k in range(200, 300)) >= 95 and out[2000] and out[2001] and out[None]
     nothing = quality.classify(docs, trusted.limit(0))
     assert nothing.where("accepted").count() == len(good + junk + extra)
+
+
+def test_each_language_has_its_own_threshold(spark):
+    """A rare language isn't judged by a common one's looser texts."""
+    r = random.Random(2)
+    noisy = lambda: "".join(chr(r.randrange(33, 400)) for _ in range(120))
+    rows = [(k, noisy() if k % 4 else prose(k, 40), "xx" if k % 4 else "fr", "s", 1) for k in range(400)]
+    docs = spark.createDataFrame(rows + [(1000, noisy(), "fr", "s", 1)], SCHEMA)
+    out = quality.classify(docs, spark.createDataFrame([(k,) for k in range(400)], "doc_id long")).collect()
+    held = {r.lang: max(x.perplexity for x in out if x.lang == r.lang and x.threshold >= x.perplexity) for r in out}
+    bar = {r.lang: r.threshold for r in out}
+    assert bar["fr"] < bar["xx"] and bar == pytest.approx(held)
+    assert not next(r.accepted for r in out if r.doc_id == 1000)

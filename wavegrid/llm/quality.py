@@ -234,11 +234,11 @@ def limited(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, held_out: int = 5, few: int = 100, broadcast_rows: int = 1_000_000) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, held_out: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with perplexity, threshold and accepted. trusted_ids: ids (in id_col) of documents whose text is trusted.
 
-    Of the trusted documents one in held_out, by a hash of the id, gives the thresholds: the quantile of each language's perplexities, or that of all if it is larger
-    and the language has under few such documents. A language without any takes the quantile of all; without any at all every document is accepted. A null language is a language of its own. Documents
+    Of the trusted documents one in held_out, by a hash of the id, gives the thresholds: the quantile of each language's perplexities, however many
+    it has. A language without any takes the quantile of all; without any at all every document is accepted. A null language is a language of its own. Documents
     without text have no perplexity and are accepted. Columns named like a result are replaced. Repeated ids count each time.
     """
     small_batches(docs.sparkSession)
@@ -250,9 +250,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id",
     known = stored(perplexity(trusted.where(apart), model).select("lang", "perplexity").where("perplexity is not null"), "trusted-perplexity")
     every = known.agg(F.percentile_approx("perplexity", quantile, 100_000)).first()[0]
     language = fresh(docs.columns, "wg_lang")
-    own = F.percentile_approx("perplexity", quantile, 100_000)
-    threshold = F.when(F.count("*") < few, F.greatest(own, F.lit(every).cast("double"))).otherwise(own)
-    thresholds = known.groupBy(F.col("lang").alias(language)).agg(threshold.alias("threshold"))
+    thresholds = known.groupBy(F.col("lang").alias(language)).agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
     scored = perplexity(docs, model, text_col=text_col)
     scored = scored.join(limited(thresholds, broadcast_rows), F.col(f"`{lang_col}`").eqNullSafe(F.col(language)), "left").drop(language)
     threshold = F.coalesce("threshold", F.lit(every).cast("double"))
