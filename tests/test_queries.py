@@ -74,3 +74,22 @@ def test_analysis_agrees_with_the_codec(spark):
     for b in blocks:
         s = fr.analyse(np.array(b.xs, np.int64), 17, 44100, profile)
         assert bits[b.user_id, b.frame] == (s.kind, s.order if s.kind == "fixed" else None, s.bits) or s.kind == "constant"
+
+
+#: The SQL's cuts, and what stands for the whole.
+WHOLE = {
+    **dict.fromkeys(["q_comments_visible", "q_comments_group", "q_comments_replace", "q_comments_listagg"], [("substring(text, 1, 40)", "text")]),
+    "q_comment_split": [("substring(CASE turn", "(CASE turn"), ("END, 1, 60)", "END)")],
+    "q_text_projection": [("substring(text, 1, 8)", "text")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_input(spark, engine, name):
+    sql = SQL[name]
+    for cut, whole in WHOLE[name]:
+        sql = sql.replace(cut, whole)
+    found = QUERIES[name](spark, SF)
+    names = sorted(found.columns)
+    want = engine.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in names)} FROM ({sql})").fetchall()
+    assert ordered(map(tuple, found.select(*[f"`{c}`" for c in names]).collect())) == ordered(want)

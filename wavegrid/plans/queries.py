@@ -440,7 +440,7 @@ def q_progress_text(spark, sf_dir):
 
 def _comments(spark, sf_dir) -> DataFrame:
     c = A.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", F.col("turn").alias("pos"), F.upper("role").alias("key"), F.substring("text", 1, 40).alias("value"))
+    return c.select("conv_id", F.col("turn").alias("pos"), F.upper("role").alias("key"), F.col("text").alias("value"))
 
 
 @query
@@ -448,7 +448,7 @@ def q_comment_split(spark, sf_dir):
     c = A.table(spark, sf_dir, "conversations")
     entry = F.when(F.col("turn") % 5 == 0, F.col("text")).when(F.col("turn") % 5 == 1, F.concat(F.lit("="), F.col("text"))).otherwise(F.concat_ws("=", "role", "text"))
     key, value = metadata.split_comment(F.col("entry"))
-    return c.select("conv_id", "turn", F.substring(entry, 1, 60).alias("entry")).select("conv_id", "turn", key.alias("key"), value.alias("value"))
+    return c.select("conv_id", "turn", entry.alias("entry")).select("conv_id", "turn", key.alias("key"), value.alias("value"))
 
 
 @query
@@ -507,7 +507,7 @@ def q_info_projection(spark, sf_dir):
 def q_text_projection(spark, sf_dir):
     """INFO chunks as AIFF texts and CAF keys."""
     ids = F.element_at(F.array(*map(F.lit, [*metadata.INFO_KEYS, "XXXX"])), (F.col("turn") % 10 + 1).cast("int"))
-    c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("chunk"), F.when(F.col("conv_id") % 2 == 0, "1999").otherwise(F.substring("text", 1, 8)).alias("value"))
+    c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("chunk"), F.when(F.col("conv_id") % 2 == 0, "1999").otherwise(F.col("text")).alias("value"))
     return c.select("conv_id", "turn", "chunk", metadata.aiff_text(F.col("chunk")).alias("aiff"), metadata.caf_key(F.col("chunk"), F.col("value")).alias("caf"))
 
 
