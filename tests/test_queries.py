@@ -81,6 +81,7 @@ WHOLE = {
     **dict.fromkeys(["q_comments_visible", "q_comments_group", "q_comments_replace", "q_comments_listagg"], [("substring(text, 1, 40)", "text")]),
     "q_comment_split": [("substring(CASE turn", "(CASE turn"), ("END, 1, 60)", "END)")],
     "q_text_projection": [("substring(text, 1, 8)", "text")],
+    "q_cue_points": [(" FROM ev WHERE i < 20", " FROM ev")],
 }
 
 

@@ -520,8 +520,8 @@ def q_cue_normalise(spark, sf_dir):
 @query
 def q_cue_points(spark, sf_dir):
     e = A.sig_events(spark, sf_dir)
-    tracks = e.where("i < 20").select("user_id", F.col("i").alias("track"), (F.expr("i div 2") * 588).alias("offset"))
-    indexes = e.where("i < 20 and i % 3 = 0").select("user_id", F.col("i").alias("track"), (F.col("i") % 2).alias("number"), F.lit(588).cast("bigint").alias("offset"))
+    tracks = e.select("user_id", F.col("i").alias("track"), (F.expr("i div 2") * 588).alias("offset"))
+    indexes = e.where("i % 3 = 0").select("user_id", F.col("i").alias("track"), (F.col("i") % 2).alias("number"), F.lit(588).cast("bigint").alias("offset"))
     return metadata.cue_points(tracks, indexes, U)
 
 
