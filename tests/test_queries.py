@@ -82,6 +82,7 @@ WHOLE = {
     "q_comment_split": [("substring(CASE turn", "(CASE turn"), ("END, 1, 60)", "END)")],
     "q_text_projection": [("substring(text, 1, 8)", "text")],
     "q_cue_points": [(" FROM ev WHERE i < 20", " FROM ev")],
+    "q_reconcile": [("WHERE user_id % 5 <> 0)", "WHERE user_id % 5 <> 0 OR user_id % 7 = 0)")],
 }
 
 
@@ -94,3 +95,8 @@ def test_whole_input(spark, engine, name):
     names = sorted(found.columns)
     want = engine.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in names)} FROM ({sql})").fetchall()
     assert ordered(map(tuple, found.select(*[f"`{c}`" for c in names]).collect())) == ordered(want)
+
+
+def test_every_stream_is_reconciled(spark, engine):
+    found = [r.user_id for r in QUERIES["q_reconcile"](spark, SF).collect()]
+    assert sorted(found) == [u for (u,) in engine.execute("SELECT DISTINCT user_id FROM events ORDER BY 1").fetchall()]
