@@ -348,11 +348,11 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
     docs = without(docs, ["ids"])
     length = F.coalesce(F.length(f"`{text_col}`"), F.lit(0))
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    short = docs.where(length <= piece).mapInArrow(trimmed(_encode_rows(path, text_col)), schema_with(docs, [ids]))
+    short = docs.where(length <= piece).mapInArrow(trimmed(_encode_rows(path, text_col), "bpe"), schema_with(docs, [ids]))
     row = fresh(docs.columns, "wg_row")
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
     pieces = docs.where(length > piece).mapInArrow(_cut_long(text_col, row, piece), T.StructType([*nullable.fields, T.StructField(row, T.LongType()), T.StructField(f"{row}_part", T.IntegerType())]))
-    encoded = pieces.repartition(row, f"{row}_part").mapInArrow(_encode_pieces(path, text_col, row), schema_with(pieces, [ids, T.StructField(f"{row}_spans", T.ArrayType(T.IntegerType()))]))
+    encoded = pieces.repartition(row, f"{row}_part").mapInArrow(trimmed(_encode_pieces(path, text_col, row), "bpe"), schema_with(pieces, [ids, T.StructField(f"{row}_spans", T.ArrayType(T.IntegerType()))]))
     long = encoded.groupBy(row).applyInArrow(_join_pieces(path, text_col, row), T.StructType([*nullable.fields, ids]))
     return short.union(long)
 
@@ -369,7 +369,7 @@ def decode(tokens: DataFrame, *, ids_col: str = "ids", path: str | None = None)
                 table = pa.Table.from_batches([batch.slice(begin, 500)]).combine_chunks()
                 yield from extended(table, {"decoded": d.decoded(table.column(ids_col).chunk(0))})
 
-    return tokens.mapInArrow(trimmed(run), schema_with(tokens, [T.StructField("decoded", T.StringType())]))
+    return tokens.mapInArrow(trimmed(run, "bpe"), schema_with(tokens, [T.StructField("decoded", T.StringType())]))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,11 +51,11 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-_HELD: tuple[Hashable, Any] = (None, None)
+_HELD: tuple[tuple[Hashable, ...] | None, Any] = (None, None)
 
 
-def held(key: Hashable, make: Callable[[], Any]) -> Any:
-    """What make() gives, kept by the worker process for its next tasks until another key is asked for: workers go from operator to operator."""
+def held(key: tuple[Hashable, ...], make: Callable[[], Any]) -> Any:
+    """What make() gives, kept by the worker process for its next tasks until another key is asked for, or a task of an operator with another key begins."""
     global _HELD
     if _HELD[0] != key:
         _HELD = (None, None)
@@ -63,11 +63,22 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _HELD[1]
 
 
-def trimmed(run):
-    """A task's function that gives its memory back to the system when it ends; the worker process lives on."""
+def released(keeps: str | None = None) -> None:
+    """Forgets what held() keeps, unless its key begins with keeps."""
+    global _HELD
+    if _HELD[0] is not None and (keeps is None or _HELD[0][0] != keeps):
+        _HELD = (None, None)
+        gc.collect()
+        trim()
+
+
+def trimmed(run, keeps: str | None = None):
+    """A task's function that gives its memory back to the system when it ends; the worker process lives on. What an earlier operator's tasks
+    hold goes before it begins, unless its key begins with keeps."""
 
     @wraps(run)
     def task(batches):
+        released(keeps)
         try:
             yield from run(batches)
         finally:

@@ -129,7 +129,7 @@ def decontaminate(
         passes += 1
         if passes > 1:
             df = stored(df, "decontaminate")
-    return df.mapInArrow(_spans(text_col, hidden, with_clean_text), T.StructType([f for f in df.schema.fields if not f.name.startswith(hidden)] + [
+    return df.mapInArrow(trimmed(_spans(text_col, hidden, with_clean_text)), T.StructType([f for f in df.schema.fields if not f.name.startswith(hidden)] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span)]
         + [T.StructField("clean_text", T.StringType())] * with_clean_text))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import extended, fresh, pack, schema_with, small_batches, stored, trim, trimmed, unpack, utf8, without
+from wavegrid.llm.common import extended, fresh, pack, released, schema_with, small_batches, stored, trim, trimmed, unpack, utf8, without
 from wavegrid.llm.components import components, forest
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -171,6 +171,7 @@ def _search(distance: int, work: int):
     """A bucket in: a forest of the links within its values out (key null), and the rows of values that take more than work comparisons."""
 
     def run(_, table):
+        released()
         try:
             parts = [unpack(p) for p in table.column("payload").to_pylist()]
             key = np.concatenate([np.cumsum(p["key"], dtype=np.uint64) for p in parts])
@@ -439,6 +440,7 @@ def band_links(texts: DataFrame, shingle: int, bands: int = 40, rows: int = 8) -
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["bucket", "payload"])
 
     def met(_, table):
+        released()
         try:
             parts = [unpack(p) for p in table.column("payload").to_pylist()]
             key = np.concatenate([np.cumsum(p["key"], dtype=np.uint64) for p in parts])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm import storage
-from wavegrid.llm.common import chunks_of, extended, pack, shared_dir, small_batches, split_words, stored, trim, trimmed, unpack, utf8, without
+from wavegrid.llm.common import chunks_of, extended, pack, released, shared_dir, small_batches, split_words, stored, trim, trimmed, unpack, utf8, without
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -509,6 +509,7 @@ def _by_group(function):
 
     def run(key, table):
         nonlocal groups
+        released()
         try:
             return function(table)
         finally:

@@ -260,7 +260,7 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", path: str | None =
             texts = utf8(table.column(text_col))
             yield from extended(table, {"n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": pa.array(compiled.counts(texts, table_of))})
 
-    return docs.mapInArrow(trimmed(run), schema_with(docs, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+    return docs.mapInArrow(trimmed(run, "counts"), schema_with(docs, [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

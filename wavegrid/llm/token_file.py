@@ -182,7 +182,7 @@ def write(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str =
         if now is not None:
             yield done()
 
-    rows = docs.select(key.alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(encode), "segment int, doc long, ids binary, wide boolean")
+    rows = docs.select(key.alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(encode, "bpe"), "segment int, doc long, ids binary, wide boolean")
     rows = rows.repartition(2 * len(bounds) + 2, "segment").sortWithinPartitions("segment", "doc", "ids")
     return stored(rows.mapInArrow(trimmed(save), "segment int, uri string, docs long, tokens long"), "token-segments")
 
