@@ -68,6 +68,55 @@ def test_astral_characters_and_no_text(spark, empty):
     assert quality.perplexity(empty, model).count() == 0
 
 
+def test_all_characters_are_apart(spark):
+    """Beyond 16 bits too, and U+FFFF is a character like others."""
+    r = random.Random(5)
+    some = ["😀", "🦊", chr(0x1F600 + 2048), chr(0xFFFF), "a", "b", " ", chr(0x10FFFF)]
+    texts = ["".join(r.choice(some) for _ in range(60)) for _ in range(30)]
+    brute = Brute([t.replace(MARK, "\0") for t in texts])
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [*texts[:3], "😀" + chr(0x1F600 + 2048) + "x" + chr(0xFFFF), chr(0x20000) * 5, "", None]
+    out = quality.perplexity(spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "k int, text string"), model, block_bytes=100).collect()
+    for row in out:
+        want = brute.perplexity((row.text or "").replace(MARK, "\0"))
+        assert row.perplexity == pytest.approx(want, rel=1e-9) if want else row.perplexity is None
+
+
+def test_more_characters_than_16_bits():
+    text = "".join(chr(c) for c in range(32, 0x11000) if not 0xD800 <= c < 0xE000) * 2
+    g = quality.Grams([text.encode(), b"", b"aa"])
+    a, counts = quality.codes([text.encode(), b"", b"aa"])
+    want = collections.Counter()
+    at = 0
+    for n in counts.tolist():
+        part = a[at : at + n + 3].tolist()
+        want.update(tuple(part[i : i + 4]) for i in range(n))
+        at += n + 3
+    found = {(h >> 42, h >> 21 & 0x1FFFFF, h & 0x1FFFFF, c): n for h, c, n in zip(g.context.tolist(), g.last.tolist(), g.n.tolist(), strict=True)}
+    assert found == dict(want) and len(g.place) == counts.sum()
+    i = 0x3000
+    assert (int(g.context[g.place[i]]), int(g.last[g.place[i]])) == (ord(text[i - 3]) << 42 | ord(text[i - 2]) << 21 | ord(text[i - 1]), ord(text[i]))
+
+
+def test_the_query(spark, tmp_path):
+    """Perplexities, thresholds and decisions, against the formulas."""
+    rows = [(k, prose(k, 30) if k % 5 else prose(k, 20).upper() + "##", ["en", "de"][k % 2], "s", 1) for k in range(80)] + [(90, None, "en", "s", 1), (91, "", "fr", "s", 1), (92, "zz", "fr", "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 5 > 0), int(k % 7 == 0)) for k in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r for r in quality.op6_quality_classifier(spark, str(tmp_path)).collect()}
+    apart = {r.doc_id for r in spark.createDataFrame(rows, SCHEMA).where("pmod(xxhash64(cast(doc_id as string)), 5) = 0").collect()}
+    trusted = [(d, t, lang) for d, t, lang, *_ in rows if d < 80 and d % 5 and d % 7]
+    brute = Brute([t for d, t, _ in trusted if d not in apart])
+    held = [(lang, brute.perplexity(t)) for d, t, lang in trusted if d in apart]
+    at = lambda values: sorted(values)[max(0, math.ceil(0.99 * len(values)) - 1)]
+    bar = {lang: at([p for x, p in held if x == lang]) for lang in {x for x, _ in held}}
+    assert len(out) == len(rows) and bar
+    for d, t, lang, *_ in rows:
+        p, limit = brute.perplexity(t or ""), bar.get(lang, at([p for _, p in held]))
+        assert out[d].threshold == pytest.approx(limit, abs=2e-6) and out[d].accepted == (p is None or p <= limit * (1 + 1e-12))
+        assert out[d].perplexity == pytest.approx(p, abs=2e-6) if p else out[d].perplexity is None
+
+
 def test_junk_is_rejected(spark):
     good = [(k, prose(k, 60), ["en", "de"][k % 2], "s", 1) for k in range(300)]
     junk = [(1000 + k, " ".join(w.upper() + "!!###" for w in prose(k, 40).split()), ["en", "de", None, "xx"][k % 4], "s", 1) for k in range(40)]

@@ -88,6 +88,19 @@ def trimmed(run, keeps: str | None = None):
     return task
 
 
+def trimmed_group(run):
+    """The same for a function of two groups."""
+
+    def task(left, right):
+        released()
+        try:
+            return run(left, right)
+        finally:
+            trim()
+
+    return task
+
+
 def trim() -> None:
     """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
@@ -111,6 +124,11 @@ def dropped(df: DataFrame, path: str) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def limited(df: DataFrame, most: int) -> DataFrame:
+    """df, marked to be broadcast if it has at most so many rows; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fresh(names: Iterable[str], wanted: str) -> str:
     """wanted, or with underscores before it until no name equals it (Spark's names ignore case)."""
     taken = {n.lower() for n in names}

@@ -4,84 +4,128 @@ Tasks count the n-grams of trusted documents and send each distinct one once; th
 Lower orders count in how many n-grams of the next order each is the end. Discounts follow from how often counts of 1 to 4
 occur; a context's totals and the next lower order's probabilities reach its n-grams by joins of those sharded counts.
 
-To score documents the finished model is cut into shards of bounded size such that all that a position needs is in one shard;
-each shard is broadcast and one pass over the documents adds what the shard's positions contribute. A model that fits one shard
-takes one pass. A document is accepted if its perplexity is at most its language's quantile among trusted documents
-that the model was not trained on.
+Documents are scored by joins too. They are cut into blocks; each block sends its distinct n-grams, and the distinct ones of all
+blocks meet the model's shards, order by order. What that gives is joined with each block's n-grams, and goes back to the block,
+whose documents add up their positions. No task needs more of the model than its block's n-grams, and none of it is broadcast.
+A document is accepted if its perplexity is at most its language's quantile among trusted documents that the model was not trained on.
+
+An n-gram is two numbers: the characters before the last, in 21 bits each, and the last.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import chunks_of, extended, fresh, schema_with, small_batches, stored, trimmed, utf8, without
+from wavegrid.llm.common import chunks_of, fresh, limited, schema_with, small_batches, stored, trimmed, trimmed_group, utf8, without
 
 ORDER = 4
 #: What stands before a text: no character has this code.
-BEGIN = 0xFFFF
-_BITS = 16
+BEGIN = 0x110000
+_BITS = 21
 
 
 def codes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' characters in 16 bits, ORDER - 1 marks before each text, and how many characters each text has. Characters
-    beyond 16 bits share 2,048 codes that no character has."""
+    """All texts' characters, ORDER - 1 marks before each text, and how many characters each text has."""
     parts, counts = [], np.zeros(len(texts), np.int64)
     mark = np.full(ORDER - 1, BEGIN, np.uint32)
     for i, t in enumerate(texts):
         c = np.frombuffer(t.decode().encode("utf-32-le"), np.uint32) if t else np.zeros(0, np.uint32)
         counts[i] = len(c)
         parts += [mark, c]
-    a = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64)
-    return np.where(a > 0xFFFF, 0xD800 + a % 2048, a).astype(np.uint64), counts
-
+    return np.concatenate([*parts, np.zeros(0, np.uint32)]), counts
 
-def grams(a: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The n-gram of ORDER characters that ends at each character, in text order."""
-    at = np.arange(int(counts.sum())) + np.repeat((ORDER - 1) * np.arange(1, len(counts) + 1), counts)
-    key = np.zeros(len(at), np.uint64)
-    for j in range(ORDER - 1, -1, -1):
-        key = (key << np.uint64(_BITS)) | a[at - j]
-    return key
 
+class Grams:
+    """The distinct n-grams of ORDER characters of some texts: contexts and last characters in order, counts, and for each character of the texts
+    the place of the n-gram that ends there."""
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, for each key its place among them, and their counts."""
-    order = np.argsort(keys)
-    s = keys[order]
-    begin = np.ones(len(s), bool)
-    begin[1:] = s[1:] != s[:-1]
-    place = np.empty(len(s), np.int64)
-    place[order] = np.cumsum(begin) - 1
-    at = np.flatnonzero(begin)
-    return s[at], place, np.diff(np.append(at, len(s)))
+    def __init__(self, texts: list[bytes | None]):
+        a, self.counts = codes(texts)
+        at = np.arange(int(self.counts.sum())) + np.repeat((ORDER - 1) * np.arange(1, len(texts) + 1), self.counts)
+        parts = []
+        for begin in range(0, len(at), 1 << 22):
+            parts += self._of(a, at[begin : begin + (1 << 22)])
+        if len(parts) == 1:
+            self.context, self.last, self.place, self.n = parts[0]
+        else:
+            self.context, self.last, self.n, places = merged([(c, x, n) for c, x, _, n in parts])
+            self.place = np.concatenate([p[q] for p, (_, _, q, _) in zip(places, parts, strict=True)] or [np.zeros(0, np.int64)])
+
+    @staticmethod
+    def _of(a: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Of the positions at, which are few enough or cut until they have under 65,536 different characters: then an n-gram is one number."""
+        low = int(at[0]) - ORDER + 1
+        part = a[low : int(at[-1]) + 1]
+        there = np.zeros(BEGIN + 1, bool)
+        there[part] = True
+        known = np.flatnonzero(there)
+        if len(known) > 1 << 16:
+            middle = len(at) // 2
+            return [*Grams._of(a, at[:middle]), *Grams._of(a, at[middle:])]
+        number = np.zeros(BEGIN + 1, np.uint64)
+        number[known] = np.arange(len(known), dtype=np.uint64)
+        short = number[part]
+        key = np.zeros(len(at), np.uint64)
+        for j in range(ORDER - 1, -1, -1):
+            key = (key << np.uint64(16)) | short[at - (low + j)]
+        order = np.argsort(key)
+        s = key[order]
+        first = np.ones(len(s), bool)
+        first[1:] = s[1:] != s[:-1]
+        place = np.empty(len(s), np.int64)
+        place[order] = np.cumsum(first) - 1
+        begins = np.flatnonzero(first)
+        s = s[begins]
+        context = np.zeros(len(s), np.int64)
+        for j in range(ORDER - 1, 0, -1):
+            context = (context << _BITS) | known[((s >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.int64)]
+        return [(context, known[(s & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int32), place, np.diff(np.append(begins, len(key))))]
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Contexts, last characters and counts of all parts, in order; and for each part's n-grams their places."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), []
+    context, last, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((last, context))
+    c, x = context[order], last[order]
+    first = np.ones(len(c), bool)
+    first[1:] = (c[1:] != c[:-1]) | (x[1:] != x[:-1])
+    place = np.empty(len(c), np.int64)
+    place[order] = np.cumsum(first) - 1
+    total = np.bincount(place, n, int(first.sum())).astype(np.int64)
+    return c[first], x[first], total, np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+
+def _last_of(context: Column, characters: int) -> Column:
+    """The last characters of a context; none is 0."""
+    return context.bitwiseAND(F.lit((1 << (_BITS * characters)) - 1)) if characters else F.lit(0).cast("long")
 
 
 def count_grams(docs: DataFrame, text_col: str, batch_bytes: int = 2 << 20, most: int = 2_000_000) -> DataFrame:
-    """(key, n): how often each n-gram of ORDER characters occurs. A task keeps about most n-grams before it sends them on."""
+    """(h, c, n): how often each n-gram of ORDER characters occurs. A task keeps about most n-grams before it sends them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held_keys.view(np.int64)), pa.array(held_counts)], ["key", "n"])
+            h, c, n = held[0] if held else merged([])[:3]
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(n)], ["h", "c", "n"])
 
         for table in chunks_of(batches, text_col, batch_bytes):
-            keys, _, n = distinct(grams(*codes(utf8(table.column(text_col)))))
-            both, place, _ = distinct(np.concatenate((held_keys, keys)))
-            held_counts = np.bincount(place, np.concatenate((held_counts, n)), len(both)).astype(np.int64)
-            held_keys = both
-            if len(held_keys) > most:
+            g = Grams(utf8(table.column(text_col)))
+            held = [merged([*held, (g.context, g.last, g.n)])[:3]]
+            if len(held[0][0]) > most:
                 yield row()
-                held_keys, held_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                held = []
         yield row()
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(trimmed(run), "h long, c int, n long").groupBy("h", "c").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -94,144 +138,131 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def train(trusted: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(kind, order, key, value), stored: kind 0 has an n-gram's log probability, kind 1 a context's log weight of the lower order.
+    """(kind, order, h, c, value), stored: kind 0 has an n-gram's log probability, kind 1 a context's log weight of the lower order (c is 0).
 
     Null and empty texts add nothing; without any text the model has no rows.
     """
     counts = stored(count_grams(trusted, text_col), "ngrams")
     orders = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
-        low = F.col("key").bitwiseAND(F.lit((1 << (_BITS * n)) - 1)) if n < 4 else F.col("key")
-        orders[n] = stored(orders[n + 1].select(low.alias("key")).groupBy("key").agg(F.count("*").alias("n")), "ngrams")
+        orders[n] = stored(orders[n + 1].select(_last_of(F.col("h"), n - 1).alias("h"), "c").groupBy("h", "c").agg(F.count("*").alias("n")), "ngrams")
     symbols = orders[1].count() + 1
     parts: list[DataFrame] = []
     lower: DataFrame | None = None
     for n in range(1, ORDER + 1):
         d = _discounts(orders[n])
         discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = orders[n].withColumn("h", F.shiftrightunsigned("key", _BITS)).withColumn("d", discount)
+        rows = orders[n].withColumn("d", discount)
         contexts = rows.groupBy("h").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("g"))
         if n == 1:
             only = contexts.first()  # of the empty context
             total, g = (only.total, only.g) if only else (1, 1.0)
             rows = rows.withColumn("total", F.lit(total)).withColumn("g", F.lit(g)).withColumn("below", F.lit(1 / symbols))
         else:
-            suffix = F.col("key").bitwiseAND(F.lit((1 << (_BITS * (n - 1))) - 1))
-            rows = rows.join(contexts, "h").withColumn("suffix", suffix).join(lower, "suffix")
-        lower = stored(rows.select("key", ((F.col("n") - F.col("d")) / F.col("total") + F.col("g") * F.col("below")).alias("p")), "ngrams")
-        parts.append(lower.select(F.lit(0).alias("kind"), F.lit(n).alias("order"), "key", F.log("p").alias("value")))
-        parts.append(contexts.select(F.lit(1).alias("kind"), F.lit(n).alias("order"), F.col("h").alias("key"), F.log(F.greatest("g", F.lit(1e-300))).alias("value")))
-        lower = lower.select(F.col("key").alias("suffix"), F.col("p").alias("below"))
+            rows = rows.join(contexts, "h").withColumn("low", _last_of(F.col("h"), n - 2)).join(lower, ["low", "c"])
+        lower = stored(rows.select("h", "c", ((F.col("n") - F.col("d")) / F.col("total") + F.col("g") * F.col("below")).alias("p")), "ngrams")
+        parts.append(lower.select(F.lit(0).alias("kind"), F.lit(n).alias("order"), "h", "c", F.log("p").alias("value")))
+        parts.append(contexts.select(F.lit(1).alias("kind"), F.lit(n).alias("order"), "h", F.lit(0).alias("c"), F.log(F.greatest("g", F.lit(1e-300))).alias("value")))
+        lower = lower.select(F.col("h").alias("low"), "c", F.col("p").alias("below"))
     model = parts[0]
     for p in parts[1:]:
         model = model.union(p)
     return stored(model, "model")
 
 
-class Shard:
-    """A model's shard in sorted arrays."""
-
-    def __init__(self, rows: pa.Table):
-        self.tables = {}
-        kind, order, key, value = (rows.column(c).to_numpy() for c in ("kind", "order", "key", "value"))
-        key = key.view(np.uint64)
-        for k in (0, 1):
-            for n in range(1, ORDER + 1):
-                i = np.flatnonzero((kind == k) & (order == n))
-                i = i[np.argsort(key[i])]
-                self.tables[k, n] = key[i], value[i]
-        self.unseen = -math.log(len(self.tables[0, 1][0]) + 1)
-
-    def _find(self, kind: int, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, value = self.tables[kind, n]
-        if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return known[i] == keys, value[i]
-
-    def log_probability(self, keys: np.ndarray) -> np.ndarray:
-        """Of the last character of each n-gram of ORDER, given the others."""
-        out = np.full(len(keys), self.unseen)
-        for n in range(1, ORDER + 1):
-            key = keys & np.uint64((1 << (_BITS * n)) - 1) if n < 4 else keys
-            seen, p = self._find(0, n, key)
-            context, g = self._find(1, n, key >> np.uint64(_BITS))
-            out = np.where(seen, p, np.where(context, g + out, out))
-        return out
-
-
-def _shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
-    mixed = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return mixed % np.uint64(shards)
-
-
-def _shards(model: DataFrame, shard_bytes: int) -> tuple[int, Iterator[pa.Table]]:
-    """How many shards there are, and each in turn. A row goes by the two characters before the last of a position; rows that know only one of them go everywhere."""
+def _shards(model: DataFrame, shard_bytes: int) -> tuple[int, int]:
+    """Into how many shards the n-grams and the model are dealt for their joins, such that each has about shard_bytes of the model; the model's rows."""
     rows = model.count()
-    count = max(1, -(-rows * 24 // shard_bytes))
+    return max(1, -(-rows * 24 // shard_bytes)), rows
 
-    def each() -> Iterator[pa.Table]:
-        for s in range(count):
-            if count == 1:
-                yield model.toArrow()
-                continue
-            context = F.when(F.col("kind") == 0, F.shiftrightunsigned("key", _BITS)).otherwise(F.col("key"))
-            length = F.col("order") - 1
-            pair = context.bitwiseAND(F.lit((1 << (2 * _BITS)) - 1))
-            known = model.withColumn("pair", F.when(length >= 2, pair)).mapInArrow(_keep(s, count), T.StructType([*model.schema.fields, T.StructField("pair", T.LongType())]))
-            yield known.drop("pair").toArrow()
 
-    return count, each()
+def log_probabilities(grams: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """grams (h, c, distinct) with p, the log probability of c after h: that of the longest end of the n-gram that the model knows, and the weights of the contexts it leaves."""
+    usual = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = lambda kind, n: model.where(f"kind = {kind} and `order` = {n}")
+    dealt = lambda rows, *by: rows.repartition(shards, *by) if shards > usual else rows  # noqa: E731  else as many shards as Spark deals by itself
+    unseen = F.lit(-float(np.log(known(0, 1).count() + 1)))
+    df, p = grams, unseen
+    for n in range(1, ORDER + 1):
+        low = f"h{n}"
+        df = df.withColumn(low, _last_of(F.col("h"), n - 1))
+        if n == 1:  # the empty context has one row
+            only = known(1, 1).first()
+            df = df.withColumn("g1", F.lit(only.value if only else None).cast("double"))
+        else:
+            df = dealt(df, low).join(known(1, n).select(F.col("h").alias(low), F.col("value").alias(f"g{n}")), low, "left")
+        df = dealt(df, low, "c").join(known(0, n).select(F.col("h").alias(low), "c", F.col("value").alias(f"p{n}")), [low, "c"], "left")
+        p = F.coalesce(f"p{n}", F.col(f"g{n}") + p, p)
+    return df.select("h", "c", p.alias("p"))
+
 
+def _blocks(text_col: str, block_bytes: int):
+    """Rows in; out of each block its rows (packed) and its distinct n-grams."""
 
-def _keep(shard: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair = batch.column(batch.schema.get_field_index("pair"))
-            everywhere = np.asarray(pair.is_null())
-            which = _shard_of(pair.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), count)
-            yield batch.filter(pa.array(everywhere | (which == shard)))
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, table in enumerate(chunks_of(batches, text_col, block_bytes)):
+            grams = [Grams(utf8(some.column(text_col))) for some in chunks_of(table.to_batches(), text_col, 1 << 20)]
+            h, c, _, _ = merged([(g.context, g.last, g.n) for g in grams])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            number = (part << 24) | k
+            for begin in range(0, max(1, len(h)), 50_000):
+                few = slice(begin, begin + 50_000)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x[few])], pa.int32()), pa.array(x[few])) for x in (h, c)]
+                body = pa.array([out.getvalue().to_pybytes() if begin == 0 else None], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), body, *lists], ["block", "body", "h", "c"])
 
     return run
 
 
-def perplexity(docs: DataFrame, model: DataFrame, *, text_col: str = "text", shard_bytes: int = 32 << 20, batch_bytes: int = 2 << 20) -> DataFrame:
-    """docs with perplexity, per character of the whole text; null for null and empty texts. A column of that name is replaced."""
-    docs = without(docs, ["perplexity"])
-    hidden = fresh(docs.columns, "wg_log")
-    count, shards = _shards(model, shard_bytes)
-    df = docs.withColumn(hidden, F.lit(0.0))
-    for s, rows in enumerate(shards):
-        sent = docs.sparkSession.sparkContext.broadcast(Shard(rows))
-        df = df.mapInArrow(trimmed(_add(text_col, hidden, sent, s, count, batch_bytes)), df.schema)
-        if count > 1:
-            df = stored(df, "perplexity")
-    length = F.length(f"`{text_col}`")
-    return df.withColumn("perplexity", F.when(length > 0, F.exp(-F.col(hidden) / length))).drop(hidden)
+def _scored(text_col: str, schema: T.StructType):
+    """A block's packed rows, and its n-grams with their log probabilities, in; the rows with the sum over their positions out."""
+
+    def run(bodies: pa.Table, grams: pa.Table) -> pa.Table:
+        h, c, p = (grams.column(k).to_numpy() for k in ("h", "c", "p"))
+        order = np.lexsort((c, h))
+        h, c, p = h[order], c[order], p[order]
+        out = []
+        for body in bodies.column("body").to_pylist():
+            rows = pa.ipc.open_stream(body).read_all()
+            for some in chunks_of(rows.to_batches(), text_col, 1 << 20):
+                g = Grams(utf8(some.column(text_col)))
+                value, sums, any_ = p[_places(h, c, g.context, g.last)][g.place], np.zeros(len(g.counts)), g.counts > 0
+                if any_.any():  # a document's sum is the same, whatever stands beside it
+                    sums[any_] = np.add.reduceat(value, (np.cumsum(g.counts) - g.counts)[any_])
+                out.append(some.append_column(schema.names[-1], pa.array(sums)))
+        return pa.concat_tables(out)
 
+    return run
 
-def _add(text_col: str, hidden: str, sent, shard: int, count: int, batch_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks_of(batches, text_col, batch_bytes):
-            a, counts = codes(utf8(table.column(text_col)))
-            keys, place, _ = distinct(grams(a, counts))
-            value = np.zeros(len(keys))
-            mine = np.ones(len(keys), bool)
-            if count > 1:
-                mine = _shard_of((keys >> np.uint64(_BITS)) & np.uint64((1 << (2 * _BITS)) - 1), count) == shard
-            value[mine] = sent.value.log_probability(keys[mine])
-            ends = np.concatenate(([0], np.cumsum(value[place])))
-            at = np.concatenate(([0], np.cumsum(counts)))
-            old = table.column(hidden).to_numpy()
-            i = table.column_names.index(hidden)
-            yield from extended(table.remove_column(i), {hidden: pa.array(old + ends[at[1:]] - ends[at[:-1]])})
 
-    return run
+def _places(h: np.ndarray, c: np.ndarray, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where the n-grams, which are in order and all there, stand among those of h and c, in order too."""
+    both = np.lexsort((np.concatenate((np.zeros(len(h), np.int8), np.ones(len(context), np.int8))), np.concatenate((c, last)), np.concatenate((h, context))))
+    return (np.cumsum(both < len(h)) - 1)[both >= len(h)]
+
 
+def perplexity(docs: DataFrame, model: DataFrame, *, text_col: str = "text", shard_bytes: int = 32 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs with perplexity, per character of the whole text; null for null and empty texts. A column of that name is replaced.
 
-def limited(df: DataFrame, most: int) -> DataFrame:
-    """df, marked to be broadcast if it has at most so many rows; else joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    shard_bytes: of the model that a join's task meets at once, about. block_bytes: of texts that are scored together; one text may have more.
+    """
+    docs = without(docs, ["perplexity"])
+    hidden = fresh(docs.columns, "wg_log")
+    shards, _ = _shards(model, shard_bytes)
+    cut = stored(docs.mapInArrow(trimmed(_blocks(text_col, block_bytes)), "block long, body binary, h array<long>, c array<int>"), "scored-blocks")
+    pairs = cut.select("block", F.explode(F.arrays_zip("h", "c")).alias("x")).select("block", "x.h", "x.c")
+    known = stored(log_probabilities(pairs.select("h", "c").distinct(), model, shards), "ngrams")
+    grams = pairs.join(known, ["h", "c"])
+    schema = schema_with(docs, [T.StructField(hidden, T.DoubleType())])
+    bodies = cut.where("body is not null").select(F.col("block").alias("of"), "body")
+    df = bodies.groupBy("of").cogroup(grams.groupBy("block")).applyInArrow(trimmed_group(_scored(text_col, schema)), schema)
+    length = F.length(f"`{text_col}`")
+    return df.withColumn("perplexity", F.when(length > 0, F.exp(-F.col(hidden) / length))).drop(hidden)
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, held_out: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
