@@ -1,7 +1,9 @@
+import hashlib
+
 import pytest
 
 from wavegrid.llm.common import pack, unpack
-from wavegrid.llm.substring_dedup import Index, dedup_substrings
+from wavegrid.llm.substring_dedup import Index, dedup_substrings, op7_substring_dedup
 
 import numpy as np
 
@@ -49,6 +51,42 @@ def test_next_calls_see_earlier_ones(spark, tmp_path):
     assert len(sizes) < 5 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+@pytest.mark.parametrize("options", [{}, {"hash_bits": 6}])
+def test_an_index_that_grows(spark, tmp_path, options):
+    """Batch by batch: buckets are split, colliding texts of earlier batches are remembered, and a lost file raises."""
+    path = f"file://{tmp_path}/index"
+    seen = []
+    for k in range(4):
+        rows = [(1000 * (3 - k) + d, prose((7 * k + d) % 19, 40) + " " + prose(200 + d % 2, 30), "en", "s", 1) for d in range(6 if k else 2)]
+        found = dedup_substrings(spark.createDataFrame(rows, SCHEMA), index_path=path, batches=1 + k % 2, block_bytes=500, bucket_bytes=1200, **options)
+        # earlier calls' documents come first, whatever their ids
+        moved = [(d + 10_000 * (k + 1), *r) for d, *r in rows]
+        want = [(str(int(d) - 10_000 * (k + 1)), *r) for d, *r in brute(seen + moved) if int(d) >= 10_000 * (k + 1)]
+        assert result(found) == sorted(want)
+        seen += moved
+    index = Index.opened(path)
+    entries = sum(n for _, n in index.runs)
+    assert entries <= index.buckets * 300 and (index.buckets > 3 or options)
+    assert bool(index.collisions) == bool(options)
+    last = f"{index.buckets - 1:08d}"
+    (tmp_path / "index/runs" / index.runs[0][0] / last).unlink()
+    with pytest.raises(Exception, match=last):
+        dedup_substrings(spark.createDataFrame(rows, SCHEMA), index_path=path).count()
+
+
+def test_one_document_with_two_texts_of_one_hash(spark):
+    """The least document's other text is no copy, and later copies of it are found."""
+    rows = [(1, prose(1, 300), "en", "s", 1), (1, prose(2, 300), "en", "s", 1), (2, prose(2, 300), "en", "s", 1), (3, prose(3, 40), "en", "s", 1)]
+    assert result(dedup_substrings(spark.createDataFrame(rows, SCHEMA), hash_bits=4, block_bytes=1000)) == brute(rows)
+
+
+def test_the_query(spark, tmp_path, rows):
+    spark.createDataFrame([r for r in rows if r[0] is not None and r[0] != 4], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op7_substring_dedup(spark, str(tmp_path)).collect()
+    want = [(d, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, n, gone, kept in brute([r for r in rows if r[0] is not None and r[0] != 4])]
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out) == sorted(want)
+
+
 def test_empty_and_clashing(docs, empty):
     assert dedup_substrings(empty).count() == 0
     out = dedup_substrings(docs.withColumn("clean_text", docs.lang).withColumn("N_WORDS", docs.n_chars))

@@ -8,8 +8,9 @@ become the bucket's part of a new run. Runs of similar size are compacted into o
 runs that count.
 
 Blocks then turn their claims into word spans. Consecutive claims on consecutive windows of one block are checked together:
-the claimed block compares a digest of the words themselves. Claims that fail the check (two texts with one hash) are
-resolved by comparing the windows' texts with all blocks, so results are exact whatever collides.
+the claimed block compares a digest of the words themselves. Where a check fails, two texts have one hash. All claims on that
+hash's first window name the blocks that have it in this batch; these send the texts themselves, which joins resolve. The texts
+are kept with the index, as the next batches see only the hash's first window. So results are exact whatever collides, and however much.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm import storage
-from wavegrid.llm.common import chunks_of, extended, pack, released, shared_dir, small_batches, split_words, stored, trim, trimmed, unpack, utf8, without
+from wavegrid.llm.common import chunks_of, dropped, extended, pack, released, shared_dir, small_batches, split_words, stored, trim, trimmed, unpack, utf8, without
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -101,12 +102,16 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Of a folder: the manifest's runs, oldest first, with their entries; the number of buckets is fixed when it is made."""
+    """Of a folder: the manifest's runs, oldest first, with their entries, and those that have texts of colliding hashes.
+
+    Each run has a part for each bucket, empty or not, so a part that is lost raises. Buckets are split in two when the index has grown.
+    """
 
     path: str
     buckets: int
     runs: list[tuple[str, int]] = field(default_factory=list)
     version: int = 0
+    collisions: list[str] = field(default_factory=list)
 
     @staticmethod
     def opened(path: str) -> Index | None:
@@ -114,12 +119,12 @@ class Index:
             return None
         with storage.reading(f"{path}/MANIFEST") as f:
             m = json.loads(f.read())
-        return Index(path, m["buckets"], [tuple(r) for r in m["runs"]], m["version"])
+        return Index(path, m["buckets"], [tuple(r) for r in m["runs"]], m["version"], m["collisions"])
 
     def commit(self) -> None:
         self.version += 1
         with storage.creating(f"{self.path}/MANIFEST") as out:
-            out.write(json.dumps({"version": self.version, "buckets": self.buckets, "runs": self.runs}).encode())
+            out.write(json.dumps({"version": self.version, "buckets": self.buckets, "runs": self.runs, "collisions": self.collisions}).encode())
 
 
 def _part(path: str, run: str, bucket: int) -> str:
@@ -141,8 +146,12 @@ def _block_path(path: str, block: int) -> str:
     return f"{path}/blocks/{block:016x}"
 
 
+#: Stands for a document of an earlier batch.
+EARLIER = -(1 << 63)
+#: Rows of checks that a task takes for one block.
+CHECKS = 1000
 _ENTRIES = "bucket int, block long, payload binary"
-_CLAIMS = "block long, payload binary"
+_CLAIMS = "block long, n long, payload binary"  # or, without a block, the number of entries that a bucket's part has
 
 
 def _cut_blocks(path: str, batch: int, id_col: str, text_col: str, window: int, buckets: int, block_bytes: int, seed: int, hash_bits: int):
@@ -161,13 +170,14 @@ def _cut_blocks(path: str, batch: int, id_col: str, text_col: str, window: int,
             live = int(np.searchsorted(block.at, block.starts[known]))
             h, at, begin, _ = block.by_hash(live)
             h, at = h[begin] & mask, np.minimum.reduceat(at, begin) if live else at
-            docs = {"doc": _deltas(ids.slice(0, known).to_numpy().astype(np.int64).view(np.uint64)), "words": block.counts[:known]}
+            doc_ids = ids.slice(0, known).to_numpy().astype(np.int64).view(np.uint64)
             rows: list[tuple[int, bytes]] = [(-1, b"")]  # a block without windows counts too
             which = bucket_of(h, buckets)
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [len(h)]))
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if i < j:
-                    rows.append((int(which[i]), pack(h=_deltas(h[i:j]), at=at[i:j], **docs)))
+                    mine = np.unique(block.doc_of(at[i:j]))  # no row is longer for documents that have no entry in it
+                    rows.append((int(which[i]), pack(h=_deltas(h[i:j]), at=at[i:j], doc=_deltas(doc_ids[mine]), first=_deltas(block.starts[mine]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "payload"])
 
     return run
@@ -179,12 +189,12 @@ def _merge_bucket(path: str, runs: list[str], new: str):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
-            return pa.table({"block": table.column("block"), "payload": table.column("payload")})
+            return pa.table({"block": table.column("block"), "n": pa.array([0] * table.num_rows, pa.int64()), "payload": table.column("payload")})
         parts = []
         for number, payload in sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True)):
             e = unpack(payload)
             doc = _sums(e["doc"]).view(np.int64)
-            doc = doc[np.searchsorted(np.cumsum(e["words"]), e["at"], side="right")]
+            doc = doc[np.searchsorted(_sums(e["first"]), e["at"], side="right") - 1]
             parts.append((_sums(e["h"]), doc, np.full(len(doc), number, np.int64), e["at"].astype(np.int64)))
         h, doc, block, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h)
@@ -199,49 +209,64 @@ def _merge_bucket(path: str, runs: list[str], new: str):
         to_block, to_at, old = block[first], at[first], np.zeros(len(first), bool)
         unique = h[starts]
         for name in runs:
-            e = _read_part(path, name, bucket) if storage.exists(_part(path, name, bucket)) else None
-            if e is None or not len(e["h"]):
+            e = _read_part(path, name, bucket)
+            if not len(e["h"]):
                 continue
             i = np.minimum(np.searchsorted(e["h"], unique), len(e["h"]) - 1)
             there = (e["h"][i] == unique) & ~old
             to_block[there], to_at[there] = e["block"][i[there]].astype(np.int64), e["at"][i[there]].astype(np.int64)
             old |= there
         _write_part(path, new, bucket, unique[~old], to_block[~old], to_at[~old])
-        claimed = np.flatnonzero(old[group] | (doc > least[group]))
+        tie = ~(old[group] | (doc > least[group]))  # of the least document too: makes nothing a copy, but is checked, as it may be another text
+        kept = np.ones(len(h), bool)
+        kept[first[~old]] = False
+        claimed = np.flatnonzero(kept)
         by = claimed[np.lexsort((at[claimed], block[claimed]))]
         numbers, cuts = np.unique(block[by], return_index=True)
         out = []
         for i in np.split(by, cuts[1:]) if len(by) else []:
             g = group[i]
-            out.append(pack(at=_deltas(at[i]), block=to_block[g], to=to_at[g]))
-        return pa.table({"block": pa.array(numbers, pa.int64()), "payload": pa.array(out, pa.binary())})
+            out.append(pack(at=_deltas(at[i]), block=to_block[g], to=to_at[g], tie=tie[i]))
+        blocks = pa.array([None, *numbers.tolist()], pa.int64())
+        return pa.table({"block": blocks, "n": pa.array([int((~old).sum()), *[0] * len(out)], pa.int64()), "payload": pa.array([None, *out], pa.binary())})
 
     return run
 
 
-def _claims(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _claims(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Claiming word, claimed block and word, and whether it is a tie."""
     parts = [unpack(p) for p in payloads if p]
     if not parts:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     at = np.concatenate([_sums(p["at"]) for p in parts]).astype(np.int64)
-    block, to = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("block", "to"))
+    block, to, tie = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("block", "to", "tie"))
     order = np.argsort(at, kind="stable")
-    return at[order], block[order], to[order]
+    return at[order], block[order], to[order], tie[order]
+
 
+def _each_claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a claim."""
+    for batch in batches:
+        for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, to_block, to, _ = _claims([payload])
+            for i in range(0, len(at), 100_000):
+                j = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[j]), number)), pa.array(at[j]), pa.array(to_block[j]), pa.array(to[j])], ["block", "at", "first_block", "first_at"])
 
-_SPANNED = "block long, kind int, payload binary"  # kind 0: spans of block; 1: checks for block; 2: a text whose hash another text has
+
+_SPANNED = "block long, kind int, payload binary"  # kind 0: spans of block; 1: checks for block; 2: words of block that begin windows of several texts with one hash
 
 
 def _digest(text: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_128_digest(text)[:8], "little")
 
 
-def _span_block(path: str, id_col: str, text_col: str, window: int, seed: int, resolved):
-    """Claims of a block in; its word spans out, and the checks that they need of other blocks."""
+def _span_block(path: str, id_col: str, text_col: str, window: int, seed: int):
+    """Claims of a block in, and answers for hashes that several texts have, if any; its word spans out, and without answers the checks that they need of other blocks."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, answers: pa.Table | None = None) -> pa.Table:
         number = table.column("block")[0].as_py()
-        at, to_block, to = _claims(table.column("payload").to_pylist())
+        at, to_block, to, tie = _claims(table.column("payload").to_pylist())
         rows = storage.read_table(_block_path(path, number))
         block = Block(utf8(rows.column(text_col)), window, seed)
         ids = rows.column(id_col)
@@ -251,24 +276,19 @@ def _span_block(path: str, id_col: str, text_col: str, window: int, seed: int, r
         leader = np.minimum.reduceat(mine, begin)[group] if len(mine) else mine  # the first window with this hash, for which the block has an entry
         docs, leads = doc_ids[block.doc_of(mine)], doc_ids[block.doc_of(leader)]
         claimed = np.zeros(len(block.ids) + 1, bool)
-        claimed[at] = True
+        claimed[at[tie == 0]] = True
         remove = (docs > leads) | claimed[leader]
         out: list[tuple[int, int, bytes]] = []
-        if resolved is None:
+        if answers is None:
             same, other = np.ones(len(mine), bool), np.flatnonzero(leader != mine)
             for j in range(window):
                 same[other] &= block.ids[mine[other] + j] == block.ids[leader[other] + j]
             if not same.all():
-                out += [(number, 2, t) for t in sorted({block.text(i, window) for i in mine[np.isin(h, h[~same])].tolist()})]
+                out.append((number, 2, pack(at=_deltas(np.unique(leader[~same])))))
         else:
-            texts, hashes = resolved.value
-            check = np.ones(len(block.ids) + 1, bool)
-            for i in np.flatnonzero(np.isin(h, hashes[0])).tolist():
-                if (t := block.text(int(mine[i]), window)) in texts:
-                    remove[i] = texts[t] < docs[i]
-                    check[mine[i]] = False
-            keep = check[at]
-            at, to_block, to = at[keep], to_block[keep], to[keep]
+            texts = dict(zip(answers.column("words").to_pylist(), answers.column("doc").to_pylist(), strict=True))
+            for i in np.flatnonzero(np.isin(leader, answers.column("at").to_numpy())).tolist():
+                remove[i] = texts[block.text(int(mine[i]), window)] < docs[i]
         flags = np.zeros(len(block.ids) + 1, np.int32)
         np.add.at(flags, mine[remove], 1)
         np.add.at(flags, mine[remove] + window, -1)
@@ -280,7 +300,7 @@ def _span_block(path: str, id_col: str, text_col: str, window: int, seed: int, r
         a, b = edges[:-1], edges[1:]
         a, b = a[hit[a]], b[hit[a]]
         out.append((number, 0, pack(start=_deltas(a), length=b - a)))
-        if len(at):
+        if len(at) and answers is None:
             cut = np.ones(len(at), bool)
             cut[1:] = (at[1:] != at[:-1] + 1) | (to_block[1:] != to_block[:-1]) | (to[1:] != to[:-1] + 1)
             s = np.flatnonzero(cut)
@@ -313,86 +333,147 @@ def _check_block(path: str, text_col: str, window: int):
     return run
 
 
-def _window_texts(path: str, text_col: str, window: int):
+def _window_texts(path: str, id_col: str, text_col: str, window: int, seed: int, batch: int):
+    """Words of a block in, with their hash's first window; each distinct text out of the block's windows with such a word's hash, and the earliest document that has it."""
+
     def run(table: pa.Table) -> pa.Table:
-        block = Block(utf8(storage.read_table(_block_path(path, table.column("block")[0].as_py())).column(text_col)), window, None)
-        texts = {block.text(at + i, window) for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True) for i in range(n)}
-        return pa.table({"words": pa.array(sorted(texts), pa.binary())})
+        number = table.column("block")[0].as_py()
+        rows = storage.read_table(_block_path(path, number))
+        block, ids = Block(utf8(rows.column(text_col)), window, seed), rows.column(id_col)
+        at, hashes = block.at, block.hashes
+        first = {(b, a, w) for b, a, w in zip(*(table.column(c).to_pylist() for c in ("first_block", "first_at", "at")), strict=True)}
+        wanted: dict[int, list[tuple[int, int, int]]] = {}
+        for b, a, w in sorted(first):
+            wanted.setdefault(int(hashes[np.searchsorted(at, w)]), []).append((b, a, w))
+        found: dict[tuple, int] = {}
+        for i in np.flatnonzero(np.isin(hashes, np.array(list(wanted), np.uint64))).tolist():
+            doc = ids[int(block.doc_of(at[i]))].as_py()
+            if doc is not None:
+                text = block.text(int(at[i]), window)
+                for key in wanted[int(hashes[i])]:
+                    found[*key, text] = min(doc if number >> 48 == batch else EARLIER, found.get((*key, text), doc))
+        return pa.table({"first_block": pa.array([k[0] for k in found], pa.int64()), "first_at": pa.array([k[1] for k in found], pa.int64()), "block": pa.array([number] * len(found), pa.int64()),
+                         "at": pa.array([k[2] for k in found], pa.int64()), "words": pa.array([k[3] for k in found], pa.binary()), "doc": pa.array(list(found.values()), pa.int64())})
 
     return run
 
 
-def _find_windows(path: str, id_col: str, text_col: str, window: int, seed: int, batch: int, sought):
-    """Blocks in; the sought windows' texts with their earliest document out: the least long stands for an earlier batch."""
+_TEXTS = "first_block long, first_at long, block long, at long, words binary, doc long"
+
+
+def _answers(spark: SparkSession, index: Index, run: str, batch: int, claims: DataFrame, failed: DataFrame, odd: DataFrame, id_col: str, text_col: str, window: int, seed: int, tasks: int) -> DataFrame:
+    """(block, at, words, doc), stored: for windows of this batch's blocks whose hash several texts have, the text and its earliest document.
 
+    A hash is named by its first window, which all claims on it have. claims, failed (block, at, n) and odd (block, payload) are
+    stored. The texts are written to the index, for batches to come.
+    """
+    unpacked = odd.mapInArrow(_each_position, "block long, at long")
+    places = failed.select("block", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).union(unpacked).distinct()
+    each = claims.where("block is not null").select("block", "payload").mapInArrow(trimmed(_each_claim), "block long, at long, first_block long, first_at long")
+    named = places.join(each, ["block", "at"], "left").select(F.coalesce("first_block", "block").alias("first_block"), F.coalesce("first_at", "at").alias("first_at")).distinct()
+    named = stored(named, "substring-collisions")
+    members = each.join(named, ["first_block", "first_at"]).select("first_block", "first_at", "block", "at")
+    members = members.union(named.select("first_block", "first_at", F.col("first_block").alias("block"), F.col("first_at").alias("at")))
+    texts = stored(members.repartition(tasks, "block").groupBy("block").applyInArrow(_by_group(_window_texts(index.path, id_col, text_col, window, seed, batch)), _TEXTS), "substring-texts")
+    every = texts.select("first_block", "first_at", "words", "doc")
+    for earlier in index.collisions:
+        known = spark.read.schema("first_block long, first_at long, words binary").parquet(f"{index.path}/collisions/{earlier}")
+        every = every.union(known.join(named, ["first_block", "first_at"], "left_semi").withColumn("doc", F.lit(EARLIER)))
+    first = stored(every.groupBy("first_block", "first_at", "words").agg(F.min("doc").alias("doc")), "substring-texts")
+    first.drop("doc").write.mode("overwrite").parquet(f"{index.path}/collisions/{run}")
+    index.collisions.append(run)
+    mine = texts.where(F.shiftright("block", 48) == batch).drop("doc")
+    return stored(mine.join(first, ["first_block", "first_at", "words"]).select("block", "at", "words", "doc"), "substring-answers")
+
+
+def _each_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at = _sums(unpack(payload)["at"]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), pa.array(at)], ["block", "at"])
+
+
+def _compact_bucket(path: str, runs: list[str], new: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, hashes = sought.value
-        for record in batches:
-            for number in record.column(0).to_pylist():
-                rows = storage.read_table(_block_path(path, number))
-                block, ids, found = Block(utf8(rows.column(text_col)), window, seed), rows.column(id_col), {}
-                for at in block.at[np.isin(block.hashes, hashes)].tolist():
-                    doc = ids[int(block.doc_of(np.int64(at)))].as_py()
-                    if doc is not None and (t := block.text(at, window)) in texts:
-                        doc = doc if number >> 48 == batch else -(1 << 63)
-                        found[t] = min(doc, found.get(t, doc))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["words", "doc"])
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                parts = [_read_part(path, r, bucket) for r in runs]
+                h, block, at = (np.concatenate([p[k] for p in parts]) for k in ("h", "block", "at"))
+                order = np.argsort(h, kind="stable")
+                _write_part(path, new, bucket, h[order], block[order], at[order])
+                yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], ["n"])
 
     return run
 
 
-def _resolved(spark: SparkSession, path: str, batch: int, texts: DataFrame, id_col: str, text_col: str, window: int, seed: int, most: int = 200_000):
-    """The earliest document of each window's text among all blocks. Only texts that share a hash come here, so there are few; their number is checked."""
-    wanted = [bytes(r.words) for r in texts.distinct().limit(most + 1).collect()]
-    if len(wanted) > most:
-        raise RuntimeError(f"over {most} windows share hashes; build the index with another seed")
-    where, folder = storage.located(f"{path}/blocks")
-    numbers = [int(f.base_name, 16) for f in where.get_file_info(storage.fs.FileSelector(folder)) if not f.base_name.startswith("_")]
-    hashes = Block.hashes_of(wanted, window, seed)
-    sought = spark.sparkContext.broadcast((set(wanted), hashes))
-    blocks = spark.createDataFrame([(n,) for n in numbers], "block long").repartition(max(1, min(len(numbers), 4 * spark.sparkContext.defaultParallelism)))
-    found = blocks.mapInArrow(_find_windows(path, id_col, text_col, window, seed, batch, sought), "words binary, doc long").groupBy("words").agg(F.min("doc").alias("doc")).collect()
-    return spark.sparkContext.broadcast(({bytes(r.words): r.doc for r in found}, (hashes,)))
+def _split_bucket(path: str, run_name: str, new: str, buckets: int):
+    """Each part of a run becomes two."""
 
-
-def _compact_bucket(path: str, runs: list[str], new: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket in batch.column(0).to_pylist():
-                parts = [_read_part(path, r, bucket) for r in runs if storage.exists(_part(path, r, bucket))]
-                n = 0
-                if parts:
-                    h, block, at = (np.concatenate([p[k] for p in parts]) for k in ("h", "block", "at"))
-                    order = np.argsort(h, kind="stable")
-                    n = len(h)
-                    _write_part(path, new, bucket, h[order], block[order], at[order])
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+                e = _read_part(path, run_name, bucket)
+                middle = int(np.searchsorted(bucket_of(e["h"], 2 * buckets), 2 * bucket + 1))
+                for half, i in ((0, slice(0, middle)), (1, slice(middle, None))):
+                    _write_part(path, new, 2 * bucket + half, e["h"][i], e["block"][i], e["at"][i])
+                yield pa.RecordBatch.from_arrays([pa.array([len(e["h"])], pa.int64())], ["n"])
 
     return run
 
 
-def _compact(spark: SparkSession, index: Index, ratio: float) -> None:
-    """Size-tiered: while the newest run has at least 1 / ratio of the entries of the one before it, the two become one."""
+def _over_buckets(spark: SparkSession, index: Index, task) -> int:
+    """Runs a task for each bucket; the sum of what they return."""
+    ids = spark.range(0, index.buckets, 1, min(index.buckets, max(4, spark.sparkContext.defaultParallelism * 2)))
+    return int(ids.mapInArrow(trimmed(task), "n long").agg(F.sum("n")).first()[0] or 0)
+
+
+def _gone(index: Index, runs: list[tuple[str, int]]) -> None:
+    """Deletes runs that no manifest names any more."""
+    for r, _ in runs:
+        where, path = storage.located(f"{index.path}/runs/{r}")
+        if storage.exists(f"{index.path}/runs/{r}"):
+            where.delete_dir(path)
+
+
+def _compact(spark: SparkSession, index: Index, ratio: float, most: int) -> None:
+    """Size-tiered: while the newest run has at least 1 / ratio of the entries of the one before it, the two become one. Then buckets are split until they have most entries on average, at most."""
     while len(index.runs) > 1 and index.runs[-1][1] * ratio >= index.runs[-2][1]:
         old, new = index.runs[-2:], f"c{index.version + 1:06d}"
-        ids = spark.range(0, index.buckets, 1, min(index.buckets, max(4, spark.sparkContext.defaultParallelism * 2)))
-        n = ids.mapInArrow(trimmed(_compact_bucket(index.path, [r for r, _ in old], new)), "n long").agg(F.sum("n")).first()[0]
-        index.runs[-2:] = [(new, int(n or 0))]
+        n = _over_buckets(spark, index, _compact_bucket(index.path, [r for r, _ in old], new))
+        if n != sum(size for _, size in old):
+            raise RuntimeError("a compaction has lost entries")
+        index.runs[-2:] = [(new, n)]
         index.commit()
-        for r, _ in old:  # no manifest names them any more
-            where, path = storage.located(f"{index.path}/runs/{r}")
-            if storage.exists(f"{index.path}/runs/{r}"):
-                where.delete_dir(path)
+        _gone(index, old)
+    while sum(n for _, n in index.runs) > index.buckets * most:
+        old, named = index.runs, []
+        for k, (r, n) in enumerate(old):
+            named.append((f"s{index.version + 1:06d}-{k}", n))
+            _over_buckets(spark, index, _split_bucket(index.path, r, named[-1][0], index.buckets))
+        index.runs, index.buckets = named, 2 * index.buckets
+        index.commit()
+        _gone(index, old)
+
 
+def _completed(spark: SparkSession, index: Index, new: str, claims: DataFrame) -> int:
+    """The entries of a new run. Buckets without entries get an empty part; parts that the merge has written must be there, whole."""
+    path = index.path
 
-def _count_runs(index: Index, new: str, spark: SparkSession) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(_read_part(path, new, b)["h"]) if storage.exists(_part(path, new, b)) else 0 for b in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(n)], pa.int64())], ["n"])
+            for bucket in batch.column(0).to_pylist():
+                n = -1
+                if storage.exists(_part(path, new, bucket)):
+                    n = len(_read_part(path, new, bucket)["h"])
+                else:
+                    _write_part(path, new, bucket, *(np.zeros(0, np.uint64),) * 3)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    path = index.path
-    return int(spark.range(0, index.buckets, 1, min(index.buckets, 64)).mapInArrow(trimmed(run), "n long").agg(F.sum("n")).first()[0] or 0)
+    wanted = claims.where("block is null").agg(F.count("*"), F.sum("n")).first()
+    n = _over_buckets(spark, index, run)
+    if n != (wanted[1] or 0) - (index.buckets - wanted[0]):
+        raise RuntimeError(f"parts of the run {new} are lost")
+    return wanted[1] or 0
 
 
 def _apply(path: str, text_col: str):
@@ -445,7 +526,7 @@ def dedup_substrings(
     """docs with n_words, n_removed and clean_text: the text without each word that a window of so many words covers which also starts in an earlier document.
 
     Earlier: in an earlier call on the same index_path, or with a smaller id. One call's rows are dealt into batches by ranges of
-    ids; batches changes how the work is cut, not the result. index_path: an index to go on with; a new one is made where none is.
+    ids; batches changes how the work is cut, not the result. index_path: an index to go on with; a new one is made where none is. A file of the index that is lost raises.
     docs is stored first unless it is a plain scan of files, as blocks are made by position.
     Nulls: a null text has no words and clean text null; rows with a null id keep their text and make nothing a copy. Rows with equal
     ids are not earlier than each other. Columns named like a result are replaced.
@@ -475,25 +556,31 @@ def dedup_substrings(
             part = docs.where(mine | key.isNull() if k == 0 and nulls else mine) if cuts else docs
             new = f"r{index.version + 1:06d}"
             entries = part.mapInArrow(trimmed(_cut_blocks(path, index.version + 1, id_col, text_col, window, index.buckets, block_bytes, seed, hash_bits)), _ENTRIES)
-            claims = entries.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("block"))).applyInArrow(_by_group(_merge_bucket(path, [r for r, _ in index.runs], new)), _CLAIMS)
             batch = index.version + 1
-
-            def spanned(resolved, claims=claims, k=k):
-                # a number of partitions of one's own: a block's claims are small, and its work isn't
-                rows = claims.repartition(tasks, "block").groupBy("block").applyInArrow(_by_group(_span_block(path, id_col, text_col, window, seed, resolved)), _SPANNED)
-                rows = stored(rows, "substring-spans")
-                failed = rows.where("kind = 1").repartition(tasks, "block").groupBy("block").applyInArrow(_by_group(_check_block(path, text_col, window)), "block long, at long, n long")
-                return rows, stored(failed, "substring-failed")
-
-            spans, failed = spanned(None)
-            if failed.limit(1).count() or spans.where("kind = 2").limit(1).count():
-                texts = failed.groupBy("block").applyInArrow(_by_group(_window_texts(path, text_col, window)), "words binary")
-                texts = texts.union(spans.where("kind = 2").select("payload"))
-                spans, _ = spanned(_resolved(spark, path, batch, texts, id_col, text_col, window, seed))
-            done.append(spans.where("kind = 0").select("block", "payload"))
-            index.runs.append((new, _count_runs(index, new, spark)))
+            claims = entries.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("block"))).applyInArrow(_by_group(_merge_bucket(path, [r for r, _ in index.runs], new)), _CLAIMS)
+            claims_path = shared_dir(spark, "substring-claims")
+            claims.write.parquet(claims_path)
+            claims = spark.read.schema(_CLAIMS).parquet(claims_path)
+            entered = _completed(spark, index, new, claims)
+            blocks = claims.where("block is not null").drop("n").repartition(tasks, "block")  # a number of partitions of one's own: a block's claims are small, and its work isn't
+            span = _span_block(path, id_col, text_col, window, seed)
+            spans = stored(blocks.groupBy("block").applyInArrow(_by_group(span), _SPANNED), "substring-spans")
+            checks = spans.where("kind = 1")
+            often = checks.groupBy("block").agg(F.count("*").alias("n")).where(f"n > {CHECKS}")  # a hot passage's block is read by several tasks
+            checks = checks.join(often, "block", "left").withColumn("part", F.pmod(F.xxhash64("payload"), F.coalesce(F.ceil(F.col("n") / CHECKS), F.lit(1))))
+            failed = stored(checks.repartition(tasks, "block", "part").groupBy("block", "part").applyInArrow(_by_group(_check_block(path, text_col, window)), "block long, at long, n long"), "substring-failed")
+            odd = spans.where("kind = 2").select("block", "payload")
+            spans = spans.where("kind = 0").select("block", "payload")
+            if failed.limit(1).count() or odd.limit(1).count():
+                answers = _answers(spark, index, new, batch, claims, failed, odd, id_col, text_col, window, seed, tasks)
+                again = blocks.join(answers.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(answers.groupBy("block"))
+                again = stored(again.applyInArrow(_answered(span), _SPANNED).select("block", "payload"), "substring-spans")
+                spans = spans.join(again.select("block"), "block", "left_anti").union(again)
+            done.append(spans)
+            dropped(claims, claims_path)
+            index.runs.append((new, entered))
             index.commit()
-            _compact(spark, index, ratio)
+            _compact(spark, index, ratio, max(1, bucket_bytes // 4))
     finally:
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", kept)
     every = done[0]
@@ -503,6 +590,13 @@ def dedup_substrings(
     return every.mapInArrow(trimmed(_apply(path, text_col)), schema)
 
 
+def _answered(span):
+    def run(claims: pa.Table, answers: pa.Table) -> pa.Table:
+        return span(claims, answers)
+
+    return run
+
+
 def _by_group(function):
     """For applyInArrow; memory goes back to the system after each eighth group, as taking it anew costs time."""
     groups = 0
