@@ -8,8 +8,9 @@ compiled when a text first needs them, into a dense table that is emptied when i
 
 Words begin where the tokenizer's pattern says; that follows from classes of neighbouring characters. A batch's bytes are cut
 into chunks that run side by side, one table look-up a byte. A chunk's map from entry to exit state is constant once a word
-begins in it, so all such exits are known at once; the bytes before are run from the exit of the chunk before, and chunks
-without a beginning are composed in further rounds of the scan. Counts are sums of what a document's bytes emit.
+begins in it. The other chunks' maps are made for the states that may enter them: what the chunk before can leave, over all of its own
+entries, until no chunk lacks one. Few rounds do, as states seldom depend on bytes far back. A parallel prefix scan then composes
+the maps, doubling their reach each time, and gives every chunk its entry. Counts are sums of what a document's bytes emit.
 """
 
 from __future__ import annotations
@@ -95,6 +96,8 @@ class Transducer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not self.fits(spec):
+            raise ValueError(f"{path} isn't a byte-level tokenizer of the form that is compiled here")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
@@ -108,12 +111,20 @@ class Transducer:
         self.limit = limit
         self.clear()
 
+    @staticmethod
+    def fits(spec: dict) -> bool:
+        """Whether a tokenizer's file is of the form that this class reproduces."""
+        before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        return (spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model.get("type", "BPE") == "BPE"
+                and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+                and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]))
+
     def clear(self) -> None:
         """State 0 takes any byte and emits nothing; state 1 begins a word."""
         start = ((b"", -1, 0),)
         self.states: list[tuple] = [None, start]
         self.numbers = {start: 1}
-        self.columns = np.full(256, -1, np.int64)
+        self.columns = np.full(256, -1, np.int16)
         self.width = 0
         self.table = np.full((4096, 32), -1, np.int32)
         self.table[0] = 128
@@ -190,28 +201,57 @@ class Transducer:
         known = marks.any(axis=1)
         head = np.where(known, marks.argmax(axis=1), chunk)
         exits, out = self.run(np.ascontiguousarray(stream.T), np.ascontiguousarray(marks.T), np.zeros(lanes, np.int64))
-        out = np.ascontiguousarray(out.T)
-        exits = np.where(known, exits, 0)
-        todo = np.flatnonzero(head > 0)
-        ready = known.copy()
-        while len(todo):  # one round, and one more for each chunk in a row in which no word begins
-            now = todo[ready[todo - 1]]
-            todo = todo[~ready[todo - 1]]
-            length = head[now]
-            order = np.argsort(-length, kind="stable")
-            now, length = now[order], length[order]
-            state = exits[now - 1]
-            none = np.zeros((1, len(now)), bool)
-            for j in range(int(length.max(initial=0))):
-                live = int(np.searchsorted(-length, -j, side="left"))
-                to, e = self.run(stream[now[:live], j][None], none[:, :live], state[:live])
-                state[:live] = to
-                out[now[:live], j] = e[0]
-            whole = ~known[now]
-            exits[now[whole]] = state[whole]
-            ready[now] = True
+        out = np.ascontiguousarray(out.T).astype(np.int32)
+        whole = np.flatnonzero(~known)
+        if len(whole):
+            _, left, sums = self.composed(stream, whole, exits, n)
+            exits[whole] = left
+            out[whole] = 0
+            out[whole, 0] = sums  # such a chunk lies within one word, so within one document
+        rest = np.flatnonzero(known & (head > 0))
+        rest = rest[np.argsort(-head[rest], kind="stable")]
+        length, state = head[rest], exits[rest - 1]
+        none = np.zeros((1, len(rest)), bool)
+        for j in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -j, side="left"))
+            to, e = self.run(stream[rest[:live], j][None], none[:, :live], state[:live])
+            state[:live] = to
+            out[rest[:live], j] = e[0]
         return out.reshape(-1)[:n]
 
+    def composed(self, stream: np.ndarray, whole: np.ndarray, exits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entry and exit states of the chunks in which no word begins, and what each emits in all. exits: of the other chunks; n: bytes of the stream."""
+        follows = np.zeros(len(whole), bool)  # the chunk before is one of them too
+        follows[1:] = whole[1:] == whole[:-1] + 1
+        # lanes: a chunk (its place in whole) from an entry state. A chunk after another is tried from a word's first state, to see what may leave it.
+        at, state = np.arange(len(whole)), np.where(follows, 1, exits[whole - 1])
+        lanes = [np.zeros(0, np.int64)] * 4  # place, entry, exit, emitted; sorted by place and entry
+        while len(at):
+            data = np.ascontiguousarray(stream[whole[at]].T)
+            to, emitted = self.run(data, np.zeros(data.shape, bool), state)
+            emitted[n - (len(stream) - 1) * stream.shape[1] :, whole[at] == len(stream) - 1] = 0  # the last chunk is filled up
+            lanes = [np.concatenate(x) for x in zip(lanes, (at, state, to, emitted.sum(axis=0, dtype=np.int64)), strict=True)]
+            order = np.lexsort((lanes[1], lanes[0]))
+            lanes = [x[order] for x in lanes]
+            handed = (at + 1 < len(whole)) & follows[np.minimum(at + 1, len(whole) - 1)]
+            wanted = np.unique((at[handed] + 1) << 32 | to[handed])
+            wanted = wanted[~np.isin(wanted, lanes[0] << 32 | lanes[1])]
+            at, state = wanted >> 32, wanted & 0xFFFFFFFF
+        begin = np.searchsorted(lanes[0], np.arange(len(whole)))
+        keys = lanes[0] << 32 | lanes[1]
+        # chunk k's row: for each of the entries of the chunk before, which of its own entries it leads to; a first chunk has one entry
+        before = np.where(follows, np.arange(len(whole)) - 1, 0)
+        width = int(np.diff(np.append(begin, len(keys))).max())
+        lane = np.minimum(begin[before][:, None] + np.arange(width), len(keys) - 1)
+        maps = np.where(follows[:, None], np.searchsorted(keys, np.arange(len(whole))[:, None] << 32 | lanes[2][lane]) - begin[:, None], 0)
+        maps = np.clip(maps, 0, width - 1)  # what stands beyond a chunk's entries is never looked up
+        reach = 1
+        while reach < len(whole):
+            maps[reach:] = np.take_along_axis(maps[reach:], maps[:-reach], axis=1)
+            reach *= 2
+        lane = begin + maps[:, 0]
+        return lanes[1][lane], lanes[2][lane], lanes[3][lane]
+
     def counts(self, texts: list[bytes | None], classes: np.ndarray, chunk: int = 512) -> np.ndarray:
         """Tokens of each text, special strings in it as one each."""
         total = np.zeros(len(texts), np.int64)
@@ -244,7 +284,8 @@ class Transducer:
 def count_tokens(docs: DataFrame, *, text_col: str = "text", path: str | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_bytes (UTF-8) and n_tokens of each whole text, as the library counts them without added special tokens.
 
-    Nulls and empty texts have none. Columns named like a result are replaced. A text of any length stays in one batch.
+    Nulls and empty texts have none. Columns named like a result are replaced. A text of any length stays in one batch. path: a
+    byte-level vocabulary with the usual pattern; another raises.
     """
     import zlib
 
