@@ -1,14 +1,16 @@
+import hashlib
 import random
 import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wavegrid.llm import token_file
-from wavegrid.llm.bpe import Decoder, Encoder, decode, encode, vocabulary_path
+from wavegrid.llm.bpe import Decoder, Encoder, decode, encode, op8_bpe, vocabulary_path
 
-from .conftest import SCHEMA
+from .conftest import SCHEMA, prose
 
 PARTS = ["a", "the", "ing", "'s", "'re", "'", "!", "--", "é", "é", "ß", "İ", "Σ", "日本", "1", "23", "<|endoftext|>", "<|startoftext|>", "<|end", "😀", " ", " ", "\x1c", "́", "ation", "QU", "'ll", "...", "٣", "̸", "<", "zz", "​"]
 
@@ -100,3 +102,50 @@ def test_levels_of_large_ids(tmp_path):
 def test_empty_table(spark, tmp_path):
     segments = token_file.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}")
     assert segments.count() == 0
+    assert token_file.read(segments).count() == 0 and token_file.read(segments, as_binary=True).count() == 0
+
+
+def _documents(spark, rows, path):
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_the_token_file_query(spark, rows, library, tmp_path):
+    rows = [r for r in rows if r[0] is not None and r[0] != 4]
+    start, want = 0, []
+    for d, t, *_ in sorted(rows, key=lambda r: r[0]):
+        ids = ids_of(library, t) + [1]
+        want.append((d, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+        start += len(ids)
+    assert sorted(map(tuple, token_file.op2_token_file(spark, _documents(spark, rows, tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
+
+def test_a_hot_id_in_small_segments(spark, library, tmp_path):
+    rows = [(7 if k % 3 else k, f"text {k % 5} " * (k % 9), "en", "s", 1) for k in range(120)]
+    segments = token_file.write(spark.createDataFrame(rows, SCHEMA).repartition(5), f"file://{tmp_path}/t", segment_bytes=400)
+    out = [(r.doc_id, r.start, list(r["ids"])) for r in token_file.read(segments).orderBy("start").collect()]
+    want, start = [], 0
+    for d, t, *_ in sorted(rows, key=lambda r: (r[0], r[1].encode())):
+        want.append((d, start, ids_of(library, t) + [1]))
+        start += len(want[-1][2])
+    assert out == want and segments.count() > 4
+
+
+def test_the_bpe_query(spark, rows, library, tmp_path):
+    out = op8_bpe(spark, _documents(spark, rows, tmp_path)).collect()
+    want = []
+    for d, t, *_ in rows:
+        ids = ids_of(library, t)
+        text = library.decode(ids, skip_special_tokens=False)
+        want.append(str((d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())))
+    assert sorted(want) == sorted(str((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)) for r in out)
+
+
+def test_long_texts_beside_clashing_names(spark, library):
+    rows = [(k, prose(k, 300) + "x" * 500, "a", "b", k) for k in range(3)] + [(9, None, None, None, 1), (10, "short", "a", "b", 2)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("wg_row", F.col("n_chars")).withColumn("wg_row_note", F.col("lang")).withColumn("WG_part", F.col("doc_id")).withColumn("IDS", F.col("lang"))
+    out = encode(docs, piece=700)
+    assert out.columns == [c for c in docs.columns if c != "IDS"] + ["ids"]
+    for r in out.collect():
+        (want,) = [x for x in rows if x[0] == r.doc_id]
+        assert (r.text, r.wg_row, r.wg_row_note, r.WG_part) == (want[1], want[4], want[2], want[0]) and list(r["ids"] or []) == ids_of(library, want[1])

@@ -287,7 +287,7 @@ def _encode_rows(path: str, text_col: str, batch_bytes: int = 2 << 20):
     return run
 
 
-def _cut_long(text_col: str, row: str, piece: int):
+def _cut_long(text_col: str, row: str, part: str, piece: int):
     """Pieces of long texts, each with its row's number; the first keeps the row's other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,35 +302,35 @@ def _cut_long(text_col: str, row: str, piece: int):
                     one = pa.Table.from_batches([batch.slice(i, 1)]).set_column(at, text_col, pa.array([text[begin : begin + piece]]))
                     if k:
                         one = pa.table([c if j == at else pa.nulls(1, c.type) for j, c in enumerate(one.columns)], one.column_names)
-                    yield from extended(one, {row: pa.array([number]), f"{row}_part": pa.array([k], pa.int32())})
+                    yield from extended(one, {row: pa.array([number]), part: pa.array([k], pa.int32())})
                 number += 1
 
     return run
 
 
-def _encode_pieces(path: str, text_col: str, row: str):
+def _encode_pieces(path: str, text_col: str, spans: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
             for i in range(batch.num_rows):
                 one = pa.Table.from_batches([batch.slice(i, 1)])
                 t = e.tree(one.column(text_col)[0].as_py())
-                yield from extended(one, {"ids": ids_array([t.ids]), f"{row}_spans": ids_array([[x for pair in zip(t.starts, t.ends, strict=True) for x in pair]])})
+                yield from extended(one, {"ids": ids_array([t.ids]), spans: ids_array([[x for pair in zip(t.starts, t.ends, strict=True) for x in pair]])})
 
     return run
 
 
-def _join_pieces(path: str, text_col: str, row: str):
+def _join_pieces(path: str, text_col: str, row: str, part: str, spans: str):
     def run(key, table):
-        table = table.sort_by(f"{row}_part")
+        table = table.sort_by(part)
         pieces = table.column(text_col).to_pylist()
         parts, begin = [], 0
-        for text, ids, spans in zip(pieces, table.column("ids").to_pylist(), table.column(f"{row}_spans").to_pylist(), strict=True):
-            parts.append((begin, Tokens(ids, spans[::2], spans[1::2]).moved(begin)))
+        for text, ids, at in zip(pieces, table.column("ids").to_pylist(), table.column(spans).to_pylist(), strict=True):
+            parts.append((begin, Tokens(ids, at[::2], at[1::2]).moved(begin)))
             begin += len(text)
         text = "".join(pieces)
         t = encoder(path).concatenated(text, parts)
-        kept = table.slice(0, 1).select([c for c in table.column_names if not c.startswith(row)])
+        kept = table.slice(0, 1).select([c for c in table.column_names if c not in (row, part, spans)])
         kept = kept.set_column(kept.column_names.index(text_col), text_col, pa.array([text]))
         return kept.set_column(kept.column_names.index("ids"), "ids", ids_array([t.ids]))
 
@@ -341,7 +341,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
     """docs with ids (array of int): each whole text's ids, without begin, end or padding.
 
     Texts of more than piece characters are cut, encoded by several tasks and joined; the others aren't shuffled. Nulls and
-    empty texts have no ids. Special strings in a text are encoded as the library does by default. A column named ids is replaced.
+    empty texts have no ids; repeated rows are encoded each. Special strings in a text are encoded as the library does by default. A column named ids is replaced.
     """
     path = path or vocabulary_path()
     small_batches(docs.sparkSession)
@@ -349,11 +349,12 @@ def encode(docs: DataFrame, *, text_col: str = "text", path: str | None = None,
     length = F.coalesce(F.length(f"`{text_col}`"), F.lit(0))
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
     short = docs.where(length <= piece).mapInArrow(trimmed(_encode_rows(path, text_col), "bpe"), schema_with(docs, [ids]))
-    row = fresh(docs.columns, "wg_row")
+    row, part, spans = (fresh(docs.columns, f"wg_{k}") for k in ("row", "part", "spans"))
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-    pieces = docs.where(length > piece).mapInArrow(_cut_long(text_col, row, piece), T.StructType([*nullable.fields, T.StructField(row, T.LongType()), T.StructField(f"{row}_part", T.IntegerType())]))
-    encoded = pieces.repartition(row, f"{row}_part").mapInArrow(trimmed(_encode_pieces(path, text_col, row), "bpe"), schema_with(pieces, [ids, T.StructField(f"{row}_spans", T.ArrayType(T.IntegerType()))]))
-    long = encoded.groupBy(row).applyInArrow(_join_pieces(path, text_col, row), T.StructType([*nullable.fields, ids]))
+    pieces = docs.where(length > piece).mapInArrow(_cut_long(text_col, row, part, piece), T.StructType([*nullable.fields, T.StructField(row, T.LongType()), T.StructField(part, T.IntegerType())]))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as pieces are small and their work isn't: they are not to be put together
+    encoded = pieces.repartition(tasks, row, part).mapInArrow(trimmed(_encode_pieces(path, text_col, spans), "bpe"), schema_with(pieces, [ids, T.StructField(spans, T.ArrayType(T.IntegerType()))]))
+    long = encoded.groupBy(row).applyInArrow(_join_pieces(path, text_col, row, part, spans), T.StructType([*nullable.fields, ids]))
     return short.union(long)
 
 

@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wavegrid.llm import storage
 from wavegrid.llm.bpe import encoder, vocabulary_path
@@ -138,66 +139,58 @@ class TokenFile:
 def write(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, path: str | None = None, segment_bytes: int = 24 << 20) -> DataFrame:
     """Writes the texts' ids, each with end_id after it, as segment files in ascending order of ids; returns (segment, uri, docs, tokens), stored.
 
-    Segments are ranges of ids with about segment_bytes of text; one row may have more. Null texts are empty. Rows with a null id
-    come last, and rows with equal ids in the order of their tokens, so the result doesn't depend on how docs is partitioned.
+    Rows are dealt by ranges of ids, sorted, and encoded in that order; a segment ends when it has segment_bytes of text or its range
+    does, whatever the ranges turn out to be. Null texts are empty. Rows with a null id come last, and rows with equal ids in the order of their texts, so the ids
+    of all segments in a row don't depend on how docs is partitioned. Other columns aren't read. Without rows there is no segment.
     """
     path = path or vocabulary_path()
     small_batches(docs.sparkSession)
-    key = F.col(f"`{id_col}`").cast("long")
-    size = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
-    n = max(1, -(-size // segment_bytes))
-    bounds = docs.agg(F.percentile_approx(key, F.array(*[F.lit(k / n) for k in range(1, n)]), 10_000)).first()[0] if n > 1 else []
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, memo=300_000)
-        for table in chunks_of(batches, "text", 4 << 20):
-            flat, begins = e.encode(utf8(table.column("text")))
-            flat = np.insert(flat, begins[1:], end_id)
-            flat = flat.astype("<u2" if flat.max(initial=0) < 1 << 16 else "<u4")
-            begins = begins + np.arange(len(begins))
-            ids = [flat[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-            docs = table.column("doc").to_pylist()
-            segments = [len(bounds) if d is None else int(np.searchsorted(bounds, d)) for d in docs]
-            tail = [i for i, d in enumerate(docs) if d is None]
-            for i in tail:
-                segments[i] = len(bounds) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(segments, pa.int32()), pa.array(docs, pa.int64()), pa.array(ids, pa.binary()), pa.array([flat.itemsize == 4] * len(ids))], ["segment", "doc", "ids", "wide"])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-2 * size // segment_bytes))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, now = Writer(), None
+        e, part = encoder(path, memo=300_000), TaskContext.get().partitionId()
+        writer, size, number = Writer(), 0, 0
 
         def done() -> pa.RecordBatch:
-            name = f"{uri}/segment-{now:08d}.dac"
+            name = f"{uri}/segment-{part:08d}-{number:05d}.dac"
             writer.write(name)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([sum(map(len, writer.ids))], pa.int64())], ["segment", "uri", "docs", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 20 | number], pa.int64()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([sum(map(len, writer.ids))], pa.int64())], ["segment", "uri", "docs", "tokens"])
 
-        for batch in batches:
-            for segment, doc, ids, wide in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if segment != now:
-                    if now is not None:
-                        yield done()
-                    writer, now = Writer(), segment
-                writer.add(doc, np.frombuffer(ids, "<u4" if wide else "<u2"))
-        if now is not None:
+        for table in chunks_of(batches, "text", min(4 << 20, segment_bytes)):
+            if size and size + table.nbytes > segment_bytes:
+                yield done()
+                writer, size, number = Writer(), 0, number + 1
+            flat, begins = e.encode(utf8(table.column("text")))
+            flat = np.insert(flat, begins[1:], end_id)
+            flat = flat.astype("<u2" if flat.max(initial=0) < 1 << 16 else "<u4")
+            begins = begins + np.arange(len(begins))
+            for doc, a, b in zip(table.column("doc").to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                writer.add(doc, flat[a:b])
+            size += table.nbytes
+        if writer.docs:
             yield done()
 
-    rows = docs.select(key.alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(trimmed(encode, "bpe"), "segment int, doc long, ids binary, wide boolean")
-    rows = rows.repartition(2 * len(bounds) + 2, "segment").sortWithinPartitions("segment", "doc", "ids")
-    return stored(rows.mapInArrow(trimmed(save), "segment int, uri string, docs long, tokens long"), "token-segments")
+    doc = F.col("doc").asc_nulls_last()
+    rows = rows.repartitionByRange(n, doc, F.left("text", F.lit(64)).asc_nulls_first()).sortWithinPartitions(doc, F.col("text").asc_nulls_first())
+    return stored(rows.mapInArrow(trimmed(save, "bpe"), "segment long, uri string, docs long, tokens long"), "token-segments")
+
+
+def _before(segments: DataFrame) -> DataFrame:
+    """segments with base: the tokens of all segments before. Sums of groups of 1,024 ranges first, then within each group."""
+    rows = segments.withColumn("group", F.shiftright("segment", 30))
+    groups = rows.groupBy("group").agg(F.sum("tokens").alias("all"))
+    groups = groups.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("first"))
+    within = F.sum("tokens").over(Window.partitionBy("group").orderBy("segment")) - F.col("tokens")
+    return rows.withColumn("within", within).join(groups, "group").select("segment", "uri", (F.col("first") + F.col("within")).alias("base"))
 
 
 def read(segments: DataFrame, *, as_binary: bool = False) -> DataFrame:
     """(doc_id, start, ids) of the documents in the segments' files, in their order; start counts the ids of all documents before.
 
-    ids is an array of int, or with as_binary the ids as little-endian unsigned 32-bit integers.
+    ids is an array of int, or with as_binary the ids as little-endian unsigned 32-bit integers. Without segments there are no rows.
     """
-    spark = segments.sparkSession
-    rows, before, listed = [], 0, segments.orderBy("segment").collect()  # a row a file
-    for r in listed:
-        rows.append((r.segment, r.uri, before))
-        before += r.tokens
-
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -216,9 +209,8 @@ def read(segments: DataFrame, *, as_binary: bool = False) -> DataFrame:
                     begin = end
                 f.close()
 
-    files = spark.createDataFrame(rows, "segment int, uri string, base long")
     kind = "binary" if as_binary else "array<int>"
-    return files.repartition(max(1, len(rows)), "segment").mapInArrow(trimmed(load), f"doc_id long, start long, ids {kind}")
+    return _before(segments).repartition(max(1, segments.count()), "segment").mapInArrow(trimmed(load), f"doc_id long, start long, ids {kind}")
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
