@@ -1,9 +1,9 @@
 """Sharding by size-tiered compaction.
 
 Arrivals are written as small immutable Parquet shards, sorted by id. When a tier holds enough shards of similar size, neighbours
-are merged into one of the next tier, until shards have the target size. Merges that would follow on each other are
+are merged into one of the next tier, sorted by id too, until shards have the target size. Merges that would follow on each other are
 planned first, from the manifest's sizes alone, and each final shard is then written once, by a task that streams its
-parts; no row is shuffled. A manifest version lists the shards that count. It appears by a rename that fails if the version exists, so of
+parts side by side; no row is shuffled. Names of shards are the same when a task runs again. A manifest version lists the shards that count. It appears by a rename that fails if the version exists, so of
 two writers one starts again from the other's version, and readers see whole versions only.
 """
 
@@ -13,14 +13,17 @@ import heapq
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavegrid.llm import storage
-from wavegrid.llm.common import shared_dir
+from wavegrid.llm.common import fresh, limited, shared_dir, trimmed, without
 
 
 @dataclass(frozen=True)
@@ -35,8 +38,38 @@ class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+def in_order(parts: list[Iterator[pa.RecordBatch]], key: str) -> Iterator[pa.Table]:
+    """The rows of sorted parts in the order of key, nulls last; only a batch of each part is held."""
+    heads: list[pa.Table | None] = [None] * len(parts)
+    while True:
+        for i, part in enumerate(parts):
+            while part is not None and (heads[i] is None or not heads[i].num_rows):
+                batch = next(part, None)
+                if batch is None:
+                    part = parts[i] = None
+                else:
+                    heads[i] = pa.Table.from_batches([batch])
+        live = [i for i, h in enumerate(heads) if h is not None and h.num_rows]
+        if not live:
+            return
+        # what a part has after its head isn't less than its head's last key
+        lasts = [x for i in live if parts[i] is not None and (x := heads[i].column(key)[-1]).is_valid]
+        least = min(lasts, key=lambda x: x.as_py(), default=None)
+        taken = []
+        for i in live:
+            column = heads[i].column(key)
+            n = heads[i].num_rows if least is None else pc.sum(pc.fill_null(pc.less_equal(column, least), False)).as_py() or 0
+            taken.append(heads[i].slice(0, n))
+            heads[i] = heads[i].slice(n)
+        yield pa.concat_tables(taken).sort_by([(key, "ascending")])
+
+
 class ShardStore:
-    """small, target: bytes of a shard as it arrives, at most, and of a finished one, at least. fan_in: shards of a tier that are merged."""
+    """small, target: bytes of a shard as it arrives, at most, and of a finished one, at least. fan_in: shards of a tier that are merged.
+
+    Rows keep all their columns. Nulls are values like others; rows with a null id stand last in their shard, rows with equal ids in any order, repeated
+    rows are all kept. A row of any length is in one shard. Columns shard_number and shard_rows are stored, but read() replaces them.
+    """
 
     def __init__(self, spark: SparkSession, path: str, *, id_col: str = "doc_id", small: int = 4 << 20, target: int = 64 << 20, fan_in: int = 4):
         self.spark, self.path, self.id_col, self.small, self.target, self.fan_in = spark, path.rstrip("/"), id_col, small, target, fan_in
@@ -87,14 +120,14 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """Adds df's rows as small shards; returns the version. An empty df adds none."""
-        path, small, key = f"{self.path}/data", self.small, self.id_col
+        path, small, key = f"{self.path}/data/a-{uuid.uuid4().hex}", self.small, self.id_col
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
-            size = 0
+            size = number = 0
 
             def save() -> pa.RecordBatch:
-                name, table = f"{path}/a-{uuid.uuid4().hex}.parquet", pa.Table.from_batches(held).sort_by([(key, "ascending")])
+                name, table = f"{path}-{TaskContext.get().partitionId():07d}-{number:05d}.parquet", pa.Table.from_batches(held).sort_by([(key, "ascending")])
                 table = table.cast(pa.schema([f.with_nullable(True) for f in table.schema]))
                 with storage.creating(name) as out:
                     pq.write_table(table, out, compression="zstd", row_group_size=5000)
@@ -108,11 +141,11 @@ class ShardStore:
                     size += piece.nbytes
                     if size >= small:
                         yield save()
-                        held, size = [], 0
+                        held, size, number = [], 0, number + 1
             if held:
                 yield save()
 
-        added = df.mapInArrow(run, "name string, bytes long, rows long").collect()  # a row a shard
+        added = df.mapInArrow(trimmed(run), "name string, bytes long, rows long").collect()  # a row a shard
 
         def change(shards: list[Shard]) -> list[Shard] | None:
             first = max([s.number for s in shards], default=-1) + 1
@@ -158,26 +191,30 @@ class ShardStore:
             groups = self.plan(shards)
             if not groups:
                 return version
-            path = f"{self.path}/data"
+            path, key = f"{self.path}/data/m-{uuid.uuid4().hex}", self.id_col
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for group, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        name, writer, rows = f"{path}/m-{uuid.uuid4().hex}.parquet", None, 0
-                        with storage.creating(name) as out:
-                            for part in names:
-                                with storage.seekable(part) as f:
-                                    for b in pq.ParquetFile(f).iter_batches(2000):
-                                        writer = writer or pq.ParquetWriter(out, b.schema, compression="zstd")
-                                        writer.write_batch(b, row_group_size=5000)
-                                        rows += b.num_rows
+                        name, writer, rows, held = f"{path}-{group:07d}.parquet", None, 0, []
+                        with ExitStack() as opened, storage.creating(name) as out:
+                            files = [pq.ParquetFile(opened.enter_context(storage.seekable(part))) for part in names]
+                            for some in in_order([f.iter_batches(500) for f in files], key):
+                                writer = writer or pq.ParquetWriter(out, some.schema, compression="zstd")
+                                held.append(some)
+                                if sum(t.num_rows for t in held) >= 5000:
+                                    writer.write_table(pa.concat_tables(held), row_group_size=5000)
+                                    held = []
+                                rows += some.num_rows
+                            if held:
+                                writer.write_table(pa.concat_tables(held), row_group_size=5000)
                             writer.close()
                             n = out.tell()
                         yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([rows], pa.int64())], ["g", "name", "bytes", "rows"])
 
             rows = [(g, [s.name for s in sorted(group, key=lambda s: s.number)]) for g, group in enumerate(groups)]
             work = self.spark.createDataFrame(rows, "g int, names array<string>").repartition(len(rows))
-            merged = {r.g: r for r in work.mapInArrow(run, "g int, name string, bytes long, rows long").collect()}
+            merged = {r.g: r for r in work.mapInArrow(trimmed(run), "g int, name string, bytes long, rows long").collect()}
             gone = {s.name for group in groups for s in group}
             for g, group in enumerate(groups):
                 if merged[g].rows != sum(s.rows for s in group):
@@ -200,17 +237,18 @@ class ShardStore:
         return len(old)
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        """The version's rows with shard_number and shard_rows."""
+        """The version's rows with shard_number and shard_rows; columns of these names are replaced."""
         _, shards = self.manifest(version)
         if not shards:
-            return self.spark.createDataFrame([], schema).withColumns({"shard_number": F.lit(0).cast("long"), "shard_rows": F.lit(0).cast("long")})
-        listed = self.spark.createDataFrame([(s.name.rpartition("/")[2], s.number, s.rows) for s in shards], "shard_name string, shard_number long, shard_rows long")
-        rows = self.spark.read.schema(schema).parquet(*[s.name for s in shards]).withColumn("shard_name", F.substring_index(F.input_file_name(), "/", -1))
-        return rows.join(F.broadcast(listed), "shard_name").drop("shard_name")  # a row a shard
+            return without(self.spark.createDataFrame([], schema), ["shard_number", "shard_rows"]).withColumns({"shard_number": F.lit(0).cast("long"), "shard_rows": F.lit(0).cast("long")})
+        rows = without(self.spark.read.schema(schema).parquet(*[s.name for s in shards]), ["shard_number", "shard_rows"])
+        name = fresh(rows.columns, "wg_shard")
+        listed = self.spark.createDataFrame([(s.name.rpartition("/")[2], s.number, s.rows) for s in shards], f"`{name}` string, shard_number long, shard_rows long")
+        return rows.withColumn(name, F.substring_index(F.input_file_name(), "/", -1)).join(limited(listed, 1_000_000), name).drop(name)  # a row a shard
 
 
 def shard_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", arrivals: int = 4, **options) -> ShardStore:
-    """docs in arrivals by ranges of ids, each appended and followed by a compaction. Rows with a null id come with the first."""
+    """docs in arrivals by ranges of ids, each appended and followed by a compaction. Rows with a null id come with the first; without rows there is no shard."""
     store = ShardStore(docs.sparkSession, path, id_col=id_col, **options)
     key = F.col(f"`{id_col}`")
     cuts = docs.agg(F.percentile_approx(key.cast("long"), F.array(*[F.lit(k / arrivals) for k in range(1, arrivals)]), 1000)).first()[0] if arrivals > 1 else []
