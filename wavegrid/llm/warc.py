@@ -162,14 +162,23 @@ def write(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_col: str =
 
     Of rows with equal payloads of at least revisit_from bytes, that with the largest id is the response. Null payloads are
     empty. A null id is smaller than others; rows that all have null ids, and rows that share the largest id, are all responses.
-    Payloads are compared by SHA-1 and length; a hot payload's ids are reduced before they are shuffled.
+    Payloads are compared by SHA-1 and length; a hot payload's ids are reduced before they are shuffled. Payloads that over a thousandth of
+    all copies have, so a thousand at most, are broadcast: their copies lose the payload before any shuffle, and go to any task. Other
+    columns aren't read. A row of any length is one record. Without rows there is no archive.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
     rows = rows.select("page", "url", "payload", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("length"))
-    first = rows.groupBy("sha1", "length").agg(F.max("page").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("length") >= revisit_from)).drop("n")
-    typed = rows.join(first, ["sha1", "length"], "left")
-    refers = F.when(F.col("first").isNotNull() & (F.col("page").isNull() | (F.col("page") < F.col("first"))), F.col("first"))
+    first = rows.groupBy("sha1", "length").agg(F.max("page").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("length") >= revisit_from))
+    first = stored(first, "warc-copies")
+    hot = F.col("n") * 1000 > (first.agg(F.sum("n")).first()[0] or 0)
+    often = first.where(hot).select("sha1", "length", F.col("first").alias("often"))  # 1,000 rows at most, as their shares add up to one
+    typed = rows.join(F.broadcast(often), ["sha1", "length"], "left")
+    later = lambda first: F.when(F.col(first).isNotNull() & (F.col("page").isNull() | (F.col("page") < F.col(first))), F.col(first))
+    typed = typed.withColumn("payload", F.when(later("often").isNull(), F.col("payload")))
+    typed = typed.withColumn("salt", F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("page"), F.lit(1000))).otherwise(0))
+    typed = typed.join(first.where(~hot).select("sha1", "length", "first", F.lit(0).alias("salt")), ["sha1", "length", "salt"], "left")
+    refers = F.coalesce(later("often"), later("first"))
     typed = typed.select("page", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "sha1", "length", refers.alias("refers_to"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
