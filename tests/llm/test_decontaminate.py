@@ -69,3 +69,10 @@ def test_empty_tables_and_clashing_names(spark, docs, empty):
 def test_cut_keeps_what_stands_outside():
     assert cut(b"a, bc; d e", np.array([1]), np.array([3])) == b"a,  e"
     assert windows_of([("1", b"")], 10) == ([], [])
+
+
+def test_names_like_the_hidden_ones_stay(spark, docs):
+    more = docs.withColumn("wg_hit_note", docs.lang).withColumn("wg_flags", docs.text).withColumn("WG_words", docs.doc_id)
+    out = decontaminate(more, spark.createDataFrame(ITEMS, "item_id long, text string"), block_bytes=300, with_clean_text=True)
+    assert out.columns == [*more.columns, "n_words", "n_hit", "items", "spans", "clean_text"]
+    assert sorted(str((r.wg_hit_note, r.wg_flags, r.WG_words)) for r in out.collect()) == sorted(str((r.lang, r.text, r.doc_id)) for r in docs.collect())

@@ -4,13 +4,15 @@ Each task cuts its documents into shards of bounded size and indexes the words o
 transformed text, sampled suffix positions. All windows are searched at once; their occurrences are located by walking to a
 sampled position, and overlapping ones merge into removal spans. Documents are never shuffled.
 
-The items come in blocks of bounded size. Each block is broadcast and searched against all shards in a pass of its own.
+The items come in blocks of bounded size. Each block's windows are broadcast, as arrays of word numbers, and searched against all shards in a
+pass of its own.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,8 @@ from pyspark.sql import types as T
 from wavegrid.llm.common import FOLD, chunks_of, extended, fresh, schema_with, small_batches, stored, trimmed, utf8, without
 from wavegrid.llm.fm_index import FMIndex
 
-Windows = tuple[list[tuple[bytes, ...]], list[list[str]]]
 
-
-def windows_of(items: list[tuple[str, bytes]], window: int) -> Windows:
+def windows_of(items: list[tuple[str, bytes]], window: int) -> tuple[list[tuple[bytes, ...]], list[list[str]]]:
     """The distinct windows of the items, and for each the ids that have it."""
     found: dict[tuple[bytes, ...], dict[str, None]] = {}
     for item, text in items:
@@ -33,6 +33,31 @@ def windows_of(items: list[tuple[str, bytes]], window: int) -> Windows:
     return list(found), [list(x) for x in found.values()]
 
 
+@dataclass
+class Windows:
+    """What windows_of() gives, in arrays."""
+
+    words: list[bytes]  # distinct
+    rows: np.ndarray  # a row a window: its words' places in words, right-aligned; -1 before a shorter one
+    items: list[str]  # distinct
+    begins: np.ndarray  # where each window's items begin in held, and their number
+    held: np.ndarray  # places in items
+
+    @staticmethod
+    def of(windows: list[tuple[bytes, ...]], ids: list[list[str]], width: int) -> Windows:
+        number: dict[bytes, int] = {}
+        rows = np.full((len(windows), width), -1, np.int32)
+        for k, words in enumerate(windows):
+            rows[k, width - len(words) :] = [number.setdefault(w, len(number)) for w in words]
+        names: dict[str, int] = {}
+        held = np.fromiter((names.setdefault(i, len(names)) for some in ids for i in some), np.int32)
+        return Windows(list(number), rows, list(names), np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64), held)
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.count_nonzero(self.rows >= 0, axis=1)
+
+
 def hits(texts: list[bytes | None], windows: Windows, sample: int) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Of one shard: words of each text, a hit flag for each word of all texts, item ids of each text."""
     vocabulary: dict[bytes, int] = {}
@@ -46,27 +71,24 @@ def hits(texts: list[bytes | None], windows: Windows, sample: int) -> tuple[np.n
     items: list[set[str]] = [set() for _ in texts]
     starts = np.concatenate(([0], np.cumsum(counts + 1)))  # in ids
     flags = np.zeros(len(ids) + 1, np.int32)
-    get, width = vocabulary.get, max((len(w) for w in windows[0]), default=0)
-    rows, which = [], []
-    for k, words in enumerate(windows[0]):
-        row = [get(w, 0) for w in words]
-        if 0 not in row:
-            rows.append([-1] * (width - len(row)) + row)
-            which.append(k)
-    if rows and vocabulary:
+    here = np.array([*(vocabulary.get(w, 0) for w in windows.words), -1], np.int64)  # at -1: what stands before a shorter window
+    rows = here[windows.rows]
+    which = np.flatnonzero((rows != 0).all(axis=1))
+    if len(which) and vocabulary:
+        rows = rows[which]
         index = FMIndex(np.array(ids, np.int64), len(vocabulary) + 2, sample)
-        low, high = index.intervals(np.array(rows, np.int64))
+        low, high = index.intervals(rows)
         count = high - low
         if total := int(count.sum()):
             pattern = np.repeat(np.arange(len(rows)), count)
             offset = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
             at = index.locate(low[pattern] + offset)
-            lengths = np.array([len(windows[0][k]) for k in which])
             np.add.at(flags, at, 1)
-            np.add.at(flags, at + lengths[pattern], -1)
+            np.add.at(flags, at + windows.lengths[which][pattern], -1)
             text_of = np.searchsorted(starts, at, side="right") - 1
             for pair in np.unique(text_of * len(rows) + pattern).tolist():
-                items[pair // len(rows)].update(windows[1][which[pair % len(rows)]])
+                k = which[pair % len(rows)]
+                items[pair // len(rows)].update(windows.items[i] for i in windows.held[windows.begins[k] : windows.begins[k + 1]].tolist())
     hit = np.cumsum(flags[:-1]) > 0
     return counts, np.delete(hit, starts[1:] - 1), items
 
@@ -105,58 +127,61 @@ def _item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: in
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
-    with_clean_text: bool = False, shard_bytes: int = 4 << 20, sample: int = 16, block_bytes: int = 16 << 20,
+    with_clean_text: bool = False, shard_bytes: int = 4 << 20, sample: int = 16, block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """docs with n_words, n_hit, items (ids, sorted as strings) and spans (word positions [start, end) to remove); with_clean_text adds clean_text.
 
     Words: A-Z lower-cased, runs of digits, letters and non-ASCII characters. An item of fewer words than window, but not none, is one window.
     Nulls: a null text has no words and clean text null; null items and items with a null id are ignored. An empty benchmark hits nothing.
     Items with the same id count once, and repeated documents each get their row. Columns named like a result are replaced.
-    A text of any length stays in one shard. clean_text drops each span with what stands between its words.
+    A text of any length stays in one shard. block_bytes: of the items' texts that are searched at once; their windows, in arrays of numbers, are
+    about nine times as large when they are broadcast. clean_text drops each span with what stands between its words.
     """
     spark = docs.sparkSession
     small_batches(spark)
     results = ["n_words", "n_hit", "items", "spans"] + ["clean_text"] * with_clean_text
     df = without(docs, [r for r in results if r != text_col.lower()])
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    hidden = fresh(df.columns, "wg_hit")
-    fields = [T.StructField(f"{hidden}_words", T.LongType()), T.StructField(f"{hidden}_items", T.ArrayType(T.StringType())), T.StructField(f"{hidden}_flags", T.BinaryType())]
+    hidden = [fresh(df.columns, f"wg_{k}") for k in ("words", "items", "flags")]
+    fields = [T.StructField(name, kind) for name, kind in zip(hidden, (T.LongType(), T.ArrayType(T.StringType()), T.BinaryType()), strict=True)]
     passes = 0
     for items in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(windows_of(items, window))
+        sent = spark.sparkContext.broadcast(Windows.of(*windows_of(items, window), window))
         schema = df.schema if passes else schema_with(df, fields)
         df = df.mapInArrow(trimmed(_search(text_col, hidden, sent, shard_bytes, sample)), schema)
         passes += 1
         if passes > 1:
             df = stored(df, "decontaminate")
-    return df.mapInArrow(trimmed(_spans(text_col, hidden, with_clean_text)), T.StructType([f for f in df.schema.fields if not f.name.startswith(hidden)] + [
+    return df.mapInArrow(trimmed(_spans(text_col, hidden, with_clean_text)), T.StructType([f for f in df.schema.fields if f.name not in hidden] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", span)]
         + [T.StructField("clean_text", T.StringType())] * with_clean_text))
 
 
-def _search(text_col: str, hidden: str, sent, shard_bytes: int, sample: int):
+def _search(text_col: str, hidden: list[str], sent, shard_bytes: int, sample: int):
+    n_words, found, marks = hidden
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in chunks_of(batches, text_col, shard_bytes):
             counts, flags, items = hits(utf8(shard.column(text_col)), sent.value, sample)
             ends = np.cumsum(counts)
             packed = [zlib.compress(np.packbits(flags[e - n : e]).tobytes(), 1) if flags[e - n : e].any() else b"" for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            if f"{hidden}_flags" in shard.column_names:
-                for i, (old, held) in enumerate(zip(shard.column(f"{hidden}_flags").to_pylist(), shard.column(f"{hidden}_items").to_pylist(), strict=True)):
+            if marks in shard.column_names:
+                for i, (old, held) in enumerate(zip(shard.column(marks).to_pylist(), shard.column(found).to_pylist(), strict=True)):
                     items[i].update(held)
                     if old and packed[i]:
                         packed[i] = zlib.compress((np.frombuffer(zlib.decompress(old), np.uint8) | np.frombuffer(zlib.decompress(packed[i]), np.uint8)).tobytes(), 1)
                     packed[i] = packed[i] or old
-                shard = shard.drop_columns([f"{hidden}_words", f"{hidden}_items", f"{hidden}_flags"])
-            yield from extended(shard, {f"{hidden}_words": pa.array(counts), f"{hidden}_items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), f"{hidden}_flags": pa.array(packed, pa.binary())})
+                shard = shard.drop_columns(hidden)
+            yield from extended(shard, {n_words: pa.array(counts), found: pa.array([sorted(x) for x in items], pa.list_(pa.string())), marks: pa.array(packed, pa.binary())})
 
     return run
 
 
-def _spans(text_col: str, hidden: str, with_clean_text: bool):
+def _spans(text_col: str, hidden: list[str], with_clean_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            words, flags = table.column(f"{hidden}_words").to_pylist(), table.column(f"{hidden}_flags").to_pylist()
+            words, items, flags = table.column(hidden[0]).to_pylist(), table.column(hidden[1]), table.column(hidden[2]).to_pylist()
             texts = utf8(table.column(text_col)) if with_clean_text else [None] * len(words)
             n_hit, starts, ends, offsets, clean = [], [], [], [0], []
             for n, packed, text in zip(words, flags, texts, strict=True):
@@ -168,8 +193,7 @@ def _spans(text_col: str, hidden: str, with_clean_text: bool):
                 n_hit.append(int(hit.sum()))
                 clean.append(text if text is None or not len(a) else cut(text, a, b))
             spans = pa.StructArray.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), pa.int64()).cast(pa.int32()) for x in (starts, ends)], ["start", "end"])
-            items = table.column(f"{hidden}_items")
-            table = table.select([c for c in table.column_names if not c.startswith(hidden)])
+            table = table.drop_columns(hidden)
             more = {"n_words": pa.array(words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": items, "spans": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)}
             if with_clean_text:
                 more["clean_text"] = pa.array(clean, pa.binary()).cast(pa.string())
