@@ -4,11 +4,12 @@ import os
 import time
 
 
+import numpy as np
 import pytest
 
 
 from wavegrid import cli
-from wavegrid.sources import containers, datasource
+from wavegrid.sources import containers, datasource, flac
 from wavegrid.sources.containers import Spec
 from wavegrid.streaming import progress
 
@@ -49,6 +50,87 @@ def test_read_write_read(spark, folder):
     assert samples(spark.read.format("pcm").option("path", f"{folder}/back").load()) == want
 
 
+def test_a_long_file_is_read_by_many_tasks(spark, tmp_path):
+    """Ranges of bytes, whatever the largest frame is said to be; a damaged frame is found wherever ranges begin."""
+    datasource.register(spark)
+    r = np.random.default_rng(2)
+    x = np.cumsum(r.integers(-90, 91, (90_000, 2)), axis=0).clip(-32768, 32767)
+    spec = containers.checked(Spec(44100, 2, 16, total=len(x)))
+    data = bytearray(flac.encode(x, spec, 2, block_size=1000))
+    (tmp_path / "a.flac").write_bytes(data)
+    data[15:18] = (40).to_bytes(3, "big")  # the stated largest frame
+    (tmp_path / "b.flac").write_bytes(data)
+    (tmp_path / "c.flac").write_bytes(flac.encode(x, spec, 2, sizes=[500, 700] * 75))
+    df = spark.read.format("flac").option("path", str(tmp_path)).option("bytesPerTask", 1 << 16).load()
+    assert df.rdd.getNumPartitions() > 6
+    found = samples(df)
+    assert set(found) == {(name, c) for name in "abc" for c in (0, 1)}
+    assert all(v == x[:, c].tolist() for (_, c), v in found.items())
+    assert df.where("path like '%a.flac' and channel = 0 and sample_offset <> frame * 1000").count() == 0
+    for at in (len(data) // 2, len(data) - 40, 70_000):
+        broken = bytearray(data)
+        broken[at] ^= 0xFF
+        (tmp_path / "broken").mkdir(exist_ok=True)
+        (tmp_path / "broken/d.flac").write_bytes(broken)
+        with pytest.raises(Exception, match="damaged|checksum|early"):
+            spark.read.format("flac").option("path", f"{tmp_path}/broken").option("bytesPerTask", 1 << 16).load().count()
+    (tmp_path / "broken/d.flac").write_bytes(data[:-3000])
+    with pytest.raises(Exception, match="early"):
+        spark.read.format("flac").option("path", f"{tmp_path}/broken").option("bytesPerTask", 1 << 16).load().count()
+
+
+def test_streams_of_one_name(spark, tmp_path):
+    """Two folders' streams keep their folders, or nothing is written."""
+    datasource.register(spark)
+    for k, name in enumerate(("a/x.wav", "b/x.wav")):
+        s, head, tail = containers.written(Spec(44100, 1, 16, total=100 + k), "wave")
+        (tmp_path / "in" / name).parent.mkdir(parents=True)
+        (tmp_path / "in" / name).write_bytes(head + containers.pack(ramp(100 + k), s) + tail)
+    df = spark.read.format("pcm").option("path", f"{tmp_path}/in").option("blockSize", 16).load()
+    by = df.repartition(1).sortWithinPartitions("path", "frame")
+    write = lambda rows, **options: rows.write.format("flac").options(path=f"{tmp_path}/out", **options).mode("append").save()
+    with pytest.raises(Exception, match="same name"):
+        write(by)
+    with pytest.raises(Exception, match="apart"):
+        write(df.where("path like '%a/x.wav'").repartitionByRange(2, "frame"))
+    with pytest.raises(Exception, match="isn't below"):
+        write(by, base=f"{tmp_path}/elsewhere")
+    assert [f for _, _, fs in os.walk(tmp_path / "out") for f in fs] == []
+    write(by, base=f"{tmp_path}/in")
+    again = spark.read.format("flac").option("path", f"{tmp_path}/out").load()
+    assert {r.path[-8:]: r.total for r in again.select("path", "total").distinct().collect()} == {"a/x.flac": 100, "b/x.flac": 101}
+    assert not [f for _, _, fs in os.walk(tmp_path / "out") for f in fs if f.endswith(".tmp")]
+
+
+def test_a_failing_write_leaves_nothing(tmp_path, monkeypatch):
+    from wavegrid.plans import convert
+
+    where, path = datasource.located(f"{tmp_path}/deep/x.flac")
+    convert.put(where, path, b"abc")
+    assert (tmp_path / "deep/x.flac").read_bytes() == b"abc"
+    (tmp_path / "deep/y").mkdir()
+    (tmp_path / "deep/y/z").write_text("")
+    with pytest.raises(OSError):
+        convert.put(where, f"{tmp_path}/deep/y", b"abc")  # a folder with files
+    assert sorted(os.listdir(tmp_path / "deep")) == ["x.flac", "y"]
+
+
+def test_command_line_of_raw_files(spark, tmp_path):
+    x = ramp(300, 2)
+    (tmp_path / "x.raw").write_bytes(containers.pack(x, containers.checked(Spec(8000, 2, 16, layout="be", total=300))))
+    (none,) = cli.run(spark, ["encode", f"{tmp_path}/x.raw"]).collect()
+    assert "rate" in none.error
+    x = x >> 4
+    (tmp_path / "x.raw").write_bytes(containers.pack(x, containers.checked(Spec(8000, 2, 12, 16, layout="be", total=300))))
+    (done,) = cli.run(spark, ["encode", f"{tmp_path}/x.raw", "--rate", "8000", "--channels", "2", "--bits", "12", "--container-bits", "16", "--layout", "be", "--mask", "0x3"]).collect()
+    assert done.error is None and done.samples == 300
+    _, y = flac.decode((tmp_path / "x.flac").read_bytes())
+    assert (y == x).all()
+    (tmp_path / "wrong.aiff").write_bytes((tmp_path / "x.flac").read_bytes())
+    (wrong,) = cli.run(spark, ["encode", f"{tmp_path}/wrong.aiff"]).collect()
+    assert "family aiff" in wrong.error
+
+
 def test_damaged_files(spark, folder):
     datasource.register(spark)
     (folder / "in/bad.wav").write_bytes(b"RIFF\0\0\0\0WAVEnothing")

@@ -13,6 +13,11 @@ from wavegrid.plans.convert import MODES, convert
 from wavegrid.sources.datasource import FLAC_SUFFIXES, PCM_SUFFIXES, listed
 
 
+def mask(text: str) -> int:
+    """A channel mask: hexadecimal digits, with or without 0x."""
+    return int(text.strip().lower().removeprefix("0x"), 16)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="wavegrid", description="Lossless conversions of sample streams, all files at once.")
     commands = p.add_subparsers(dest="command", required=True)
@@ -26,6 +31,10 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--level", type=int, choices=range(9), default=8)
         if name == "encode":
             c.add_argument("--block-size", type=int)
+            for name in ("--rate", "--channels", "--bits", "--container-bits"):
+                c.add_argument(name, type=int, help="of .raw and .pcm files, which have no header")
+            c.add_argument("--layout", choices=["le", "be"], default="le")
+            c.add_argument("--mask", type=mask, default=0, help="hexadecimal; over two channels need one")
         if name == "decode":
             c.add_argument("--container", choices=["auto", "wave", "rf64", "wave64", "aiff", "aifc", "caf"], default="auto")
     return p
@@ -63,6 +72,8 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
         a.output = os.path.splitext(a.input)[0] + ".recompressed.flac"
     work = planned(a.command, a.input, a.output, a.depth, suffix)
     options = {"mode": a.mode} | ({"level": a.level} if a.command != "decode" else {"container": a.container}) | ({"block_size": a.block_size} if getattr(a, "block_size", None) else {})
+    if a.command == "encode" and a.rate:
+        options["raw"] = {"rate": a.rate, "channels": a.channels or 1, "valid_bits": a.bits or 16, "container_bits": a.container_bits or 0, "layout": a.layout, "mask": a.mask}
     rows = spark.createDataFrame(work, "input string, output string").repartition(len(work))
     return convert(rows, a.command, **options)
 

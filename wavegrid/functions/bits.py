@@ -7,20 +7,50 @@ from functools import cache
 import numpy as np
 
 
+#: Bytes whose checksums are taken at once.
+_RUN = 256
+
+
+@cache
+def _tables(poly: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a byte adds to the checksum of a run that ends so many bytes after it, flattened; and what a checksum's low and high byte become when a run follows."""
+    top, mask = 1 << (width - 1), (1 << width) - 1
+    one = np.arange(256, dtype=np.int64) << (width - 8)
+    for _ in range(8):
+        one = np.where(one & top, (one << 1) ^ poly, one << 1) & mask
+    after = lambda crc: ((crc << 8) & mask) ^ one[crc >> (width - 8)]  # noqa: E731  a zero byte follows
+    rows = [one]
+    for _ in range(_RUN - 1):
+        rows.append(after(rows[-1]))
+    low, high = np.arange(256, dtype=np.int64), np.arange(256, dtype=np.int64) << 8 if width > 8 else np.zeros(256, np.int64)
+    for _ in range(_RUN):
+        low, high = after(low), after(high)
+    return np.array(rows[::-1], np.uint16).reshape(-1), low, high
+
+
+def _crc(data: bytes, poly: int, width: int) -> int:
+    by_place, low, high = _tables(poly, width)
+    # zeros before the data change nothing, as a checksum begins at 0
+    padded = np.zeros(-(-len(data) // _RUN) * _RUN, np.int64)
+    padded[len(padded) - len(data) :] = np.frombuffer(data, np.uint8)
+    crc = 0
+    for begin in range(0, len(padded), _RUN << 10):
+        runs = padded[begin : begin + (_RUN << 10)].reshape(-1, _RUN)
+        for part in np.bitwise_xor.reduce(by_place[runs + (np.arange(_RUN) << 8)], axis=1).tolist():
+            crc = int(low[crc & 0xFF]) ^ int(high[crc >> 8]) ^ part
+    return crc
+
+
 @cache
-def _table(poly: int, width: int) -> tuple[int, ...]:
-    top, mask, out = 1 << (width - 1), (1 << width) - 1, []
-    for b in range(256):
-        r = b << (width - 8)
-        for _ in range(8):
-            r = (r << 1) ^ poly if r & top else r << 1
-        out.append(r & mask)
-    return tuple(out)
+def _bytewise(poly: int) -> tuple[int, ...]:
+    return tuple(_tables(poly, 8)[0].reshape(_RUN, 256)[-1].tolist())
 
 
 def crc8(data: bytes) -> int:
     """Polynomial 0x07, most significant bit first, from 0."""
-    t, r = _table(0x07, 8), 0
+    if len(data) > 32:
+        return _crc(data, 0x07, 8)
+    t, r = _bytewise(0x07), 0  # frame headers are short
     for b in data:
         r = t[r ^ b]
     return r
@@ -28,10 +58,7 @@ def crc8(data: bytes) -> int:
 
 def crc16(data: bytes) -> int:
     """Polynomial 0x8005, most significant bit first, from 0."""
-    t, r = _table(0x8005, 16), 0
-    for b in data:
-        r = ((r << 8) & 0xFFFF) ^ t[(r >> 8) ^ b]
-    return r
+    return _crc(data, 0x8005, 16)
 
 
 def coded(number: int) -> bytes:
@@ -81,68 +108,3 @@ def rice(folded: np.ndarray, parameter: int) -> np.ndarray:
     for b in range(parameter):
         out[stop + 1 + b] = folded >> (parameter - 1 - b) & 1
     return out
-
-
-class BitReader:
-    """Reads fields off bytes; unary runs end at set bits that are found for all at once."""
-
-    def __init__(self, data: bytes):
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
-        self.at = 0
-        self.ones = np.flatnonzero(self.bits)
-
-    def unsigned(self, width: int) -> int:
-        return int(self.many(1, width)[0])
-
-    def signed(self, width: int) -> int:
-        v = self.unsigned(width)
-        return v - (1 << width) if width and v >> (width - 1) else v
-
-    def many(self, count: int, width: int) -> np.ndarray:
-        end = self.at + count * width
-        if end > len(self.bits):
-            raise ValueError("a frame ends early")
-        part = self.bits[self.at : end].reshape(count, width).astype(np.int64)
-        self.at = end
-        return part @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64)) if width else np.zeros(count, np.int64)
-
-    def many_signed(self, count: int, width: int) -> np.ndarray:
-        v = self.many(count, width)
-        return np.where(v >> (width - 1) & 1, v - (1 << width), v) if width else v
-
-    def unary(self) -> int:
-        i = int(np.searchsorted(self.ones, self.at))
-        if i == len(self.ones):
-            raise ValueError("a frame ends early")
-        n = int(self.ones[i]) - self.at
-        self.at += n + 1
-        return n
-
-    def rice(self, count: int, parameter: int) -> np.ndarray:
-        """Folded values. Each one's stop bit is the first set bit after the low bits of the one before."""
-        ones, at = self.ones, self.at
-        i, stops = int(np.searchsorted(ones, at)), []
-        values, step = ones[i : i + count * (parameter + 2) + 64 * count].tolist() if parameter else ones[i : i + count].tolist(), parameter + 1
-        if not parameter:
-            stops = values
-        else:
-            k, n, nearest = 0, len(values), at
-            for _ in range(count):
-                while k < n and values[k] < nearest:
-                    k += 1
-                if k == n:
-                    break
-                stops.append(values[k])
-                nearest = values[k] + step
-                k += 1
-        if len(stops) < count:
-            raise ValueError("a frame ends early")
-        stop = np.array(stops, np.int64)
-        begin = np.concatenate(([at], stop[:-1] + step))
-        out = (stop - begin) << parameter
-        if count and stop[-1] + parameter >= len(self.bits):
-            raise ValueError("a frame ends early")
-        for b in range(parameter):
-            out |= self.bits[stop + 1 + b].astype(np.int64) << (parameter - 1 - b)
-        self.at = int(stop[-1]) + step if count else at
-        return out

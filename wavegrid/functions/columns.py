@@ -92,6 +92,12 @@ def mask_text(mask: Column) -> Column:
     return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(mask)), 8, "0"))
 
 
+def mask_value(text: Column) -> Column:
+    """A mask's text as a number: hexadecimal digits of any case, with or without 0x, blanks around them; null for anything else."""
+    digits = F.regexp_replace(F.lower(F.trim(text)), "^0x", "")
+    return F.when(digits.rlike("^[0-9a-f]{1,8}$"), F.conv(digits, 16, 10).cast("bigint"))
+
+
 def padded_riff(size: Column) -> Column:
     return size + size % 2
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,31 +67,34 @@ def best_residual(r: np.ndarray, order: int, most: int) -> Residual | None:
         return None
     u = folded(r)
     wide = int(u.sum()) // max(1, len(u))
-    best: Residual | None = None
+    best = None
     for p in dict.fromkeys((valid[-1], max(valid[-1] - 1, 0), 0)):
         size = n >> p
         starts = np.maximum(np.arange(1 << p) * size - order, 0)
         ends = np.arange(1, (1 << p) + 1) * size - order
         count = ends - starts
         total, low, high = np.add.reduceat(u, starts), np.minimum.reduceat(r, starts), np.maximum.reduceat(r, starts)
-        mean = total // count
+        log = np.maximum(_bit_length(total // count) - 1, 0)
+        span = np.where((low == 0) & (high == 0), 0, _bit_length(np.maximum(high, -low - 1)) + 1)
         for m, (width, largest) in enumerate(METHODS):
             if m and max(0, wide.bit_length() - 1) <= METHODS[0][1]:
                 continue
-            e = np.minimum([max(0, int(x).bit_length() - 1) for x in mean], largest)
+            e = np.minimum(log, largest)
             rice = width + np.add.reduceat(u >> np.repeat(e, count), starts) + count * (e + 1)
             zero = np.where(e <= 2, width + total + count, np.iinfo(np.int64).max)
-            span = np.array([0 if a == 0 == b else max(b, -a - 1).bit_length() + 1 for a, b in zip(low.tolist(), high.tolist(), strict=True)])
             escape = width + 5 + count * span
             least = np.minimum(np.minimum(escape, zero), rice)
             bits = 6 + int(least.sum())
-            if best is None or bits < best.bits:
-                parts = []
-                for i in range(1 << p):
-                    kind, v = ("escape", int(span[i])) if escape[i] == least[i] else ("rice", 0 if zero[i] == least[i] else int(e[i]))
-                    parts.append((kind, v, int(starts[i]), int(ends[i])))
-                best = Residual(bits, p, m, parts, r)
-    return best
+            if best is None or bits < best[0]:
+                best = bits, p, m, escape == least, np.where(escape == least, span, np.where(zero == least, 0, e)), starts, ends
+    bits, p, m, escapes, values, starts, ends = best
+    kinds = ["escape" if x else "rice" for x in escapes.tolist()]
+    return Residual(bits, p, m, list(zip(kinds, values.tolist(), starts.tolist(), ends.tolist(), strict=True)), r)
+
+
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    """Of numbers from 0 to below 2 ** 53."""
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
 def lpc_residual(x: np.ndarray, coefficients: np.ndarray, shift: int) -> np.ndarray:
@@ -101,12 +105,40 @@ def lpc_residual(x: np.ndarray, coefficients: np.ndarray, shift: int) -> np.ndar
     return x[k:] - (prediction >> shift)
 
 
-def lpc_restore(warmup: list[int], residual: np.ndarray, coefficients: np.ndarray, shift: int) -> np.ndarray:
-    out, c = list(warmup), coefficients.tolist()[::-1]
-    k = len(c)
-    for r in residual.tolist():
-        out.append(r + (sum(a * b for a, b in zip(c, out[-k:], strict=True)) >> shift))
-    return np.array(out, np.int64)
+@dataclass
+class Recurrence:
+    """A block whose samples follow from those before them."""
+
+    warmup: np.ndarray
+    residual: np.ndarray
+    coefficients: np.ndarray
+    shift: int
+
+
+def lpc_restored(blocks: list[Recurrence]) -> list[np.ndarray]:
+    """Samples of blocks that know nothing of each other: sequential within a block, side by side over blocks, of which the longest stand first."""
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i].residual))
+    some = [blocks[i] for i in order]
+    if not some:
+        return []
+    most, steps = max(len(b.coefficients) for b in some), len(some[0].residual)
+    x = np.zeros((most + steps, len(some)), np.int64)  # a column a block; what stands before a shorter warm-up is zero
+    r = np.zeros((steps, len(some)), np.int64)
+    c = np.zeros((most, len(some)), np.int64)
+    for k, b in enumerate(some):
+        n = len(b.coefficients)
+        x[most - n : most, k] = b.warmup
+        r[: len(b.residual), k] = b.residual
+        c[most - n :, k] = b.coefficients[::-1]
+    shift = np.array([b.shift for b in some], np.int64)
+    lengths = -np.array([len(b.residual) for b in some])
+    live = np.searchsorted(lengths, -np.arange(steps), side="left").tolist()
+    for i, n in enumerate(live):
+        x[most + i, :n] = r[i, :n] + (np.einsum("ij,ij->j", c[:, :n], x[i : i + most, :n]) >> shift[:n])
+    out: list[np.ndarray] = [r[0]] * len(blocks)
+    for k, (i, b) in enumerate(zip(order, some, strict=True)):
+        out[i] = x[most - len(b.coefficients) : most + len(b.residual), k].copy()
+    return out
 
 
 def autocorrelation(x: np.ndarray, lags: int) -> np.ndarray:
@@ -244,58 +276,167 @@ def parse_header(data: bytes, at: int, rate: int, depth: int) -> Header:
     return Header(n, hz, assignment, DEPTH_CODES.get(deep, depth), number, bool(h[1] & 1), p + 1)
 
 
-def _read_residual(r: B.BitReader, n: int, order: int) -> np.ndarray:
-    method, p = r.unsigned(2), r.unsigned(4)
-    if method > 1 or n % (1 << p) or n >> p < order:
-        raise ValueError("a residual's partitions don't fit the block")
-    width, parts = METHODS[method][0], []
-    for i in range(1 << p):
-        count = (n >> p) - (0 if i else order)
-        v = r.unsigned(width)
-        parts.append(r.many_signed(count, r.unsigned(5)) if v == (1 << width) - 1 else unfolded(r.rice(count, v)))
-    return np.concatenate(parts)
+class _Bits:
+    """The bits of some frames' bytes: fields anywhere, and the next set bit after any place."""
+
+    def __init__(self, data: bytes):
+        self.bytes = data
+        raw = np.frombuffer(data + bytes(8), np.uint8)
+        self.size = 8 * len(data)
+        self.windows = np.zeros(len(data) + 4, np.int64)  # 40 bits from each byte on
+        for k in range(5):
+            self.windows = self.windows << 8 | raw[k : k + len(self.windows)]
+        bits = np.unpackbits(raw[: len(data)])
+        ones = np.where(bits, np.arange(self.size, dtype=np.int32), np.int32(self.size))
+        self.next = np.append(np.minimum.accumulate(ones[::-1])[::-1], np.int32(self.size))
 
+    def field(self, at: int, width: int) -> int:
+        last = (at + width + 7) >> 3
+        return int.from_bytes(self.bytes[at >> 3 : last], "big") >> (8 * last - at - width) & ((1 << width) - 1)
 
-def _read_subframe(r: B.BitReader, n: int, depth: int) -> np.ndarray:
-    if r.unsigned(1):
+    def fields(self, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+        """Of up to 33 bits each."""
+        return self.windows[np.minimum(at, self.size) >> 3] >> (40 - (at & 7) - width) & ((1 << width) - 1)
+
+    def signed(self, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+        v = self.fields(at, width)
+        half = (1 << width) >> 1
+        return (v ^ half) - half
+
+
+@dataclass
+class _Lane:
+    """A residual that is to be read: n samples, order of them warm-up; at: of its first partition's parameter."""
+
+    at: int
+    end: int
+    n: int
+    order: int
+    width: int
+    partitions: int
+
+
+def _residuals(b: _Bits, lanes: list[_Lane]) -> tuple[list[np.ndarray], list[int]]:
+    """Residuals and where each ends. A value's place follows from the one before, so each step reads one value of every residual; the longest stand first."""
+    order = sorted(range(len(lanes)), key=lambda i: lanes[i].order - lanes[i].n)
+    some = [lanes[i] for i in order]
+    counts = np.array([x.n - x.order for x in some])
+    steps = int(counts[0]) if len(some) else 0
+    begins: dict[int, list[int]] = {}  # of partitions: which residuals have one that begins at a step
+    at, width = np.array([x.at for x in some]), np.array([x.width for x in some])
+    for k, x in enumerate(some):
+        size = x.n // x.partitions
+        for m in range(x.partitions):
+            if m == 0 and size == x.order:  # a first partition without values has a parameter all the same
+                at[k] += x.width + 5 * (b.field(x.at, x.width) == (1 << x.width) - 1)
+            else:
+                begins.setdefault(max(0, m * size - x.order), []).append(k)
+    parameter, raw = np.zeros(len(some), np.int64), np.zeros(len(some), bool)
+    first, parameters, raws = np.zeros((steps, len(some)), np.int64), np.zeros((steps, len(some)), np.int64), np.zeros((steps, len(some)), bool)
+    stops = np.zeros((steps, len(some)), np.int64)
+    live = np.searchsorted(-counts, -np.arange(steps), side="left").tolist()
+    for i, n in enumerate(live):
+        if i in begins:
+            k = np.array(begins[i])
+            value = b.fields(at[k], width[k])
+            raw[k] = value == (1 << width[k]) - 1
+            at[k] += width[k]
+            parameter[k] = np.where(raw[k], b.fields(at[k], 5), value)
+            at[k] += 5 * raw[k]
+        here = np.minimum(at[:n], b.size)
+        stop = b.next[here]
+        first[i, :n], stops[i, :n], parameters[i, :n], raws[i, :n] = here, stop, parameter[:n], raw[:n]
+        at[:n] = np.where(raw[:n], here, stop + 1) + parameter[:n]
+    if any(at > [x.end for x in some]):
+        raise ValueError("a frame ends early")
+    folds = (stops - first) << parameters | b.fields(stops + 1, parameters)
+    values = np.where(raws, b.signed(first, parameters), unfolded(folds))
+    out, ends = [values[0]] * len(lanes) if steps else [np.zeros(0, np.int64)] * len(lanes), [0] * len(lanes)
+    for k, i in enumerate(order):
+        out[i], ends[i] = values[: counts[k], k].copy(), int(at[k])
+    return out, ends
+
+
+def _subframe(b: _Bits, at: int, end: int, n: int, depth: int) -> tuple[int, np.ndarray | None, _Lane | None, tuple]:
+    """What stands at a place: wasted bits, samples or what they follow from, the residual to be read, and what the samples need of it. Without a residual the subframe ends where the samples do."""
+    code, wasted = b.field(at, 8), 0
+    if code & 0x80:
         raise ValueError("a subframe's padding isn't zero")
-    code = r.unsigned(6)
-    wasted = r.unary() + 1 if r.unsigned(1) else 0
-    depth -= wasted
-    if code == 0:
-        x = np.full(n, r.signed(depth), np.int64)
-    elif code == 1:
-        x = r.many_signed(n, depth)
-    elif 8 <= code <= 12:
-        k = code - 8
-        warmup = r.many_signed(k, depth)
-        x = _read_residual(r, n, k)
-        for m in range(k, 0, -1):  # running sums from the warm-up's differences
-            x = np.cumsum(np.concatenate(([np.diff(warmup, m - 1)[-1]], x)))[1:]
-        x = np.concatenate((warmup, x))
-    elif code >= 32:
-        k = code - 31
-        warmup = r.many_signed(k, depth)
-        precision, shift = r.unsigned(4) + 1, r.signed(5)
+    at += 8
+    if code & 1:
+        stop = int(b.next[min(at, b.size)])
+        wasted, at = stop - at + 1, stop + 1
+    code, depth = code >> 1, depth - wasted
+    if depth < 1:
+        raise ValueError("a subframe has more wasted bits than bits")
+    many = lambda count, width: b.signed(at + width * np.arange(count), width)
+    if code < 2:
+        size = depth * (1 if code == 0 else n)
+        if at + size > end:
+            raise ValueError("a frame ends early")
+        return wasted, np.full(n, many(1, depth)[0]) if code == 0 else many(n, depth), None, (at + size,)
+    if not (8 <= code <= 12 or code >= 32):
+        raise ValueError("a subframe has reserved values")
+    order = code - 8 if code <= 12 else code - 31
+    if order > n or at + order * depth + 6 > end:
+        raise ValueError("a frame ends early")
+    warmup = many(order, depth)
+    at, coefficients, shift = at + order * depth, None, 0
+    if code >= 32:
+        precision = b.field(at, 4) + 1
+        shift = int(b.signed(np.array([at + 4]), 5)[0])
         if precision == 16:
             raise ValueError("a subframe has reserved values")
-        c = r.many_signed(k, precision)
-        residual = _read_residual(r, n, k)
-        x = lpc_restore(warmup.tolist(), residual, c << -shift if shift < 0 else c, max(shift, 0))
-    else:
-        raise ValueError("a subframe has reserved values")
-    return x << wasted
-
-
-def decode(data: bytes, at: int, end: int, rate: int, depth: int) -> tuple[Header, np.ndarray]:
-    """The header and planes of the frame in data[at:end]; end is where the next frame begins."""
-    h = parse_header(data, at, rate, depth)
-    if B.crc16(data[at : end - 2]) != int.from_bytes(data[end - 2 : end], "big"):
-        raise ValueError("a frame's checksum is wrong")
-    r = B.BitReader(data[at + h.length : end - 2])
-    channels = h.assignment + 1 if h.assignment < 8 else 2
-    side = {8: 1, 9: 0, 10: 1}.get(h.assignment, -1)
-    x = [_read_subframe(r, h.size, h.depth + (c == side)) for c in range(channels)]
+        at += 9
+        coefficients = many(order, precision)
+        at += order * precision
+    method, p = b.field(at, 2), b.field(at + 2, 4)
+    if method > 1 or n % (1 << p) or n >> p < order:
+        raise ValueError("a residual's partitions don't fit the block")
+    return wasted, None, _Lane(at + 6, end, n, order, METHODS[method][0], 1 << p), (warmup, coefficients, shift)
+
+
+def _samples(residual: np.ndarray, warmup: np.ndarray, coefficients: np.ndarray | None, shift: int) -> np.ndarray | Recurrence:
+    if coefficients is not None:
+        return Recurrence(warmup, residual, coefficients << -shift if shift < 0 else coefficients, max(shift, 0))
+    x = residual
+    for m in range(len(warmup), 0, -1):  # running sums from the warm-up's differences
+        x = np.cumsum(np.concatenate(([np.diff(warmup, m - 1)[-1]], x)))[1:]
+    return np.concatenate((warmup, x))
+
+
+def _parsed(data: bytes, places: list[tuple[int, int]], rate: int, depth: int) -> list[tuple[Header, list[tuple[np.ndarray | Recurrence, int]]]]:
+    """Headers and subframes of frames, read side by side: all first subframes, then all second ones."""
+    base = min(at for at, _ in places)
+    b = _Bits(data[base : max(end for _, end in places)])
+    heads, at, ends = [], [], []
+    for start, end in places:
+        h = parse_header(data, start, rate, depth)
+        if B.crc16(data[start : end - 2]) != int.from_bytes(data[end - 2 : end], "big"):
+            raise ValueError("a frame's checksum is wrong")
+        heads.append(h)
+        at.append(8 * (start + h.length - base))
+        ends.append(8 * (end - 2 - base))
+    out: list[list[tuple[np.ndarray | Recurrence, int]]] = [[] for _ in heads]
+    for c in range(8):
+        todo = []
+        for k, h in enumerate(heads):
+            if c < (h.assignment + 1 if h.assignment < 8 else 2):
+                side = {8: 1, 9: 0, 10: 1}.get(h.assignment, -1)
+                wasted, x, lane, rest = _subframe(b, at[k], ends[k], h.size, h.depth + (c == side))
+                if lane is None:
+                    out[k].append((x, wasted))
+                    at[k] = rest[0]
+                else:
+                    todo.append((k, wasted, lane, rest))
+        found, after = _residuals(b, [lane for _, _, lane, _ in todo])
+        for (k, wasted, _, rest), residual, place in zip(todo, found, after, strict=True):
+            out[k].append((_samples(residual, *rest), wasted))
+            at[k] = place
+    return list(zip(heads, out, strict=True))
+
+
+def _planes(h: Header, x: list[np.ndarray]) -> np.ndarray:
     if h.assignment == 8:
         x = [x[0], x[0] - x[1]]
     elif h.assignment == 9:
@@ -306,7 +447,21 @@ def decode(data: bytes, at: int, end: int, rate: int, depth: int) -> tuple[Heade
     planes = np.array(x, np.int64)
     if planes.size and (planes.min() < -(1 << (h.depth - 1)) or planes.max() >= 1 << (h.depth - 1)):
         raise ValueError("a sample is beyond the stream's depth")
-    return h, planes
+    return planes
+
+
+def decode_many(data: bytes, places: list[tuple[int, int]], rate: int, depth: int, together: int = 128) -> Iterator[tuple[Header, np.ndarray]]:
+    """Headers and planes of the frames in data[at:end], in order. Frames know nothing of each other, so together of them run side by side."""
+    for begin in range(0, len(places), together):
+        frames = _parsed(data, places[begin : begin + together], rate, depth)
+        done = iter(lpc_restored([x for _, subframes in frames for x, _ in subframes if isinstance(x, Recurrence)]))
+        for h, subframes in frames:
+            yield h, _planes(h, [(next(done) if isinstance(x, Recurrence) else x) << wasted for x, wasted in subframes])
+
+
+def decode(data: bytes, at: int, end: int, rate: int, depth: int) -> tuple[Header, np.ndarray]:
+    """The header and planes of the frame in data[at:end]; end is where the next frame begins."""
+    return next(decode_many(data, [(at, end)], rate, depth))
 
 
 def boundaries(data: bytes, at: int, rate: int, depth: int, total: int) -> list[tuple[int, int, int]]:
@@ -314,22 +469,41 @@ def boundaries(data: bytes, at: int, rate: int, depth: int, total: int) -> list[
     and the bytes before it end in a right checksum."""
     found: list[tuple[int, int, int]] = []
     done = 0
-    h = parse_header(data, at, rate, depth)
     while True:
+        h = parse_header(data, at, rate, depth)
         found.append((at, done, h.size))
         done += h.size
         if done >= total:
             return found
-        after = h.number + h.size if h.variable else h.number + 1
-        place = at + h.length
-        while True:
-            place = data.find(b"\xff", place + 1)
-            if place < 0:
-                raise ValueError("the stream ends early")
-            try:
-                nxt = parse_header(data, place, rate, depth)
-            except (ValueError, IndexError):
-                continue
-            if nxt.number == after and nxt.variable == h.variable and B.crc16(data[at : place - 2]) == int.from_bytes(data[place - 2 : place], "big"):
-                at, h = place, nxt
-                break
+        at = following(data, at, h, rate, depth)
+        if at is None:
+            raise ValueError("the stream ends early")
+
+
+def following(data: bytes, at: int, h: Header, rate: int, depth: int) -> int | None:
+    """Where the frame after that of header h at a place begins; None if data has no such place."""
+    after = h.number + h.size if h.variable else h.number + 1
+    place = at + h.length
+    while True:
+        place = data.find(b"\xff", place + 1)
+        if place < 0:
+            return None
+        try:
+            nxt = parse_header(data, place, rate, depth)
+        except (ValueError, IndexError):
+            continue
+        if nxt.number == after and nxt.variable == h.variable and B.crc16(data[at : place - 2]) == int.from_bytes(data[place - 2 : place], "big"):
+            return place
+
+
+def entered(data: bytes, rate: int, depth: int, before: int) -> int | None:
+    """Where the first frame that is known to begin in data begins, up to a place: a header after which a frame follows, as following() has it."""
+    place = -1
+    while 0 <= (place := data.find(b"\xff", place + 1)) <= before:
+        try:
+            h = parse_header(data, place, rate, depth)
+        except (ValueError, IndexError):
+            continue
+        if following(data, place, h, rate, depth) is not None:
+            return place
+    return None

@@ -65,24 +65,31 @@ def residual_choice(partitions: DataFrame, keys: list[str]) -> DataFrame:
     The second method is tried where the whole residual's estimate passes the first one's largest parameter. Orders with a
     residual beyond 31 bits are left out.
     """
-    by = [*keys, "frame", "n", "k"]
+    return _chosen(partitions, [*keys, "frame", "n", "k"]).where("bits is not null").drop("low", "high")
+
+
+def _chosen(partitions: DataFrame, by: list[str]) -> DataFrame:
+    """The choice for each residual, null if none can be encoded, and the least and the largest value."""
     sums = partitions.groupBy(*by, "p").agg(F.sum("bits0").alias("b0"), F.sum("bits1").alias("b1"), F.sum("folded").alias("folded"), F.sum("count").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
-    sums = sums.where((F.col("low") >= LEAST) & (F.col("high") <= MOST))
     estimate = floor_log2(big(F.floor(F.col("folded") / F.col("count"))))
+    fits = (F.col("low") >= LEAST) & (F.col("high") <= MOST)
     options = F.array_compact(F.array(
-        F.struct((F.col("b0") + 6).alias("bits"), (-F.col("p") * 2).alias("rank"), F.lit(0).cast("bigint").alias("method")),
-        F.when(estimate > METHODS[0][1], F.struct((F.col("b1") + 6).alias("bits"), (-F.col("p") * 2 + 1).alias("rank"), F.lit(1).cast("bigint").alias("method"))),
+        F.when(fits, F.struct((F.col("b0") + 6).alias("bits"), (-F.col("p") * 2).alias("rank"), F.lit(0).cast("bigint").alias("method"))),
+        F.when(fits & (estimate > METHODS[0][1]), F.struct((F.col("b1") + 6).alias("bits"), (-F.col("p") * 2 + 1).alias("rank"), F.lit(1).cast("bigint").alias("method"))),
     ))
-    best = sums.withColumn("o", F.array_min(options)).groupBy(*by).agg(F.min(F.struct("o.bits", "o.rank", "p", "o.method")).alias("o"))
-    return best.select(*by, big("o.bits").alias("bits"), big("o.p").alias("p"), big("o.method").alias("method"))
+    least = F.array_min(options)
+    best = sums.withColumn("o", F.when(fits, F.struct(least["bits"].alias("bits"), least["rank"].alias("rank"), "p", least["method"].alias("method"))))
+    best = best.groupBy(*by).agg(F.min("o").alias("o"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return best.select(*by, big("o.bits").alias("bits"), big("o.p").alias("p"), big("o.method").alias("method"), "low", "high")
 
 
 def subframes(framed: DataFrame, keys: list[str], bits: int, fixed_order: int = 4, partition_order: int = 6) -> DataFrame:
     """keys, frame, n with kind, order, p, method and bits of each block's cheapest form of constant, verbatim and fixed; ties keep the first."""
     by = [*keys, "frame", "n"]
-    chosen = residual_choice(partition_costs(partitioned(fixed_residuals(framed, keys, range(fixed_order + 1)), keys, partition_order), keys), keys)
-    fixed = chosen.groupBy(*by).agg(F.min(F.struct((F.col("bits") + HEADER_BITS + F.col("k") * bits).alias("bits"), "k", "p", "method")).alias("f"))
-    plain = framed.groupBy(*by).agg((F.min("x") == F.max("x")).alias("constant"))
+    chosen = _chosen(partition_costs(partitioned(fixed_residuals(framed, keys, range(fixed_order + 1)), keys, partition_order), keys), [*by, "k"])
+    cost = F.struct((F.col("bits") + HEADER_BITS + F.col("k") * bits).alias("bits"), "k", "p", "method")
+    # the residual of order 0 is the block itself, so the samples are read once
+    forms = chosen.groupBy(*by).agg(F.min(F.when(F.col("bits").isNotNull(), cost)).alias("f"), F.max((F.col("k") == 0) & (F.col("low") == F.col("high"))).alias("constant"))
     none = F.lit(None).cast("bigint")
 
     def form(cost, rank, kind, order=none, p=none, method=none) -> Column:
@@ -93,4 +100,4 @@ def subframes(framed: DataFrame, keys: list[str], bits: int, fixed_order: int =
         form(F.col("n") * bits + HEADER_BITS, 1, "verbatim"),
         F.when(F.col("f").isNotNull(), form(F.col("f.bits"), 2, "fixed", F.col("f.k"), F.col("f.p"), F.col("f.method"))),
     )))
-    return plain.join(fixed, by, "left").withColumn("s", best).select(*by, "s.kind", "s.order", "s.p", "s.method", "s.bits")
+    return forms.withColumn("s", best).select(*by, "s.kind", "s.order", "s.p", "s.method", "s.bits")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql import types as T
 
+from wavegrid.functions.columns import big
 from wavegrid.operators.running import prefix
 
 #: Fixed values of the presets: block size, fixed order, LPC order, partition order, mid/side.
@@ -75,18 +80,64 @@ def packed_fixed(plan: DataFrame, size: int) -> DataFrame:
 
 def packed(plan: DataFrame, keys: list[str], order: str = "frame", size: str = "block_size", frames: int = BATCH_FRAMES, samples: int = BATCH_SAMPLES) -> DataFrame:
     """A scheduled plan with its batch: a batch ends after so many frames, or before a frame that would pass so many samples; a frame
-    always enters an empty batch. One fold over each stream's sizes."""
-    rows = plan.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("frames"), F.lit(0).cast("bigint").alias("samples"), F.array().cast("array<struct<o:bigint,batch:bigint>>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        full = (a["frames"] > 0) & ((a["frames"] >= frames) | (a["samples"] + r["s"] > samples))
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(a["frames"] + 1).cast("bigint").alias("frames"),
-            F.when(full, r["s"]).otherwise(a["samples"] + r["s"]).cast("bigint").alias("samples"),
-            F.concat(a["out"], F.array(F.struct(r["o"].cast("bigint").alias("o"), batch.alias("batch")))).alias("out"),
-        )
-
-    folded = rows.select(*keys, F.explode(F.aggregate("rows", start, step)["out"]).alias("b"))
-    return folded.select(*keys, F.col("b.o").alias(order), F.col("b.batch").alias("batch"))
+    always enters an empty batch. Each stream's rows pass one by one; none is gathered."""
+    rows = plan.select(*keys, big(order).alias(order), big(size).alias(size)).repartition(*keys).sortWithinPartitions(*keys, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, count, total = None, 0, 0, 0
+        for rows in batches:
+            out = []
+            for *key, n in zip(*(rows.column(i).to_pylist() for i in (*range(len(keys)), len(keys) + 1)), strict=True):
+                if key != now:
+                    now, batch, count, total = key, 0, 0, 0
+                if count and (count >= frames or total + n > samples):
+                    batch, count, total = batch + 1, 0, 0
+                count, total = count + 1, total + n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys) + 1], pa.array(out, pa.int64())], [*rows.schema.names[: len(keys) + 1], "batch"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keys) + 1], T.StructField("batch", T.LongType())]))
+
+
+@dataclass(frozen=True)
+class Options:
+    """How a stream is encoded. A level brings its block size and keeps a schedule; a block size ends a schedule; a schedule keeps both."""
+
+    level: int = 8
+    block_size: int = 4096
+    schedule: tuple[int, ...] | None = None
+
+    def with_level(self, level: int) -> Options:
+        sizes = {number: size for number, size, *_ in LEVELS}
+        if level not in sizes:
+            raise ValueError(f"there is no level {level}")
+        return replace(self, level=level, block_size=sizes[level])
+
+    def with_block_size(self, size: int) -> Options:
+        return replace(self, block_size=size, schedule=None)
+
+    def with_schedule(self, sizes) -> Options:
+        return replace(self, schedule=tuple(sizes))
+
+
+def decode_batches(frames: DataFrame, keys: list[str], most_frames: int = 256, most_samples: int = BATCH_SAMPLES, most_bytes: int = 8 << 20, order: str = "frame") -> DataFrame:
+    """frames (keys, frame, block_size, frame_size) with batch, for decoding: a batch is sealed before a frame that would pass the samples or bytes, and after one
+    that reaches the frames, samples or bytes. Each stream's rows pass one by one."""
+    rows = frames.select(*keys, big(order).alias(order), big("block_size").alias("block_size"), big("frame_size").alias("frame_size")).repartition(*keys).sortWithinPartitions(*keys, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, held = None, 0, (0, 0, 0)
+        for rows in batches:
+            out = []
+            for *key, n, size in zip(*(rows.column(i).to_pylist() for i in (*range(len(keys)), len(keys) + 1, len(keys) + 2)), strict=True):
+                if key != now:
+                    now, batch, held = key, 0, (0, 0, 0)
+                if held[0] and (held[1] + n > most_samples or held[2] + size > most_bytes):
+                    batch, held = batch + 1, (0, 0, 0)
+                out.append(batch)
+                held = held[0] + 1, held[1] + n, held[2] + size
+                if held[0] >= most_frames or held[1] >= most_samples or held[2] >= most_bytes:
+                    batch, held = batch + 1, (0, 0, 0)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], [*rows.schema.names, "batch"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wavegrid.functions.columns import big
+from wavegrid.functions.columns import CHANNEL_MASKS, big, mask_text
 
 #: The comment key of a channel mask, and how keys end that say where a mask comes from; views hide both.
 MASK_KEY, PROVENANCE_SUFFIX = "WAVEFORMATEXTENSIBLE_CHANNEL_MASK", "_CHANNEL_LAYOUT_PROVENANCE"
@@ -62,6 +62,55 @@ def replaced(comments: DataFrame, key: str, values: DataFrame, keys: list[str])
     return without_key(comments, key).unionByName(values.withColumn("key", F.lit(key)).withColumn("pos", last).select(comments.columns))
 
 
+def appended(comments: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """comments and, after each stream's others, values (keys, pos, key, value); pos goes on from the last."""
+    last = comments.groupBy(*keys).agg(F.max("pos").alias("_last"))
+    more = values.join(last, keys, "left").withColumn("pos", F.col("pos") + F.coalesce(F.col("_last") + 1, F.lit(0).cast("bigint"))).drop("_last")
+    return comments.unionByName(more.select(comments.columns))
+
+
+def removed(comments: DataFrame, streams: DataFrame, key: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """comments without a key, and how many each of the streams (keys) has lost: keys and removed."""
+    gone = comments.where(F.upper("key") == key.upper()).groupBy(*keys).agg(big(F.count("*")).alias("removed"))
+    return without_key(comments, key), streams.select(*keys).join(gone, keys, "left").withColumn("removed", F.coalesce("removed", F.lit(0).cast("bigint")))
+
+
+def edited(blocks: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+    """blocks (keys and origin) without the preserved ones of the streams that have been edited: what was kept as it came no longer holds."""
+    return blocks.join(touched.select(*keys).distinct().withColumn("_touched", F.lit(True)), keys, "left").where((F.col("origin") != "preserved") | F.col("_touched").isNull()).drop("_touched")
+
+
+def emitted(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """The blocks (keys, origin, block_type, ordinal) that a stream is written with, and their new ordinal: its preserved ones if there are any, else comments and then cue sheets."""
+    w = W.partitionBy(*keys)
+    preserved = F.max(F.when(F.col("origin") == "preserved", 1).otherwise(0)).over(w) == 1
+    kept = blocks.withColumn("_p", preserved).where((F.col("origin") == "preserved") == F.col("_p"))
+    place = F.row_number().over(w.orderBy(F.when(F.col("_p"), F.lit(0)).otherwise(F.col("block_type")), "ordinal"))
+    return kept.withColumn("ordinal", big(place - 1)).drop("_p")
+
+
+def with_private(chunks: DataFrame, keys: list[str], private: str = "fxmd") -> DataFrame:
+    """chunks (keys, chunk) that count: a stream's others only if it has no private bundle."""
+    bundle = F.max((F.col("chunk") == private).cast("int")).over(W.partitionBy(*keys))
+    return chunks.withColumn("_b", bundle).where((F.col("_b") == 0) | (F.col("chunk") == private)).drop("_b")
+
+
+def with_mask(comments: DataFrame, masks: DataFrame, keys: list[str]) -> DataFrame:
+    """comments with the streams' masks (keys, channels, mask) in the place of those that are there. A usual mask, and a null one, isn't stored."""
+    usual = F.lit(None).cast("bigint")
+    for channels, mask in CHANNEL_MASKS.items():
+        usual = F.when(F.col("channels") == channels, F.lit(mask).cast("bigint")).otherwise(usual)
+    stored = masks.where(F.col("mask").isNotNull() & ~F.col("mask").eqNullSafe(usual))
+    kept = comments.join(masks.select(*keys).distinct().withColumn("_set", F.lit(True)), keys, "left").where((F.upper("key") != MASK_KEY) | F.col("_set").isNull()).drop("_set")
+    rows = stored.select(*keys, F.lit(0).cast("bigint").alias("pos"), F.lit(MASK_KEY).alias("key"), mask_text(F.col("mask")).alias("value"))
+    return appended(kept, rows, keys)
+
+
+def with_cues(points: DataFrame, given: DataFrame, totals: DataFrame, streams: DataFrame, keys: list[str]) -> DataFrame:
+    """points with those of the streams (keys) replaced by the given ones, normalised as cues() does; a stream without given ones loses its own."""
+    return points.join(streams.select(*keys).distinct(), keys, "left_anti").unionByName(cues(given, totals, keys).select(points.columns))
+
+
 def grouped(comments: DataFrame, keys: list[str]) -> DataFrame:
     """keys, key and values: a stream's values of a key, in their order."""
     rows = F.sort_array(F.collect_list(F.struct("pos", "value")))

@@ -35,6 +35,21 @@ def container(requested: Column, size: Column) -> Column:
     return F.when(requested == "auto", F.when(size > RIFF_MOST, "rf64").otherwise("wave")).when((requested == "wave") & (size > RIFF_MOST), F.lit(None).cast("string")).otherwise(requested)
 
 
+#: The families that can be switched off, and the containers of each.
+FAMILIES = {"wave": ("wave", "rf64", "wave64"), "aiff": ("aiff", "aifc"), "caf": ("caf",)}
+
+
+def family(container: Column) -> Column:
+    """The family of a container; null for others."""
+    return case(container, {c: F.lit(f) for f, every in FAMILIES.items() for c in every}, F.lit(None).cast("string"))
+
+
+def enabled_container(requested: Column, size: Column, enabled: Column) -> Column:
+    """container() where only some families (an array) are switched on: auto takes the first of WAVE, AIFF and CAF that is; another container of a family that isn't is an error (null)."""
+    auto = F.when(F.array_contains(enabled, "wave"), container(requested, size)).when(F.array_contains(enabled, "aiff"), "aiff").when(F.array_contains(enabled, "caf"), "caf")
+    return F.when(requested == "auto", auto).when(F.array_contains(enabled, family(requested)), container(requested, size))
+
+
 def usual_mask(channels: Column) -> Column:
     return case(channels, {k: F.lit(v).cast("bigint") for k, v in CHANNEL_MASKS.items()}, F.lit(None).cast("bigint"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import types as T
 
 
 def difference(k: int, window, value: str = "x") -> Column:
@@ -25,23 +28,30 @@ def fixed_residuals(framed: DataFrame, keys: list[str], orders=range(5)) -> Data
     return wide.select(*keys, "frame", "n", "j", rows).select(*keys, "frame", "n", "j", "e.k", "e.r").where("j >= k")
 
 
-def restore(residuals: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """x from d, the order-th difference with zeros before the frame: running sums, nested."""
+def restore(residuals: DataFrame, keys: list[str], order: int | str, most: int = 4) -> DataFrame:
+    """x from d, the order-th difference with zeros before the frame: running sums, nested. order: of all rows, or a column that is among keys, with most at most."""
     w = W.partitionBy(*keys, "frame").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
     out = residuals.withColumn("x", F.col("d"))
-    for _ in range(order):
-        out = out.withColumn("x", F.sum("x").over(w).cast("bigint"))
+    for m in range(1, (order if isinstance(order, int) else most) + 1):
+        deeper = F.sum("x").over(w).cast("bigint")
+        out = out.withColumn("x", deeper if isinstance(order, int) else F.when(F.col(order) >= m, deeper).otherwise(F.col("x")))
     return out
 
 
-def zero_history(framed: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """framed with d, the order-th difference where samples before the frame count as zero; it equals the residual past the warm-up."""
-    w = W.partitionBy(*keys, "frame").orderBy("j")
+def _zero_difference(order: int, window) -> Column:
     out = F.col("x")
     for m in range(1, order + 1):
-        term = F.when(F.col("j") >= m, F.lag("x", m).over(w) * comb(order, m)).otherwise(0)
+        term = F.when(F.col("j") >= m, F.lag("x", m).over(window) * comb(order, m)).otherwise(0)
         out = out - term if m % 2 else out + term
-    return framed.withColumn("d", out.cast("bigint"))
+    return out.cast("bigint")
+
+
+def zero_history(framed: DataFrame, keys: list[str], orders) -> DataFrame:
+    """framed with k and d for each order k: the k-th difference where samples before the frame count as zero; it equals the residual past the warm-up. One sort."""
+    w = W.partitionBy(*keys, "frame").orderBy("j")
+    wide = framed.select("*", *[_zero_difference(k, w).alias(f"_d{k}") for k in orders])
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"_d{k}").alias("d")) for k in orders])).alias("e")
+    return wide.select(*framed.columns, each).select(*framed.columns, "e.k", "e.d")
 
 
 def autocorrelation(framed: DataFrame, keys: list[str], lags: int) -> DataFrame:
@@ -74,6 +84,28 @@ def levinson(r: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def levinson_many(r: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """levinson() of many rows of autocorrelations at once: for order 1, 2, ... the rows that have a predictor, and their predictors. The same operations in
+    the same order, so the same numbers."""
+    rows = np.flatnonzero(r[:, 0] != 0) if r.size else np.zeros(0, np.int64)
+    a, error = np.zeros((len(rows), 0)), r[rows, 0].astype(np.float64) if len(rows) else np.zeros(0)
+    out, least = [], np.finfo(float).eps
+    for order in range(1, r.shape[1]):
+        on = np.abs(error) >= least
+        rows, a, error = rows[on], a[on], error[on]
+        k = r[rows, order].astype(np.float64)
+        for i in range(order - 1):
+            k = k - a[:, i] * r[rows, order - 1 - i]
+        with np.errstate(all="ignore"):
+            k = k / error
+            a = np.concatenate((a - k[:, None] * a[:, ::-1], k[:, None]), axis=1)
+            error = error * (1 - k * k)
+        on = np.isfinite(error) & (error > least)
+        rows, a, error = rows[on], a[on], error[on]
+        out.append((rows, a))
+    return out
+
+
 def half_away(x: np.ndarray) -> np.ndarray:
     """Rounds halves away from zero."""
     return np.sign(x) * np.floor(np.abs(x) + 0.5)
@@ -94,6 +126,19 @@ def quantise(coefficients: np.ndarray, precision: int = 15) -> tuple[int, np.nda
     return None if best is None else (best[1], best[2])
 
 
+def quantise_many(coefficients: np.ndarray, precision: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """quantise() of many rows at once: shifts, -1 where none fits, and integers."""
+    best, shifts, found = np.full(len(coefficients), np.inf), np.full(len(coefficients), -1), np.zeros(coefficients.shape, np.int64)
+    for shift in range(15, -1, -1):
+        scaled = half_away(coefficients * (1 << shift))
+        error = np.zeros(len(coefficients))
+        for c, s in zip(coefficients.T, scaled.T, strict=True):
+            error = error + (c - s / (1 << shift)) ** 2
+        better = (np.abs(scaled).max(axis=1, initial=0) <= (1 << (precision - 1)) - 1) & ((shifts < 0) | (error < best))
+        best[better], shifts[better], found[better] = error[better], shift, scaled[better].astype(np.int64)
+    return shifts, found
+
+
 def quantised(coefficients: DataFrame, keys: list[str], value: str = "c", precision: int = 15) -> DataFrame:
     """keys, shift and error of the best shift; coefficients: a row each. Candidates are exploded and reduced."""
     shifts = coefficients.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(15))))
@@ -122,14 +167,25 @@ def lpc_residuals(framed: DataFrame, keys: list[str], coefficients: list[int], s
 
 
 def lpc_restored(blocks: DataFrame, coefficients: list[int], shift: int, warmup: str = "warmup", residuals: str = "residuals") -> DataFrame:
-    """blocks with xs: a fold that appends each sample from those before it. Sequential in a block, parallel over blocks."""
-    order = len(coefficients)
-
-    def step(xs: Column, r: Column) -> Column:
-        prediction = F.lit(0).cast("bigint")
-        for m, c in enumerate(coefficients, 1):
-            prediction = prediction + F.element_at(xs, -m) * c
-        return F.concat(xs, F.array(r + F.shiftright(prediction, shift)))
-
-    folded = F.aggregate(residuals, F.col(warmup), step)
-    return blocks.withColumn("xs", F.when(F.size(warmup) < order, F.col(warmup)).otherwise(folded))
+    """blocks with xs, their samples: each follows from those before it. Sequential in a block, side by side over the blocks of a batch."""
+    c = np.array(coefficients, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from wavegrid.functions.frames import Recurrence, lpc_restored as restored
+
+        def arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+            column = batch.column(batch.schema.get_field_index(name))
+            at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            return [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+        for batch in batches:
+            if batch.num_rows:
+                first, rest = arrays(batch, warmup), arrays(batch, residuals)
+                whole = [i for i, w in enumerate(first) if len(w) == len(c)]
+                xs = [w[: len(c)] for w in first]
+                for i, x in zip(whole, restored([Recurrence(first[i], rest[i], c, shift) for i in whole]), strict=True):
+                    xs[i] = x
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(xs), pa.int64()))], [*batch.schema.names, "xs"])
+
+    return blocks.mapInArrow(run, T.StructType([*blocks.schema.fields, T.StructField("xs", T.ArrayType(T.LongType()))]))

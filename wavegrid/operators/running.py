@@ -11,14 +11,18 @@ def _upto(keys: list[str], order: str):
     return W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
 
 
-def prefix(rows: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
-    """rows with name: the sum of value over rows of a smaller order, an integer. Ranges of width are summed first, so one task sees a row a range, not all rows."""
-    dealt = rows.withColumn("_range", F.expr(f"{order} div {width}"))
-    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_range", before.alias("_before"))
-    inner = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(sums, "_range").withColumn(name, big(F.col("_before") + inner)).drop("_range", "_before")
+def prefix(rows: DataFrame, order: str, value: str, name: str, width: int = 4096, levels: int = 2) -> DataFrame:
+    """rows with name: the sum of value over rows of a smaller order, an integer. Ranges of width are summed first, and ranges of such ranges, so one task
+    sees a row for each width ** levels of the order's span, not all rows."""
+    by, total, before = f"_range{levels}", f"_sum{levels}", f"_before{levels}"
+    dealt = rows.withColumn(by, F.expr(f"{order} div {width}"))
+    sums = dealt.groupBy(by).agg(F.sum(value).alias(total))
+    if levels > 1:
+        sums = prefix(sums, by, total, before, width, levels - 1).select(by, before)
+    else:
+        sums = sums.select(by, F.coalesce(F.sum(total).over(W.orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    inner = F.coalesce(F.sum(value).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(sums, by).withColumn(name, big(F.col(before) + inner)).drop(by, before)
 
 
 def cumulative(frames: DataFrame, keys: list[str], header_bytes: int = 0) -> DataFrame:
@@ -79,3 +83,38 @@ def drained(results: DataFrame, keys: list[str], arrival: str, frame: str) -> Da
     """results with released: the arrival at which a frame may go on, when all frames before it are there."""
     w = W.partitionBy(*keys).orderBy(frame).rowsBetween(W.unboundedPreceding, 0)
     return results.withColumn("released", big(F.max(arrival).over(w)))
+
+
+def portions(blocks: DataFrame, budgets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, block, take, first (in the block) and samples: how takes of given budgets empty a buffer of blocks, in order, to the sample.
+
+    blocks: keys, block and samples; budgets: keys, take and budget, which may be 0. What the budgets leave has a null take; what they ask beyond the
+    buffer isn't there. Ends of blocks and of takes are put in one order, and between two ends lies one portion.
+    """
+    upto = lambda order, value: F.sum(value).over(_upto(keys, order))
+    none = F.lit(None).cast("bigint")
+    ends = blocks.select(*keys, upto("block", "samples").alias("end"), big("block").alias("block"), (upto("block", "samples") - F.col("samples")).alias("base"), none.alias("take"))
+    ends = ends.unionByName(budgets.select(*keys, upto("take", "budget").alias("end"), none.alias("block"), none.alias("base"), big("take").alias("take")))
+    # what lies before an end belongs to the first block and the first take that end there or later
+    after = W.partitionBy(*keys).orderBy("end").rangeBetween(W.currentRow, W.unboundedFollowing)
+    spans = ends.withColumns({"block": F.min("block").over(after), "base": F.min("base").over(after), "take": F.min("take").over(after)})
+    spans = spans.groupBy(*keys, "end").agg(F.min("block").alias("block"), F.min("base").alias("base"), F.min("take").alias("take"))
+    start = F.coalesce(F.lag("end").over(W.partitionBy(*keys).orderBy("end")), F.lit(0))
+    spans = spans.withColumn("start", start).where((F.col("end") > F.col("start")) & F.col("block").isNotNull())
+    return spans.select(*keys, "block", "take", big(F.col("start") - F.col("base")).alias("first"), big(F.col("end") - F.col("start")).alias("samples"))
+
+
+def lifecycle(files: DataFrame, command: str) -> DataFrame:
+    """files (file, input_bytes, started_ms, ended_ms, error) as events in order: seq, at_ms, event and line, the text of a trace: fields name=value with tabs between."""
+    batch = F.count("*").over(W.partitionBy()) > 1  # a row a file
+    begun = F.min("started_ms").over(W.partitionBy())
+    rows = files.select("*", batch.alias("batch"), begun.alias("begun"))
+    seconds = lambda ms: F.format_string("%.9f", ms.cast("double") / 1000)
+    name = F.translate("file", "\t\r\n", "   ")
+    both = F.explode(F.array(F.struct(F.col("started_ms").alias("at_ms"), F.lit("file_begin").alias("event")), F.struct(F.col("ended_ms").alias("at_ms"), F.when(F.col("error").isNull(), "file_finish").otherwise("file_error").alias("event")))).alias("e")
+    rows = rows.select("file", "input_bytes", "started_ms", "batch", "begun", name.alias("name"), both).select("*", "e.at_ms", "e.event")
+    fields = [("event", F.col("event")), ("kind", F.lit(command)), ("batch_mode", F.col("batch").cast("int").cast("string")), ("filename", F.col("name")), ("input_bytes", F.col("input_bytes").cast("string")),
+              ("elapsed_seconds", seconds(F.col("at_ms") - F.col("started_ms"))), ("command_elapsed_seconds", seconds(F.col("at_ms") - F.col("begun")))]
+    line = F.concat_ws("\t", *[F.concat(F.lit(f"{k}="), v) for k, v in fields])
+    order = W.partitionBy().orderBy("at_ms", F.col("event") != "file_begin", "file")
+    return rows.select(big(F.row_number().over(order) - 1).alias("seq"), "at_ms", "event", "file", line.alias("line"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -12,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavegrid import adapters as A
 from wavegrid.functions import frames as fr
+from wavegrid.operators.planning import EXTENSIONS
 from wavegrid.plans.queries import query
 from wavegrid.sources import containers, flac
 
+RAW_SUFFIXES = (".raw", ".pcm")
 #: Options of the three modes: whether malformed seek tables, masks and metadata are errors, and whether metadata is read.
 MODES = {"loose": {"strict": False, "metadata": False}, "default": {"strict": False, "metadata": True}, "strict": {"strict": True, "metadata": True}}
 
@@ -121,9 +125,10 @@ def chunks_of(stream: flac.Stream, bundle: bool = True) -> list[tuple[bytes, byt
     return out
 
 
-def encode_bytes(data: bytes, level: int = 8, mode: str = "default", **options) -> bytes:
-    """A container's bytes as FLAC."""
-    spec = containers.parse(lambda at, n: data[at : at + n], len(data), MODES[mode]["metadata"])
+def encode_bytes(data: bytes, level: int = 8, mode: str = "default", raw: dict | None = None, family: str | None = None, **options) -> bytes:
+    """A container's bytes as FLAC. raw: what describes samples without a header, as containers.raw() takes it. family: as containers.parse() takes it."""
+    read = lambda at, n: data[at : at + n]
+    spec = containers.raw(len(data), **raw) if raw else containers.parse(read, len(data), MODES[mode]["metadata"], family)
     x = containers.unpack(data[spec.data_offset : spec.data_offset + spec.total * spec.frame_bytes], spec)
     return flac.encode(x, spec, level, blocks=metadata_blocks(spec) if MODES[mode]["metadata"] else [], **options)
 
@@ -142,13 +147,38 @@ def recompress_bytes(data: bytes, level: int = 8, mode: str = "default") -> byte
     return flac.encode(x, stream.spec(), level, blocks=list(stream.blocks) if MODES[mode]["metadata"] else [])
 
 
+def put(where, path: str, data: bytes) -> None:
+    """Writes a file whole or not at all: under a name of its own first, which goes if anything fails."""
+    folder, _, name = path.rpartition("/")
+    where.create_dir(folder, recursive=True)
+    hidden = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+    try:
+        with where.open_output_stream(hidden, compression=None) as f:
+            f.write(data)
+        where.move(hidden, path)
+    except BaseException:
+        with contextlib.suppress(OSError):
+            where.delete_file(hidden)
+        raise
+
+
+def reader_of(path: str, raw: dict | None) -> dict:
+    """What encode_bytes() takes for a file, by its extension; a file with another extension is told by its first bytes."""
+    container = EXTENSIONS.get(path.rpartition("/")[2].rpartition(".")[2].lower())
+    if path.lower().endswith(RAW_SUFFIXES):
+        if not raw:
+            raise containers.ContainerError("samples without a header need a rate, channels and bits")
+        return {"raw": raw}
+    return {"family": {"rf64": "wave", "wave64": "wave", "aifc": "aiff"}.get(container, container)} if container else {}
+
+
 #: What the commands do with a file's bytes.
 COMMANDS = {"encode": encode_bytes, "decode": decode_bytes, "recompress": recompress_bytes}
 
 
-def convert(work: DataFrame, command: str, **options) -> DataFrame:
+def convert(work: DataFrame, command: str, raw: dict | None = None, **options) -> DataFrame:
     """work (input, output) as (input, output, input_bytes, output_bytes, samples, error): each file by a task of its own, written whole
-    and then moved into place. A file that can't be converted has an error; the others go on."""
+    and then moved into place. A file that can't be converted has an error; the others go on. raw: of files without a header, see containers.raw()."""
     from wavegrid.sources.datasource import located
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +192,9 @@ def convert(work: DataFrame, command: str, **options) -> DataFrame:
                         raise containers.ContainerError("input and output are the same file")
                     with where.open_input_stream(path, compression=None) as f:
                         data = f.read()
-                    done = COMMANDS[command](data, **options)
+                    done = COMMANDS[command](data, **options, **(reader_of(path, raw) if command == "encode" else {}))
                     samples = flac.parse(lambda at, n, d=(data if command == "decode" else done): d[at : at + n]).info.total
-                    to.create_dir(out.rpartition("/")[0], recursive=True)
-                    with to.open_output_stream(f"{out}.tmp", compression=None) as f:
-                        f.write(done)
-                    to.move(f"{out}.tmp", out)
+                    put(to, out, done)
                     rows.append((source, target, len(data), len(done), samples, None))
                 except (ValueError, OSError) as e:
                     rows.append((source, target, None, None, None, str(e)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wavegrid.functions.columns import CHANNEL_MASKS, DEPTH_CODES, MASK_BITS, RATE_CODES
 from wavegrid.operators.framing import LEVELS
-from wavegrid.operators.metadata import AIFF_TEXTS, CAF_KEYS, CAF_OTHER_DATE, INFO_KEYS
+from wavegrid.operators.metadata import AIFF_TEXTS, CAF_KEYS, CAF_OTHER_DATE, INFO_KEYS, MASK_KEY
 from wavegrid.operators.planning import EXTENSIONS
 from wavegrid.plans.queries import COEFFICIENTS
 
@@ -85,6 +85,7 @@ SCHEDULE = "sc AS (SELECT frame, CAST(coalesce(sum(block_size) OVER (ORDER BY fr
 COMMENTS = "c AS (SELECT conv_id, turn AS pos, upper(role) AS key, substring(text, 1, 40) AS value FROM conversations)"
 FRAMES = f"{FR}, {subframes(17)}, fm AS (SELECT user_id, frame, n AS block_size, (bits + 7) // 8 + 8 AS frame_size FROM sf)"
 DIGEST = FR.replace("// 16", "// 64").replace("% 16", "% 64") + ", dg AS (SELECT user_id, md5(string_agg(d, '' ORDER BY frame)) AS digest FROM (SELECT user_id, frame, md5(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS d FROM fr GROUP BY user_id, frame) GROUP BY user_id)"
+DIGESTS = EV + ", hx AS (SELECT user_id, i, ((x % 16777216) + 16777216) % 16777216 AS u FROM ev), sd AS (SELECT user_id, CAST(count(*) AS BIGINT) AS samples, md5(unhex(string_agg(printf('%02X%02X%02X', u % 256, u // 256 % 256, u // 65536), '' ORDER BY i))) AS md5 FROM hx GROUP BY user_id)"
 HEX8 = "'0x' || lpad(lower(hex({})), 8, '0')".format
 MASKS = case("v", CHANNEL_MASKS, "NULL")
 
@@ -182,4 +183,35 @@ SQL: dict[str, str] = {
     "q_output_family": f"WITH p AS (SELECT page_id, ['wav', 'RF64', 'w64', 'aif', 'aifc', 'caf', 'flac', 'mp3'][page_id % 8 + 1] AS e FROM pages) SELECT page_id, 'a.b/c.' || e AS path, {case('lower(e)', EXTENSIONS, 'NULL')} AS container FROM p",
     "q_sniff": "WITH h(head) AS (VALUES ('FORMxxxxAIFF'), ('caff'), ('RIFF'), ('RF64'), ('riff'), ('FOR'), ('')) SELECT head, CASE WHEN head LIKE 'FORM%' THEN 'aiff' WHEN head LIKE 'caff%' THEN 'caf' ELSE 'riff' END AS family FROM h",
     "q_container_resolve": "WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * 150 AS data, ['auto', 'wave', 'rf64'][o_orderkey % 3 + 1] AS requested, o_orderkey % 4 + 1 AS channels FROM orders), s AS (SELECT *, 24 + data + data % 2 + 20 AS size FROM o) SELECT o_orderkey, requested, size, CASE WHEN requested = 'auto' AND size > 4294967295 THEN 'rf64' WHEN requested = 'auto' THEN 'wave' WHEN requested = 'wave' AND size > 4294967295 THEN NULL ELSE requested END AS container, channels <= 2 AS plain FROM s",
+    "q_comments_append": f"""WITH c AS (SELECT conv_id, turn AS pos, upper(role) AS key, md5(text) AS value FROM conversations), g AS (SELECT conv_id, max(pos) + 1 AS nxt FROM c GROUP BY 1),
+      a AS (SELECT * FROM c WHERE key <> '{MASK_KEY}' UNION ALL SELECT conv_id, nxt, lower('{MASK_KEY}'), '0x1' FROM g WHERE conv_id % 3 = 0 AND conv_id % 2 <> 0),
+      m AS (SELECT conv_id, conv_id % 8 + 1 AS v, CASE WHEN conv_id % 4 = 0 THEN 3 ELSE 5 END AS mask FROM g WHERE conv_id % 2 = 0)
+      SELECT * FROM a UNION ALL SELECT m.conv_id, nxt, '{MASK_KEY}', {HEX8('mask')} FROM m JOIN g ON m.conv_id = g.conv_id WHERE mask <> {MASKS}""",
+    "q_blocks_edited": f"WITH {TOT}, k(origin, block_type, o) AS (VALUES ('preserved', CAST(4 AS BIGINT), 0), ('preserved', 6, 1), ('draft', 4, 2), ('draft', 5, 3)) SELECT user_id, origin, block_type, {B('CASE WHEN user_id % 3 = 0 THEN o - 2 ELSE o END')} AS ordinal FROM tot CROSS JOIN k WHERE (user_id % 3 = 0) = (origin = 'draft')",
+    "q_cues_set": f"""WITH {EV}, {TOT}, d AS (SELECT DISTINCT user_id, CASE WHEN user_id % 10 = 5 THEN 2 * {pmod('x', 150)} ELSE {pmod('x', 150)} END AS sample_offset FROM ev WHERE user_id % 10 <> 0),
+      k AS (SELECT d.user_id, sample_offset, count(*) OVER (PARTITION BY d.user_id) AS n FROM d JOIN tot ON d.user_id = tot.user_id WHERE sample_offset < total)
+      SELECT user_id, {B('row_number() OVER (PARTITION BY user_id ORDER BY sample_offset) - 1')} AS pos, sample_offset FROM k WHERE n <= 99""",
+    "q_stream_digest": f"WITH {DIGESTS} SELECT user_id, samples, md5 FROM sd",
+    "q_digest_verify": f"WITH {DIGESTS} SELECT user_id, CASE user_id % 3 WHEN 0 THEN repeat('0', 32) WHEN 1 THEN md5 ELSE reverse(md5) END AS expected, user_id % 3 <> 2 OR md5 = reverse(md5) AS verified FROM sd",
+    "q_decode_batches": f"""WITH RECURSIVE {FRAMES}, s AS (SELECT user_id, frame, block_size AS n, frame_size AS b, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS k FROM fm),
+      f AS (SELECT user_id, frame, k, n, b, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS held, CAST(n AS BIGINT) AS hn, CAST(b AS BIGINT) AS hb FROM s WHERE k = 1
+        UNION ALL SELECT user_id, frame, k, n, b, CASE WHEN cut THEN batch + 1 ELSE batch END, CASE WHEN cut THEN 1 ELSE held + 1 END, CASE WHEN cut THEN n ELSE hn + n END, CASE WHEN cut THEN b ELSE hb + b END
+          FROM (SELECT s.*, f.batch, f.held, f.hn, f.hb, f.held >= 4 OR f.hn >= 60 OR f.hb >= 150 OR f.hn + s.n > 60 OR f.hb + s.b > 150 AS cut FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1))
+      SELECT user_id, batch, {B('count(*)')} AS frames, {B('sum(n)')} AS samples, {B('sum(b)')} AS bytes, min(frame) AS first FROM f GROUP BY user_id, batch""",
+    "q_portions": f"""WITH {PLAN}, b AS (SELECT user_id, frame AS block, sample_offset AS a, sample_offset + block_size AS z FROM pl),
+      t AS (SELECT user_id, take, (take * 7 + 3) % 25 AS budget FROM (SELECT user_id, unnest(range(0, total // 14 + 1)) AS take FROM tot)),
+      u AS (SELECT user_id, take, CAST(sum(budget) OVER w - budget AS BIGINT) AS a, CAST(sum(budget) OVER w AS BIGINT) AS z FROM t WINDOW w AS (PARTITION BY user_id ORDER BY take)),
+      o AS (SELECT * FROM u UNION ALL SELECT user_id, NULL, max(z), 1000000000 FROM u GROUP BY user_id)
+      SELECT b.user_id, block, take, greatest(b.a, o.a) - b.a AS first, least(b.z, o.z) - greatest(b.a, o.a) AS samples FROM b JOIN o ON b.user_id = o.user_id AND greatest(b.a, o.a) < least(b.z, o.z)""",
+    "q_lifecycle": """WITH p AS (SELECT chr(97) || chr(9) || 'b/' || page_id AS file, page_id AS bytes, page_id * 7 % 100 * 10 AS a, page_id * 7 % 100 * 10 + page_id % 13 * 31 + 1 AS z, page_id % 7 = 0 AS bad FROM pages),
+      e AS (SELECT file, bytes, a, a AS at_ms, 'file_begin' AS event FROM p UNION ALL SELECT file, bytes, a, z, CASE WHEN bad THEN 'file_error' ELSE 'file_finish' END FROM p)
+      SELECT row_number() OVER (ORDER BY at_ms, event <> 'file_begin', file) - 1 AS seq, at_ms, event, file, 'event=' || event || chr(9) || 'kind=encode' || chr(9) || 'batch_mode=1' || chr(9) || 'filename=' || replace(file, chr(9), ' ') || chr(9) || 'input_bytes=' || bytes
+        || chr(9) || 'elapsed_seconds=' || printf('%.9f', CAST(at_ms - a AS DOUBLE) / 1000) || chr(9) || 'command_elapsed_seconds=' || printf('%.9f', CAST(at_ms - (SELECT min(a) FROM p) AS DOUBLE) / 1000) AS line FROM e""",
+    "q_worklist_deep": """WITH f AS (SELECT page_id, page_id % 5 + 1 AS lv, repeat('d/', CAST(page_id % 5 AS INTEGER)) || page_id AS stem, ['.wav', '.AIFF', '.txt', '.caf'][page_id % 4 + 1] AS e FROM pages WHERE page_id % 11 <> 0 AND page_id % 4 <> 2)
+      SELECT stem || e AS display, '/in/' || stem || e AS path, '/in/' || stem || '.flac' AS output, page_id AS phase_total, page_id * 2 AS overall_total, CAST(0 AS BIGINT) AS depth FROM f
+      UNION ALL SELECT stem || e, '/in/' || stem || e, '/in/' || stem || '.flac', page_id, page_id, 3 FROM f WHERE lv <= 3""",
+    "q_enabled_container": """WITH o AS (SELECT o_orderkey, o_orderkey % 2 = 1 AS w, o_orderkey // 2 % 2 = 1 AS a, o_orderkey // 4 % 2 = 1 AS c, CAST(round(o_totalprice * 100) AS BIGINT) * 150 AS size, ['auto', 'wave', 'rf64', 'wave64', 'aiff', 'aifc', 'caf'][o_orderkey % 7 + 1] AS requested FROM orders),
+      f AS (SELECT *, CASE WHEN requested IN ('wave', 'rf64', 'wave64') THEN 'wave' WHEN requested IN ('aiff', 'aifc') THEN 'aiff' WHEN requested = 'caf' THEN 'caf' END AS family FROM o)
+      SELECT o_orderkey, requested, size, family, CASE WHEN requested = 'auto' THEN CASE WHEN w THEN CASE WHEN size > 4294967295 THEN 'rf64' ELSE 'wave' END WHEN a THEN 'aiff' WHEN c THEN 'caf' END
+        WHEN NOT (family = 'wave' AND w OR family = 'aiff' AND a OR family = 'caf' AND c) OR (requested = 'wave' AND size > 4294967295) THEN NULL ELSE requested END AS container FROM f""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from wavegrid import adapters as A
 from wavegrid.functions import columns as C
 from wavegrid.functions.columns import big
-from wavegrid.operators import channels, cost, framing, metadata, planning, predict, running
+from wavegrid.operators import channels, cost, digest, framing, metadata, planning, predict, running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,12 +149,8 @@ for _k in range(5):
 
 @query
 def q_fixed_restore(spark, sf_dir):
-    out = None
-    for k in range(1, 5):
-        f = predict.zero_history(framed(spark, sf_dir), U, k).select("user_id", "frame", "j", "d")
-        one = predict.restore(f, U, k).select(F.lit(k).cast("bigint").alias("k"), "user_id", "frame", "j", "d", "x")
-        out = one if out is None else out.unionByName(one)
-    return out
+    f = predict.zero_history(framed(spark, sf_dir), U, range(1, 5)).select("k", "user_id", "frame", "j", "d")
+    return predict.restore(f, [*U, "k"], "k").select("k", "user_id", "frame", "j", "d", "x")
 
 
 @query
@@ -169,19 +165,19 @@ def q_autocorr_embed(spark, sf_dir):
 
 
 def _levinson(batches):
+    import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        rows = []
-        for user, frame, r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            import numpy as np
-
-            for order, a in enumerate(predict.levinson(np.array(r, np.float64)), 1):
-                q = predict.quantise(a)
-                if q:
-                    rows.append((user, frame, order, q[0], q[1].tolist()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["user_id", "frame", "order", "shift", "coefficients"])
+        if not batch.num_rows:
+            continue
+        user, frame = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        r = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+        for order, (rows, a) in enumerate(predict.levinson_many(r), 1):
+            shift, integers = predict.quantise_many(a)
+            rows, shift, integers = rows[shift >= 0], shift[shift >= 0], integers[shift >= 0]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * order + 1, order), pa.int32()), pa.array(integers.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(user[rows]), pa.array(frame[rows]), pa.array(np.full(len(rows), order)), pa.array(shift), lists], ["user_id", "frame", "order", "shift", "coefficients"])
 
 
 @query
@@ -353,20 +349,75 @@ def q_md5_verify(spark, sf_dir):
     return d.select("user_id", "expected", ((F.col("expected") == zero) | (F.col("expected") == F.col("digest"))).alias("verified"))
 
 
+def _packed(batches):
+    """Samples as bytes of three kinds, and these as the numbers that they state; and what is unpacked."""
+    import numpy as np
+    import pyarrow as pa
+
+    from wavegrid.sources.containers import Spec, checked, pack, unpack
+
+    kinds = [checked(Spec(8000, 1, bits, width, layout=layout)) for bits, width, layout in ((6, 8, "unsigned8"), (12, 16, "le"), (20, 24, "be"))]
+    for batch in batches:
+        out, data = [], b""
+        for k, spec in enumerate(kinds):
+            x = batch.column(2 + k).to_numpy()
+            data = pack(x, spec)
+            raw = np.frombuffer(data, np.uint8).reshape(len(x), -1).astype(np.int64)
+            raw = raw[:, ::-1] if spec.layout == "be" else raw
+            value = sum(raw[:, i] << (8 * i) for i in range(raw.shape[1])) if len(x) else np.zeros(0, np.int64)
+            top = 1 << spec.container_bits
+            out.append(pa.array(value if spec.layout == "unsigned8" else np.where(value >= top >> 1, value - top, value), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out, pa.array(unpack(data, kinds[2])[:, 0], pa.int64())], ["user_id", "i", "p8", "p16", "p24", "x"])
+
+
+_PACKED = "user_id long, i long, p8 long, p16 long, p24 long, x long"
+
+
 @query
 def q_pack_sample(spark, sf_dir):
-    """12 valid bits in 16, 20 in 24, and 6 in 8, which is unsigned."""
-    x = A.sig_events(spark, sf_dir).select("user_id", "i", F.pmod("x", F.lit(64)).alias("a"), (F.pmod("x", F.lit(4096)) - 2048).alias("b"), F.col("x"))
-    return x.select("user_id", "i", F.shiftleft(F.col("a"), 2).alias("p8"), F.shiftleft(F.col("b"), 4).alias("p16"), F.shiftleft(F.col("x"), 4).alias("p24"))
+    """6 valid bits in 8, which is unsigned, 12 in 16 and 20 in 24."""
+    x = A.sig_events(spark, sf_dir).select("user_id", "i", (F.pmod("x", F.lit(64)) - 32).alias("a"), (F.pmod("x", F.lit(4096)) - 2048).alias("b"), F.col("x"))
+    return x.mapInArrow(_packed, _PACKED).drop("x")
+
+
+def _unpacked(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    from wavegrid.sources.containers import Spec, checked, pack, unpack
+
+    spec = checked(Spec(8000, 1, 20, 24, layout="le"))
+    for batch in batches:
+        data = pack(batch.column(2).to_numpy(), spec)
+        raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(raw[:, k]) for k in range(3)), pa.array(unpack(data, spec)[:, 0], pa.int64())], ["user_id", "i", "b0", "b1", "b2", "x"])
 
 
 @query
 def q_unpack_sample(spark, sf_dir):
-    """Little-endian 24-bit bytes back to signed samples."""
-    p = A.sig_events(spark, sf_dir).select("user_id", "i", F.pmod(F.shiftleft(F.col("x"), 4), F.lit(1 << 24)).alias("u"))
-    b = p.select("user_id", "i", (F.col("u") % 256).alias("b0"), (F.shiftright("u", 8) % 256).alias("b1"), F.shiftright("u", 16).alias("b2"))
-    raw = F.col("b0") + F.shiftleft("b1", 8) + F.shiftleft("b2", 16)
-    return b.select("user_id", "i", "b0", "b1", "b2", F.shiftright(F.when(raw >= 1 << 23, raw - (1 << 24)).otherwise(raw), 4).alias("x"))
+    """20 valid bits in little-endian 24-bit bytes, back to signed samples."""
+    return A.sig_events(spark, sf_dir).select("user_id", "i", "x").mapInArrow(_unpacked, "user_id long, i long, b0 long, b1 long, b2 long, x long")
+
+
+@query
+def q_stream_digest(spark, sf_dir):
+    """Each stream's own digest, of its samples' bytes in order."""
+    return digest.stream_md5(A.blocks(A.sig_events(spark, sf_dir), "user_id", 64), U, 17)
+
+
+@query
+def q_digest_verify(spark, sf_dir):
+    """Digests as stated: all zeros, right, and wrong."""
+    d = digest.stream_md5(A.blocks(A.sig_events(spark, sf_dir), "user_id", 64), U, 17)
+    expected = F.when(F.col("user_id") % 3 == 0, "0" * 32).when(F.col("user_id") % 3 == 1, F.col("md5")).otherwise(F.reverse("md5"))
+    return d.select("user_id", expected.alias("expected"), digest.verified(expected, F.col("md5")).alias("verified"))
+
+
+@query
+def q_decode_batches(spark, sf_dir):
+    """Frames as decoders take them: sealed by samples, bytes and frames."""
+    b = framing.decode_batches(_frames(spark, sf_dir), U, 4, 60, 150)
+    return b.groupBy("user_id", "batch").agg(big(F.count("*")).alias("frames"), big(F.sum("block_size")).alias("samples"), big(F.sum("frame_size")).alias("bytes"), F.min("frame").alias("first"))
 
 
 # ---- header tables
@@ -415,13 +466,26 @@ def q_varint_len(spark, sf_dir):
     return o.union(powers).select("o_orderkey", "v", C.varint_length(F.col("v")).alias("bytes"))
 
 
+def _stream_infos(batches):
+    """Streams' headers as bytes, and what these are read as."""
+    import pyarrow as pa
+
+    from wavegrid.sources.flac import StreamInfo
+
+    for batch in batches:
+        rows = []
+        for user, rate, channels, bits, total in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            data = StreamInfo(16, 16, 0, 0, rate, channels, bits, total).bytes()
+            s = StreamInfo.parse(data)
+            rows.append((user, int.from_bytes(data[10:18], "big"), s.rate, s.channels, s.bits, s.total))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], ["user_id", "packed", "rate", "channels", "bits", "total"])
+
+
 @query
 def q_streaminfo_pack(spark, sf_dir):
-    """The 64 bits of rate, channels, depth and total, and what they unpack to."""
-    s = streams(spark, sf_dir).select("user_id", (F.col("user_id") * 977 + 8000).alias("rate"), (F.col("user_id") % 8).alias("c"), (F.col("user_id") % 29 + 3).alias("b"), "total")
-    packed = F.shiftleft("rate", 44) + F.shiftleft("c", 41) + F.shiftleft("b", 36) + F.col("total")
-    s = s.withColumn("packed", packed)
-    return s.select("user_id", "packed", F.shiftright("packed", 44).alias("rate"), (F.shiftright("packed", 41) % 8 + 1).alias("channels"), (F.shiftright("packed", 36) % 32 + 1).alias("bits"), F.col("packed").bitwiseAND(F.lit((1 << 36) - 1)).alias("total"))
+    """The 64 bits of rate, channels, depth and total, and what they unpack to. A row a stream."""
+    s = streams(spark, sf_dir).select("user_id", (F.col("user_id") * 977 + 8000).alias("rate"), (F.col("user_id") % 8 + 1).alias("channels"), (F.col("user_id") % 29 + 4).alias("bits"), "total")
+    return s.mapInArrow(_stream_infos, "user_id long, packed long, rate long, channels long, bits long, total long")
 
 
 @query
@@ -456,7 +520,7 @@ def q_mask_text(spark, sf_dir):
     """Masks to text and back, with upper-case digits and blanks."""
     o = A.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 2654435761 % (1 << 18)).alias("mask"))
     t = o.withColumn("text", F.concat(F.lit(" "), F.upper(C.mask_text(F.col("mask"))), F.lit(" ")))
-    return t.select("o_orderkey", C.mask_text(F.col("mask")).alias("text"), big(F.conv(F.regexp_replace(F.lower(F.trim("text")), "^0x", ""), 16, 10)).alias("mask"))
+    return t.select("o_orderkey", C.mask_text(F.col("mask")).alias("text"), C.mask_value(F.col("text")).alias("mask"))
 
 
 @query
@@ -480,8 +544,38 @@ def q_comments_replace(spark, sf_dir):
 
 @query
 def q_comments_remove(spark, sf_dir):
-    gone = _comments(spark, sf_dir)
-    return gone.groupBy("conv_id").agg(big(F.count_if(F.upper("key") == "USER")).alias("removed"), big(F.count_if(F.upper("key") != "USER")).alias("left"))
+    c = _comments(spark, sf_dir)
+    left, gone = metadata.removed(c, c.select("conv_id").distinct(), "user", ["conv_id"])
+    rest = left.groupBy("conv_id").agg(big(F.count("*")).alias("left"))
+    return gone.join(rest, "conv_id", "left").select("conv_id", "removed", F.coalesce("left", F.lit(0).cast("bigint")).alias("left"))
+
+
+@query
+def q_comments_append(spark, sf_dir):
+    """A comment after the others of every third conversation, and the mask of each in the place of its own."""
+    c = _comments(spark, sf_dir).select("conv_id", "pos", "key", F.md5(F.col("value").cast("binary")).alias("value"))
+    ids = c.select("conv_id").distinct()
+    c = metadata.appended(c, ids.where("conv_id % 3 = 0").select("conv_id", F.lit(0).cast("bigint").alias("pos"), F.lit(metadata.MASK_KEY.lower()).alias("key"), F.lit("0x1").alias("value")), ["conv_id"])
+    masks = ids.where("conv_id % 2 = 0").select("conv_id", (F.col("conv_id") % 8 + 1).alias("channels"), F.when(F.col("conv_id") % 4 == 0, F.lit(3)).otherwise(F.lit(5)).cast("bigint").alias("mask"))
+    return metadata.with_mask(c, masks, ["conv_id"])
+
+
+@query
+def q_blocks_edited(spark, sf_dir):
+    """What is written of each stream's blocks once every third stream has been edited: its preserved blocks go, and the others come."""
+    kinds = [("preserved", 4, 0), ("preserved", 6, 1), ("draft", 5, 2), ("draft", 4, 3)]
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("origin"), big(F.lit(k)).alias("block_type"), big(F.lit(n)).alias("ordinal")) for o, k, n in kinds])).alias("b")
+    blocks = streams(spark, sf_dir).select("user_id", each).select("user_id", "b.*")
+    return metadata.emitted(metadata.edited(blocks, streams(spark, sf_dir).where("user_id % 3 = 0"), U), U)
+
+
+@query
+def q_cues_set(spark, sf_dir):
+    """Cue points of every fifth stream are set anew, and those of streams divisible by ten cleared."""
+    e = A.sig_events(spark, sf_dir).select("user_id", F.pmod("x", F.lit(150)).alias("sample_offset"))
+    own = metadata.cues(e, streams(spark, sf_dir), U)
+    given = e.where("user_id % 10 = 5").select("user_id", (F.col("sample_offset") * 2).alias("sample_offset"))
+    return metadata.with_cues(own, given, streams(spark, sf_dir), streams(spark, sf_dir).where("user_id % 5 = 0"), U)
 
 
 @query
@@ -535,16 +629,17 @@ def q_blob_dictionary(spark, sf_dir):
 def q_chunk_precedence(spark, sf_dir):
     """A stream's other chunks count only if it has no private bundle."""
     c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 6 == 5, "fxmd").when(F.col("turn") % 2 == 0, "LIST").otherwise("cue ").alias("chunk"))
-    bundle = F.max((F.col("chunk") == "fxmd").cast("int")).over(W.partitionBy("conv_id"))
-    return c.withColumn("b", bundle).where((F.col("b") == 0) | (F.col("chunk") == "fxmd")).drop("b")
+    return metadata.with_private(c, ["conv_id"])
 
 
 @query
 def q_block_order(spark, sf_dir):
     """Preserved blocks win over comments and cue sheets, which follow in that order."""
-    s = streams(spark, sf_dir).withColumn("preserved", F.col("user_id") % 4 == 0)
-    kinds = F.when(F.col("preserved"), F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(4), F.lit(5)))
-    return s.select("user_id", F.posexplode(kinds).alias("ordinal", "block_type")).select("user_id", big("ordinal").alias("ordinal"), big("block_type").alias("block_type"))
+    block = lambda origin, kind, ordinal: F.struct(F.lit(origin).alias("origin"), big(F.lit(kind)).alias("block_type"), big(F.lit(ordinal)).alias("ordinal"))
+    drafts = F.array(block("cues", 5, 0), block("comments", 4, 1))
+    kept = F.when(F.col("user_id") % 4 == 0, F.array(block("preserved", 2, 0), block("preserved", 1, 1))).otherwise(F.array().cast("array<struct<origin:string,block_type:bigint,ordinal:bigint>>"))
+    blocks = streams(spark, sf_dir).select("user_id", F.explode(F.concat(drafts, kept)).alias("b")).select("user_id", "b.*")
+    return metadata.emitted(blocks, U).select("user_id", "ordinal", "block_type")
 
 
 def _frames(spark, sf_dir) -> DataFrame:
@@ -614,6 +709,21 @@ def q_ordered_drain(spark, sf_dir):
     return running.drained(plan, U, "arrival", "frame").select("user_id", "frame", "arrival", "released")
 
 
+@query
+def q_portions(spark, sf_dir):
+    """Takes of 0 to 24 samples from buffers of whole blocks."""
+    blocks = framing.fixed_plan(streams(spark, sf_dir), BLOCK).select("user_id", F.col("frame").alias("block"), F.col("block_size").alias("samples"))
+    takes = streams(spark, sf_dir).select("user_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("total div 14"))).alias("take"))
+    return running.portions(blocks, takes.withColumn("budget", (F.col("take") * 7 + 3) % 25), U)
+
+
+@query
+def q_lifecycle(spark, sf_dir):
+    """Pages as the files of a command, with some that fail."""
+    p = A.table(spark, sf_dir, "pages").select(F.concat(F.lit("a\tb/"), F.col("page_id").cast("string")).alias("file"), F.col("page_id").alias("input_bytes"), (F.col("page_id") * 7 % 100 * 10).alias("started_ms"), (F.col("page_id") * 7 % 100 * 10 + F.col("page_id") % 13 * 31 + 1).alias("ended_ms"), F.when(F.col("page_id") % 7 == 0, "bad").alias("error"))
+    return running.lifecycle(p, "encode")
+
+
 @query
 def q_reconcile(spark, sf_dir):
     plan = streams(spark, sf_dir).where("user_id % 7 != 0").select("user_id", (F.col("total") + F.col("user_id") % 3 - 1).alias("planned"))
@@ -629,6 +739,25 @@ def q_worklist(spark, sf_dir):
     return planning.worklist(files, "recompress", 2, ["wav", "aiff", "caf"])
 
 
+@query
+def q_worklist_deep(spark, sf_dir):
+    """Paths of any depth, and those of three levels of folders at most."""
+    p = A.table(spark, sf_dir, "pages")
+    folders = F.repeat(F.lit("d/"), (F.col("page_id") % 5).cast("int"))
+    path = F.concat(F.when(F.col("page_id") % 11 == 0, "/out/").otherwise("/in/"), folders, F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, (".wav", ".AIFF", ".txt", ".caf"))), (F.col("page_id") % 4 + 1).cast("int")))
+    files = p.select(F.lit("/in").alias("root"), path.alias("path"), F.col("page_id").alias("total"))
+    every, near = (planning.worklist(files, command, depth, ["wav", "aiff", "caf"]).withColumn("depth", big(F.lit(depth))) for command, depth in (("recompress", 0), ("encode", 3)))
+    return every.unionByName(near)
+
+
+@query
+def q_enabled_container(spark, sf_dir):
+    """Containers where some families are switched off."""
+    o = A.table(spark, sf_dir, "orders").select("o_orderkey", (big(F.round(F.col("o_totalprice") * 100)) * 150).alias("size"), F.element_at(F.array(*map(F.lit, ("auto", "wave", "rf64", "wave64", "aiff", "aifc", "caf"))), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("requested"))
+    enabled = F.array_compact(F.array(*[F.when(F.expr(f"o_orderkey div {1 << k} % 2 = 1"), name) for k, name in enumerate(planning.FAMILIES)]))
+    return o.select("o_orderkey", "requested", "size", planning.family(F.col("requested")).alias("family"), planning.enabled_container(F.col("requested"), F.col("size"), enabled).alias("container"))
+
+
 @query
 def q_output_family(spark, sf_dir):
     p = A.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("a.b/c."), F.element_at(F.array(*map(F.lit, ("wav", "RF64", "w64", "aif", "aifc", "caf", "flac", "mp3"))), (F.col("page_id") % 8 + 1).cast("int"))).alias("path"))

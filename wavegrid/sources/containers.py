@@ -88,9 +88,16 @@ def pack(x: np.ndarray, s: Spec) -> bytes:
 # ---- reading headers; read(at, size) gives bytes of the file, and short ones at its end
 
 
-def parse(read, size: int, keep: bool = True) -> Spec:
-    """The spec of a self-describing file, by its first bytes. keep: with its metadata chunks."""
+#: The families that a reader is chosen from; wave stands for WAVE, RF64 and Wave64.
+READERS = ("wave", "aiff", "caf")
+
+
+def parse(read, size: int, keep: bool = True, family: str | None = None) -> Spec:
+    """The spec of a self-describing file, by its first bytes. keep: with its metadata chunks. family: one of READERS; a file of another one raises."""
     head = read(0, 16)
+    found = {b"FORM": "aiff", b"caff": "caf"}.get(head[:4], "wave")
+    if family is not None and found != family:
+        raise ContainerError(f"not a file of the family {family}")
     if head[:4] == b"FORM":
         return _aiff(read, size)
     if head[:4] == b"caff":

@@ -265,7 +265,7 @@ def decode(data: bytes, verify: bool = True, strict: bool = False) -> tuple[Stre
         return s, np.zeros((0, i.channels), np.int64)
     index = fr.boundaries(data, s.start, i.rate, i.bits, i.total)
     ends = [a for a, _, _ in index[1:]] + [len(data)]
-    x = np.concatenate([fr.decode(data, a, e, i.rate, i.bits)[1] for (a, _, _), e in zip(index, ends, strict=True)], axis=1).T
+    x = np.concatenate([planes for _, planes in fr.decode_many(data, [(a, e) for (a, _, _), e in zip(index, ends, strict=True)], i.rate, i.bits)], axis=1).T
     if len(x) != i.total:
         raise ContainerError(f"{len(x)} samples where {i.total} are stated")
     if verify and i.md5 != bytes(16) and hashlib.md5(digest_bytes(x, i.bits)).digest() != i.md5:
