@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wavegrid.functions.columns import big, escape_width, floor_log2, fold
-from wavegrid.operators.predict import fixed_residuals
+from wavegrid.operators.predict import fixed_residuals, lpc_candidates
 
-HEADER_BITS = 8
+#: Bits of a subframe's header, and of a quantised coefficient.
+HEADER_BITS, PRECISION = 8, 15
 #: Bits of a parameter and its largest value, of the two methods.
 METHODS = ((4, 14), (5, 30))
 LEAST, MOST = -(1 << 30), (1 << 30) - 1
@@ -85,19 +86,33 @@ def _chosen(partitions: DataFrame, by: list[str]) -> DataFrame:
 
 def subframes(framed: DataFrame, keys: list[str], bits: int, fixed_order: int = 4, partition_order: int = 6) -> DataFrame:
     """keys, frame, n with kind, order, p, method and bits of each block's cheapest form of constant, verbatim and fixed; ties keep the first."""
+    return _subframes(fixed_residuals(framed, keys, range(fixed_order + 1)).withColumn("lpc", F.lit(False)), keys, bits, partition_order)
+
+
+def subframes_with_lpc(framed: DataFrame, keys: list[str], bits: int, rate: int, lpc_order: int, fixed_order: int = 4, partition_order: int = 6) -> DataFrame:
+    """subframes() with adaptive predictors too: they come last, by order, and cost their coefficients."""
+    rows = F.sort_array(F.collect_list(F.struct("j", "x")))
+    blocks = framed.groupBy(*keys, "frame").agg(F.transform(rows, lambda s: s["x"]).alias("xs"))
+    adaptive = lpc_candidates(blocks, keys, rate, lpc_order, PRECISION).withColumn("lpc", F.lit(True))
+    both = fixed_residuals(framed, keys, range(fixed_order + 1)).withColumn("lpc", F.lit(False))
+    return _subframes(both.unionByName(adaptive.select(both.columns)), keys, bits, partition_order)
+
+
+def _subframes(residuals: DataFrame, keys: list[str], bits: int, partition_order: int) -> DataFrame:
     by = [*keys, "frame", "n"]
-    chosen = _chosen(partition_costs(partitioned(fixed_residuals(framed, keys, range(fixed_order + 1)), keys, partition_order), keys), [*by, "k"])
-    cost = F.struct((F.col("bits") + HEADER_BITS + F.col("k") * bits).alias("bits"), "k", "p", "method")
+    chosen = _chosen(partition_costs(partitioned(residuals, [*keys, "lpc"], partition_order), [*keys, "lpc"]), [*keys, "lpc", "frame", "n", "k"])
+    extra = F.when(F.col("lpc"), 9 + F.col("k") * PRECISION).otherwise(0)
+    cost = F.struct((F.col("bits") + HEADER_BITS + F.col("k") * bits + extra).alias("bits"), "lpc", "k", "p", "method")
     # the residual of order 0 is the block itself, so the samples are read once
-    forms = chosen.groupBy(*by).agg(F.min(F.when(F.col("bits").isNotNull(), cost)).alias("f"), F.max((F.col("k") == 0) & (F.col("low") == F.col("high"))).alias("constant"))
+    forms = chosen.groupBy(*by).agg(F.min(F.when(F.col("bits").isNotNull(), cost)).alias("f"), F.max(~F.col("lpc") & (F.col("k") == 0) & (F.col("low") == F.col("high"))).alias("constant"))
     none = F.lit(None).cast("bigint")
 
     def form(cost, rank, kind, order=none, p=none, method=none) -> Column:
-        return F.struct(big(cost).alias("bits"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), order.alias("order"), p.alias("p"), method.alias("method"))
+        return F.struct(big(cost).alias("bits"), F.lit(rank).alias("rank"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), order.alias("order"), p.alias("p"), method.alias("method"))
 
     best = F.array_min(F.array_compact(F.array(
         F.when(F.col("constant"), form(F.lit(HEADER_BITS + bits), 0, "constant")),
         form(F.col("n") * bits + HEADER_BITS, 1, "verbatim"),
-        F.when(F.col("f").isNotNull(), form(F.col("f.bits"), 2, "fixed", F.col("f.k"), F.col("f.p"), F.col("f.method"))),
+        F.when(F.col("f").isNotNull(), form(F.col("f.bits"), 2, F.when(F.col("f.lpc"), "lpc").otherwise("fixed"), F.col("f.k"), F.col("f.p"), F.col("f.method"))),
     )))
     return forms.withColumn("s", best).select(*by, "s.kind", "s.order", "s.p", "s.method", "s.bits")

@@ -80,6 +80,34 @@ def case(column: str, values: dict, otherwise: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN {k!r} THEN {v!r}" for k, v in values.items()) + f" ELSE {otherwise} END"
 
 
+def adaptive() -> str:
+    """From fr on: predictors of order 1 and 2 by their closed forms (ad: shift, c1, c2), and their residuals (lr)."""
+    shifts = "(SELECT unnest(range(0, 16)) AS shift)"
+    tiny = "2.220446049250313e-16"
+    q = lambda a: f"sign({a}) * floor(abs({a} * pow(2.0, shift)) + 0.5)"
+    return f"""ac AS (SELECT user_id, frame, n, CAST(sum(x * x) AS DOUBLE) AS r0, CAST(coalesce(sum(x * y), 0) AS DOUBLE) AS r1, CAST(coalesce(sum(x * z), 0) AS DOUBLE) AS r2
+        FROM (SELECT *, lag(x, 1) OVER w AS y, lag(x, 2) OVER w AS z FROM fr WINDOW w AS (PARTITION BY user_id, frame ORDER BY j)) GROUP BY user_id, frame, n),
+      l1 AS (SELECT *, r1 / r0 AS k1 FROM ac WHERE r0 > 0 AND n > 1), e1 AS (SELECT *, r0 * (1 - k1 * k1) AS err FROM l1),
+      l2 AS (SELECT *, (r2 - k1 * r1) / err AS k2 FROM e1 WHERE err > {tiny} AND n > 2), e2 AS (SELECT *, err * (1 - k2 * k2) AS err2 FROM l2),
+      pr AS (SELECT user_id, frame, n, CAST(1 AS BIGINT) AS k, k1 AS a1, 0.0 AS a2 FROM e1 WHERE err > {tiny} UNION ALL SELECT user_id, frame, n, 2, k1 - k2 * k1, k2 FROM e2 WHERE err2 > {tiny}),
+      qs AS (SELECT *, {q('a1')} AS s1, {q('a2')} AS s2 FROM pr CROSS JOIN {shifts}),
+      qe AS (SELECT *, (a1 - s1 / pow(2.0, shift)) * (a1 - s1 / pow(2.0, shift)) + (a2 - s2 / pow(2.0, shift)) * (a2 - s2 / pow(2.0, shift)) AS e FROM qs WHERE greatest(abs(s1), abs(s2)) <= 16383),
+      ad AS (SELECT user_id, frame, n, k, CAST(shift AS BIGINT) AS shift, CAST(s1 AS BIGINT) AS c1, CAST(s2 AS BIGINT) AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, frame, k ORDER BY e, shift DESC) AS rn FROM qe) WHERE rn = 1),
+      lr AS (SELECT ad.user_id, ad.frame, ad.n, j, k, shift, c1, c2, x - CAST(floor((c1 * y + c2 * coalesce(z, 0)) / pow(2.0, shift)) AS BIGINT) AS r
+        FROM ad JOIN (SELECT *, lag(x, 1) OVER w AS y, lag(x, 2) OVER w AS z FROM fr WINDOW w AS (PARTITION BY user_id, frame ORDER BY j)) s ON ad.user_id = s.user_id AND ad.frame = s.frame WHERE j >= k)"""
+
+
+def with_adaptive(depth: int) -> str:
+    by = "user_id, lpc"
+    own = "rs AS (SELECT user_id, false AS lpc, frame, n, j, k, r FROM (" + " UNION ALL ".join(difference(k, "user_id") for k in range(5)) + ") WHERE j >= k UNION ALL SELECT user_id, true, frame, n, j, k, r FROM lr)"
+    return f"""{adaptive()}, {choices(by).replace(residuals(by), own)},
+    fo AS (
+      SELECT user_id, frame, n, CASE WHEN min(x) = max(x) THEN {8 + depth} END AS bits, 0 AS rank, 'constant' AS kind, NULL AS k, NULL AS p, NULL AS method FROM fr GROUP BY user_id, frame, n
+      UNION ALL SELECT DISTINCT user_id, frame, n, 8 + n * {depth}, 1, 'verbatim', NULL, NULL, NULL FROM fr
+      UNION ALL SELECT user_id, frame, n, bits + 8 + k * {depth} + CASE WHEN lpc THEN 9 + 15 * k ELSE 0 END, CASE WHEN lpc THEN 10 ELSE 2 END + k, CASE WHEN lpc THEN 'lpc' ELSE 'fixed' END, k, p, method FROM rc),
+    sf AS (SELECT user_id, frame, n, kind, {B('k')} AS "order", {B('p')} AS p, {B('method')} AS method, {B('bits')} AS bits FROM (SELECT *, row_number() OVER (PARTITION BY user_id, frame ORDER BY bits, rank) AS rn FROM fo WHERE bits IS NOT NULL) WHERE rn = 1)"""
+
+
 PLAN = TOT + ", pl AS (SELECT user_id, total, frame, frame * 16 AS sample_offset, least(16, total - frame * 16) AS block_size FROM (SELECT *, unnest(range(0, (total + 15) // 16)) AS frame FROM tot))"
 SCHEDULE = "sc AS (SELECT frame, CAST(coalesce(sum(block_size) OVER (ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sample_offset, block_size FROM (SELECT frame, 16 + frame * 7 % 33 AS block_size FROM (SELECT unnest(range(0, (SELECT max(event_id) FROM events) // 16 + 1)) AS frame)))"
 COMMENTS = "c AS (SELECT conv_id, turn AS pos, upper(role) AS key, substring(text, 1, 40) AS value FROM conversations)"
@@ -214,4 +242,6 @@ SQL: dict[str, str] = {
       f AS (SELECT *, CASE WHEN requested IN ('wave', 'rf64', 'wave64') THEN 'wave' WHEN requested IN ('aiff', 'aifc') THEN 'aiff' WHEN requested = 'caf' THEN 'caf' END AS family FROM o)
       SELECT o_orderkey, requested, size, family, CASE WHEN requested = 'auto' THEN CASE WHEN w THEN CASE WHEN size > 4294967295 THEN 'rf64' ELSE 'wave' END WHEN a THEN 'aiff' WHEN c THEN 'caf' END
         WHEN NOT (family = 'wave' AND w OR family = 'aiff' AND a OR family = 'caf' AND c) OR (requested = 'wave' AND size > 4294967295) THEN NULL ELSE requested END AS container FROM f""",
+    "q_lpc_candidates": f"WITH {FR}, {adaptive()} SELECT user_id, frame, k, shift, CASE WHEN k = 1 THEN CAST(c1 AS VARCHAR) ELSE c1 || ',' || c2 END AS coefficients, {B('sum(abs(r))')} AS magnitude FROM lr GROUP BY ALL",
+    "q_subframe_lpc": f"WITH {FR}, {with_adaptive(17)} SELECT * FROM sf",
 }

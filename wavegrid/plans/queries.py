@@ -296,6 +296,20 @@ def q_subframe_choice(spark, sf_dir):
     return cost.subframes(framed(spark, sf_dir), U, 17)
 
 
+@query
+def q_subframe_lpc(spark, sf_dir):
+    """The cheapest form of every block, adaptive predictors of order 1 and 2 included."""
+    return cost.subframes_with_lpc(framed(spark, sf_dir), U, 17, 44_100, 2)
+
+
+@query
+def q_lpc_candidates(spark, sf_dir):
+    """Adaptive predictors of order 1 and 2 of every block, in whole numbers, and the sum of their residuals' magnitudes."""
+    blocks = A.blocks(A.sig_events(spark, sf_dir), "user_id", BLOCK)
+    c = predict.lpc_candidates(blocks, U, 44_100, 2)
+    return c.groupBy("user_id", "frame", "k").agg(F.first("shift").alias("shift"), F.array_join(F.first("coefficients").cast("array<string>"), ",").alias("coefficients"), big(F.sum(F.abs("r"))).alias("magnitude"))
+
+
 @query
 def q_frame_cost(spark, sf_dir):
     """Both stereo forms of each frame, and the one that the magnitudes choose."""
