@@ -76,8 +76,8 @@ def test_analysis_agrees_with_the_codec(spark):
         assert bits[b.user_id, b.frame] == (s.kind, s.order if s.kind == "fixed" else None, s.bits) or s.kind == "constant"
 
 
-@pytest.mark.parametrize("order", [2, 8])
-def test_adaptive_choice_agrees_with_the_codec(spark, order):
+@pytest.mark.parametrize("order,size", [(2, 64), (8, 256)])
+def test_adaptive_choice_agrees_with_the_codec(spark, order, size):
     import numpy as np
 
     from wavegrid import adapters
@@ -85,19 +85,19 @@ def test_adaptive_choice_agrees_with_the_codec(spark, order):
     from wavegrid.operators import cost, framing
 
     samples = adapters.sig_events(spark, SF)
-    profile = fr.Profile(64, 4, order, 6, False)
-    found = {(r.user_id, r.frame): r for r in cost.subframes_with_lpc(framing.fixed(samples, 64, ["user_id"]), ["user_id"], 17, 44_100, order).collect()}
-    blocks = adapters.blocks(samples, "user_id", 64).collect()
+    profile = fr.Profile(size, 4, order, 6, False)
+    found = {(r.user_id, r.frame): r for r in cost.subframes_with_lpc(framing.fixed(samples, size, ["user_id"]), ["user_id"], 17, 44_100, order).collect()}
+    blocks = adapters.blocks(samples, "user_id", size).collect()
     # streams that swing to and fro as well, so that adaptive predictors win
     r, rows = np.random.default_rng(1), []
     for s in range(4):
         x = 0.0
-        for k in range(300):
+        for k in range(600):
             x = -0.97 * x + r.normal(0, 300)
             rows.append((s, k, int(x)))
     wave = spark.createDataFrame(rows, "user_id long, i long, x long")
-    more = {(r.user_id, r.frame): r for r in cost.subframes_with_lpc(framing.fixed(wave, 64, ["user_id"]), ["user_id"], 17, 44_100, order).collect()}
-    for rows, every in ((found, blocks), (more, adapters.blocks(wave, "user_id", 64).collect())):
+    more = {(r.user_id, r.frame): r for r in cost.subframes_with_lpc(framing.fixed(wave, size, ["user_id"]), ["user_id"], 17, 44_100, order).collect()}
+    for rows, every in ((found, blocks), (more, adapters.blocks(wave, "user_id", size).collect())):
         assert len(rows) == len(every)
         for b in every:
             s, r = fr.analyse(np.array(b.xs, np.int64), 17, 44_100, profile), rows[b.user_id, b.frame]
