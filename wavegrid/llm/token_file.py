@@ -25,6 +25,8 @@ from wavegrid.llm.common import chunks_of, shared_dir, small_batches, stored, tr
 
 MAGIC = b"WGDAC001"
 _GROUP = 1 << 16
+#: Ranges of ids, each a task's. Spark samples 100 rows a range on the driver, so they are bounded; segments aren't.
+MOST_RANGES = 20_000
 
 
 class Writer:
@@ -147,7 +149,7 @@ def write(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // segment_bytes))
+    n = max(1, min(MOST_RANGES, -(-2 * size // segment_bytes)))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part = encoder(path, memo=300_000), TaskContext.get().partitionId()
