@@ -3,10 +3,12 @@ import hashlib
 import io
 import json
 import struct
+import time
 import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from wavegrid.llm import media
 
@@ -69,3 +71,34 @@ def test_documents(spark, docs, rows, empty):
     assert all(json.loads(r.feature)["type"] == "audio/wav" for r in out)
     assert media.wav_payload(media.wav(b"xy")) == b"xy"
     assert media.features(media.sniffed(media.stored_media(spark.createDataFrame([], SCHEMA).select("doc_id", "text")))).count() == 0
+
+
+def test_the_query(spark, rows, tmp_path):
+    """All columns, the line of features included."""
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        p = b + bytes((-len(b)) % 64 if b else 64)
+        w = media.wav(p)
+        high = [x >= 128 for x in p]
+        line = {"type": "audio/wav", "declared": "application/octet-stream", "corrected": True, "samples": len(p), "low": min(p), "high": max(p), "sum": sum(p), "crossings": sum(x != y for x, y in zip(high, high[1:])), "embedded": []}
+        want.append(str((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(w), hashlib.sha256(w).hexdigest(), json.dumps(line))))
+    assert sorted(want) == sorted(str(tuple(r)) for r in media.op4_media_sniff(spark, str(tmp_path)).collect())
+
+
+def test_many_beginnings_without_an_end():
+    """Time grows with the text, not with its square."""
+    for part in (b"%PDF-1.4 ", b"PK\3\4 PK\5\6" + bytes(18), b"\xff\xd8\xff\xda\0\2ab", b"%PDF-1 startxref x "):
+        began = time.perf_counter()
+        assert media.sniff(b"-" + part * 60_000) == (None, 0, [])
+        assert time.perf_counter() - began < 5
+    two = b"-" + PDF + b"--" + PDF + zipped() + zipped()
+    assert [e[1:] for e in media.sniff(two)[2]] == [(len(PDF), "application/pdf")] * 2 + [(len(zipped()), "application/zip")] * 2
+
+
+def test_other_columns_and_ids(spark):
+    rows = [("x", "text", "1"), ("y", None, "2"), (None, "", "3")]
+    df = spark.createDataFrame(rows, "name string, text string, doc_id string").withColumn("media", F.lit("a")).withColumn("Declared", F.lit("b"))
+    out = media.features(media.sniffed(media.stored_media(df)), id_col="name")
+    assert out.columns[0] == "name" and sorted(str((r.name, r.n_bytes)) for r in out.select(F.col("name"), "n_bytes").collect()) == sorted(str((n, len(t or ""))) for n, t, _ in rows)

@@ -11,7 +11,9 @@ import hashlib
 import json
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -90,13 +92,14 @@ def _jpeg(b: memoryview) -> int | None:
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         at += 2 + struct.unpack_from(">H", b, at + 2)[0]
         if kind == 0xDA:
-            scan, data = True, bytes(b[at:])
-            i = data.find(b"\xff")
+            scan, data = True, b.obj
+            before = len(data) - len(b)  # b is the end of data, which isn't copied
+            i = data.find(b"\xff", before + at)
             while i >= 0 and i + 1 < len(data) and (data[i + 1] == 0 or 0xD0 <= data[i + 1] <= 0xD7):
                 i = data.find(b"\xff", i + 2)
             if i < 0:
                 return None
-            at += i
+            at = i - before
     return at + 2 if frame and scan and at + 2 == len(b) and bytes(b[at:]) == b"\xff\xd9" else None
 
 
@@ -123,15 +126,44 @@ def _gzip(b: memoryview) -> int | None:
     return at - len(z.unused_data) if z.eof else None
 
 
-def _zip(b: memoryview) -> int | None:
+class _Marks:
+    """Places in some bytes that media end by, each found once however many media may begin before them."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.found: dict[bytes, list[int]] = {}
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self.found:
+            places, at = [], self.data.find(mark)
+            while at >= 0:
+                places.append(at)
+                at = self.data.find(mark, at + 1)
+            self.found[mark] = places
+        return self.found[mark]
+
+    def next(self, mark: bytes, at: int) -> int | None:
+        places = self.places(mark)
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else None
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Where archives begin, by the first end record that says so and whose central directory begins with an entry, and where they end."""
+        found: dict[int, int] = {}
+        for at in self.places(b"PK\5\6"):
+            if at + 22 <= len(self.data):
+                size, start, comment = struct.unpack_from("<IIH", self.data, at + 12)
+                begin = at - size - start
+                if begin >= 0 and self.data[begin + start : begin + start + 4] == b"PK\1\2" and at + 22 + comment <= len(self.data):
+                    found.setdefault(begin, at + 22 + comment)
+        return found
+
+
+def _zip(marks: _Marks, at: int) -> int | None:
     """The first end record whose central directory stands where it says and begins with an entry."""
-    data, at = bytes(b), 0
-    while (at := data.find(b"PK\5\6", at + 1)) > 0:
-        if at + 22 <= len(data):
-            size, start, comment = struct.unpack_from("<IIH", data, at + 12)
-            if start + size == at and data[start : start + 4] == b"PK\1\2" and at + 22 + comment <= len(data):
-                return at + 22 + comment
-    return None
+    end = marks.archives.get(at)
+    return None if end is None else end - at
 
 
 def _ogg(b: memoryview) -> int | None:
@@ -162,20 +194,23 @@ def _aiff(b: memoryview) -> int | None:
     return end if end <= len(b) and at in (end, end + 1) and {b"COMM", b"SSND"} <= seen else None
 
 
-def _pdf(b: memoryview) -> int | None:
-    """A version, a cross-reference's place and the end mark after it."""
-    data = bytes(b)
-    at = data.find(b"startxref")
-    end = data.find(b"%%EOF", at) if at > 0 else -1
-    return end + 5 if end > 0 and data[5:6].isdigit() and data[at + 9 : end].strip().isdigit() else None
+def _pdf(marks: _Marks, at: int) -> int | None:
+    """A version, a cross-reference's place (of 64 bytes at most) and the end mark after it."""
+    place = marks.next(b"startxref", at)
+    end = None if place is None else marks.next(b"%%EOF", place)
+    if end is None or end - place > 9 + 64 or not marks.data[at + 5 : at + 6].isdigit() or not marks.data[place + 9 : end].strip().isdigit():
+        return None
+    return end + 5 - at
 
 
 #: Fixed values of the formats: magic number, type, validator. Longer magic numbers come first at one place.
-SIGNATURES: list[tuple[bytes, str, Callable[[memoryview], int | None]]] = [
+SIGNATURES: list[tuple[bytes, str, Callable]] = [
     (b"RIFF", "audio/wav", _wav), (b"\x89PNG\r\n\x1a\n", "image/png", _png), (b"GIF87a", "image/gif", _gif), (b"GIF89a", "image/gif", _gif),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg), (b"BM", "image/bmp", _bmp), (b"\x1f\x8b\x08", "application/gzip", _gzip), (b"PK\3\4", "application/zip", _zip),
     (b"OggS", "audio/ogg", _ogg), (b"FORM", "audio/aiff", _aiff), (b"%PDF-", "application/pdf", _pdf),
 ]
+#: Validators that look for an end; the others walk over what they are given.
+_BY_END = (_zip, _pdf)
 _AUTOMATON = None
 
 
@@ -196,14 +231,14 @@ def sniff(data: bytes) -> tuple[str | None, int, list[tuple[int, int, str]]]:
 
     Without a type the length is 0. Media inside carved media aren't listed; those inside the whole are.
     """
-    view = memoryview(data)
+    view, marks = memoryview(data), _Marks(data)
     kind, length, inside, after = None, 0, [], 0
     for last, i in _automaton().iter(data.decode("latin-1")):
         magic, name, validate = SIGNATURES[i]
         at = last - len(magic) + 1
         if at and at < after:
             continue
-        if n := validate(view[at:]):
+        if n := validate(marks, at) if validate in _BY_END else validate(view[at:]):
             if at:
                 inside.append((at, n, name))
                 after = at + n
@@ -235,7 +270,7 @@ def sniffed(df: DataFrame, *, media_col: str = "media", declared_col: str = "dec
 
     entry = T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("type", T.StringType())])
     kinds = [T.StringType(), T.LongType(), T.BooleanType(), T.ArrayType(entry)]
-    return df.mapInArrow(run, schema_with(df, [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+    return df.mapInArrow(trimmed(run), schema_with(df, [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
 def carved(df: DataFrame, *, media_col: str = "media") -> DataFrame:
@@ -282,25 +317,31 @@ def stored_media(docs: DataFrame, *, text_col: str = "text", unit: int = 64) ->
     return stored(docs.mapInArrow(trimmed(run), schema_with(without(docs, [text_col]), fields)), "media")
 
 
-def features(df: DataFrame) -> DataFrame:
-    """Of sniffed WAV media: payload and stored digests, the last 64 samples' checksum, and a line of features."""
+def features(df: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """Of sniffed stored_media(): the id, payload and stored digests, the last 64 samples' checksum, and a line of features; other columns are left out.
+
+    Every row of stored_media() has a payload, so there are no nulls but in the id. Repeated rows have a row each. Anything but one WAV file raises.
+    """
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
+    held = ["n_bytes", "declared", "detected", "media_length", "corrected", "embedded", "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r, data in zip(batch.select(["doc_id", "n_bytes", "declared", "detected", "media_length", "corrected", "embedded"]).to_pylist(), batch.column(batch.schema.get_field_index("media")), strict=True):
-                media = data.as_py()
+            for r in (dict(zip(held, x, strict=True)) for x in zip(*(batch.column(1 + i).to_pylist() for i in range(len(held))), strict=True)):
+                media = r["media"]
                 if r["detected"] != "audio/wav" or r["media_length"] != len(media):
-                    raise ValueError(f"what was stored for {r['doc_id']} isn't one WAV file")
+                    raise ValueError("what was stored isn't one WAV file")
                 payload = wav_payload(media)
                 samples = np.frombuffer(payload, np.uint8)
                 line = {"type": r["detected"], "declared": r["declared"], "corrected": r["corrected"], "samples": len(samples), "low": int(samples.min()), "high": int(samples.max()), "sum": int(samples.sum(dtype=np.int64)), "crossings": int(np.count_nonzero(np.diff((samples >= 128).astype(np.int8)))), "embedded": [[e["offset"], e["length"], e["type"]] for e in r["embedded"]]}
-                rows.append((r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), json.dumps(line)))
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                rows.append((r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), json.dumps(line)))
+            arrow = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(arrow))], [id_col, *names])
 
-    return df.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = T.StructType([df.schema[id_col], *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
+    return df.select(F.col(f"`{id_col}`"), *held).mapInArrow(trimmed(run), schema)
 
 
 def op4_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
