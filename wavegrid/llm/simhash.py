@@ -5,8 +5,9 @@ sum(T + 1) = distance + 1 lose no pair. Which parts and thresholds are cheapest
 counts that the fingerprints' bit statistics predict. Each distinct fingerprint is entered under its value in each part, and
 probes the values within the part's threshold; what meets under one value is verified on all 64 bits.
 
-Values that many fingerprints share are split into blocks, and pairs of blocks are searched by different tasks. Tasks return a
-spanning forest of the links they find, not all pairs.
+Values that a ten-thousandth of all fingerprints share are looked for first, and no task gets all rows of one: they, and others that
+take much work, are split into blocks, and pairs of blocks are searched by different tasks. Tasks return a spanning forest of the links they
+find, not all pairs.
 """
 
 from __future__ import annotations
@@ -137,8 +138,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _probe(parts: list[Part], buckets: int):
-    """For each searched part, the values that a fingerprint is entered under or probes, packed by buckets of values: a row a bucket, not a probe."""
+def _keys(fps: np.ndarray, parts: list[Part], k: int) -> np.ndarray:
+    """The values of part k, as keys that no other part has."""
+    return _values(fps, parts[k].bits) | np.uint64(k) << np.uint64(58)
+
+
+def _often(parts: list[Part], share: float):
+    """Keys under which this share of some task's fingerprints are entered, or nearly, and how many are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def counts() -> pa.RecordBatch:
+            fps, keys, n = np.concatenate(held), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for k, part in enumerate(parts):
+                if part.threshold >= 0:
+                    key, count = np.unique(_keys(fps, parts, k), return_counts=True)
+                    many = count >= max(8, share * len(fps) / 2)
+                    keys.append(key[many])
+                    n.append(count[many])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(n))], ["key", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(np.uint64))
+            rows += batch.num_rows
+            if rows >= 1_000_000:
+                yield counts()
+                held, rows = [], 0
+        if rows:
+            yield counts()
+
+    return run
+
+
+def _probe(parts: list[Part], buckets: int, often: np.ndarray):
+    """For each searched part, the values that a fingerprint is entered under or probes, packed by buckets of values: a row a bucket, not a probe. Those of
+    keys that occur often (in order) have no bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +189,9 @@ def _probe(parts: list[Part], buckets: int):
                             of.append(np.arange(len(fps)))
                             probes.append(np.full(len(fps), t > 0))
                 key, i, probe = (np.concatenate(x) for x in (keys, of, probes))
-                bucket = ((_mix(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                bucket = (((_mix(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                if len(often):
+                    bucket[often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key] = -1
                 order = np.lexsort((key, bucket))
                 key, i, probe, bucket = key[order], i[order], probe[order], bucket[order]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]))
@@ -167,6 +204,13 @@ def _probe(parts: list[Part], buckets: int):
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload in batch.column(0).to_pylist():
+            e = unpack(payload)
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(e["key"], dtype=np.uint64).view(np.int64)), pa.array(e["fp"].view(np.int64)), pa.array(e["rep"].view(np.int64)), pa.array(e["probe"].astype(bool))], ["key", "fp", "rep", "probe"])
+
+
 def _search(distance: int, work: int):
     """A bucket in: a forest of the links within its values out (key null), and the rows of values that take more than work comparisons."""
 
@@ -250,10 +294,11 @@ def _links(distance: int):
     return run
 
 
-def links(distinct: DataFrame, distance: int, block: int = 4096, work: int = 1 << 28) -> DataFrame:
+def links(distinct: DataFrame, distance: int, block: int = 4096, work: int = 1 << 28, share: float = 1e-4, least: int = 1 << 18) -> DataFrame:
     """(a, b): ids of fingerprints within the distance; not all pairs, but enough to connect all that are connected. distinct: fp, rep, stored.
 
-    A value whose rows take more than work comparisons is split into blocks of about block rows.
+    A value whose rows take more than work comparisons is split into blocks of about block rows; one under which this share of all fingerprints, and least
+    of them, are found to be entered is split before its rows come together.
     """
     counts = distinct.select("fp").mapInArrow(_bit_counts, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     ones = np.zeros((64, 64))
@@ -263,10 +308,20 @@ def links(distinct: DataFrame, distance: int, block: int = 4096, work: int = 1 <
     parts = plan_parts(n, ones, distance)
     probes = sum(comb(len(p.bits), t) for p in parts for t in range(p.threshold + 1))
     buckets = max(1, -(-n * probes // 400_000))
-    packed = distinct.select("fp", "rep").mapInArrow(trimmed(_probe(parts, buckets)), "bucket int, payload binary")
+    often = np.zeros(0, np.uint64)
+    if n >= least:
+        counts = distinct.select("fp").mapInArrow(trimmed(_often(parts, share)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, share * n))
+        often = np.sort(np.array([r.key for r in counts.select("key").collect()], np.int64).view(np.uint64))  # one in share for each part at most
+    packed = distinct.select("fp", "rep").mapInArrow(trimmed(_probe(parts, buckets, often)), "bucket int, payload binary")
+    if len(often):
+        packed = stored(packed, "near-probes")
+        split = packed.where("bucket < 0").select("payload").mapInArrow(trimmed(_unpacked), "key long, fp long, rep long, probe boolean")
+        packed = packed.where("bucket >= 0")
     found = stored(packed.groupBy("bucket").applyInArrow(_search(distance, work), "a long, b long, key long, fp long, probe boolean"), "near-values")
     cold, hot = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", "fp", F.col("a").alias("rep"), "probe")
-    if not hot.limit(1).count():
+    if len(often):
+        hot = hot.unionByName(split)
+    elif not hot.limit(1).count():
         return cold
     # values that many share are cut into blocks; each block meets each other one in some task
     blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
