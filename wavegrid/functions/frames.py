@@ -65,31 +65,37 @@ def best_residual(r: np.ndarray, order: int, most: int) -> Residual | None:
     valid = [p for p in range(min(most, 8) + 1) if n % (1 << p) == 0 and n >> p > order]
     if not valid or (len(r) and (r.min() < LEAST or r.max() > MOST)):
         return None
-    u = folded(r)
-    wide = int(u.sum()) // max(1, len(u))
+    u = np.zeros(n, np.int64)
+    u[order:] = folded(r)
+    wide = int(u.sum()) // max(1, len(r))
+    # a row a partition, of the highest order; the warm-up's places add nothing
+    filled = np.concatenate((np.full(order, r[0]), r)) if len(r) else u
+    parts = 1 << valid[-1]
+    total, low, high = (f(axis=1) for f in (u.reshape(parts, -1).sum, filled.reshape(parts, -1).min, filled.reshape(parts, -1).max))
     best = None
     for p in dict.fromkeys((valid[-1], max(valid[-1] - 1, 0), 0)):
-        size = n >> p
-        starts = np.maximum(np.arange(1 << p) * size - order, 0)
-        ends = np.arange(1, (1 << p) + 1) * size - order
-        count = ends - starts
-        total, low, high = np.add.reduceat(u, starts), np.minimum.reduceat(r, starts), np.maximum.reduceat(r, starts)
+        total, low, high = (x.reshape(1 << p, -1) for x in (total, low, high))
+        total, low, high = total.sum(axis=1), low.min(axis=1), high.max(axis=1)
+        count = np.full(1 << p, n >> p)
+        count[0] -= order
         log = np.maximum(_bit_length(total // count) - 1, 0)
         span = np.where((low == 0) & (high == 0), 0, _bit_length(np.maximum(high, -low - 1)) + 1)
+        rows = u.reshape(1 << p, -1)
         for m, (width, largest) in enumerate(METHODS):
             if m and max(0, wide.bit_length() - 1) <= METHODS[0][1]:
                 continue
             e = np.minimum(log, largest)
-            rice = width + np.add.reduceat(u >> np.repeat(e, count), starts) + count * (e + 1)
+            rice = width + (rows >> e[:, None]).sum(axis=1) + count * (e + 1)
             zero = np.where(e <= 2, width + total + count, np.iinfo(np.int64).max)
             escape = width + 5 + count * span
             least = np.minimum(np.minimum(escape, zero), rice)
             bits = 6 + int(least.sum())
             if best is None or bits < best[0]:
-                best = bits, p, m, escape == least, np.where(escape == least, span, np.where(zero == least, 0, e)), starts, ends
-    bits, p, m, escapes, values, starts, ends = best
+                best = bits, p, m, escape == least, np.where(escape == least, span, np.where(zero == least, 0, e))
+    bits, p, m, escapes, values = best
+    size = n >> p
     kinds = ["escape" if x else "rice" for x in escapes.tolist()]
-    return Residual(bits, p, m, list(zip(kinds, values.tolist(), starts.tolist(), ends.tolist(), strict=True)), r)
+    return Residual(bits, p, m, [(kind, v, max(0, k * size - order), (k + 1) * size - order) for k, (kind, v) in enumerate(zip(kinds, values.tolist(), strict=True))], r)
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:

@@ -153,30 +153,20 @@ def half_away(x: np.ndarray) -> np.ndarray:
 
 def quantise(coefficients: np.ndarray, precision: int = 15) -> tuple[int, np.ndarray] | None:
     """(shift, integers): the shift of 15 to 0 with the least squared error that fits precision; the larger one wins ties."""
-    best = None
-    for shift in range(15, -1, -1):
-        scaled = half_away(coefficients * (1 << shift))
-        if np.abs(scaled).max(initial=0) > (1 << (precision - 1)) - 1:
-            continue
-        error = 0.0
-        for c, s in zip(coefficients, scaled, strict=True):
-            error += (c - s / (1 << shift)) ** 2
-        if best is None or error < best[0]:
-            best = error, shift, scaled.astype(np.int64)
-    return None if best is None else (best[1], best[2])
+    shift, integers = quantise_many(np.asarray(coefficients, np.float64)[None], precision)
+    return None if shift[0] < 0 else (int(shift[0]), integers[0])
 
 
 def quantise_many(coefficients: np.ndarray, precision: int = 15) -> tuple[np.ndarray, np.ndarray]:
     """quantise() of many rows at once: shifts, -1 where none fits, and integers."""
-    best, shifts, found = np.full(len(coefficients), np.inf), np.full(len(coefficients), -1), np.zeros(coefficients.shape, np.int64)
-    for shift in range(15, -1, -1):
-        scaled = half_away(coefficients * (1 << shift))
-        error = np.zeros(len(coefficients))
-        for c, s in zip(coefficients.T, scaled.T, strict=True):
-            error = error + (c - s / (1 << shift)) ** 2
-        better = (np.abs(scaled).max(axis=1, initial=0) <= (1 << (precision - 1)) - 1) & ((shifts < 0) | (error < best))
-        best[better], shifts[better], found[better] = error[better], shift, scaled[better].astype(np.int64)
-    return shifts, found
+    shifts = np.arange(15, -1, -1)
+    scale = (1 << shifts).astype(np.float64)[None, :, None]
+    scaled = half_away(coefficients[:, None, :] * scale)  # a row, a shift, a coefficient
+    errors = np.add.accumulate((coefficients[:, None, :] - scaled / scale) ** 2, axis=2)[:, :, -1] if coefficients.shape[1] else np.zeros(scaled.shape[:2])
+    errors = np.where(np.abs(scaled).max(axis=2, initial=0) <= (1 << (precision - 1)) - 1, errors, np.inf)
+    best = errors.argmin(axis=1)  # the first of equals, so the largest shift
+    rows = np.arange(len(coefficients))
+    return np.where(np.isfinite(errors[rows, best]), shifts[best], -1), scaled[rows, best].astype(np.int64)
 
 
 def quantised(coefficients: DataFrame, keys: list[str], value: str = "c", precision: int = 15) -> DataFrame:
