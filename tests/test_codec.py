@@ -164,3 +164,54 @@ def test_malformed_metadata():
     assert [t[0] for t in flac.parse_cuesheet(sheet)] == [1, 2, 255]
     with pytest.raises(ContainerError):
         flac.parse_cuesheet(sheet[:-1])
+
+
+def test_bytes_in_pieces():
+    """What the scanner gives is the file's frames, whatever the pieces; a stream that ends early or goes on is found."""
+    from wavegrid.sources import flac
+
+    r = np.random.default_rng(6)
+    x = np.cumsum(r.integers(-50, 51, (9000, 2)), axis=0)
+    for sizes in (None, [500, 700] * 7 + [600]):
+        data = flac.encode(x, containers.checked(Spec(44100, 2, 16, total=9000)), 3, sizes=sizes, block_size=None if sizes else 1000)
+        s = flac.parse(lambda at, n: data[at : at + n])
+        index = [a for a, _, _ in fr.boundaries(data, s.start, 44100, 16, 9000)]
+        want = [data[a:b] for a, b in zip(index, [*index[1:], len(data)], strict=True)]
+        for piece in (7, 100, 4096, len(data)):
+            scanner = fr.Scanner(44100, 16, 9000)
+            found = [f for at in range(s.start, len(data), piece) for f in scanner.push(data[at : at + piece])] + scanner.finish()
+            assert [b for _, b in found] == want and sum(h.size for h, _ in found) == 9000 and scanner.finish() == []
+            with pytest.raises(ValueError):
+                scanner.push(b"x")
+        early = fr.Scanner(44100, 16, 9000)
+        early.push(data[s.start : -40])
+        with pytest.raises(ValueError):
+            early.finish()
+
+
+def test_known_headers():
+    x = ramp(50, 2)
+    s, head, tail = containers.written(Spec(44100, 2, 16, total=50), "wave")
+    data = head + containers.pack(x, s) + tail
+    d = containers.described(len(data), "wave", 44100, 2, 16, len(head), 50)
+    assert (containers.unpack(data[d.data_offset : d.data_offset + d.total * d.frame_bytes], d) == x).all()
+    for bad in (("aiff", 44100, 2, 16, len(head), 50), ("wave", 44100, 2, 8, len(head), 50), ("wave", 44100, 2, 16, len(head), 51 + len(tail)), ("mp3", 44100, 2, 16, 0, 1), ("wave", 0, 2, 16, 0, 1)):
+        with pytest.raises(containers.ContainerError):
+            containers.described(len(data), *bad)
+
+
+def test_options_in_order():
+    from wavegrid.operators.framing import Options
+
+    o = Options().with_schedule([16, 32])
+    assert o.with_level(0) == Options(0, 576, (16, 32)) and o.with_block_size(100) == Options(8, 100, None)
+    assert Options().with_block_size(100).with_level(2).block_size == 1152 and o.block_size == 4096
+    with pytest.raises(ValueError):
+        o.with_level(9)
+
+
+def test_display_width():
+    from wavegrid.functions.text import cut_to, width_of
+
+    assert width_of("a漢é\u0301") == 4 and cut_to("abcdef", 4) == "abc…" and cut_to("漢字漢字", 4) == "漢…" and cut_to("漢字", 4) == "漢字"
+    assert cut_to("abc", 1) == "…" and cut_to("abc", 0) == "" and cut_to("", 0) == ""

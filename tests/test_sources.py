@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from wavegrid import cli
@@ -131,6 +132,33 @@ def test_command_line_of_raw_files(spark, tmp_path):
     assert "family aiff" in wrong.error
 
 
+def test_a_known_header_is_not_read(spark, tmp_path):
+    datasource.register(spark)
+    s, head, tail = containers.written(Spec(44100, 2, 16, total=300), "wave")
+    (tmp_path / "x.wav").write_bytes(bytes(len(head)) + containers.pack(ramp(300, 2), s) + tail)  # no header at all
+    df = spark.read.format("pcm").options(path=f"{tmp_path}/x.wav", family="wave", dataOffset=len(head), total=300, rate=44100, channels=2, bits=16, blockSize=64).load()
+    assert samples(df)["x", 1] == ramp(300, 2)[:, 1].tolist()
+
+
+def test_trace_and_heartbeat(spark, folder):
+    beats = []
+    with progress.Heartbeat(spark, lambda *b: beats.append(b), 0.05):
+        done = cli.run(spark, ["encode", f"{folder}/in", "-o", f"{folder}/out", "--depth", "0"]).persist()
+        assert done.count() == 4
+    assert beats and beats[-1][0] >= 4 and beats[-1][2] >= beats[0][2]
+    cli.write_trace(done, "encode", f"{folder}/trace")
+    lines = [dict(f.split("=", 1) for f in line.split("\t")) for line in (folder / "trace").read_text().splitlines()]
+    assert [x["event"] for x in lines].count("file_finish") == 4 and len(lines) == 8 and lines[0]["event"] == "file_begin" and lines[0]["kind"] == "encode" and lines[0]["batch_mode"] == "1"
+    assert all(float(x["command_elapsed_seconds"]) >= float(x["elapsed_seconds"]) >= 0 for x in lines)
+
+
+def test_shown_text(spark):
+    from wavegrid.functions.text import display_shortened, display_width
+
+    df = spark.createDataFrame([("漢字漢字",), ("abcdef",), (None,)], "t string")
+    assert [tuple(r) for r in df.select(display_shortened(F.col("t"), 4), display_width(F.col("t"))).collect()] == [("漢…", 8), ("abc…", 6), (None, None)]
+
+
 def test_damaged_files(spark, folder):
     datasource.register(spark)
     (folder / "in/bad.wav").write_bytes(b"RIFF\0\0\0\0WAVEnothing")

@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavegrid.functions.columns import byte_speed, clock
+from wavegrid.operators import running
 from wavegrid.plans.convert import MODES, convert
 from wavegrid.sources.datasource import FLAC_SUFFIXES, PCM_SUFFIXES, listed
 
@@ -27,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-o", "--output", help="a file, or a folder if the input is one; by default beside the input")
         c.add_argument("--depth", type=int, default=1, help="levels of folders that are searched; 0: all")
         c.add_argument("--mode", choices=[*MODES], default="default")
+        c.add_argument("--trace", help="a file for a line of text about each file's beginning and end")
         if name != "decode":
             c.add_argument("--level", type=int, choices=range(9), default=8)
         if name == "encode":
@@ -80,16 +82,28 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("wavegrid").getOrCreate()
+    argv = argv if argv is not None else sys.argv[1:]
     try:
-        done = run(spark, argv if argv is not None else sys.argv[1:]).cache()
+        done = run(spark, argv).cache()
     except (ValueError, FileNotFoundError) as e:
         print(e, file=sys.stderr)
         return 2
     for r in done.orderBy("input").toLocalIterator():
         print(f"{r.input}: {r.error}" if r.error else f"{r.input} -> {r.output}: {r.samples} samples, {r.input_bytes} -> {r.output_bytes} bytes")
+    a = parser().parse_args(argv)
+    if a.trace:
+        write_trace(done, a.command, a.trace)
     return int(done.where("error is not null").limit(1).count() > 0)
 
 
+def write_trace(done: DataFrame, command: str, path: str) -> None:
+    """The lines of running.lifecycle() of convert()'s rows, in order."""
+    files = done.select(F.col("input").alias("file"), F.coalesce("input_bytes", F.lit(0).cast("bigint")).alias("input_bytes"), "started_ms", "ended_ms", "error")
+    with open(path, "w", encoding="utf-8") as out:
+        for r in running.lifecycle(files, command).orderBy("seq").toLocalIterator():
+            out.write(r.line + "\n")
+
+
 def described(rows: DataFrame, seconds: str, rate: str) -> DataFrame:
     """rows with elapsed time and speed as text."""
     return rows.withColumn("elapsed", clock(F.col(seconds))).withColumn("speed", byte_speed(F.col(rate)))

@@ -513,3 +513,41 @@ def entered(data: bytes, rate: int, depth: int, before: int) -> int | None:
         if following(data, place, h, rate, depth) is not None:
             return place
     return None
+
+
+class Scanner:
+    """Frames of a stream whose bytes come in pieces: push() gives those that are known to be whole, finish() the last one. What isn't whole is held."""
+
+    def __init__(self, rate: int, depth: int, total: int):
+        self.rate, self.depth, self.total = rate, depth, total
+        self.held, self.done, self.ended = b"", 0, False
+
+    def push(self, data: bytes) -> list[tuple[Header, bytes]]:
+        if self.ended and data:
+            raise ValueError("something follows the last frame")
+        self.held += data
+        out: list[tuple[Header, bytes]] = []
+        at = 0
+        while len(self.held) - at >= 16:
+            h = parse_header(self.held, at, self.rate, self.depth)
+            if self.done + h.size >= self.total:
+                break
+            end = following(self.held, at, h, self.rate, self.depth)
+            if end is None:
+                break
+            out.append((h, self.held[at:end]))
+            self.done += h.size
+            at = end
+        self.held = self.held[at:]
+        return out
+
+    def finish(self) -> list[tuple[Header, bytes]]:
+        """The last frame; raises if the stream isn't at its stated end."""
+        self.ended = True
+        if self.done == self.total and not self.held:
+            return []
+        h = parse_header(self.held, 0, self.rate, self.depth)
+        if self.done + h.size != self.total or B.crc16(self.held[:-2]) != int.from_bytes(self.held[-2:], "big"):
+            raise ValueError("the stream ends early")
+        last, self.held, self.done = (h, self.held), b"", self.total
+        return [last]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import replace
@@ -177,8 +178,8 @@ COMMANDS = {"encode": encode_bytes, "decode": decode_bytes, "recompress": recomp
 
 
 def convert(work: DataFrame, command: str, raw: dict | None = None, **options) -> DataFrame:
-    """work (input, output) as (input, output, input_bytes, output_bytes, samples, error): each file by a task of its own, written whole
-    and then moved into place. A file that can't be converted has an error; the others go on. raw: of files without a header, see containers.raw()."""
+    """work (input, output) as (input, output, input_bytes, output_bytes, samples, error, started_ms, ended_ms): each file by a task of its own, written
+    whole and then moved into place. A file that can't be converted has an error; the others go on. raw: of files without a header, see containers.raw()."""
     from wavegrid.sources.datasource import located
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +188,8 @@ def convert(work: DataFrame, command: str, raw: dict | None = None, **options) -
             for source, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 where, path = located(source)
                 to, out = located(target)
+                began = int(time.time() * 1000)
+                now = lambda: int(time.time() * 1000)
                 try:
                     if (where, path) == (to, out):
                         raise containers.ContainerError("input and output are the same file")
@@ -195,13 +198,14 @@ def convert(work: DataFrame, command: str, raw: dict | None = None, **options) -
                     done = COMMANDS[command](data, **options, **(reader_of(path, raw) if command == "encode" else {}))
                     samples = flac.parse(lambda at, n, d=(data if command == "decode" else done): d[at : at + n]).info.total
                     put(to, out, done)
-                    rows.append((source, target, len(data), len(done), samples, None))
+                    rows.append((source, target, len(data), len(done), samples, None, began, now()))
                 except (ValueError, OSError) as e:
-                    rows.append((source, target, None, None, None, str(e)))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["input", "output", "input_bytes", "output_bytes", "samples", "error"])
+                    rows.append((source, target, None, None, None, str(e), began, now()))
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            names = ["input", "output", "input_bytes", "output_bytes", "samples", "error", "started_ms", "ended_ms"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return work.select("input", "output").mapInArrow(run, "input string, output string, input_bytes long, output_bytes long, samples long, error string")
+    return work.select("input", "output").mapInArrow(run, "input string, output string, input_bytes long, output_bytes long, samples long, error string, started_ms long, ended_ms long")
 
 
 # ---- queries

@@ -251,6 +251,22 @@ def raw(size: int, rate: int, channels: int, valid_bits: int, container_bits: in
     return _with_data(s, 0, size, size, "raw", [])
 
 
+#: What may be said of a known header's samples: the layouts of each family.
+LAYOUTS = {"wave": ("unsigned8", "le"), "rf64": ("unsigned8", "le"), "wave64": ("unsigned8", "le"), "aiff": ("be",), "aifc": ("be", "le"), "caf": ("be", "le"), "raw": ("be", "le")}
+
+
+def described(size: int, family: str, rate: int, channels: int, valid_bits: int, data_offset: int, total: int, container_bits: int = 0, layout: str = "le", mask: int = 0) -> Spec:
+    """The spec of a file whose header is known already and isn't read: what it says is checked against the file's size, and the layout against the family's."""
+    if layout not in LAYOUTS.get(family, ()):
+        raise ContainerError(f"samples of the family {family} aren't {layout}")
+    s = checked(Spec(rate, channels, valid_bits, container_bits, mask, layout=layout, family=family))
+    if (layout == "unsigned8") != (s.container_bits == 8 and family in ("wave", "rf64", "wave64")):
+        raise ContainerError("8-bit samples of the WAVE families are unsigned, and no others")
+    if data_offset < 0 or total < 0 or data_offset + total * s.frame_bytes > size:
+        raise ContainerError("the samples' size doesn't fit the file")
+    return checked(replace(s, total=total, data_offset=data_offset))
+
+
 # ---- writing: what stands before and after the packed samples
 
 

@@ -80,6 +80,8 @@ class _PcmReader(_Reader):
         o = self.options
         if o.get("family", "auto") == "raw":
             return containers.raw(size, int(o["rate"]), int(o["channels"]), int(o["bits"]), int(o.get("containerbits", 0)), o.get("layout", "le"), int(o.get("mask", "0"), 0))
+        if "dataoffset" in o:
+            return containers.described(size, o["family"], int(o["rate"]), int(o["channels"]), int(o["bits"]), int(o["dataoffset"]), int(o["total"]), int(o.get("containerbits", 0)), o.get("layout", "le"), int(o.get("mask", "0"), 0))
         return containers.parse(ranged(uri), size)
 
     def partitions(self):
@@ -268,7 +270,8 @@ class _Writer(DataSourceArrowWriter):
 
 
 class PcmSource(DataSource):
-    """Options: path, family (auto or raw), blockSize, framesPerTask, depth, mode; rate, channels, bits, containerBits, layout and mask of raw files. Writing: path, container, base."""
+    """Options: path, family (auto or raw), blockSize, framesPerTask, depth, mode; rate, channels, bits, containerBits, layout and mask of raw files, and
+    with dataOffset, total and another family of files whose header is known and isn't read. Writing: path, container, base."""
 
     @classmethod
     def name(cls):

@@ -6,6 +6,7 @@ The event-time parts are an extension; the batch operators know no event time.
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -55,6 +56,43 @@ class Progress(StreamingQueryListener):
         pass
 
 
+class Heartbeat:
+    """Calls beat(files done, files running, seconds) each interval while a job of files runs, from Spark's own counts of tasks, and once at the end. A task is a file.
+
+    with Heartbeat(spark, print): convert(...).collect()
+    """
+
+    def __init__(self, spark, beat: Callable[[int, int, float], None], interval: float = 0.25):
+        self.context, self.beat, self.interval = spark.sparkContext, beat, interval
+        self.group, self.ended = f"wavegrid-{id(self)}", threading.Event()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+
+    def _counts(self) -> tuple[int, int]:
+        tracker, done, live = self.context.statusTracker(), 0, 0
+        for job in tracker.getJobIdsForGroup(self.group):
+            info = tracker.getJobInfo(job)
+            for stage in info.stageIds if info else []:
+                s = tracker.getStageInfo(stage)
+                done, live = done + (s.numCompletedTasks if s else 0), live + (s.numActiveTasks if s else 0)
+        return done, live
+
+    def _run(self) -> None:
+        while not self.ended.wait(self.interval):
+            self.beat(*self._counts(), time.monotonic() - self.began)
+
+    def __enter__(self) -> Heartbeat:
+        self.began = time.monotonic()
+        self.context.setJobGroup(self.group, "files")
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.ended.set()
+        self.thread.join()
+        self.beat(*self._counts(), time.monotonic() - self.began)
+        self.context.setLocalProperty("spark.jobGroup.id", None)
+
+
 class _Ordered(StatefulProcessor):
     """Holds frames until all before them have come."""
 
