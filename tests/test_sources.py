@@ -159,6 +159,20 @@ def test_shown_text(spark):
     assert [tuple(r) for r in df.select(display_shortened(F.col("t"), 4), display_width(F.col("t"))).collect()] == [("漢…", 8), ("abc…", 6), (None, None)]
 
 
+def test_one_stream_is_encoded_by_many_tasks(spark, folder):
+    """The same bytes as when one task encodes the file."""
+    from wavegrid.plans import convert
+
+    blocks = convert.framed_planes(spark, f"{folder}/in", 576, framesPerTask=2).persist()
+    frames, heads = convert.encode_streams(blocks, 1)
+    assert frames.rdd.getNumPartitions() > 1
+    done = convert.write_streams(frames, heads, f"{folder}/many").collect()
+    assert sorted(os.listdir(folder / "many")) == ["a.flac", "b.flac", "c.flac", "d.flac"] and len(done) == 4
+    for r in done:
+        with open(r.stream.removeprefix("file:"), "rb") as f:
+            assert (folder / "many" / os.path.basename(r.output)).read_bytes() == convert.encode_bytes(f.read(), 1)
+
+
 def test_damaged_files(spark, folder):
     datasource.register(spark)
     (folder / "in/bad.wav").write_bytes(b"RIFF\0\0\0\0WAVEnothing")

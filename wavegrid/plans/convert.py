@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavegrid import adapters as A
 from wavegrid.functions import frames as fr
+from wavegrid.functions.columns import big
 from wavegrid.operators.planning import EXTENSIONS
 from wavegrid.plans.queries import query
 from wavegrid.sources import containers, flac
@@ -30,25 +31,39 @@ def encoded_frames(blocks: DataFrame, level: int = 8, by_sample: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            planes = batch.column(5)
+            outer, inner, flat = planes.offsets.to_numpy(), planes.values.offsets.to_numpy(), planes.values.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            frame, offset, rate, bits = (batch.column(i).to_pylist() for i in range(1, 5))
             rows = []
-            for r in batch.to_pylist():
-                data, forms = fr.encode(np.array(r["planes"], np.int64), r["bits"], r["rate"], profile, r["sample_offset"] if by_sample else r["frame"], by_sample)
-                rows.append((r["stream"], r["frame"], len(r["planes"][0]), ",".join(f"{f.kind}{f.order}" for f in forms), data))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["stream", "frame", "samples", "kinds", "data"])
+            for k in range(batch.num_rows):
+                at = inner[outer[k] : outer[k + 1] + 1]
+                if len({*np.diff(at).tolist()}) != 1:
+                    raise containers.ContainerError("planes of a frame have different lengths")
+                x = flat[at[0] : at[-1]].reshape(len(at) - 1, -1)
+                data, forms = fr.encode(x, bits[k], rate[k], profile, offset[k] if by_sample else frame[k], by_sample)
+                rows.append((x.shape[1], ",".join(f"{f.kind}{f.order}" for f in forms), data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.binary())))], ["stream", "frame", "samples", "kinds", "data"])
 
-    return blocks.select("stream", "frame", "sample_offset", "rate", "bits", "planes").mapInArrow(run, "stream string, frame long, samples long, kinds string, data binary")
+    rows = blocks.select("stream", big("frame").alias("frame"), "sample_offset", "rate", "bits", F.col("planes").cast("array<array<bigint>>").alias("planes"))
+    return rows.mapInArrow(run, "stream string, frame long, samples long, kinds string, data binary")
 
 
 def decoded_frames(frames: DataFrame, rate: int, bits: int) -> DataFrame:
-    """(stream, frame, data) as (stream, frame, channel, values). A damaged frame raises."""
+    """(stream, frame, data) as (stream, frame, channel, values). A damaged frame raises. The frames of a batch are decoded side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for stream, frame, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, planes = fr.decode(data, 0, len(data), rate, bits)
-                rows += [(stream, frame, c, p.tolist()) for c, p in enumerate(planes)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["stream", "frame", "channel", "values"])
+            if not batch.num_rows:
+                continue
+            data = batch.column(2)
+            ends = np.cumsum([len(d.as_buffer()) for d in data]).tolist()
+            found = [planes for _, planes in fr.decode_many(b"".join(data.to_pylist()), list(zip([0, *ends[:-1]], ends, strict=True)), rate, bits)]
+            counts = [len(p) for p in found]
+            which = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            lengths = np.repeat([p.shape[1] for p in found], counts)
+            values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.concatenate([p.reshape(-1) for p in found])))
+            channel = pa.array(np.concatenate([np.arange(c) for c in counts]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), channel, values], ["stream", "frame", "channel", "values"])
 
     return frames.select("stream", "frame", "data").mapInArrow(run, "stream string, frame long, channel long, values array<long>")
 
@@ -208,6 +223,95 @@ def convert(work: DataFrame, command: str, raw: dict | None = None, **options) -
     return work.select("input", "output").mapInArrow(run, "input string, output string, input_bytes long, output_bytes long, samples long, error string, started_ms long, ended_ms long")
 
 
+def framed_planes(spark: SparkSession, path: str, block_size: int, **options) -> DataFrame:
+    """(stream, frame, sample_offset, rate, bits, mask, total, planes) of PCM files, by tasks of ranges of frames. options: of the data source."""
+    from wavegrid.sources import datasource
+
+    datasource.register(spark)
+    rows = spark.read.format("pcm").options(path=path, blockSize=block_size, **options).load()
+    planes = F.transform(F.sort_array(F.collect_list(F.struct("channel", F.col("values").cast("array<bigint>").alias("values")))), lambda s: s["values"]).alias("planes")
+    return rows.groupBy(F.col("path").alias("stream"), "frame", "sample_offset", "rate", "bits", "mask", "total").agg(planes)
+
+
+def encode_streams(blocks: DataFrame, level: int = 8) -> tuple[DataFrame, DataFrame]:
+    """blocks of framed_planes(), persisted, as frames (stream, frame, samples, kinds, data), persisted, and a row a stream: stream and head, the bytes before its frames.
+
+    Frames of one stream are encoded by many tasks. Only its digest and its seek points are taken in order.
+    """
+    from wavegrid.operators import digest
+
+    frames = encoded_frames(blocks, level).persist()
+    interleaved = F.flatten(F.transform(F.sequence(F.lit(1), F.size(F.element_at("planes", 1))), lambda j: F.transform("planes", lambda p: F.element_at(p, j))))
+    one = F.when(F.size("planes") == 1, F.element_at("planes", 1)).otherwise(interleaved)
+    widths = [r.bits for r in blocks.select("bits").distinct().collect()]  # of 4 to 32
+    sums = None
+    for bits in widths:
+        part = digest.stream_md5(blocks.where(F.col("bits") == bits).select("stream", "frame", one.alias("xs")), ["stream"], bits).select("stream", "md5")
+        sums = part if sums is None else sums.unionByName(part)
+    specs = blocks.groupBy("stream").agg(F.first("rate").alias("rate"), F.first("bits").alias("bits"), F.first("mask").alias("mask"), F.first("total").alias("total"), F.first(F.size("planes")).alias("channels"))
+    listed = frames.groupBy("stream").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "samples", F.octet_length("data").alias("size")))), lambda s: F.struct(s["samples"].alias("samples"), s["size"].alias("size"))).alias("frames"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for r in batch.to_pylist():
+                sizes, lengths = [f["samples"] for f in r["frames"]], [f["size"] for f in r["frames"]]
+                spec = containers.checked(containers.Spec(r["rate"], r["channels"], r["bits"], mask=r["mask"], total=r["total"]))
+                if sum(sizes) != r["total"]:
+                    raise containers.ContainerError(f"{r['stream']} has {sum(sizes)} samples where {r['total']} are stated")
+                chosen, points, at, done = set(flac.selected(len(sizes))), [], 0, 0
+                for k, (n, size) in enumerate(zip(sizes, lengths, strict=True)):
+                    if k in chosen:
+                        points.append((done, at, n))
+                    at, done = at + size, done + n
+                table = [(3, flac.seektable_bytes(points))] if points else []
+                heads.append(flac.header(flac.stream_info(spec, sizes, lengths, bytes.fromhex(r["md5"]), True), [*table, *metadata_blocks(spec)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], ["stream", "head"])
+
+    rows = specs.join(sums, "stream").join(listed, "stream").select("stream", "rate", "bits", "mask", "total", "channels", "md5", "frames")
+    return frames, rows.mapInArrow(run, "stream string, head binary")
+
+
+def write_streams(frames: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
+    """Files of encode_streams(): (stream, output, bytes). A task writes a file's bytes as they come, in order, under a name of its own that is then changed."""
+    from wavegrid.sources.datasource import located
+
+    rows = frames.select("stream", "frame", "data").unionByName(heads.select("stream", F.lit(-1).cast("bigint").alias("frame"), F.col("head").alias("data")))
+    rows = rows.repartition("stream").sortWithinPartitions("stream", "frame")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = located(folder)
+        where.create_dir(root, recursive=True)
+        now, out, hidden, size = None, None, "", 0
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            name = now.rpartition("/")[2]
+            target = f"{root}/{name.rpartition('.')[0] or name}.flac"
+            where.move(hidden, target)
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([target]), pa.array([size], pa.int64())], ["stream", "output", "bytes"])
+
+        try:
+            for batch in batches:
+                for stream, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    if stream != now:
+                        if now is not None:
+                            yield done()
+                        now, size, hidden = stream, 0, f"{root}/.{uuid.uuid4().hex}.tmp"
+                        out = where.open_output_stream(hidden, compression=None)
+                    out.write(data)
+                    size += len(data)
+            if now is not None:
+                yield done()
+        except BaseException:
+            if out is not None and not out.closed:
+                out.close()
+                where.delete_file(hidden)
+            raise
+
+    return rows.mapInArrow(run, "stream string, output string, bytes long")
+
+
 # ---- queries
 
 
