@@ -8,14 +8,24 @@ from wavegrid.llm import bpe, decontaminate, quality, simhash, substring_dedup
 from wavegrid.llm.common import stored
 
 
+#: The columns that stages use; others are set aside, as an operator replaces columns that are named like its results.
+OWN = ("doc_id", "text", "lang", "n_chars")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with names for its other columns that no operator uses."""
+    return docs.toDF(*[c if c in OWN else f"aside_{k}" for k, c in enumerate(docs.columns)])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
-    return quality.classify(docs, quality.trusted_labels(spark, sf_dir)).where("accepted").select(docs.columns)
+    rows = _aside(docs)
+    return quality.classify(rows, quality.trusted_labels(spark, sf_dir)).where("accepted").select(rows.columns).toDF(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(_aside(docs)).toDF(*docs.columns)
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,17 +34,19 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of 13-word windows that an earlier document has; a document may keep none."""
-    return _with_text(substring_dedup.dedup_substrings(docs), docs.columns)
+    rows = _aside(docs)
+    return _with_text(substring_dedup.dedup_substrings(rows), rows.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the benchmark's windows."""
-    return _with_text(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_clean_text=True), docs.columns)
+    rows = _aside(docs)
+    return _with_text(decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_clean_text=True), rows.columns).toDF(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and what they decode to."""
-    return bpe.decode(bpe.encode(docs)).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return bpe.decode(bpe.encode(docs.select("doc_id", "text", "lang", "source"))).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
