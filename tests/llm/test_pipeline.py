@@ -57,3 +57,38 @@ def test_stages_and_run(spark, folder):
         assert list(r.ids) == ids and r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
     again = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, folder).collect()}
     assert again == {k: list(r.ids) for k, r in b.items()}
+
+
+def _folder(spark, path, rows, schema=SCHEMA):
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, prose(5000, 14))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_empty_table(spark, tmp_path):
+    path = _folder(spark, tmp_path, [])
+    out = corpus_pipeline.run(spark, path)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"] and out.count() == 0
+
+
+def test_null_ids_repeated_rows_and_more_columns(spark, tmp_path):
+    """Rows with a null id pass all stages; rows that repeat an id that stays do too; columns of any name stay until the last stage."""
+    rows = [(k, prose(k, 60), "en", "s", 1, "kept", k, 1.5) for k in range(40)]
+    rows += [(None, prose(3, 60), "en", "s", 1, "null", -1, None), (None, None, None, None, None, None, None, None), (5, prose(5, 60), "en", "s", 1, "again", 5, 0.0)]
+    schema = f"{SCHEMA}, wg_words string, ids long, perplexity double"
+    path = _folder(spark, tmp_path, rows, schema)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        docs.write.parquet(f"{path}/out/{name}")
+        docs = spark.read.parquet(f"{path}/out/{name}")
+        assert [c.lower() for c in docs.columns] == [c for c in ("doc_id", "text", "lang", "source", "n_chars", "wg_words", "ids", "perplexity")]
+    kept = docs.collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted([*(str(k) for k in range(40)), "5", "None", "None"])
+    assert {r.wg_words for r in kept} == {"kept", "null", "again", None} and {r.ids for r in kept if r.wg_words == "kept"} == set(range(40))
+    assert {(r.wg_words, r.perplexity) for r in kept} == {("kept", 1.5), ("again", 0.0), ("null", None), (None, None)}
+    (null,) = [r for r in kept if r.wg_words == "null"]
+    assert null.text == prose(3, 60)  # is no copy of a document, and none is its copy
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
+    assert len(last) == len(kept) and [r for r in last if r.n_tokens != len(r.ids)] == []

@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from wavegrid.llm.warc import Reader, digest, page_record, read, write
+from wavegrid.llm.warc import Reader, digest, op3_warc, page_record, read, write
 
 PAGES = [(1, "http://a/é", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, ""), (4, "u", None), (5, "u", "Ωmega" * 9000), (6, "u", "one"), (7, "u", "WARC/1.1\r\n\r\n"), (7, "u", "WARC/1.1\r\n\r\n"), (None, "u", "one"), (None, "u", "alone")]
 SCHEMA = "page_id long, url string, html string"
@@ -50,3 +50,33 @@ def test_damage_is_found():
 
 def test_empty(spark, tmp_path):
     assert read(write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w")).count() == 0
+    assert read(write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/x"), with_payload=False).count() == 0
+
+
+def test_hot_payloads_long_ones_and_other_columns(spark, tmp_path):
+    """Copies by the hundred beside few, a payload of megabytes, and columns named like those that are used inside."""
+    hot = "<p>hot</p>" * 50
+    rows = [(k, f"http://h/{k}", hot if k % 3 else f"page {k // 6}") for k in range(1500)] + [(2000, "u", "long " * 700_000), (2001, "u", "long " * 700_000)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for name in ("sha1", "first", "salt", "page", "often", "payload_digest"):
+        pages = pages.withColumn(name, pages.url)
+    out = {r.page_id: r for r in read(write(pages, f"file://{tmp_path}/w"), with_payload=False).collect()}
+    top = {}
+    for p, _, h in rows:
+        top[h] = max(p, top.get(h, p))
+    assert len(out) == len(rows)
+    for p, _, h in rows:
+        r = out[p]
+        assert (r.record_type, r.refers_to, r.payload_bytes) == (("response", None, len(h)) if p == top[h] else ("revisit", top[h], len(h)))
+        assert r.payload_digest == digest(h.encode())
+
+
+def test_the_query(spark, tmp_path):
+    rows = [r for r in PAGES if r[0] not in (7, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    out = sorted(map(tuple, op3_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
+    top = {}
+    for p, _, h in rows:
+        top[h or ""] = max(p, top.get(h or "", p))
+    want = [(p, len((h or "").encode()), digest((h or "").encode()), "response" if top[h or ""] == p else "revisit", None if top[h or ""] == p else top[h or ""]) for p, _, h in rows]
+    assert out == sorted(want)
