@@ -97,6 +97,18 @@ def adaptive() -> str:
         FROM ad JOIN (SELECT *, lag(x, 1) OVER w AS y, lag(x, 2) OVER w AS z FROM fr WINDOW w AS (PARTITION BY user_id, frame ORDER BY j)) s ON ad.user_id = s.user_id AND ad.frame = s.frame WHERE j >= k)"""
 
 
+def checksums(name: str, poly: int, width: int) -> str:
+    """A column's checksum over the bytes bs, one after another, by the remainders of all bytes."""
+    remainders, top = [], 1 << (width - 1)
+    for b in range(256):
+        r = b << (width - 8)
+        for _ in range(8):
+            r = ((r << 1) ^ (poly if r & top else 0)) & ((1 << width) - 1)
+        remainders.append(r)
+    step = f"xor((a * 256) & {(1 << width) - 1}, {remainders}[xor(a // {1 << (width - 8)}, b) + 1])"
+    return f"{B(f'list_reduce(list_prepend(0, bs), lambda a, b: {step})')} AS {name}"
+
+
 def with_adaptive(depth: int) -> str:
     by = "user_id, lpc"
     own = "rs AS (SELECT user_id, false AS lpc, frame, n, j, k, r FROM (" + " UNION ALL ".join(difference(k, "user_id") for k in range(5)) + ") WHERE j >= k UNION ALL SELECT user_id, true, frame, n, j, k, r FROM lr)"
@@ -244,4 +256,5 @@ SQL: dict[str, str] = {
         WHEN NOT (family = 'wave' AND w OR family = 'aiff' AND a OR family = 'caf' AND c) OR (requested = 'wave' AND size > 4294967295) THEN NULL ELSE requested END AS container FROM f""",
     "q_lpc_candidates": f"WITH {FR}, {adaptive()} SELECT user_id, frame, k, shift, CASE WHEN k = 1 THEN CAST(c1 AS VARCHAR) ELSE c1 || ',' || c2 END AS coefficients, {B('sum(abs(r))')} AS magnitude FROM lr GROUP BY ALL",
     "q_subframe_lpc": f"WITH {FR}, {with_adaptive(17)} SELECT * FROM sf",
+    "q_crc": f"WITH h AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS t FROM pages), b AS (SELECT page_id, list_transform(range(0, length(t) // 2), lambda i: CAST('0x' || substr(t, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS bs FROM h) SELECT page_id, {checksums('crc8', 0x07, 8)}, {checksums('crc16', 0x8005, 16)} FROM b",
 }
