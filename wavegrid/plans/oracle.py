@@ -257,4 +257,5 @@ SQL: dict[str, str] = {
     "q_lpc_candidates": f"WITH {FR}, {adaptive()} SELECT user_id, frame, k, shift, CASE WHEN k = 1 THEN CAST(c1 AS VARCHAR) ELSE c1 || ',' || c2 END AS coefficients, {B('sum(abs(r))')} AS magnitude FROM lr GROUP BY ALL",
     "q_subframe_lpc": f"WITH {FR}, {with_adaptive(17)} SELECT * FROM sf",
     "q_crc": f"WITH h AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS t FROM pages), b AS (SELECT page_id, list_transform(range(0, length(t) // 2), lambda i: CAST('0x' || substr(t, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS bs FROM h) SELECT page_id, {checksums('crc8', 0x07, 8)}, {checksums('crc16', 0x8005, 16)} FROM b",
+    "q_text_payload": "SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 1) AND text <> '' THEN text WHEN turn % 4 = 3 THEN role END AS text FROM conversations",
 }

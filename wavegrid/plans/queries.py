@@ -529,6 +529,15 @@ def q_comment_split(spark, sf_dir):
     return c.select("conv_id", "turn", entry.alias("entry")).select("conv_id", "turn", key.alias("key"), value.alias("value"))
 
 
+@query
+def q_text_payload(spark, sf_dir):
+    """Payloads of text chunks: with a NUL and more after it, without one, and empty before it."""
+    c = A.table(spark, sf_dir, "conversations")
+    nul = F.decode(F.unhex(F.lit("00")), "UTF-8")
+    payload = F.when(F.col("turn") % 4 == 0, F.concat("text", nul, F.lit("more"))).when(F.col("turn") % 4 == 1, F.col("text")).when(F.col("turn") % 4 == 2, F.concat(nul, F.col("text"))).otherwise(F.concat("role", nul, nul))
+    return c.select("conv_id", "turn", metadata.text_payload(payload).alias("text"))
+
+
 @query
 def q_mask_text(spark, sf_dir):
     """Masks to text and back, with upper-case digits and blanks."""
