@@ -76,7 +76,7 @@ def test_all_characters_are_apart(spark):
     brute = Brute([t.replace(MARK, "\0") for t in texts])
     model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     asked = [*texts[:3], "😀" + chr(0x1F600 + 2048) + "x" + chr(0xFFFF), chr(0x20000) * 5, "", None]
-    out = quality.perplexity(spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "k int, text string"), model, block_bytes=100).collect()
+    out = quality.perplexity(spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "k int, text string"), model, block_size=100).collect()
     for row in out:
         want = brute.perplexity((row.text or "").replace(MARK, "\0"))
         assert row.perplexity == pytest.approx(want, rel=1e-9) if want else row.perplexity is None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
@@ -36,11 +37,14 @@ FOLD = _folding()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir, which driver and executors share; below a temporary folder if that is unset."""
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share. If that is unset, below a temporary folder where all is one
+    machine and one process; elsewhere each machine would have another such folder, so it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext._jsc.sc()
         if not context.getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wavegrid-"))
         base = context.getCheckpointDir().get()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -88,19 +92,6 @@ def trimmed(run, keeps: str | None = None):
     return task
 
 
-def trimmed_group(run):
-    """The same for a function of two groups."""
-
-    def task(left, right):
-        released()
-        try:
-            return run(left, right)
-        finally:
-            trim()
-
-    return task
-
-
 def trim() -> None:
     """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()

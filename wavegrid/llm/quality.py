@@ -4,9 +4,10 @@ Tasks count the n-grams of trusted documents and send each distinct one once; th
 Lower orders count in how many n-grams of the next order each is the end. Discounts follow from how often counts of 1 to 4
 occur; a context's totals and the next lower order's probabilities reach its n-grams by joins of those sharded counts.
 
-Documents are scored by joins too. They are cut into blocks; each block sends its distinct n-grams, and the distinct ones of all
-blocks meet the model's shards, order by order. What that gives is joined with each block's n-grams, and goes back to the block,
-whose documents add up their positions. No task needs more of the model than its block's n-grams, and none of it is broadcast.
+Documents are scored by joins too. They are cut into blocks, whose rows are kept in files; each block sends its distinct n-grams, and the distinct
+ones of all blocks meet the model's counts, order by order. What that gives is joined with the blocks' n-grams and goes back to the blocks,
+whose documents add up their positions. No task needs more of the model than its join's share or its block's n-grams. What is broadcast has a row
+for each character at most, of which there are 1,114,112.
 A document is accepted if its perplexity is at most its language's quantile among trusted documents that the model was not trained on.
 
 An n-gram is two numbers: the characters before the last, in 21 bits each, and the last.
@@ -14,14 +15,19 @@ An n-gram is two numbers: the characters before the last, in 21 bits each, and t
 
 from __future__ import annotations
 
+import contextlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from wavegrid.llm.common import chunks_of, fresh, limited, schema_with, small_batches, stored, trimmed, trimmed_group, utf8, without
+from wavegrid.llm import storage
+from wavegrid.llm.common import chunks_of, extended, fresh, limited, pack, schema_with, shared_dir, small_batches, stored, trimmed, unpack, utf8, without
 
 ORDER = 4
 #: What stands before a text: no character has this code.
@@ -67,12 +73,13 @@ class Grams:
         if len(known) > 1 << 16:
             middle = len(at) // 2
             return [*Grams._of(a, at[:middle]), *Grams._of(a, at[middle:])]
-        number = np.zeros(BEGIN + 1, np.uint64)
-        number[known] = np.arange(len(known), dtype=np.uint64)
+        number = np.zeros(BEGIN + 1, np.uint16)
+        number[known] = np.arange(len(known), dtype=np.uint16)
         short = number[part]
         key = np.zeros(len(at), np.uint64)
         for j in range(ORDER - 1, -1, -1):
-            key = (key << np.uint64(16)) | short[at - (low + j)]
+            key <<= np.uint64(16)
+            key |= short[at - (low + j)]
         order = np.argsort(key)
         s = key[order]
         first = np.ones(len(s), bool)
@@ -171,71 +178,118 @@ def train(trusted: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def _shards(model: DataFrame, shard_bytes: int) -> tuple[int, int]:
-    """Into how many shards the n-grams and the model are dealt for their joins, such that each has about shard_bytes of the model; the model's rows."""
+    """Into how many shards the model is dealt for joins at least, such that each has about shard_bytes of it; the model's rows."""
     rows = model.count()
     return max(1, -(-rows * 24 // shard_bytes)), rows
 
 
-def log_probabilities(grams: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """grams (h, c, distinct) with p, the log probability of c after h: that of the longest end of the n-gram that the model knows, and the weights of the contexts it leaves."""
-    usual = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def log_probabilities(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """grams (h, c and others, distinct) with p, the log probability of c after h: that of the longest end of the n-gram that the model knows, and the weights of the contexts it leaves."""
     known = lambda kind, n: model.where(f"kind = {kind} and `order` = {n}")
-    dealt = lambda rows, *by: rows.repartition(shards, *by) if shards > usual else rows  # noqa: E731  else as many shards as Spark deals by itself
-    unseen = F.lit(-float(np.log(known(0, 1).count() + 1)))
-    df, p = grams, unseen
-    for n in range(1, ORDER + 1):
-        low = f"h{n}"
-        df = df.withColumn(low, _last_of(F.col("h"), n - 1))
-        if n == 1:  # the empty context has one row
-            only = known(1, 1).first()
-            df = df.withColumn("g1", F.lit(only.value if only else None).cast("double"))
-        else:
-            df = dealt(df, low).join(known(1, n).select(F.col("h").alias(low), F.col("value").alias(f"g{n}")), low, "left")
-        df = dealt(df, low, "c").join(known(0, n).select(F.col("h").alias(low), "c", F.col("value").alias(f"p{n}")), [low, "c"], "left")
-        p = F.coalesce(f"p{n}", F.col(f"g{n}") + p, p)
-    return df.select("h", "c", p.alias("p"))
+    names = grams.columns
+    only = known(1, 1).first()  # the empty context has one row
+    unseen = -float(np.log(known(0, 1).count() + 1))
+    # a row a character, so bounded
+    one = F.broadcast(known(0, 1).select("c", F.col("value").alias("seen")))
+    df = grams.join(one, "c", "left").select(*names, F.coalesce("seen", F.lit((only.value if only else 0.0) + unseen)).alias("p"))
+    for n in range(2, ORDER + 1):
+        weights, ends = known(1, n).select(F.col("h").alias("low"), F.col("value").alias("g")), known(0, n).select(F.col("h").alias("low"), "c", F.col("value").alias("seen"))
+        weights = F.broadcast(weights) if n == 2 else weights  # a row a character
+        df = df.withColumn("low", _last_of(F.col("h"), n - 1)).join(weights, "low", "left").join(ends, ["low", "c"], "left")
+        df = df.select(*names, F.coalesce("seen", F.col("g") + F.col("p"), "p").alias("p"))
+    return df
+
+
+class _Block:
+    """A block that is being written: its rows go to a file as they come, and of its texts only the n-grams are held."""
+
+    def __init__(self, path: str, number: int, schema: pa.Schema):
+        self.number, self.size, self.grams = number, 0, []
+        self.file = storage.creating(f"{path}/{number:016x}")
+        self.writer = pa.ipc.new_file(self.file.__enter__(), schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+
+    def add(self, table: pa.Table, text_col: str) -> None:
+        self.writer.write_table(table.combine_chunks())
+        g = Grams(utf8(table.column(text_col)))
+        self.grams.append((g.context, g.last, g.n))
+        self.size += int(g.counts.sum())
+
+    def done(self) -> pa.RecordBatch:
+        self.writer.close()
+        self.file.__exit__(None, None, None)
+        h, c, _, _ = merged(self.grams)
+        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([pack(h=np.diff(h, prepend=np.int64(0)), c=c)], pa.binary())], ["block", "payload"])
+
+
+def _blocks(path: str, text_col: str, block_size: int):
+    """Rows in; each block's rows are kept in a file, and its distinct n-grams go out, packed. Blocks have the same names when a task runs again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, block = TaskContext.get().partitionId() << 24, None
+        try:
+            for table in chunks_of(batches, text_col, 1 << 20):
+                block = block or _Block(path, number, table.schema)
+                block.add(table, text_col)
+                if block.size >= block_size:
+                    yield block.done()
+                    number, block = number + 1, None
+            if block:
+                yield block.done()
+        except BaseException:
+            if block:
+                with contextlib.suppress(BaseException):
+                    block.file.__exit__(*sys.exc_info())
+            raise
 
-def _blocks(text_col: str, block_bytes: int):
-    """Rows in; out of each block its rows (packed) and its distinct n-grams."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for k, table in enumerate(chunks_of(batches, text_col, block_bytes)):
-            grams = [Grams(utf8(some.column(text_col))) for some in chunks_of(table.to_batches(), text_col, 1 << 20)]
-            h, c, _, _ = merged([(g.context, g.last, g.n) for g in grams])
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            number = (part << 24) | k
-            for begin in range(0, max(1, len(h)), 50_000):
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row an n-gram of a block."""
+    for batch in batches:
+        for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            e = unpack(payload)
+            h, c = np.cumsum(e["h"], dtype=np.uint64).view(np.int64), e["c"].astype(np.int32)
+            for begin in range(0, len(h), 50_000):
                 few = slice(begin, begin + 50_000)
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x[few])], pa.int32()), pa.array(x[few])) for x in (h, c)]
-                body = pa.array([out.getvalue().to_pybytes() if begin == 0 else None], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), body, *lists], ["block", "body", "h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[few]), number)), pa.array(h[few]), pa.array(c[few])], ["block", "h", "c"])
 
-    return run
 
+def _scored(path: str, text_col: str, hidden: str):
+    """Blocks' n-grams with their log probabilities in, in order, after a row without an n-gram for each block; the blocks' rows with the sum over their positions out."""
+
+    def pieces(number: int) -> Iterator[pa.Table]:
+        with storage.seekable(f"{path}/{number:016x}") as f:
+            file = pa.ipc.open_file(f)
+            for i in range(file.num_record_batches):
+                yield pa.Table.from_batches([file.get_batch(i)])
 
-def _scored(text_col: str, schema: T.StructType):
-    """A block's packed rows, and its n-grams with their log probabilities, in; the rows with the sum over their positions out."""
-
-    def run(bodies: pa.Table, grams: pa.Table) -> pa.Table:
-        h, c, p = (grams.column(k).to_numpy() for k in ("h", "c", "p"))
-        order = np.lexsort((c, h))
-        h, c, p = h[order], c[order], p[order]
-        out = []
-        for body in bodies.column("body").to_pylist():
-            rows = pa.ipc.open_stream(body).read_all()
-            for some in chunks_of(rows.to_batches(), text_col, 1 << 20):
-                g = Grams(utf8(some.column(text_col)))
-                value, sums, any_ = p[_places(h, c, g.context, g.last)][g.place], np.zeros(len(g.counts)), g.counts > 0
-                if any_.any():  # a document's sum is the same, whatever stands beside it
-                    sums[any_] = np.add.reduceat(value, (np.cumsum(g.counts) - g.counts)[any_])
-                out.append(some.append_column(schema.names[-1], pa.array(sums)))
-        return pa.concat_tables(out)
+    def rows_of(number: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, c, p = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
+        for some in pieces(number):
+            g = Grams(utf8(some.column(text_col)))
+            value, sums, any_ = p[_places(h, c, g.context, g.last)][g.place], np.zeros(len(g.counts)), g.counts > 0
+            if any_.any():  # a document's sum is the same, whatever stands beside it
+                sums[any_] = np.add.reduceat(value, (np.cumsum(g.counts) - g.counts)[any_])
+            yield from extended(some, {hidden: pa.array(sums)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if block[i] != now:
+                    if now is not None:
+                        yield from rows_of(now, parts)
+                    now, parts = int(block[i]), []
+                some = batch.slice(i, j - i)
+                some = some.filter(pc.is_valid(some.column(1)))
+                parts.append(tuple(some.column(k).to_numpy() for k in (1, 2, 3)))
+        if now is not None:
+            yield from rows_of(now, parts)
 
     return run
 
@@ -246,21 +300,25 @@ def _places(h: np.ndarray, c: np.ndarray, context: np.ndarray, last: np.ndarray)
     return (np.cumsum(both < len(h)) - 1)[both >= len(h)]
 
 
-def perplexity(docs: DataFrame, model: DataFrame, *, text_col: str = "text", shard_bytes: int = 32 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def perplexity(docs: DataFrame, model: DataFrame, *, text_col: str = "text", shard_bytes: int = 32 << 20, block_size: int = 24 << 20) -> DataFrame:
     """docs with perplexity, per character of the whole text; null for null and empty texts. A column of that name is replaced.
 
-    shard_bytes: of the model that a join's task meets at once, about. block_bytes: of texts that are scored together; one text may have more.
+    shard_bytes: of the model that a join's task meets at once, about. block_size: characters of texts whose n-grams are sent together; one text may have more.
     """
     docs = without(docs, ["perplexity"])
-    hidden = fresh(docs.columns, "wg_log")
-    shards, _ = _shards(model, shard_bytes)
-    cut = stored(docs.mapInArrow(trimmed(_blocks(text_col, block_bytes)), "block long, body binary, h array<long>, c array<int>"), "scored-blocks")
-    pairs = cut.select("block", F.explode(F.arrays_zip("h", "c")).alias("x")).select("block", "x.h", "x.c")
-    known = stored(log_probabilities(pairs.select("h", "c").distinct(), model, shards), "ngrams")
-    grams = pairs.join(known, ["h", "c"])
-    schema = schema_with(docs, [T.StructField(hidden, T.DoubleType())])
-    bodies = cut.where("body is not null").select(F.col("block").alias("of"), "body")
-    df = bodies.groupBy("of").cogroup(grams.groupBy("block")).applyInArrow(trimmed_group(_scored(text_col, schema)), schema)
+    spark, hidden = docs.sparkSession, fresh(docs.columns, "wg_log")
+    path, usual = shared_dir(spark, "scored-blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(docs.mapInArrow(trimmed(_blocks(path, text_col, block_size)), "block long, payload binary"), "scored-grams")
+    grams = cut.mapInArrow(_unpacked, "block long, h long, c int")
+    distinct = grams.select("h", "c").distinct()
+    shards = _shards(model, shard_bytes)[0]
+    if shards > usual:  # else as many as Spark deals by itself
+        distinct = distinct.repartition(shards, "h", "c")
+    known = stored(log_probabilities(distinct, model), "ngrams")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("h", "long"), ("c", "int"), ("p", "double"))]
+    rows = grams.join(known, ["h", "c"]).select("block", "h", "c", "p").unionByName(cut.select("block", *none))
+    rows = rows.repartition(max(usual, cut.count()), "block").sortWithinPartitions("block", F.col("h").asc_nulls_first(), "c")
+    df = rows.mapInArrow(trimmed(_scored(path, text_col, hidden)), schema_with(docs, [T.StructField(hidden, T.DoubleType())]))
     length = F.length(f"`{text_col}`")
     return df.withColumn("perplexity", F.when(length > 0, F.exp(-F.col(hidden) / length))).drop(hidden)
 
