@@ -102,10 +102,18 @@ def trim() -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read again, so that later plans don't depend on executors that may be lost."""
+    """df, written as Parquet into the shared folder and read again, so that later plans don't depend on executors that may be lost. discarded() deletes it."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Deletes what stored() has written for these, which no plan that is still to run may read."""
+    for df in frames:
+        dropped(df, df._stored_at)
 
 
 def dropped(df: DataFrame, path: str) -> None:

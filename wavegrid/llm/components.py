@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from wavegrid.llm.common import stored
+from wavegrid.llm.common import discarded, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,7 +25,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): for each node of a link that isn't its component's least node, that node. Each round is written to the shared folder."""
+    """(node, root): for each node of a link that isn't its component's least node, that node. Each round is written to the shared folder, and the one before it deleted."""
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = stored(edges, "links")
     seen = None
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
-        edges = stored(small, "links")
+        before, edges = edges, stored(small, "links")
+        discarded(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from wavegrid.llm import storage
-from wavegrid.llm.common import chunks_of, extended, fresh, limited, pack, schema_with, shared_dir, small_batches, stored, trimmed, unpack, utf8, without
+from wavegrid.llm.common import chunks_of, discarded, extended, fresh, limited, pack, schema_with, shared_dir, small_batches, stored, trimmed, unpack, utf8, without
 
 ORDER = 4
 #: What stands before a text: no character has this code.
@@ -155,6 +155,7 @@ def train(trusted: DataFrame, *, text_col: str = "text") -> DataFrame:
         orders[n] = stored(orders[n + 1].select(_last_of(F.col("h"), n - 1).alias("h"), "c").groupBy("h", "c").agg(F.count("*").alias("n")), "ngrams")
     symbols = orders[1].count() + 1
     parts: list[DataFrame] = []
+    tables = list(orders.values())
     lower: DataFrame | None = None
     for n in range(1, ORDER + 1):
         d = _discounts(orders[n])
@@ -168,13 +169,16 @@ def train(trusted: DataFrame, *, text_col: str = "text") -> DataFrame:
         else:
             rows = rows.join(contexts, "h").withColumn("low", _last_of(F.col("h"), n - 2)).join(lower, ["low", "c"])
         lower = stored(rows.select("h", "c", ((F.col("n") - F.col("d")) / F.col("total") + F.col("g") * F.col("below")).alias("p")), "ngrams")
+        tables.append(lower)
         parts.append(lower.select(F.lit(0).alias("kind"), F.lit(n).alias("order"), "h", "c", F.log("p").alias("value")))
         parts.append(contexts.select(F.lit(1).alias("kind"), F.lit(n).alias("order"), "h", F.lit(0).alias("c"), F.log(F.greatest("g", F.lit(1e-300))).alias("value")))
         lower = lower.select(F.col("h").alias("low"), "c", F.col("p").alias("below"))
     model = parts[0]
     for p in parts[1:]:
         model = model.union(p)
-    return stored(model, "model")
+    model = stored(model, "model")
+    discarded(*tables)
+    return model
 
 
 def _shards(model: DataFrame, shard_bytes: int) -> tuple[int, int]:
