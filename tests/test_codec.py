@@ -215,3 +215,12 @@ def test_display_width():
 
     assert width_of("a漢é\u0301") == 4 and cut_to("abcdef", 4) == "abc…" and cut_to("漢字漢字", 4) == "漢…" and cut_to("漢字", 4) == "漢字"
     assert cut_to("abc", 1) == "…" and cut_to("abc", 0) == "" and cut_to("", 0) == ""
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(-(1 << 20), 1 << 20) | st.integers(-4, 4), min_size=1, max_size=130), st.integers(0, 4), st.integers(0, 6))
+def test_bounds_hold(values, order, most):
+    """No residual takes fewer bits than its bound."""
+    found = fr._Candidate.of(np.array(values, np.int64), order, most)
+    if found:
+        assert found.least() <= found.best().bits

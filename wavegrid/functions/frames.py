@@ -59,43 +59,80 @@ def unfolded(u: np.ndarray) -> np.ndarray:
     return (u >> 1) ^ -(u & 1)
 
 
+@dataclass
+class _Candidate:
+    """A residual, and what its partitions of the highest order sum up to."""
+
+    r: np.ndarray
+    order: int
+    n: int
+    highest: int
+    u: np.ndarray  # folded, with zeros for the warm-up
+    total: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    wide: int  # of the whole residual's estimate
+
+    @staticmethod
+    def of(r: np.ndarray, order: int, most: int) -> _Candidate | None:
+        n = len(r) + order
+        valid = [p for p in range(min(most, 8) + 1) if n % (1 << p) == 0 and n >> p > order]
+        if not valid or (len(r) and (r.min() < LEAST or r.max() > MOST)):
+            return None
+        u = np.zeros(n, np.int64)
+        u[order:] = folded(r)
+        filled = np.concatenate((np.full(order, r[0]), r)) if order else r
+        parts = 1 << valid[-1]
+        total = u.reshape(parts, -1).sum(axis=1)
+        return _Candidate(r, order, n, valid[-1], u, total, filled.reshape(parts, -1).min(axis=1), filled.reshape(parts, -1).max(axis=1), int(total.sum()) // max(1, len(r)))
+
+    def counts(self, p: int) -> np.ndarray:
+        count = np.full(1 << p, self.n >> p)
+        count[0] -= self.order
+        return count
+
+    def least(self) -> int:
+        """Bits that no encoding goes below. With parameter e a partition of count values and this sum takes count * e + (sum + count) / 2 ** e at least, which is
+        smallest at the first e with 2 ** (e + 1) >= mean + 1; coarser partitions have one parameter for several, and an escape takes the width of the widest value."""
+        count = self.counts(self.highest).astype(np.float64)
+        sums = self.total + count
+        e = np.maximum(np.ceil(np.log2(sums / count)) - 1, 0)
+        bits = np.minimum(count * e + sums / np.exp2(e), count * _span(self.low, self.high))
+        return 6 + METHODS[0][0] + int(np.floor(bits.sum() - 1e-3))
+
+    def best(self) -> Residual:
+        """The cheapest partition order, method and encoding of each partition; ties keep what is tried first."""
+        best, total, low, high = None, self.total, self.low, self.high
+        for p in dict.fromkeys((self.highest, max(self.highest - 1, 0), 0)):
+            total, low, high = (x.reshape(1 << p, -1) for x in (total, low, high))
+            total, low, high = total.sum(axis=1), low.min(axis=1), high.max(axis=1)
+            count, rows = self.counts(p), self.u.reshape(1 << p, -1)
+            log, span = np.maximum(_bit_length(total // count) - 1, 0), _span(low, high)
+            for m, (width, largest) in enumerate(METHODS):
+                if m and max(0, self.wide.bit_length() - 1) <= METHODS[0][1]:
+                    continue
+                e = np.minimum(log, largest)
+                rice = width + (rows >> e[:, None]).sum(axis=1) + count * (e + 1)
+                zero = np.where(e <= 2, width + total + count, np.iinfo(np.int64).max)
+                escape = width + 5 + count * span
+                least = np.minimum(np.minimum(escape, zero), rice)
+                bits = 6 + int(least.sum())
+                if best is None or bits < best[0]:
+                    best = bits, p, m, escape == least, np.where(escape == least, span, np.where(zero == least, 0, e))
+        bits, p, m, escapes, values = best
+        size = self.n >> p
+        kinds = ["escape" if x else "rice" for x in escapes.tolist()]
+        return Residual(bits, p, m, [(kind, v, max(0, k * size - self.order), (k + 1) * size - self.order) for k, (kind, v) in enumerate(zip(kinds, values.tolist(), strict=True))], self.r)
+
+
 def best_residual(r: np.ndarray, order: int, most: int) -> Residual | None:
-    """The cheapest partition order, method and encoding of each partition; ties keep what is tried first."""
-    n = len(r) + order
-    valid = [p for p in range(min(most, 8) + 1) if n % (1 << p) == 0 and n >> p > order]
-    if not valid or (len(r) and (r.min() < LEAST or r.max() > MOST)):
-        return None
-    u = np.zeros(n, np.int64)
-    u[order:] = folded(r)
-    wide = int(u.sum()) // max(1, len(r))
-    # a row a partition, of the highest order; the warm-up's places add nothing
-    filled = np.concatenate((np.full(order, r[0]), r)) if len(r) else u
-    parts = 1 << valid[-1]
-    total, low, high = (f(axis=1) for f in (u.reshape(parts, -1).sum, filled.reshape(parts, -1).min, filled.reshape(parts, -1).max))
-    best = None
-    for p in dict.fromkeys((valid[-1], max(valid[-1] - 1, 0), 0)):
-        total, low, high = (x.reshape(1 << p, -1) for x in (total, low, high))
-        total, low, high = total.sum(axis=1), low.min(axis=1), high.max(axis=1)
-        count = np.full(1 << p, n >> p)
-        count[0] -= order
-        log = np.maximum(_bit_length(total // count) - 1, 0)
-        span = np.where((low == 0) & (high == 0), 0, _bit_length(np.maximum(high, -low - 1)) + 1)
-        rows = u.reshape(1 << p, -1)
-        for m, (width, largest) in enumerate(METHODS):
-            if m and max(0, wide.bit_length() - 1) <= METHODS[0][1]:
-                continue
-            e = np.minimum(log, largest)
-            rice = width + (rows >> e[:, None]).sum(axis=1) + count * (e + 1)
-            zero = np.where(e <= 2, width + total + count, np.iinfo(np.int64).max)
-            escape = width + 5 + count * span
-            least = np.minimum(np.minimum(escape, zero), rice)
-            bits = 6 + int(least.sum())
-            if best is None or bits < best[0]:
-                best = bits, p, m, escape == least, np.where(escape == least, span, np.where(zero == least, 0, e))
-    bits, p, m, escapes, values = best
-    size = n >> p
-    kinds = ["escape" if x else "rice" for x in escapes.tolist()]
-    return Residual(bits, p, m, [(kind, v, max(0, k * size - order), (k + 1) * size - order) for k, (kind, v) in enumerate(zip(kinds, values.tolist(), strict=True))], r)
+    found = _Candidate.of(r, order, most)
+    return found.best() if found else None
+
+
+def _span(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Signed bits that hold all values between; 0 if all are 0."""
+    return np.where((low == 0) & (high == 0), 0, _bit_length(np.maximum(high, -low - 1)) + 1)
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -158,28 +195,41 @@ def lpc_orders(most: int) -> list[int]:
 
 
 def analyse(x: np.ndarray, depth: int, rate: int, profile: Profile) -> Subframe:
-    """The cheapest form of a block; ties keep constant, verbatim, fixed and adaptive, in this order."""
+    """The cheapest form of a block; ties keep constant, verbatim, fixed and adaptive, in this order.
+
+    What can't be cheaper than the best so far, by its least bits, isn't worked out; the most promising come first.
+    """
     n, best = len(x), None
     if (x == x[0]).all():
         best = Subframe("constant", HEADER_BITS + depth)
     if best is None or HEADER_BITS + n * depth < best.bits:
         best = Subframe("verbatim", HEADER_BITS + n * depth)
+    forms: list[tuple[_Candidate, Subframe]] = []
     r = x
     for k in range(min(profile.fixed_order, 4) + 1):
         if n < k:
             break
         r = np.diff(r) if k else x
-        if (found := best_residual(r, k, profile.partition_order)) and (bits := HEADER_BITS + k * depth + found.bits) < best.bits:
-            best = Subframe("fixed", bits, k, found)
+        if found := _Candidate.of(r, k, profile.partition_order):
+            forms.append((found, Subframe("fixed", HEADER_BITS + k * depth, k)))
     most = min(profile.lpc_order, 32, 12 if rate <= 48_000 else 32, n - 1)
     if most > 0:
         predictors = levinson(autocorrelation(x, most))
         for k in lpc_orders(most):
             if k > len(predictors) or not (q := quantise(predictors[k - 1], PRECISION)):
                 continue
-            found = best_residual(lpc_residual(x, q[1], q[0]), k, profile.partition_order)
-            if found and (bits := HEADER_BITS + k * depth + 9 + PRECISION * k + found.bits) < best.bits:
-                best = Subframe("lpc", bits, k, found, q[0], q[1])
+            if found := _Candidate.of(lpc_residual(x, q[1], q[0]), k, profile.partition_order):
+                forms.append((found, Subframe("lpc", HEADER_BITS + k * depth + 9 + PRECISION * k, k, None, q[0], q[1])))
+    least = [found.least() + form.bits for found, form in forms]
+    place = -1  # of the best so far among forms
+    for i in sorted(range(len(forms)), key=lambda i: (least[i], i)):
+        if least[i] > best.bits:
+            break
+        found, form = forms[i]
+        residual = found.best()
+        if (form.bits + residual.bits, i) < (best.bits, place):
+            form.bits, form.residual = form.bits + residual.bits, residual
+            best, place = form, i
     return best
 
 
