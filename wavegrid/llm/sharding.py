@@ -10,7 +10,6 @@ two writers one starts again from the other's version, and readers see whole ver
 from __future__ import annotations
 
 import heapq
-import json
 import uuid
 from collections.abc import Iterator
 from contextlib import ExitStack
@@ -34,6 +33,9 @@ class Shard:
     number: int  # grows with each shard that is added
 
 
+_MANIFEST = pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("rows", pa.int64()), ("number", pa.int64())])
+
+
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -78,7 +80,7 @@ class ShardStore:
         if not storage.exists(f"{self.path}/manifest"):
             return []
         where, folder = storage.located(f"{self.path}/manifest")
-        return sorted(int(f.base_name[1:-5]) for f in where.get_file_info(storage.fs.FileSelector(folder)) if f.base_name.startswith("v"))
+        return sorted(int(f.base_name[1:9]) for f in where.get_file_info(storage.fs.FileSelector(folder)) if f.base_name.startswith("v"))
 
     def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
         """A version (the last by default) and its shards; 0 and none if there is none."""
@@ -86,22 +88,20 @@ class ShardStore:
         if not found:
             return 0, []
         version = version or found[-1]
-        with storage.reading(f"{self.path}/manifest/v{version:08d}.json") as f:
-            return version, [Shard(**s) for s in json.loads(f.read())["shards"]]
+        return version, [Shard(**s) for s in storage.read_table(f"{self.path}/manifest/v{version:08d}.arrow").to_pylist()]
 
     def commit(self, base: int, shards: list[Shard]) -> int:
         """Makes the version after base. Raises Conflict if there is one already."""
         version = base + 1
         hidden = f"{self.path}/manifest/_{uuid.uuid4().hex}"
-        with storage.creating(hidden) as out:
-            out.write(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode())
+        storage.write_table(hidden, pa.Table.from_pylist([asdict(s) for s in shards], _MANIFEST))
         jvm = self.spark._jvm
-        source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (hidden, f"{self.path}/manifest/v{version:08d}.json"))
+        source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (hidden, f"{self.path}/manifest/v{version:08d}.arrow"))
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
         try:
             context.rename(source, target, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Exception as e:
-            if "FileAlreadyExists" in str(e) or storage.exists(f"{self.path}/manifest/v{version:08d}.json"):
+            if "FileAlreadyExists" in str(e) or storage.exists(f"{self.path}/manifest/v{version:08d}.arrow"):
                 raise Conflict(f"version {version} exists") from e
             raise
         return version

@@ -119,7 +119,7 @@ class Index:
             return None
         with storage.reading(f"{path}/MANIFEST") as f:
             m = json.loads(f.read())
-        return Index(path, m["buckets"], [tuple(r) for r in m["runs"]], m["version"], m["collisions"])
+        return Index(path, m["buckets"], [tuple(r) for r in m["runs"]], m["version"], m.get("collisions", []))
 
     def commit(self) -> None:
         self.version += 1
