@@ -54,6 +54,14 @@ def test_others_run(spark, name):
     assert rows and (name != "q_file_roundtrip" or all(r.identical for r in rows))
 
 
+@pytest.mark.parametrize("name,exchanges", [("q_subframe_choice", 1), ("q_fixed_restore", 1), ("q_frame_cost", 2), ("q_residual_choice", 1)])
+def test_samples_are_read_and_dealt_once(spark, name, exchanges):
+    found = QUERIES[name](spark, SF)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") <= exchanges and "SortMergeJoin" not in plan
+
+
 def test_contract(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(QUERIES) > 80
