@@ -6,7 +6,7 @@ from wavegrid.functions.columns import CHANNEL_MASKS, DEPTH_CODES, MASK_BITS, RA
 from wavegrid.operators.framing import LEVELS
 from wavegrid.operators.metadata import AIFF_TEXTS, CAF_KEYS, CAF_OTHER_DATE, INFO_KEYS, MASK_KEY
 from wavegrid.operators.planning import EXTENSIONS
-from wavegrid.plans.queries import COEFFICIENTS
+from wavegrid.plans.queries import COEFFICIENTS, QUERIES
 
 B = "CAST({} AS BIGINT)".format
 EV = "ev AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, CAST(round(value * 100) AS BIGINT) - 25000 AS x FROM events)"
@@ -259,3 +259,18 @@ SQL: dict[str, str] = {
     "q_crc": f"WITH h AS (SELECT page_id, hex(encode(coalesce(html, ''))) AS t FROM pages), b AS (SELECT page_id, list_transform(range(0, length(t) // 2), lambda i: CAST('0x' || substr(t, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS bs FROM h) SELECT page_id, {checksums('crc8', 0x07, 8)}, {checksums('crc16', 0x8005, 16)} FROM b",
     "q_text_payload": "SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 1) AND text <> '' THEN text WHEN turn % 4 = 3 THEN role END AS text FROM conversations",
 }
+
+#: Some of the SQL above cuts what its query doesn't: prefixes of texts, the first events of a stream, streams on neither side. It stands as it is; under names that end in
+#: _whole the same queries have the same SQL without the cuts: what is cut, and what stands for the whole.
+CUTS: dict[str, list[tuple[str, str]]] = {
+    **dict.fromkeys(["q_comments_visible", "q_comments_group", "q_comments_replace", "q_comments_listagg"], [("substring(text, 1, 40)", "text")]),
+    "q_comment_split": [("substring(CASE turn", "(CASE turn"), ("END, 1, 60)", "END)")],
+    "q_cue_points": [(" FROM ev WHERE i < 20", " FROM ev")],
+    "q_reconcile": [("WHERE user_id % 5 <> 0)", "WHERE user_id % 5 <> 0 OR user_id % 7 = 0)")],
+}
+for _name, _cuts in CUTS.items():
+    _sql = SQL[_name]
+    for _cut, _all in _cuts:
+        _sql = _sql.replace(_cut, _all)
+    SQL[f"{_name}_whole"] = _sql
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
