@@ -25,8 +25,8 @@ from wavegrid.llm.common import chunks_of, shared_dir, small_batches, stored, tr
 
 MAGIC = b"WGDAC001"
 _GROUP = 1 << 16
-#: Ranges of ids, each a task's. Spark samples 100 rows a range on the driver, so they are bounded; segments aren't.
-MOST_RANGES = 20_000
+#: Ranges of ids, each a task's. Spark samples 300 rows a range, some 100 bytes each, on the driver, so they are bounded; segments aren't.
+MOST_RANGES = 8_192
 
 
 class Writer:
@@ -175,7 +175,7 @@ def write(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str =
             yield done()
 
     doc = F.col("doc").asc_nulls_last()
-    rows = rows.repartitionByRange(n, doc, F.left("text", F.lit(64)).asc_nulls_first()).sortWithinPartitions(doc, F.col("text").asc_nulls_first())
+    rows = rows.repartitionByRange(n, doc, F.left("text", F.lit(24)).asc_nulls_first()).sortWithinPartitions(doc, F.col("text").asc_nulls_first())
     return stored(rows.mapInArrow(trimmed(save, "bpe"), "segment long, uri string, docs long, tokens long"), "token-segments")
 
 
