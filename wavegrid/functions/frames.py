@@ -234,14 +234,37 @@ def analyse(x: np.ndarray, depth: int, rate: int, profile: Profile) -> Subframe:
 
 
 def _residual_bits(r: Residual) -> list[np.ndarray]:
+    """All partitions at once: places first, then the bits of one rank of all values together."""
     width, _ = METHODS[r.method]
-    out, u = [B.field([r.method], 2), B.field([r.order], 4)], folded(r.values)
-    for kind, v, a, b in r.partitions:
-        if kind == "rice":
-            out += [B.field([v], width), B.rice(u[a:b], v)]
-        else:
-            out += [B.field([(1 << width) - 1], width), B.field([v], 5), B.field(r.values[a:b], v)]
-    return out
+    escape = np.array([kind == "escape" for kind, *_ in r.partitions])
+    value, starts, ends = (np.array(x, np.int64) for x in list(zip(*r.partitions, strict=True))[1:])
+    count, head = ends - starts, width + 5 * escape
+    k, raw, u = np.repeat(value, count), np.repeat(escape, count), folded(r.values)
+    stop = u >> k
+    length = np.where(raw, k, stop + 1 + k)
+    after = np.concatenate(([0], np.cumsum(length)))
+    at = after[:-1] + np.repeat(np.cumsum(head), count)
+    out = np.zeros(int(after[-1] + head.sum()), np.uint8)
+
+    def put(place: np.ndarray, values: np.ndarray, widths: np.ndarray | int) -> None:
+        """The low bits of values, the highest first."""
+        for bit in range(int(np.max(widths, initial=0))):
+            some = widths > bit if isinstance(widths, np.ndarray) else slice(None)
+            left = (widths[some] if isinstance(widths, np.ndarray) else widths) - 1 - bit
+            out[place[some] + bit] = values[some] >> left & 1
+
+    place = np.cumsum(head) - head + after[starts]
+    put(place, np.where(escape, (1 << width) - 1, value), width)
+    if escape.any():
+        put(place[escape] + width, value[escape], 5)
+        put(at[raw], r.values[raw], k[raw])
+        at, k, u, stop = at[~raw], k[~raw], u[~raw], stop[~raw]
+    out[at + stop] = 1
+    if len(k) and (k == k[0]).all():
+        put(at + stop + 1, u, int(k[0]))
+    else:
+        put(at + stop + 1, u, k)
+    return [B.field([r.method], 2), B.field([r.order], 4), out]
 
 
 def _subframe_bits(s: Subframe, x: np.ndarray, depth: int) -> list[np.ndarray]:

@@ -44,7 +44,7 @@ def encoded_frames(blocks: DataFrame, level: int = 8, by_sample: bool = False) -
                 rows.append((x.shape[1], ",".join(f"{f.kind}{f.order}" for f in forms), data))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.binary())))], ["stream", "frame", "samples", "kinds", "data"])
 
-    rows = blocks.select("stream", big("frame").alias("frame"), "sample_offset", "rate", "bits", F.col("planes").cast("array<array<bigint>>").alias("planes"))
+    rows = blocks.select("stream", big("frame").alias("frame"), "sample_offset", "rate", "bits", "planes")
     return rows.mapInArrow(run, "stream string, frame long, samples long, kinds string, data binary")
 
 
