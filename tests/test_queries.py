@@ -137,3 +137,25 @@ def test_whole_input(spark, engine, name):
 def test_every_stream_is_reconciled(spark, engine):
     found = [r.user_id for r in QUERIES["q_reconcile"](spark, SF).collect()]
     assert sorted(found) == [u for (u,) in engine.execute("SELECT DISTINCT user_id FROM events ORDER BY 1").fetchall()]
+
+
+COLUMNS = {"conversations": "conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR", "events": "event_id BIGINT, user_id BIGINT, value DOUBLE"}
+
+
+def same_on(spark, folder, name, table, rows):
+    """A query and its SQL without cuts agree on a table of these rows; returns what was found."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE {table} ({COLUMNS[table]})")
+    con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    con.execute(f"COPY {table} TO '{folder}/{table}.parquet' (FORMAT parquet)")
+    found = QUERIES[name](spark, str(folder))
+    names = sorted(found.columns)
+    rows = found.select(*names).collect()
+    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in names)} FROM ({SQL[name + '_whole']})").fetchall()
+    assert ordered(map(tuple, rows)) == ordered(want)
+    return rows
+
+
+def test_comments_without_a_key_are_visible(spark, tmp_path):
+    found = same_on(spark, tmp_path, "q_comments_visible", "conversations", [(1, t, role, f"t{t}") for t in range(4) for role in (None, "user")])
+    assert sorted(r.value for r in found if r.key is None) == ["t0", "t3"]
