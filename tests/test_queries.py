@@ -159,3 +159,8 @@ def same_on(spark, folder, name, table, rows):
 def test_comments_without_a_key_are_visible(spark, tmp_path):
     found = same_on(spark, tmp_path, "q_comments_visible", "conversations", [(1, t, role, f"t{t}") for t in range(4) for role in (None, "user")])
     assert sorted(r.value for r in found if r.key is None) == ["t0", "t3"]
+
+
+def test_cue_points_of_a_stream_without_an_id(spark, tmp_path):
+    found = same_on(spark, tmp_path, "q_cue_points", "events", [(4 * k + i, u, 1.0) for k, u in enumerate((None, 3)) for i in range(4)])
+    assert sorted(r.sample_offset for r in found if r.user_id is None) == [0, 588, 1176]
