@@ -164,3 +164,8 @@ def test_comments_without_a_key_are_visible(spark, tmp_path):
 def test_cue_points_of_a_stream_without_an_id(spark, tmp_path):
     found = same_on(spark, tmp_path, "q_cue_points", "events", [(4 * k + i, u, 1.0) for k, u in enumerate((None, 3)) for i in range(4)])
     assert sorted(r.sample_offset for r in found if r.user_id is None) == [0, 588, 1176]
+
+
+def test_nothing_is_split_without_role_or_text(spark, tmp_path):
+    found = same_on(spark, tmp_path, "q_comment_split", "conversations", [(1, 2, None, "a=b"), (1, 3, "c=d", None), (1, 4, "user", "x=y")])
+    assert sorted((r.turn, r.key, r.value) for r in found) == [(2, None, None), (3, None, None), (4, "user", "x=y")]
