@@ -169,3 +169,8 @@ def test_cue_points_of_a_stream_without_an_id(spark, tmp_path):
 def test_nothing_is_split_without_role_or_text(spark, tmp_path):
     found = same_on(spark, tmp_path, "q_comment_split", "conversations", [(1, 2, None, "a=b"), (1, 3, "c=d", None), (1, 4, "user", "x=y")])
     assert sorted((r.turn, r.key, r.value) for r in found) == [(2, None, None), (3, None, None), (4, "user", "x=y")]
+
+
+def test_nothing_joined_is_null(spark, tmp_path):
+    found = same_on(spark, tmp_path, "q_comments_listagg", "conversations", [(1, 0, "user", None), (1, 1, "user", None), (2, 0, "user", ""), (3, 0, "user", "a"), (3, 1, "user", None), (3, 2, "user", "b")])
+    assert sorted((r.conv_id, r.value) for r in found) == [(1, None), (2, ""), (3, "a,b")]
