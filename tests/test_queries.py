@@ -174,3 +174,12 @@ def test_nothing_is_split_without_role_or_text(spark, tmp_path):
 def test_nothing_joined_is_null(spark, tmp_path):
     found = same_on(spark, tmp_path, "q_comments_listagg", "conversations", [(1, 0, "user", None), (1, 1, "user", None), (2, 0, "user", ""), (3, 0, "user", "a"), (3, 1, "user", None), (3, 2, "user", "b")])
     assert sorted((r.conv_id, r.value) for r in found) == [(1, None), (2, ""), (3, "a,b")]
+
+
+#: Keys with null texts first, last, between others, and only.
+NULL_TEXTS = [(c, t, "assistant", text) for c, texts in enumerate([(None, "b", "a"), ("b", "a", None), ("b", None, "a"), (None, None)]) for t, text in enumerate(texts)]
+
+
+def test_first_and_last_are_values(spark, tmp_path):
+    found = same_on(spark, tmp_path, "q_comments_group", "conversations", NULL_TEXTS)
+    assert sorted((r.conv_id, r.n, r.first, r.last) for r in found) == [(0, 3, "b", "a"), (1, 3, "b", "a"), (2, 3, "b", "a"), (3, 2, None, None)]
