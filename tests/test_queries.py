@@ -183,3 +183,14 @@ NULL_TEXTS = [(c, t, "assistant", text) for c, texts in enumerate([(None, "b", "
 def test_first_and_last_are_values(spark, tmp_path):
     found = same_on(spark, tmp_path, "q_comments_group", "conversations", NULL_TEXTS)
     assert sorted((r.conv_id, r.n, r.first, r.last) for r in found) == [(0, 3, "b", "a"), (1, 3, "b", "a"), (2, 3, "b", "a"), (3, 2, None, None)]
+
+
+def test_last_of_the_others_is_a_value(spark, tmp_path):
+    found = same_on(spark, tmp_path, "q_comments_replace", "conversations", NULL_TEXTS)
+    assert sorted((r.conv_id, r.n, r["last"]) for r in found if r.key != "user") == [(0, 3, "a"), (1, 3, "a"), (2, 3, "a"), (3, 2, None)]
+
+
+def test_last_of_one_position_does_not_depend_on_the_order(spark, tmp_path):
+    rows = [(c, 0, "assistant", text) for c, texts in enumerate(["ab", "ba"]) for text in texts]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["last"] for r in QUERIES["q_comments_replace"](spark, str(tmp_path)).collect() if r.key != "user"] == ["b", "b"]
