@@ -194,3 +194,19 @@ def test_last_of_one_position_does_not_depend_on_the_order(spark, tmp_path):
     rows = [(c, 0, "assistant", text) for c, texts in enumerate(["ab", "ba"]) for text in texts]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r["last"] for r in QUERIES["q_comments_replace"](spark, str(tmp_path)).collect() if r.key != "user"] == ["b", "b"]
+
+
+def test_headers_of_any_stream(spark, tmp_path):
+    """Rates with the top bit set, rates beyond 20 bits, and a stream without an id. The SQL overflows from a rate of 2 ** 19 on, so the bits are taken apart here."""
+    users = [0, 528, 529, 1065, 1066, 10**9, None]
+    spark.createDataFrame([(2 * k + e, u, 1.0) for k, u in enumerate(users) for e in range(2)], "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.user_id: r for r in QUERIES["q_streaminfo_pack"](spark, str(tmp_path)).collect()}
+    assert set(found) == set(users)
+    assert [found[u].packed is None for u in users] == [False] * 4 + [True] * 3 and found[528].packed > 0 > found[529].packed
+    for u in users[:-1]:
+        r, asked = found[u], (u * 977 + 8000, u % 8 + 1, u % 29 + 4, 2)
+        assert (r.rate, r.channels, r.bits, r.total) == asked
+        if r.packed is not None:
+            p = r.packed % (1 << 64)
+            assert (p >> 44, (p >> 41 & 7) + 1, (p >> 36 & 31) + 1, p & ((1 << 36) - 1)) == asked
+    assert found[None].total == 2 and found[None].rate is None
