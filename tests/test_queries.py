@@ -213,7 +213,7 @@ def test_headers_of_any_stream(spark, tmp_path):
 
 
 #: Queries that cost blocks.
-COSTED = ["q_frame_cost", "q_residual_choice", "q_running_progress", "q_seek_offsets", "q_subframe_choice", "q_decode_batches", "q_streaminfo", "q_summary", "q_partition_choice"]
+COSTED = ["q_frame_cost", "q_residual_choice", "q_running_progress", "q_seek_offsets", "q_subframe_choice", "q_decode_batches", "q_streaminfo", "q_summary", "q_partition_choice", "q_subframe_lpc", "q_byte_counters"]
 
 
 @pytest.mark.parametrize("name", COSTED)
